@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.llm import toxicity
 from corvane.llm.common import table
+from corvane.llm.decontamination import contamination
 from corvane.llm.exact_dedup import exact_dedup
+from corvane.llm.near_dup import near_duplicates
+from corvane.llm.packing import pack, tokenizer_path
 from corvane.llm.sharding import interleave
 
 #: Rule of the digest queries for words, as DuckDB SQL over a column ``t``.
@@ -44,12 +48,84 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate(F.arrays_zip("hit_starts", "hit_ends"), F.lit(0).cast("long"), lambda a, x: a + (x["hit_ends"] - x["hit_starts"]))
+    return found.select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.size("hit_starts") > 0).alias("contaminated"),
+        "hit_starts",
+        "hit_ends",
+    )
+
+
+OP1_SQL = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, coalesce({WORDS_SQL.format(t="text")}, []) AS w FROM documents),
+b AS MATERIALIZED (SELECT CAST(item_id AS VARCHAR) AS item, {WORDS_SQL.format(t="text")} AS w FROM benchmark
+      WHERE text IS NOT NULL AND item_id IS NOT NULL),
+win AS MATERIALIZED (
+  SELECT DISTINCT item, least(len(w), 10) AS k, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS g
+  FROM (SELECT item, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0)),
+lens AS (SELECT DISTINCT k FROM win),
+grams AS MATERIALIZED (
+  SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS g
+  FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, lens WHERE len(w) >= k)),
+hits AS MATERIALIZED (SELECT doc_id, win.k, i, item FROM grams JOIN win ON grams.k = win.k AND grams.g = win.g),
+places AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM hits) GROUP BY 1),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS its FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY 1),
+runs AS (
+  SELECT doc_id, list(a ORDER BY a) AS hit_starts, list(z ORDER BY a) AS hit_ends FROM (
+    SELECT doc_id, CAST(min(p) - 1 AS INT) AS a, CAST(max(q) AS INT) AS z FROM (
+      SELECT doc_id, p, q, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS grp FROM (
+        SELECT doc_id, i AS p, i + k - 1 AS q,
+               CASE WHEN i - 1 <= max(i + k - 1) OVER (PARTITION BY doc_id ORDER BY i, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+                    THEN 0 ELSE 1 END AS fresh
+        FROM (SELECT DISTINCT doc_id, i, k FROM hits)))
+    GROUP BY doc_id, grp) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(its, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+       coalesce(hit_starts, []) AS hit_starts, coalesce(hit_ends, []) AS hit_ends
+FROM d LEFT JOIN places USING (doc_id) LEFT JOIN its USING (doc_id) LEFT JOIN runs USING (doc_id)
+"""
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def held_out(modulus: int, remainder: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, toxicity.toxic_labels(table(spark, sf_dir, "labels")))
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        F.coalesce(held_out(3, 1), F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontamination": op1_decontamination,
         "op4_exact_dedup": op4_exact_dedup,
+        "op6_packing": op6_packing,
+        "op7_ngram_jaccard": op7_ngram_jaccard,
+        "op8_toxicity": op8_toxicity,
         "op10_sharding": op10_sharding,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL}
+    return {"op1_decontamination": OP1_SQL, "op4_exact_dedup": OP4_SQL}
