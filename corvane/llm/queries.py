@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import toxicity
-from corvane.llm.common import table
+from corvane.llm import html_text, pii, quality, toxicity, warc
+from corvane.llm.common import scratch_path, table
 from corvane.llm.decontamination import contamination
 from corvane.llm.exact_dedup import exact_dedup
 from corvane.llm.near_dup import near_duplicates
@@ -101,6 +101,55 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.read_pages(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP2_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS digest FROM pages),
+top AS (SELECT digest, max(page_id) AS best FROM p WHERE n >= 1000 GROUP BY digest)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, p.digest AS payload_digest,
+       CASE WHEN best <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN best <> page_id THEN best END AS refers_to
+FROM p LEFT JOIN top ON p.digest = top.digest AND n >= 1000
+"""
+
+
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long")
+    order = {k: i for i, k in enumerate(pii.KINDS)}
+    places = F.create_map(*[F.lit(v) for k, i in order.items() for v in (k, i)])
+    every = F.array_sort(
+        F.transform(
+            F.concat("base", "added"),
+            lambda x: F.struct(places[x["kind"]].alias("o"), x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind")),
+        )
+    )
+    return found.select(
+        "doc_id",
+        *(count(k).alias(f"n_{k}") for k in pii.BASE),
+        F.sha2(pii.listing(F.col("base")), 256).alias("base_sha256"),
+        pii.listing(every).alias("spans"),
+    )
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    ranking = quality.train(docs, quality.quality_labels(table(spark, sf_dir, "labels")))
+    return quality.score(docs, ranking).select(
+        "doc_id",
+        F.coalesce(held_out(4, 2), F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
 def held_out(modulus: int, remainder: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder
 
@@ -119,13 +168,17 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
+        "op2_warc": op2_warc,
+        "op3_html_text": op3_html_text,
         "op4_exact_dedup": op4_exact_dedup,
+        "op5_pii": op5_pii,
         "op6_packing": op6_packing,
         "op7_ngram_jaccard": op7_ngram_jaccard,
         "op8_toxicity": op8_toxicity,
+        "op9_quality": op9_quality,
         "op10_sharding": op10_sharding,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL, "op4_exact_dedup": OP4_SQL}
+    return {"op1_decontamination": OP1_SQL, "op2_warc": OP2_SQL, "op4_exact_dedup": OP4_SQL}
