@@ -75,11 +75,11 @@ class FtrlProximal:
         w = -(z - np.sign(z) * self.l1) / ((self.beta + np.sqrt(n)) / self.alpha + self.l2)
         return np.where(np.abs(z) <= self.l1, 0.0, w)
 
-    def learn(self, slots: np.ndarray, label: float) -> float:
+    def learn(self, slots: np.ndarray, label: float, weight: float = 1.0) -> float:
         at = np.append(slots, 1 << self.bits)
         w = self.weights(at)
         p = 1.0 / (1.0 + math.exp(-max(-35.0, min(35.0, float(w.sum())))))
-        g = p - label
+        g = (p - label) * weight
         n = self.n[at]
         grown = n + g * g
         self.z[at] += g - (np.sqrt(grown) - np.sqrt(n)) / self.alpha * w
@@ -87,9 +87,9 @@ class FtrlProximal:
         return p
 
     def export(self) -> Weights:
-        w = self.weights(np.arange(len(self.z)))
-        slots = np.flatnonzero(w[:-1])
-        return Weights(self.bits, slots, w[slots].astype(np.float32), float(w[-1]))
+        slots = np.flatnonzero(np.abs(self.z[:-1]) > self.l1)
+        bias = float(self.weights(np.array([1 << self.bits]))[0])
+        return Weights(self.bits, slots, self.weights(slots).astype(np.float32), bias)
 
 
 def labelled_features(docs: DataFrame, labels: DataFrame, sample_rows: int, bits: int, seed: int) -> DataFrame:
@@ -113,21 +113,37 @@ def labelled_features(docs: DataFrame, labels: DataFrame, sample_rows: int, bits
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, bits: int = 20, epochs: int = 4, seed: int = 11
+    docs: DataFrame,
+    labels: DataFrame,
+    sample_rows: int = 8000,
+    bits: int = 20,
+    epochs: int = 8,
+    alpha: float = 2.0,
+    l1_per_row: float = 0.001,
+    positive_weight: float = 4.0,
+    min_rows: int = 5,
+    seed: int = 11,
 ) -> Weights:
     """Fits on a bounded sample of ``labels`` (``doc_id``, ``label`` 0 or 1).
 
-    Rows with a null label or id are left out; no rows at all give the model that scores
-    every text 0.5.
+    A slot enters the model once ``min_rows`` sampled texts have it. Toxic texts are rare and count
+    ``positive_weight`` times. Rows with a null label or id are left out; no rows at all give the
+    model that scores every text 0.5.
     """
-    model = FtrlProximal(bits)
-    rows = sorted(
-        (r.doc_id, r.label, bytes(r.slots)) for r in labelled_features(docs, labels, sample_rows, bits, seed).collect()
-    )
+    collected = labelled_features(docs, labels, sample_rows, bits, seed).collect()
+    collected.sort(key=lambda r: (r.doc_id, r.label))
+    target = np.array([r.label for r in collected], dtype=np.float64)
+    slots = [np.frombuffer(r.slots, dtype="<i4") for r in collected]
+    seen = np.zeros(1 << bits, dtype=np.int32)
+    for x in slots:
+        seen[x] += 1
+    slots = [x[seen[x] >= min_rows] for x in slots]
+    del collected
+    model = FtrlProximal(bits, alpha=alpha, l1=l1_per_row * len(slots))
     order = np.random.default_rng(seed)
-    for _ in range(epochs if rows else 0):
-        for i in order.permutation(len(rows)):
-            model.learn(np.frombuffer(rows[i][2], dtype="<i4").astype(np.int64), float(rows[i][1]))
+    for _ in range(epochs if slots else 0):
+        for i in order.permutation(len(slots)):
+            model.learn(slots[i], target[i], positive_weight if target[i] else 1.0)
     return model.export()
 
 
