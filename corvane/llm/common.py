@@ -121,3 +121,18 @@ class Sketch:
             )
             .drop("__w", "__word", "__mask")
         )
+
+
+def drop_ids(docs: DataFrame, lost: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` without the rows whose id is in the one column of ``lost``; rows without an id stay.
+
+    Only rows that the bitmap of lost ids may hold are shuffled; the rest, most of a corpus, goes
+    through untouched.
+    """
+    gone = materialise(lost.select(F.col(lost.columns[0]).alias("__lost")).where("__lost IS NOT NULL").distinct(), "lost")
+    sketch = Sketch(gone.select(F.xxhash64("__lost")))
+    flagged = sketch.flag(docs.withColumn("__h", F.xxhash64(F.col(id_col).cast("long"))), "__h", "__may").drop("__h")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    doubtful = flagged.where("__may").select(*names)
+    kept = doubtful.join(gone, doubtful[id_col] == gone["__lost"], "left_anti")
+    return flagged.where("NOT __may").select(*names).unionByName(kept)

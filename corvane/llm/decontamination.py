@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import materialise, words_of
+from corvane.llm.common import Sketch, drop_ids, materialise, words_of
 
 SAMPLE = 16
 
@@ -357,7 +357,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10)
         ),
         "spans",
     )
-    clean = docs.join(dirty.select("__id"), docs["doc_id"] == F.col("__id"), "left_anti")
+    clean = drop_ids(docs, dirty.select("__id"))
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -366,7 +366,11 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10)
                 [b.column("doc_id"), pa.array([cut(*r) for r in rows], pa.string())], ["__id", "__text"]
             )
 
-    hit = docs.join(dirty, docs["doc_id"] == F.col("__id"))
+    # only rows that the bitmap of dirty ids may hold are shuffled
+    sketch = Sketch(dirty.select(F.xxhash64("__id")))
+    maybe = sketch.flag(docs.withColumn("__h", F.xxhash64(F.col("doc_id").cast("long"))), "__h", "__may").where("__may")
+    docs = maybe.select(*[F.col(f"`{c}`") for c in docs.columns])
+    hit = docs.select("doc_id", "text").join(dirty, docs["doc_id"] == F.col("__id"))
     rest = hit.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "hit_starts", "hit_ends").mapInArrow(
         rewrite, "__id long, __text string"
     )

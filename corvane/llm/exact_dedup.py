@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import Sketch, ascii_lower
+from corvane.llm.common import Sketch, ascii_lower, drop_ids
 
 
 def exact_dedup(
@@ -77,6 +77,8 @@ def exact_dedup(
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of equal texts, all columns as they were."""
-    lost = exact_dedup(docs, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("__lost"))
-    return docs.join(lost, docs[id_col] == F.col("__lost"), "left_anti")
+    """``docs`` with the row of largest id of each group of equal texts, all columns as they were.
+
+    Rows without an id can't be named and stay, and so do rows that repeat a kept id.
+    """
+    return drop_ids(docs, exact_dedup(docs, id_col, text_col).where("NOT kept").select("doc_id"), id_col)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import Sketch, WordHash, materialise, mix64, words_of
+from corvane.llm.common import Sketch, WordHash, drop_ids, materialise, mix64, words_of
 
 NGRAM = 5
 THRESHOLD = 0.8
@@ -236,7 +236,7 @@ class NearDuplicates:
         members = (
             hit.where("__in")
             .select("rep", "key")
-            .join(buckets.repartition("n"), "key")
+            .join(buckets.repartition(F.hash("key")), "key")
             .groupBy("rep")
             .agg(F.array_sort(F.collect_set(F.struct("key", "n"))).alias("keys"))
         )
@@ -386,9 +386,5 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the document of smallest id of each near-duplicate class."""
-    lost = (
-        near_duplicates(docs, id_col=id_col, text_col=text_col)
-        .where("doc_id <> class_id")
-        .select(F.col("doc_id").alias("__lost"))
-    )
-    return docs.join(lost, docs[id_col] == F.col("__lost"), "left_anti")
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col)
+    return drop_ids(docs, found.where("doc_id <> class_id").select("doc_id"), id_col)

@@ -13,7 +13,7 @@ seeded hash order. Scoring reads every text whole.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -147,27 +147,29 @@ def train(
     return model.export()
 
 
+def scorer(model: Weights) -> Callable[[str | None], float]:
+    """The score of a whole text; null and empty texts get that of the bias alone."""
+    dense, bits, seen = model.dense(), model.bits, WordHash()
+
+    def rate(text: str | None) -> float:
+        h = seen.array(words_of(text))
+        slots = np.concatenate([features(x, bits) for x in (h, h[:-1] * _PAIR + h[1:], h[:-2] * _SKIP + h[2:])])
+        live = slots[dense[slots] != 0]
+        total = model.bias + (float(dense[np.unique(live)].sum(dtype=np.float64)) if len(live) else 0.0)
+        return 1.0 / (1.0 + math.exp(-max(-35.0, min(35.0, total))))
+
+    return rate
+
+
 def score(docs: DataFrame, weights: Weights) -> DataFrame:
-    """``doc_id, score`` for every row; null and empty texts get the score of the bias alone."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(weights)
+    """``doc_id, score`` for every row; rows that repeat an id, or have none, are scored one by one."""
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        dense, bits = model.dense(), model.bits
-        seen = WordHash()
+        rate = scorer(shared.value)
         for b in batches:
-            out = np.empty(b.num_rows)
-            for i, t in enumerate(b.column("text").to_pylist()):
-                h = seen.array(words_of(t))
-                total = model.bias
-                parts = (h, h[:-1] * _PAIR + h[1:], h[:-2] * _SKIP + h[2:])
-                slots = np.concatenate([features(x, bits) for x in parts])
-                live = slots[dense[slots] != 0]
-                if len(live):
-                    total += float(dense[np.unique(live)].sum(dtype=np.float64))
-                out[i] = 1.0 / (1.0 + math.exp(-max(-35.0, min(35.0, total))))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out)], ["doc_id", "score"])
+            scores = pa.array([rate(t) for t in b.column(1).to_pylist()], pa.float64())
+            yield pa.RecordBatch.from_arrays([b.column(0), scores], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
 
@@ -180,6 +182,13 @@ def toxic_labels(labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, weights: Weights, threshold: float = 0.7) -> DataFrame:
-    """``docs`` without rows scored ``threshold`` or more; columns as they were."""
-    bad = score(docs, weights).where(F.col("score") >= threshold).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"] == F.col("__bad"), "left_anti")
+    """``docs`` without rows scored ``threshold`` or more; columns as they were, nothing shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rate = scorer(shared.value)
+        for b in batches:
+            yield b.filter(pa.array([rate(t) < threshold for t in b.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
