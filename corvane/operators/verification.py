@@ -1,0 +1,114 @@
+"""Whether an answer is borne out by what was served: quotes, citations, references to cells."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from corvane.functions.text import fold
+
+#: Quotes shorter than this, in bytes, aren't checked.
+LEAST_QUOTE = 15
+
+
+def quoted_spans(answers: DataFrame) -> DataFrame:
+    """``answer_id, quote`` of each span in quotation marks that is long enough."""
+    found = F.flatten(
+        F.array(
+            F.regexp_extract_all("answer", F.lit('"([^"]+)"'), F.lit(1)),
+            F.regexp_extract_all("answer", F.lit("“([^”]+)”"), F.lit(1)),
+        )
+    )
+    spans = answers.select("answer_id", F.explode(F.array_distinct(F.transform(found, F.trim))).alias("quote"))
+    return spans.where(F.octet_length("quote") >= LEAST_QUOTE)
+
+
+def check_quotes(answers: DataFrame, served: DataFrame) -> DataFrame:
+    """Quotes that no text served with the answer contains, white space and case aside."""
+    spans = quoted_spans(answers)
+    borne = (
+        spans.join(served.select("answer_id", fold(F.col("text")).alias("t")), "answer_id")
+        .where(F.contains("t", fold(F.col("quote"))))
+        .select("answer_id", "quote")
+        .distinct()
+    )
+    return spans.join(borne, ["answer_id", "quote"], "left_anti")
+
+
+def check_citations(answers: DataFrame, served: DataFrame) -> DataFrame:
+    """Bracketed paths that weren't served with the answer, each once."""
+    cited = answers.select("answer_id", F.explode(F.array_distinct(F.regexp_extract_all("answer", F.lit(r"\[([^\[\]\s]*/[^\[\]\s]*)\]"), F.lit(1)))).alias("path"))
+    return cited.join(served.select("answer_id", "path").distinct(), ["answer_id", "path"], "left_anti")
+
+
+def check_cells(answers: DataFrame, cells: DataFrame) -> DataFrame:
+    """``evidence/id#row`` references: ``answer_id, evidence_id, row, state``.
+
+    An answer with one reference must state a value of that row.
+    """
+    pattern = r"evidence/([A-Za-z0-9_-]+)#([0-9]+)"
+    ids = F.regexp_extract_all("answer", F.lit(pattern), F.lit(1))
+    nos = F.regexp_extract_all("answer", F.lit(pattern), F.lit(2))
+    refs = answers.select("answer_id", "answer", F.size(ids).alias("n"), F.explode(F.array_distinct(F.arrays_zip(ids.alias("i"), nos.alias("r")))).alias("x"))
+    refs = refs.select("answer_id", "answer", "n", F.col("x.i").alias("evidence_id"), F.col("x.r").cast("long").alias("row"))
+    known = cells.groupBy("evidence_id", "row").agg(F.collect_set(F.col("value").cast("string")).alias("vals"))
+    joined = refs.join(known, ["evidence_id", "row"], "left")
+    bare = F.regexp_replace("answer", pattern, "")
+    stated = F.exists("vals", lambda v: F.contains(bare, v))
+    state = F.when(F.col("vals").isNull(), "unknown").when((F.col("n") == 1) & ~stated, "value_differs").otherwise("ok")
+    return joined.select("answer_id", "evidence_id", "row", state.alias("state"))
+
+
+def grade(answers: DataFrame, expectations: DataFrame) -> DataFrame:
+    """Cases against what they should cite and contain.
+
+    ``answers``: ``case_id, answer, cited``; ``expectations``: ``case_id, cite_all, cite_any,
+    contains_all, must_not_cite, insufficient``.
+    """
+    j = answers.join(expectations, "case_id")
+    text = F.lower("answer")
+    ok_all = F.size(F.array_except("cite_all", "cited")) == 0
+    ok_any = (F.size("cite_any") == 0) | F.arrays_overlap("cite_any", "cited")
+    ok_text = F.forall("contains_all", lambda x: F.contains(text, F.lower(x)))
+    ok_not = ~F.arrays_overlap("must_not_cite", "cited")
+    ok_short = ~F.col("insufficient") | F.contains(text, F.lit("insufficient"))
+    return j.select(
+        "case_id", ok_all.alias("cite_all"), F.coalesce(ok_any, F.lit(False)).alias("cite_any"), ok_text.alias("contains_all"),
+        F.coalesce(ok_not, F.lit(True)).alias("must_not_cite"), ok_short.alias("insufficient"),
+    ).withColumn("passed", F.col("cite_all") & F.col("cite_any") & F.col("contains_all") & F.col("must_not_cite") & F.col("insufficient"))
+
+
+def provider_usage(responses: DataFrame) -> DataFrame:
+    """Token counts from provider answers in JSON; what isn't said stays null."""
+    get = lambda path: F.expr(f"try_cast(get_json_object(response, '{path}') AS bigint)")
+    return responses.select(
+        "id",
+        F.coalesce(get("$.usage.input_tokens"), get("$.usage.prompt_tokens")).alias("input_tokens"),
+        F.coalesce(get("$.usage.output_tokens"), get("$.usage.completion_tokens")).alias("output_tokens"),
+        F.coalesce(get("$.usage.cache_read_input_tokens"), get("$.usage.prompt_tokens_details.cached_tokens")).alias("cached_tokens"),
+    )
+
+
+#: Kinds of questions, in the order they are looked for.
+INTENTS = ("lookup", "aggregation", "comparison", "enumeration", "timeline", "other")
+
+
+def intent(label):
+    """The first kind that a model's label names; null if it names none."""
+    out = F.lit(None).cast("string")
+    for kind in reversed(INTENTS):
+        out = F.when(F.contains(F.lower(label), F.lit(kind)), kind).otherwise(out)
+    return out
+
+
+def model_expansion(raw, most: int = 12):
+    """Terms that a model offered as a JSON list: lower-cased letters, hyphens and apostrophes, 2 to 40 long."""
+    terms = F.transform(F.from_json(raw, "array<string>"), lambda x: F.lower(F.trim(x)))
+    good = F.filter(terms, lambda x: F.regexp_like(x, F.lit(r"^[\p{IsAlphabetic}'-]{2,40}$")))
+    return F.slice(F.array_distinct(F.coalesce(good, F.expr("cast(array() as array<string>)"))), 1, most)
+
+
+def redacted(body, cap: int = 4096):
+    """A logged body, cut at a cap with its length told, and secrets in it masked."""
+    clean = F.regexp_replace(body, r'(?i)("(?:password|token|secret|api_key|authorization)"\s*:\s*)"[^"]*"', '$1"[redacted]"')
+    return F.when(F.char_length(clean) > cap, F.concat(F.substring(clean, 1, cap), F.lit("… "), F.char_length(clean).cast("string"))).otherwise(clean)

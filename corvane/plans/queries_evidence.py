@@ -1,0 +1,285 @@
+"""Registered queries of the evidence plane, verification, and streams."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import functions as F
+
+from corvane.operators import context, digests, evidence, ledger, verification
+from corvane.operators.access import Principal
+from corvane.operators.evidence import EvidenceColumn, Layer, Manifest, View
+from corvane.plans.inputs import PIN, ctes, derived, table
+from corvane.plans.registry import query
+from corvane.streaming import streams
+
+ORDERS = [
+    EvidenceColumn("o_orderkey", "int64", False, key=True),
+    EvidenceColumn("o_orderstatus", "string"),
+    EvidenceColumn("o_custkey", "int64"),
+    EvidenceColumn("late", "bool"),
+]
+
+_ROWS = """SELECT o_orderpriority AS grp, sha256(CAST(o_orderkey AS VARCHAR) || chr(31) || coalesce(nullif(o_orderstatus, 'P'), chr(0)) || chr(31) ||
+    CAST(o_custkey AS VARCHAR) || chr(31) || CASE WHEN o_totalprice > 100000 THEN 'true' ELSE 'false' END) AS r FROM orders"""
+_HEAD_SQL = " || chr(30) || ".join(f"'{c.id}' || chr(31) || '{c.type}' || chr(31)" for c in ORDERS)
+
+
+@query(
+    "logical_hash",
+    f"""SELECT grp AS o_orderpriority, count(*) AS n_rows, sha256({_HEAD_SQL} || chr(29) || string_agg(r, chr(30) ORDER BY r)) AS logical_hash FROM ({_ROWS}) GROUP BY 1""",
+)
+def logical_hash(spark, d):
+    o = table(spark, d, "orders").select(
+        "o_orderpriority", "o_orderkey", F.expr("nullif(o_orderstatus, 'P')").alias("o_orderstatus"), "o_custkey", (F.col("o_totalprice") > 100000).alias("late")
+    )
+    return evidence.logical_hash(o, ORDERS, "o_orderpriority")
+
+
+@query(
+    "evidence_rows",
+    """SELECT o_orderkey, o_totalprice, (SELECT count(*) FROM orders) AS total, true AS has_more FROM (SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 40 OFFSET 20)""",
+)
+def evidence_rows(spark, d):
+    m = Manifest("m", ORDERS, level=1)
+    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    return evidence.rows_page(o, m, Principal(2), [F.col("o_totalprice").desc(), F.col("o_orderkey")], 20, 40)
+
+
+@query(
+    "purge_due",
+    """SELECT o_orderkey FROM orders WHERE o_orderdate + INTERVAL '365' DAY <= TIMESTAMP '1997-01-01 00:00:00' AND o_orderkey % 7 <> 0 AND o_orderstatus = 'F'""",
+)
+def purge_due(spark, d):
+    a = table(spark, d, "orders").select(
+        "o_orderkey", F.expr("o_orderdate + INTERVAL '365' DAY").cast("timestamp").alias("expires_at"), (F.col("o_orderkey") % 7 == 0).alias("held"),
+        F.when(F.col("o_orderstatus") == "F", "committed").otherwise("open").alias("state"),
+    )
+    return evidence.purge_due(a, "1997-01-01 00:00:00").select("o_orderkey")
+
+
+@query(
+    "semantic_selection",
+    """SELECT o_orderstatus, count(*) AS orders, round(sum(o_totalprice), 0) AS worth FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') GROUP BY 1""",
+)
+def semantic_selection(spark, d):
+    view = View({"orders": F.count(F.lit(1)), "worth": F.round(F.sum("o_totalprice"), 0)}, ["o_orderstatus", "o_orderpriority"], ["o_orderpriority"])
+    return evidence.select_from(table(spark, d, "orders"), view, ["orders", "worth"], ["o_orderstatus"], {"o_orderpriority": ["1-URGENT", "2-HIGH"]})
+
+
+@query("execute_plan", "SELECT 'ledger' AS layer, count(*) AS n FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 'search', count(*) FROM documents WHERE lang = 'de'")
+def execute_plan(spark, d):
+    got = evidence.execute_plan(
+        [
+            Layer("ledger", lambda: table(spark, d, "orders").where("o_orderstatus = 'F'"), required=True),
+            Layer("refusing", lambda: None),
+            Layer("fallback", lambda: table(spark, d, "documents"), fallback=True),
+            Layer("search", lambda: table(spark, d, "documents").where("lang = 'de'")),
+        ]
+    )
+    parts = [v.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("layer"), "n") for k, v in got.items() if not isinstance(v, str)]
+    return parts[0].unionByName(parts[1])
+
+
+@query(
+    "count_conflicts",
+    """WITH c AS (SELECT l_suppkey AS subject, l_returnflag AS layer, count(*) AS value FROM lineitem GROUP BY 1, 2)
+        SELECT a.subject, a.layer AS a, a.value AS va, b.layer AS b, b.value AS vb FROM c a JOIN c b USING (subject) WHERE a.layer < b.layer AND a.value <> b.value""",
+)
+def count_conflicts(spark, d):
+    c = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("subject"), F.col("l_returnflag").alias("layer")).agg(F.count(F.lit(1)).alias("value"))
+    return evidence.count_conflicts(c)
+
+
+@query(
+    "context_fit",
+    """SELECT layer, ordinal, length, CAST(used AS BIGINT) AS used FROM (SELECT conv_id AS layer, turn AS ordinal, length(text) AS length,
+        sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS used FROM conversations) WHERE used <= 900""",
+)
+def context_fit(spark, d):
+    p = table(spark, d, "conversations").select(F.col("conv_id").alias("layer"), F.col("turn").alias("ordinal"), F.length("text").alias("length"))
+    return evidence.fit_budget(p, 900)
+
+
+@query(
+    "context_compose",
+    f"""{ctes("claims")}, seen AS (SELECT * FROM claims WHERE seq <= {PIN}),
+        facts AS (SELECT seq, subject || '.' || key || '=' || value AS line FROM seen c WHERE status = 'accepted' AND NOT EXISTS (SELECT 1 FROM seen s WHERE s.supersedes_id = c.id)),
+        t2 AS (SELECT text, CAST(ceil(strlen(text) / 4.0) AS BIGINT) AS tokens FROM (SELECT CAST(count(*) AS VARCHAR) || ' facts, ' || CAST(count(DISTINCT scope_path) AS VARCHAR) || ' scopes, ' ||
+            CAST(count(DISTINCT subject) AS VARCHAR) || ' subjects' AS text FROM seen c WHERE status = 'accepted' AND NOT EXISTS (SELECT 1 FROM seen s WHERE s.supersedes_id = c.id))),
+        f AS (SELECT seq, line, CAST(ceil(strlen(line) / 4.0) AS BIGINT) AS tokens, sum(CAST(ceil(strlen(line) / 4.0) AS BIGINT)) OVER (ORDER BY seq DESC) AS used FROM facts)
+        SELECT 'digest-2' AS section, CAST(0 AS BIGINT) AS ordinal, text AS line, tokens FROM t2
+        UNION ALL SELECT 'facts', seq, line, tokens FROM f WHERE used <= 60 - (SELECT tokens FROM t2)""",
+)
+def context_compose(spark, d):
+    facts = ledger.slice_facts(derived(spark, d, "claims"), PIN)
+    return context.compose_context(facts, digests.ladder(facts), 60)
+
+
+@query(
+    "observations_to_claims",
+    """SELECT 'obs-' || CAST(o_orderkey AS VARCHAR) AS id, 'cust-' || CAST(o_custkey AS VARCHAR) AS subject, 'price' AS key, CAST(CAST(round(o_totalprice, 0) AS BIGINT) AS VARCHAR) AS value,
+        CASE WHEN o_orderkey % 2 = 0 THEN 'fact' ELSE 'correction' END AS claim_type, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS valid_from FROM orders WHERE o_orderkey % 6 <> 0""",
+)
+def observations_to_claims(spark, d):
+    cust = F.concat(F.lit("cust-"), F.col("o_custkey"))
+    batch = table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("observation_id"),
+        F.when(F.col("o_orderkey") % 6 == 0, F.array(cust, F.lit("other"))).otherwise(F.array(cust)).alias("entity_candidates"),
+        F.lit("price").alias("property"),
+        F.round("o_totalprice", 0).cast("long").alias("value"),
+        F.when(F.col("o_orderkey") % 2 == 0, "snapshot").otherwise("update").alias("change_kind"),
+        F.to_date("o_orderdate").alias("valid_from"),
+    )
+    return evidence.observations_to_claims(batch)
+
+
+_ANSWERS = """SELECT doc_id AS answer_id, CONCAT('He said "', SUBSTRING(text, 5, 30), '" and "', SUBSTRING(text, 1, 4), '" in [', source, '/', CAST(doc_id % 50 AS STRING),
+    '] and [see] evidence/ev', CAST(doc_id % 3 AS STRING), '#', CAST(doc_id % 40 AS STRING), ' of ', CAST(doc_id % 20 AS STRING)) AS answer FROM {documents} WHERE text NOT LIKE '%"%'"""
+_SERVED = """SELECT doc_id AS answer_id, CONCAT(source, '/', CAST(doc_id % 60 AS STRING)) AS path,
+    CASE WHEN doc_id % 3 = 0 THEN UPPER(SUBSTRING(text, 6, 400)) ELSE text END AS text FROM {documents}"""
+_CELLS = "SELECT CONCAT('ev', CAST(doc_id % 2 AS STRING)) AS evidence_id, doc_id % 40 AS row, doc_id % 13 AS value FROM {documents} WHERE doc_id < 300"
+
+
+def _verif(spark, d):
+    docs = table(spark, d, "documents")
+    return spark.sql(_ANSWERS, documents=docs), spark.sql(_SERVED, documents=docs), spark.sql(_CELLS, documents=docs)
+
+
+_V = f"WITH a AS ({_ANSWERS.format(documents='documents')}), s AS ({_SERVED.format(documents='documents')}), c AS ({_CELLS.format(documents='documents')})"
+
+
+@query("quote_check")
+def quote_check(spark, d):
+    """Unborne quotes. White space and case are Unicode's, on which the engines differ; tested by hand."""
+    a, s, _ = _verif(spark, d)
+    return verification.check_quotes(a, s)
+
+
+@query(
+    "citation_check",
+    f"""{_V}, x AS (SELECT answer_id, unnest(list_distinct(regexp_extract_all(answer, '\\[([^\\[\\]\\s]*/[^\\[\\]\\s]*)\\]', 1))) AS path FROM a)
+        SELECT answer_id, path FROM x WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.answer_id = x.answer_id AND s.path = x.path)""",
+)
+def citation_check(spark, d):
+    a, s, _ = _verif(spark, d)
+    return verification.check_citations(a, s)
+
+
+@query(
+    "cell_check",
+    f"""{_V}, x AS (SELECT answer_id, regexp_replace(answer, 'evidence/([A-Za-z0-9_-]+)#([0-9]+)', '', 'g') AS bare, regexp_extract(answer, 'evidence/([A-Za-z0-9_-]+)#([0-9]+)', 1) AS evidence_id,
+            CAST(regexp_extract(answer, 'evidence/([A-Za-z0-9_-]+)#([0-9]+)', 2) AS BIGINT) AS row FROM a),
+        k AS (SELECT evidence_id, row, list(DISTINCT CAST(value AS VARCHAR)) AS vals FROM c GROUP BY 1, 2)
+        SELECT answer_id, x.evidence_id, x.row, CASE WHEN vals IS NULL THEN 'unknown' WHEN len(list_filter(vals, lambda v: contains(bare, v))) = 0 THEN 'value_differs' ELSE 'ok' END AS state
+        FROM x LEFT JOIN k ON k.evidence_id = x.evidence_id AND k.row = x.row""",
+)
+def cell_check(spark, d):
+    a, _, c = _verif(spark, d)
+    return verification.check_cells(a, c)
+
+
+@query(
+    "frozen_grade",
+    """WITH a AS (SELECT doc_id AS case_id, lower(text) AS t, [source, lang] AS cited FROM documents)
+        SELECT case_id, list_contains(cited, 'src1') AS cite_all, list_contains(cited, 'en') OR list_contains(cited, 'de') AS cite_any, contains(t, 'the') AS contains_all,
+               NOT list_contains(cited, 'src9') AS must_not_cite, true AS insufficient,
+               list_contains(cited, 'src1') AND (list_contains(cited, 'en') OR list_contains(cited, 'de')) AND contains(t, 'the') AND NOT list_contains(cited, 'src9') AS passed FROM a""",
+)
+def frozen_grade(spark, d):
+    a = table(spark, d, "documents").select(F.col("doc_id").alias("case_id"), F.col("text").alias("answer"), F.array("source", "lang").alias("cited"))
+    e = a.select(
+        "case_id", F.array(F.lit("src1")).alias("cite_all"), F.array(F.lit("en"), F.lit("de")).alias("cite_any"), F.array(F.lit("The")).alias("contains_all"),
+        F.array(F.lit("src9")).alias("must_not_cite"), F.lit(False).alias("insufficient"),
+    )
+    return verification.grade(a, e)
+
+
+@query(
+    "provider_usage",
+    """SELECT event_id AS id, CAST(json_extract(props, '$.k') AS BIGINT) AS input_tokens, CASE WHEN event_id % 2 = 0 THEN event_id END AS output_tokens, CAST(NULL AS BIGINT) AS cached_tokens FROM events""",
+)
+def provider_usage(spark, d):
+    body = F.when(
+        F.col("event_id") % 2 == 0,
+        F.concat(F.lit('{"usage": {"prompt_tokens": '), F.get_json_object("props", "$.k"), F.lit(', "completion_tokens": '), F.col("event_id"), F.lit("}}")),
+    ).otherwise(F.concat(F.lit('{"usage": {"input_tokens": '), F.get_json_object("props", "$.k"), F.lit(', "output_tokens": "unknown"}}')))
+    return verification.provider_usage(table(spark, d, "events").select(F.col("event_id").alias("id"), body.alias("response")))
+
+
+@query(
+    "intents",
+    """SELECT conv_id, turn, CASE WHEN text LIKE '%lookup%' THEN 'lookup' WHEN role = 'user' THEN 'comparison' WHEN role = 'system' THEN 'timeline' END AS intent FROM conversations""",
+)
+def intents(spark, d):
+    label = F.when(F.col("role") == "user", "A Comparison, other").when(F.col("role") == "system", "timeline").otherwise("none of these")
+    return table(spark, d, "conversations").select("conv_id", "turn", verification.intent(label).alias("intent"))
+
+
+def _scratch(spark) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corvane-stream-")
+    return f"{base.rstrip('/')}/streams/{uuid.uuid4().hex}"
+
+
+def _stream(spark, d, frame, parts: int = 3):
+    """A log of a few files, read as a stream."""
+    at = _scratch(spark)
+    frame.repartition(parts, "created_at").write.parquet(f"{at}/log")
+    return streams.read_log(spark, f"{at}/log", spark.read.parquet(f"{at}/log").schema, parts), at
+
+
+@query(
+    "stream_tumbling",
+    f"""{ctes("interactions")} SELECT CAST(time_bucket(INTERVAL '6 hours', created_at, TIMESTAMP '1970-01-01') AS VARCHAR) AS bucket, count(*) AS requests,
+        count(*) FILTER (status >= 500) AS server_errors FROM interactions GROUP BY 1""",
+)
+def stream_tumbling(spark, d):
+    log = derived(spark, d, "interactions").withColumn("created_at", F.col("created_at").cast("timestamp"))
+    stream, at = _stream(spark, d, log)
+    out = streams.run_available(streams.tumbling(stream, late="60 days"), f"{at}/out", f"{at}/state", "complete")
+    return out.select(F.col("bucket").cast("string").alias("bucket"), "requests", "server_errors")
+
+
+@query(
+    "stream_idempotent",
+    f"""{ctes("interactions")} SELECT idempotency_key, count(DISTINCT body_hash) AS bodies FROM (SELECT uid || '-' || CAST(id % 5 AS VARCHAR) AS idempotency_key, md5(method) AS body_hash FROM interactions) GROUP BY 1""",
+)
+def stream_idempotent(spark, d):
+    log = derived(spark, d, "interactions").select(
+        F.concat("uid", F.lit("-"), (F.col("id") % 5).cast("string")).alias("idempotency_key"), F.md5("method").alias("body_hash"), F.col("created_at").cast("timestamp").alias("created_at")
+    )
+    stream, at = _stream(spark, d, log)
+    out = streams.run_available(streams.idempotent(stream, "60 days"), f"{at}/out", f"{at}/state")
+    return out.groupBy("idempotency_key").agg(F.count(F.lit(1)).alias("bodies"))
+
+
+@query(
+    "stream_gated_append",
+    f"""{ctes("interactions")} SELECT uid, count(*) AS n FROM interactions WHERE status < 400 GROUP BY uid""",
+)
+def stream_gated_append(spark, d):
+    log = derived(spark, d, "interactions").withColumn("created_at", F.col("created_at").cast("timestamp"))
+    stream, at = _stream(spark, d, log)
+    streams.gated_append(stream, lambda b: b.where("status < 400"), f"{at}/out", f"{at}/state").awaitTermination()
+    return spark.read.parquet(f"{at}/out").groupBy("uid").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "idempotency_conflicts",
+    f"""{ctes("interactions")} SELECT uid AS idempotency_key, count(DISTINCT method) AS bodies FROM interactions GROUP BY 1 HAVING count(DISTINCT method) > 1""",
+)
+def idempotency_conflicts(spark, d):
+    return streams.conflicts(derived(spark, d, "interactions").select(F.col("uid").alias("idempotency_key"), F.md5("method").alias("body_hash")))
+
+
+@query("stream_reservations")
+def stream_reservations(spark, d):
+    """Balances after each event of a keyed, stateful stream; compared with a plain loop in the tests."""
+    log = derived(spark, d, "interactions").select(
+        F.col("uid").alias("budget"), F.concat(F.lit("r"), (F.col("id") % 7).cast("string")).alias("id"),
+        F.when(F.col("method") == "purchase", "settle").when(F.col("method") == "error", "release").otherwise("reserve").alias("event"),
+        F.col("latency_ms").alias("units"), F.col("created_at").cast("timestamp").alias("created_at"),
+    )
+    stream, at = _stream(spark, d, log, 1)
+    return streams.run_available(streams.reservations(stream, 10**12), f"{at}/out", f"{at}/state")
