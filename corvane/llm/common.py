@@ -30,7 +30,7 @@ def words_of(text: str | None) -> list[bytes]:
 class WordHash(dict):
     """64-bit hash per word, remembered. Cleared beyond ``limit`` words to bound memory."""
 
-    def __init__(self, limit: int = 1_000_000):
+    def __init__(self, limit: int = 250_000):
         super().__init__()
         self.limit = limit
 
