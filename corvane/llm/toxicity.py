@@ -119,14 +119,15 @@ def train(
     bits: int = 20,
     epochs: int = 8,
     alpha: float = 2.0,
-    l1_per_row: float = 0.001,
+    l1_per_root: float = 0.3,
     positive_weight: float = 4.0,
     min_rows: int = 5,
     seed: int = 11,
 ) -> Weights:
     """Fits on a bounded sample of ``labels`` (``doc_id``, ``label`` 0 or 1).
 
-    A slot enters the model once ``min_rows`` sampled texts have it. Toxic texts are rare and count
+    A slot enters the model once ``min_rows`` sampled texts have it. The L1 penalty grows with the
+    root of the sample, as the sum of gradients of a slot without meaning does. Toxic texts are rare and count
     ``positive_weight`` times. Rows with a null label or id are left out; no rows at all give the
     model that scores every text 0.5.
     """
@@ -139,7 +140,7 @@ def train(
         seen[x] += 1
     slots = [x[seen[x] >= min_rows] for x in slots]
     del collected
-    model = FtrlProximal(bits, alpha=alpha, l1=l1_per_row * len(slots))
+    model = FtrlProximal(bits, alpha=alpha, l1=l1_per_root * math.sqrt(len(slots)))
     order = np.random.default_rng(seed)
     for _ in range(epochs if slots else 0):
         for i in order.permutation(len(slots)):
