@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import Sketch, drop_ids, materialise, words_of
+from corvane.llm.common import Sketch, drop_ids, materialise, small_batches, words_of
 
 SAMPLE = 16
 
@@ -328,7 +328,7 @@ def scan(docs: DataFrame, items: list[tuple[str, list[bytes]]], width: int, shar
         if pending:
             yield give(len(pending))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, HIT_SCHEMA)
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, HIT_SCHEMA)
 
 
 _WORD = re.compile("[0-9A-Za-z\u0080-\U0010ffff]+")
@@ -370,7 +370,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10)
     sketch = Sketch(dirty.select(F.xxhash64("__id")))
     maybe = sketch.flag(docs.withColumn("__h", F.xxhash64(F.col("doc_id").cast("long"))), "__h", "__may").where("__may")
     docs = maybe.select(*[F.col(f"`{c}`") for c in docs.columns])
-    hit = docs.select("doc_id", "text").join(dirty, docs["doc_id"] == F.col("__id"))
+    hit = small_batches(docs).select("doc_id", "text").join(dirty, docs["doc_id"] == F.col("__id"))
     rest = hit.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "hit_starts", "hit_ends").mapInArrow(
         rewrite, "__id long, __text string"
     )

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.llm.common import small_batches
+
 # Elements by what they do to a page.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small "
@@ -374,4 +376,4 @@ def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("
             )
 
     schema = ", ".join([*(f"`{k}` {kinds[k].simpleString()}" for k in keep), "text string", "n_chars long"])
-    return pages.select(*keep, F.col(html_col).alias("__html")).mapInArrow(run, schema)
+    return small_batches(pages).select(*keep, F.col(html_col).alias("__html")).mapInArrow(run, schema)

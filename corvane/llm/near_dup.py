@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import Sketch, WordHash, drop_ids, materialise, mix64, words_of
+from corvane.llm.common import Sketch, WordHash, drop_ids, materialise, mix64, small_batches, words_of
 
 NGRAM = 5
 THRESHOLD = 0.8
@@ -159,7 +159,7 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int)
                 ["doc_id", "cls", "bands"],
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
         run, "doc_id long, cls binary, bands array<long>"
     )
 
@@ -180,7 +180,7 @@ def _whole(docs: DataFrame, k: int) -> DataFrame:
                 [batch.column(0), pa.array(sigs, pa.binary()), pa.array(sets, pa.binary())], ["rep", "sig", "sh"]
             )
 
-    return docs.mapInArrow(run, "rep long, sig binary, sh binary")
+    return small_batches(docs).mapInArrow(run, "rep long, sig binary, sh binary")
 
 
 class NearDuplicates:

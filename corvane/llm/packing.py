@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import materialise
+from corvane.llm.common import materialise, small_batches
 
 END_ID = 2
 LENGTH = 1024
@@ -172,7 +172,7 @@ def _local(docs: DataFrame, tokenizer: str, length: int, end_id: int, slack: int
         if waiting:
             yield packed()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         run, f"bin long, part int, size int, sealed boolean, pieces array<{_PIECE_SQL}>"
     )
 

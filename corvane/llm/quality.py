@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import materialise
+from corvane.llm.common import materialise, small_batches
 
 #: Byte classes: 1 lower case or part of a non-ASCII character, 2 upper case, 3 digit,
 #: 4 white space, 5 common punctuation, 6 other symbols.
@@ -107,7 +107,7 @@ def _featurised(rows: DataFrame) -> DataFrame:
                 [b.column("doc_id"), b.column("label"), pa.array(xs, pa.list_(pa.float64()))], ["doc_id", "label", "x"]
             )
 
-    return rows.select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, x array<double>")
+    return small_batches(rows).select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, x array<double>")
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, seed: int = 3) -> Ranking:
@@ -134,7 +134,7 @@ def raw_scores(docs: DataFrame, ranking: Ranking) -> DataFrame:
             raw = ranking.raw(np.array(xs)) if xs else np.zeros(0)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.float64())], ["doc_id", "raw"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, raw double")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, raw double")
 
 
 def score(docs: DataFrame, ranking: Ranking, cut: float = 0.7) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import WordHash, mix64, words_of
+from corvane.llm.common import WordHash, mix64, small_batches, words_of
 
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
 _SKIP = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -109,7 +109,7 @@ def labelled_features(docs: DataFrame, labels: DataFrame, sample_rows: int, bits
                 [b.column("doc_id"), b.column("label"), pa.array(slots, pa.binary())], ["doc_id", "label", "slots"]
             )
 
-    return rows.mapInArrow(featurise, "doc_id long, label int, slots binary")
+    return small_batches(rows).mapInArrow(featurise, "doc_id long, label int, slots binary")
 
 
 def train(
@@ -172,7 +172,7 @@ def score(docs: DataFrame, weights: Weights) -> DataFrame:
             scores = pa.array([rate(t) for t in b.column(1).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([b.column(0), scores], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
 
 
 def toxic_labels(labels: DataFrame) -> DataFrame:
@@ -192,4 +192,4 @@ def drop_toxic(docs: DataFrame, weights: Weights, threshold: float = 0.7) -> Dat
         for b in batches:
             yield b.filter(pa.array([rate(t) < threshold for t in b.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

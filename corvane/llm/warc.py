@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.llm.common import small_batches
+
 CRLF = b"\r\n"
 VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -169,7 +171,7 @@ def write_archives(
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
     (
-        joined.mapInArrow(run, "record binary")
+        small_batches(joined).mapInArrow(run, "record binary")
         .select(F.col("record").cast("string").alias("value"))
         .write.option("lineSep", "\r\n\r\n")
         .option("compression", "gzip")
@@ -281,7 +283,7 @@ def payloads(records: DataFrame) -> DataFrame:
                 columns = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    return records.select("record_id", "type", "target_uri", "payload_digest", "refers_to", "block").mapInArrow(
+    return small_batches(records).select("record_id", "type", "target_uri", "payload_digest", "refers_to", "block").mapInArrow(
         run,
         "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary",
     )
