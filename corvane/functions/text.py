@@ -7,12 +7,14 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Words too common to tell texts apart.
+# The usual English stop list.
 STOP_WORDS = (
-    "a about after all also an and any are as at be because been but by can could did do does for from had has have he her "
-    "his how i if in into is it its just me more most my no not of on one only or other our out over she so some such than "
-    "that the their them then there these they this those to too under up very was we were what when where which while who "
-    "why will with would you your"
+    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its "
+    "itself they them their theirs themselves what which who whom this that these those am is are was were be been being have "
+    "has had having do does did doing a an the and but if or because as until while of at by for with about against between "
+    "into through during before after above below to from up down in out on off over under again further then once here there "
+    "when where why how all any both each few more most other some such no nor not only own same so than too very s t can will "
+    "just don should now"
 ).split()
 
 # Phrases by which a text gives away that it talks about itself.

@@ -1,0 +1,175 @@
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from corvane.functions.vectors import blend, local_embed, nearest
+from corvane.operators import access, context, corpus, evidence, fusion, governance, money, reports, retrieval, verification
+from corvane.operators.access import Binding, Principal
+from corvane.operators.evidence import EvidenceColumn, Layer, Manifest, View
+from corvane.operators.retrieval import Demotion
+
+
+def test_rrf_golden(spark):
+    lex = spark.createDataFrame([("a", 9.0), ("b", 8.0)], "chunk_id string, score double")
+    vec = spark.createDataFrame([("b", 0.1), ("c", 0.2)], "chunk_id string, score double")
+    out = retrieval.final_top(retrieval.rrf(retrieval.top_leg(lex, 50), retrieval.top_leg(vec, 50, False)), 0).collect()
+    assert [(r.chunk_id, r.lexical_rank, r.vector_rank) for r in out][0] == ("b", 2, 1)
+    assert math.isclose(out[0].score, 1 / 62 + 1 / 61)
+
+
+def test_nan_scores_come_last(spark):
+    lex = spark.createDataFrame([("a", float("nan")), ("b", 1.0), ("c", 1.0)], "chunk_id string, score double")
+    assert [r.chunk_id for r in retrieval.top_leg(lex, 3).orderBy("rank").collect()] == ["b", "c", "a"]
+
+
+def test_bm25_against_a_loop(spark):
+    texts = {"d1": "red fox jumps", "d2": "red red car", "d3": "blue sky over the red sea and sea", "d4": ""}
+    chunks = spark.createDataFrame([("x", k, t) for k, t in texts.items()], "collection string, chunk_id string, text string")
+    got = {r.chunk_id: r.score for r in retrieval.bm25(chunks, ["red", "sea"]).collect()}
+    lens = {k: len(t.split()) for k, t in texts.items()}
+    avg = sum(lens.values()) / 4
+    want = {}
+    for k, t in texts.items():
+        s = 0.0
+        for q in ("red", "sea"):
+            df = sum(q in x.split() for x in texts.values())
+            tf = t.split().count(q)
+            s += math.log(1 + (4 - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * lens[k] / avg))
+        if s:
+            want[k] = s
+    assert got.keys() == want.keys()
+    assert all(math.isclose(got[k], want[k]) for k in want)
+    assert [r.chunk_id for r in retrieval.bm25(chunks, ["red", "sea"], 2).collect()] == ["d3"]
+    half = {r.chunk_id: r.score for r in retrieval.bm25(chunks, ["red"], rules=[Demotion("red fox", 0.5, match="phrase")]).collect()}
+    full = {r.chunk_id: r.score for r in retrieval.bm25(chunks, ["red"]).collect()}
+    assert math.isclose(half["d1"], full["d1"] / 2) and half["d2"] == full["d2"]
+
+
+def test_expansion_matches_whole_words():
+    assert retrieval.expand_query("A Fool's day", [(["fool"], ["idiot", "day"]), (["day out"], ["trip"])]) == ["idiot"]
+    assert retrieval.query_terms("The Red and the red fox") == ["red", "fox"]
+
+
+def test_vectors(spark):
+    assert not local_embed("").any()
+    assert math.isclose(np.linalg.norm(local_embed("one two three")), 1, rel_tol=1e-6)
+    a, b = local_embed("one"), local_embed("two")
+    assert blend(a, b, 0) is a and blend(a, b, 1) is b
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [2.0, 0.0]), (4, [-1.0, 0.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    out = nearest(v, [(0, [1.0, 0.0])], 4).orderBy("rank").collect()
+    assert [(r.id, round(r.distance, 6)) for r in out] == [(1, 0.0), (3, 0.0), (2, 1.0), (4, 2.0)]
+    with pytest.raises(ValueError):
+        nearest(v, [(0, [float("nan"), 0.0])], 1)
+
+
+def test_chunks(spark):
+    assert corpus.chunk_text("aa\n\n bb \n\n\n\ncc", 6) == ["aa\n\nbb", "cc"]
+    assert corpus.chunk_text("éé", 3) == ["é", "é"]
+    assert corpus.chunk_text("😀", 2) == ["😀"]
+    assert corpus.chunk_text(" \n\n ", 5) == []
+    long = "wörter und " * 500
+    assert all(len(c.encode()) <= 100 for c in corpus.chunk_text(long, 100))
+    df = spark.createDataFrame([("c", "s", "x" * 25), ("c", "e", None)], "collection string, source_id string, text string")
+    assert [(r.chunk_id, r.text) for r in corpus.build_chunks(df, 10).orderBy("ordinal").collect()] == [("s#0", "x" * 10), ("s#1", "x" * 10), ("s#2", "x" * 5)]
+
+
+def test_pack_skips_what_does_not_fit(spark):
+    p = spark.createDataFrame([(1, 1, "a", 60), (1, 2, "b", 50), (1, 3, "c", 40)], "request int, rank int, chunk_id string, cost long")
+    assert [(r.used, r.taken) for r in fusion.budget_pack(p, 100).collect()] == [(100, "a,c")]
+
+
+def test_access_and_bindings(spark):
+    df = spark.createDataFrame([("s1", "a/x", "m", "h", 1, ["eu"]), ("s2", "a%/y", "n", "g", 3, [])], "source_id string, path string, media_type string, content_hash string, level int, comp array<string>")
+    see = lambda p: [r.source_id for r in df.where(access.permits(p, F.col("level"), F.col("comp"))).collect()]
+    assert see(Principal(2)) == []
+    assert see(Principal(2, ["eu", "us"])) == ["s1"]
+    assert see(Principal(9, all_compartments=True)) == ["s1", "s2"]
+    b = [Binding("c1", prefix="a%"), Binding("c2"), Binding("c3", prefix="zzz", content_hash="h"), Binding("c4", prefix="a", media_type="n")]
+    assert sorted((r.source_id, r.collection) for r in access.matched_collections(df, b).collect()) == [("s1", "c3"), ("s2", "c1"), ("s2", "c4")]
+
+
+def test_governance_withdrawal_never_resurrects(spark):
+    p = spark.createDataFrame(
+        [("p1", "d", "2020-01-01", None, 1, "published"), ("p2", "d", "2021-01-01", None, 2, "withdrawn"), ("p3", "e", "2020-01-01", None, 3, "published"), ("p4", "e", "2020-01-01", None, 3, "published")],
+        "id string, document_id string, effective_from string, effective_until string, published_at long, state string",
+    ).withColumn("effective_from", F.to_date("effective_from")).withColumn("effective_until", F.to_date("effective_until"))
+    r = spark.createDataFrame([], "from_document string, to_document string, kind string, effective_from date, effective_until date")
+    verdicts = lambda day: {x.document_id: x.verdict for x in governance.governing_publications(p, r, day).collect()}
+    assert verdicts("2020-06-01") == {"d": "governs", "e": "ambiguous"}
+    assert verdicts("2021-01-01")["d"] == "withdrawn"
+
+
+def test_money_rounds_each_part_up(spark):
+    a = spark.createDataFrame([(1, "p", "m", 1500, 1), (2, "p", "m", 10, None)], "id long, provider string, model string, input_tokens long, output_tokens long").withColumn("submitted_at", F.to_date(F.lit("2020-01-05")))
+    p = spark.createDataFrame([(7, "p", "m", 3, 5, 1000, "USD")], "id long, provider string, model string, input_micro long, output_micro long, per_units long, currency string")
+    p = p.withColumn("valid_from", F.to_date(F.lit("2020-01-05"))).withColumn("valid_until", F.to_date(F.lit("2020-01-06")))
+    out = {r.id: (r.micros, r.incomplete) for r in money.calculate(money.applicable_prices(a, p)).collect()}
+    assert out == {1: (5 + 1, False), 2: (1, True)}
+
+
+def test_report_windows():
+    assert reports.parse_window("24h") == (86_400, 900)
+    with pytest.raises(ValueError):
+        reports.parse_window("2h")
+
+
+def test_evidence(spark, tmp_path):
+    cols = [EvidenceColumn("k", "int64", False, key=True), EvidenceColumn("v", "decimal", scale=2), EvidenceColumn("s", "string")]
+    rows = [(1, "-0.004", ""), (2, None, None), (3, "1.5", "x")]
+    df = spark.createDataFrame(rows, "k long, v string, s string").withColumn("v", F.col("v").cast("decimal(38,3)"))
+    text = [r.t for r in df.orderBy("k").select(evidence.canonical_row(cols).alias("t")).collect()]
+    assert text == ["1\x1f0.00\x1f", "2\x1f\x00\x1f\x00", "3\x1f1.50\x1fx"]
+    h = evidence.logical_hash(df, cols).first()
+    assert h.logical_hash == evidence.logical_hash(df.orderBy(F.desc("k")), cols).first().logical_hash
+    assert Manifest("m", [*cols, EvidenceColumn("k", "money")]).problems() == ["column ids repeat", "k: unknown type money"]
+    sealed = evidence.seal(df, Manifest("m", cols), str(tmp_path / "t"))
+    assert sealed.row_count == 3
+    with pytest.raises(ValueError):
+        evidence.seal(df.where("k > 1"), Manifest("m", cols, logical_hash=h.logical_hash), str(tmp_path / "u"))
+    page = evidence.rows_page(df, Manifest("m", cols), Principal(0), ["k"], 1, 1).collect()
+    assert [(r.k, r.total, r.has_more) for r in page] == [(2, 3, True)]
+    assert evidence.rows_page(df, Manifest("m", cols, level=1), Principal(0), ["k"], 0).count() == 0
+
+
+def test_plans_and_selection(spark):
+    some = spark.range(3)
+    got = evidence.execute_plan([Layer("a", lambda: some.where("id > 9")), Layer("b", lambda: some), Layer("c", lambda: some, fallback=True)])
+    assert got["a"] == "empty" and got["c"] == "skipped"
+    with pytest.raises(ValueError):
+        evidence.execute_plan([Layer("a", lambda: None, required=True)])
+    view = View({"n": F.count(F.lit(1))}, ["id"])
+    with pytest.raises(ValueError):
+        evidence.select_from(some, view, ["n"], ["secret"])
+    with pytest.raises(ValueError):
+        evidence.select_from(some, view, [])
+
+
+def test_verification(spark):
+    a = spark.createDataFrame([(1, 'It says "The  quick brown Fox" and "a made up sentence" [d/1] [d/2] evidence/t#1 gives 7')], "answer_id int, answer string")
+    s = spark.createDataFrame([(1, "d/1", "so the quick\nbrown fox ran")], "answer_id int, path string, text string")
+    assert [r.quote for r in verification.check_quotes(a, s).collect()] == ["a made up sentence"]
+    assert [r.path for r in verification.check_citations(a, s).collect()] == ["d/2"]
+    cells = spark.createDataFrame([("t", 1, "7")], "evidence_id string, row long, value string")
+    assert [r.state for r in verification.check_cells(a, cells).collect()] == ["ok"]
+    assert [r.state for r in verification.check_cells(a, cells.withColumn("value", F.lit("9"))).collect()] == ["value_differs"]
+    x = spark.range(1).select(verification.model_expansion(F.lit('["Tide", "x", "tide", "sea-wall", "a1b"]')).alias("x"), verification.redacted(F.lit('{"token": "abc", "q": 1}')).alias("r")).first()
+    assert x.x == ["tide", "sea-wall"] and x.r == '{"token": "[redacted]", "q": 1}'
+
+
+def test_context_keeps_the_newest_facts_that_fit(spark):
+    f = spark.createDataFrame([(i, "s", "k", "v" * 9) for i in range(1, 6)], "seq long, subject string, key string, value string")
+    ladder = spark.createDataFrame([(0, "x" * 4000), (1, "y" * 400), (2, "z" * 8)], "tier int, text string")
+    out = context.compose_context(f, ladder, 12).collect()  # 13 bytes, 4 tokens a fact
+    assert sorted((r.section, r.ordinal) for r in out) == [("digest-2", 0), ("facts", 4), ("facts", 5)]
+
+
+def test_corpus_versions_and_identity(spark):
+    p = spark.createDataFrame([("c", "v1")], "collection string, version_id string")
+    assert [r.version_id for r in corpus.activate(p, "c", "v2", expected="v1").collect()] == ["v2"]
+    with pytest.raises(ValueError):
+        corpus.activate(p, "c", "v2", expected="v0")
+    numbers = corpus.number_lexemes(spark.createDataFrame([("ab12345 12345 1234 abcde12345",)], "text string"))
+    assert sorted((r.digits, r.lexeme) for r in numbers.collect()) == [("12345", "12345"), ("12345", "ab12345")]
