@@ -5,7 +5,9 @@ preferred is the logistic function of the difference of their scores, and a scor
 weighted sum of features. So the weights come from logistic loss on feature differences.
 Features describe the whole text: shares of character classes, repetition of words and
 lines, word shapes. The accepted documents are those above a quantile of the scores of
-the whole table; the share of poor documents among the labelled rows sets the quantile.
+the whole table; the share of poor documents among the labelled rows sets the quantile. Where
+that would cut above the score that parts the labelled rows best, it is lowered to that, so
+that a table with fewer poor documents than the labels had loses no good ones.
 """
 
 from __future__ import annotations
@@ -68,6 +70,7 @@ class Ranking:
     scale: np.ndarray
     weights: np.ndarray
     poor_share: float
+    most_cut: float = float("inf")
 
     def raw(self, x: np.ndarray) -> np.ndarray:
         return expand((x - self.mean) / self.scale) @ self.weights
@@ -96,7 +99,17 @@ def fit(x: np.ndarray, good: np.ndarray, pairs: int = 40_000, steps: int = 400,
         g = -(d * (1 - p)[:, None]).mean(axis=0) + l2 * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return Ranking(mean, scale, w, float(1 - good.mean()))
+    return Ranking(mean, scale, w, float(1 - good.mean()), _best_cut(z @ w, good))
+
+
+def _best_cut(raw: np.ndarray, good: np.ndarray) -> float:
+    """The score that parts good from poor best, each kind counting the same; midway if there is a gap."""
+    order = np.argsort(raw, kind="stable")
+    s, g = raw[order], good[order]
+    right = np.cumsum(~g) / (~g).sum() + 1 - np.cumsum(g) / g.sum()  # poor below plus good above
+    top = np.flatnonzero(right >= right.max() - 1e-12)
+    k = int(top[len(top) // 2])
+    return float((s[k] + s[min(k + 1, len(s) - 1)]) / 2)
 
 
 def _featurised(rows: DataFrame) -> DataFrame:
@@ -147,9 +160,9 @@ def score(docs: DataFrame, ranking: Ranking, cut: float = 0.7) -> DataFrame:
     low, spread = raw.agg(
         F.percentile_approx("raw", float(ranking.poor_share), 100_000), F.stddev_pop("raw")
     ).first()
-    spread = max(spread or 0.0, 1e-9)
+    low, spread = min(low or 0.0, ranking.most_cut), max(spread or 0.0, 1e-9)
     at = float(np.log(cut / (1 - cut)))
-    x = (F.col("raw") - F.lit(float(low or 0.0))) * F.lit(4.0 / spread) + F.lit(at)
+    x = (F.col("raw") - F.lit(float(low))) * F.lit(4.0 / spread) + F.lit(at)
     return raw.select("doc_id", (1 / (1 + F.exp(-F.greatest(F.lit(-35.0), F.least(F.lit(35.0), x))))).alias("score"))
 
 
