@@ -404,7 +404,7 @@ def contamination(
     docs: DataFrame,
     benchmark: DataFrame,
     width: int = 10,
-    shard_words: int = 1 << 19,
+    shard_words: int = 1 << 18,
     block_words: int = 2_000_000,
 ) -> DataFrame:
     """Per row of ``docs``: ``doc_id, n_words, hit_starts, hit_ends, items``.
