@@ -39,7 +39,7 @@ DERIVED = {
         SELECT CONCAT('v', CAST(1 + o_orderkey % 4 AS STRING)) AS version_id,
                CONCAT('cust-', CAST(o_custkey AS STRING), '.priority') AS detail_key,
                o_orderpriority AS locked_value, o_orderkey AS seq, o_orderkey % 3 <> 0 AS locked
-        FROM orders WHERE o_orderkey % 5 = 0""",
+        FROM orders""",
     "promises": """
         SELECT CONCAT('p', CAST(o_orderkey AS STRING)) AS id, CONCAT('cust-', CAST(o_custkey AS STRING)) AS subject,
                o_orderkey AS seq, LEAD(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS fulfilled_seq,
@@ -57,7 +57,7 @@ DERIVED = {
                'priority' AS key, CONCAT(' ', UPPER(o_orderpriority), CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE ' new' END) AS value,
                CASE WHEN o_orderkey % 9 = 0 THEN CONCAT('c', CAST(o_orderkey AS STRING)) END AS supersedes_id,
                CONCAT('Order ', o_orderpriority, CASE WHEN o_orderkey % 4 = 0 THEN ' as an AI language model' ELSE '' END) AS text
-        FROM orders WHERE o_orderkey % 50 IN (0, 1, 2)""",
+        FROM orders""",
     "interactions": """
         SELECT event_id AS id, CONCAT('u', CAST(user_id AS STRING)) AS uid,
                CASE WHEN user_id % 3 = 0 THEN NULL ELSE CONCAT('s', CAST(user_id % 40 AS STRING)) END AS session_id,
@@ -86,20 +86,20 @@ DERIVED = {
                CAST(o_orderdate AS DATE) AS effective_from,
                CASE WHEN o_orderkey % 4 = 0 THEN CAST(o_orderdate AS DATE) + INTERVAL '400' DAY END AS effective_until,
                o_orderkey AS published_at, CASE WHEN o_orderstatus = 'P' THEN 'withdrawn' ELSE 'published' END AS state
-        FROM orders WHERE o_orderkey % 2 = 0""",
+        FROM orders""",
     "relations": """
         SELECT CONCAT('doc', CAST(o_custkey AS STRING)) AS from_document, CONCAT('doc', CAST(o_custkey + 1 AS STRING)) AS to_document,
                CASE o_orderkey % 5 WHEN 0 THEN 'supersedes' WHEN 1 THEN 'requires' WHEN 2 THEN 'conflicts' WHEN 3 THEN 'amends' ELSE 'exception-to' END AS kind,
                CAST(o_orderdate AS DATE) AS effective_from,
                CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderdate AS DATE) + INTERVAL '300' DAY END AS effective_until
-        FROM orders WHERE o_orderkey % 23 = 0""",
+        FROM orders""",
     "prices": """
         SELECT p_partkey AS id, CONCAT('prov', CAST(p_size % 3 AS STRING)) AS provider, CONCAT('m', CAST(p_partkey % 7 AS STRING)) AS model,
                CAST(DATE '1995-01-01' + INTERVAL '1' DAY * (p_size * 45) AS DATE) AS valid_from,
                CAST(DATE '1995-01-01' + INTERVAL '1' DAY * (p_size * 45 + 90) AS DATE) AS valid_until,
                CAST(ROUND(p_retailprice * 100) AS BIGINT) AS input_micro, CAST(ROUND(p_retailprice * 300) AS BIGINT) AS output_micro,
                CAST(1000 AS BIGINT) AS per_units, CASE WHEN p_partkey % 2 = 0 THEN 'USD' ELSE 'EUR' END AS currency
-        FROM part WHERE p_partkey % 10 = 0""",
+        FROM part""",
     "attempts": """
         SELECT l_orderkey AS id, CONCAT('prov', CAST(l_orderkey % 3 AS STRING)) AS provider, CONCAT('m', CAST(l_orderkey % 7 AS STRING)) AS model,
                CAST(MIN(l_shipdate) AS DATE) AS submitted_at, CAST(SUM(l_quantity) AS BIGINT) AS input_tokens,
@@ -140,11 +140,11 @@ DERIVED = {
     "lex": """
         SELECT lang AS pool, CONCAT('d', CAST(doc_id AS STRING)) AS chunk_id, CAST(n_chars AS DOUBLE) AS score, doc_id % 2 = 0 AS is_probe,
                CONCAT('dom', CAST(doc_id % 3 AS STRING)) AS domain
-        FROM documents WHERE doc_id % 4 <> 3""",
+        FROM documents WHERE text LIKE '%the%'""",
     "vec": """
         SELECT lang AS pool, CONCAT('d', CAST(doc_id AS STRING)) AS chunk_id, CAST((n_chars * 7919) % 1009 AS DOUBLE) / 1009 AS score, doc_id % 2 = 0 AS is_probe,
                CONCAT('dom', CAST(doc_id % 3 AS STRING)) AS domain
-        FROM documents WHERE doc_id % 3 <> 2""",
+        FROM documents""",
     "when_facts": """
         SELECT CONCAT('cust-', CAST(o_custkey AS STRING)) AS subject,
                CASE o_orderkey % 4 WHEN 0 THEN 'start_date' WHEN 1 THEN 'end_date' WHEN 2 THEN 'filed_on' ELSE 'review_due' END AS key,
@@ -162,10 +162,10 @@ DERIVED = {
     "manifest": """
         SELECT CONCAT(source, '/', CAST(doc_id AS STRING)) AS path,
                CASE WHEN doc_id % 6 = 0 THEN MD5(CONCAT(text, 'x')) ELSE MD5(text) END AS content_hash, doc_id % 5 = 0 AS binds
-        FROM documents WHERE doc_id % 3 <> 1""",
+        FROM documents WHERE lang <> 'es'""",
     "stored": """
         SELECT CONCAT(source, '/', CAST(doc_id AS STRING)) AS path, MD5(text) AS content_hash, doc_id % 2 = 0 AS bound
-        FROM documents WHERE doc_id % 4 <> 1""",
+        FROM documents WHERE source <> 'src1'""",
 }
 
 

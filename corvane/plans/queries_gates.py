@@ -93,11 +93,12 @@ def gate_counter(spark, d):
 
 @query("gate_similarity")
 def gate_similarity(spark, d):
-    """Documents that nearly repeat an earlier one of the same source and size. No SQL says this ratio."""
-    docs = table(spark, d, "documents").select("doc_id", "text", "source", (F.col("n_chars") / 40).cast("int").alias("size")).where("n_chars < 2000")
-    a = docs.select(F.concat(F.lit("d"), F.col("doc_id")).alias("cid"), "text", "doc_id", "source", "size")
-    b = docs.select(F.col("doc_id").alias("other"), F.col("text").alias("previous"), "source", "size")
-    return gates.similarity_gate(a.join(b, ["source", "size"]).where("other < doc_id")).select("cid", F.md5("previous").alias("previous_md5"), "ratio")
+    """Turns that nearly repeat an earlier one of their conversation. No SQL says this ratio."""
+    turns = table(spark, d, "conversations")
+    a = turns.select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("cid"), "conv_id", "turn", "text")
+    b = turns.select("conv_id", F.col("turn").alias("other"), F.col("text").alias("previous"))
+    pairs = a.join(b, "conv_id").where("other < turn")
+    return gates.similarity_gate(pairs, 0.5).select("cid", F.md5("previous").alias("previous_md5"), "ratio")
 
 
 @query(
@@ -110,14 +111,14 @@ def findings_prefix(spark, d):
 
 @query(
     "findings_dedup",
-    f"""{ctes("findings")}, inc AS (SELECT * FROM findings WHERE seq % 3 = 0 AND severity <> 'block'),
-        old AS (SELECT rule_id, scope_path, message FROM findings WHERE seq % 3 = 1 AND seq < 3000)
+    f"""{ctes("findings")}, inc AS (SELECT * FROM findings WHERE severity = 'warn'),
+        old AS (SELECT rule_id, scope_path, message FROM findings WHERE severity = 'info')
         SELECT rule_id, scope_path, message, min(seq) AS seq FROM inc i
         WHERE NOT EXISTS (SELECT 1 FROM old o WHERE o.rule_id = i.rule_id AND o.scope_path = i.scope_path AND o.message = i.message) GROUP BY 1, 2, 3""",
 )
 def findings_dedup(spark, d):
     f = derived(spark, d, "findings")
-    new = gates.dedup_findings(f.where("seq % 3 = 0"), f.where("seq % 3 = 1 AND seq < 3000"), ["rule_id", "scope_path", "message"])
+    new = gates.dedup_findings(f.where("severity <> 'info'"), f.where("severity = 'info'"), ["rule_id", "scope_path", "message"])
     return new.select("rule_id", "scope_path", "message", "seq")
 
 

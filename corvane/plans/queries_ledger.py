@@ -205,7 +205,7 @@ def digest_ladder(spark, d):
 
 @query(
     "snapshot_counts",
-    f"""{_FACTS}, a AS (SELECT * FROM ({"SELECT CONCAT('v', CAST(1 + o_orderkey % 4 AS VARCHAR)) AS version_id, CONCAT('cust-', CAST(o_custkey AS VARCHAR), '.priority') AS detail_key, o_orderkey AS seq FROM orders WHERE o_orderkey % 5 = 0 AND o_orderkey % 3 <> 0"}) WHERE seq <= {PIN} AND version_id IN ('v1', 'v2', 'v3', 'v4'))
+    f"""{_FACTS}, a AS (SELECT * FROM ({"SELECT CONCAT('v', CAST(1 + o_orderkey % 4 AS VARCHAR)) AS version_id, CONCAT('cust-', CAST(o_custkey AS VARCHAR), '.priority') AS detail_key, o_orderkey AS seq FROM orders WHERE o_orderkey % 3 <> 0"}) WHERE seq <= {PIN} AND version_id IN ('v1', 'v2', 'v3', 'v4'))
         SELECT 'facts' AS part, count(*) AS n FROM facts UNION ALL SELECT 'anchors', count(DISTINCT detail_key) FROM a
         UNION ALL SELECT 'promises', count(*) FROM orders WHERE o_orderkey <= {PIN}
         UNION ALL SELECT 'counters', count(DISTINCT o_orderpriority) FROM orders WHERE o_orderkey <= {PIN}""",

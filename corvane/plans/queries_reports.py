@@ -279,8 +279,8 @@ def permitted_collections(spark, d):
     return access.permitted_collections(c, Principal(0)).drop("compartments")
 
 
-_PREFIXES = """SELECT 'c' || CAST(p_partkey AS STRING) AS collection, SUBSTRING(CONCAT(p_brand, '/', p_type), 1, 4 + CAST(p_partkey % 12 AS INT)) AS prefix,
-    CAST(p_size % 4 AS INT) AS level FROM {part} WHERE p_partkey % 7 = 0"""
+_PREFIXES = """SELECT prefix AS collection, prefix, CAST(MAX(p_size) % 4 AS INT) AS level
+    FROM (SELECT p_size, SUBSTRING(CONCAT(p_brand, '/', p_type), 1, 6 + CAST(p_partkey % 12 AS INT)) AS prefix FROM {part}) x GROUP BY prefix"""
 
 
 @query(
@@ -324,10 +324,10 @@ def governing_publications(spark, d):
 
 @query(
     "amendment_review",
-    f"""{ctes("relations")} SELECT DISTINCT 'doc' || CAST(o_custkey AS VARCHAR) AS document_id FROM orders WHERE o_orderkey % 3 = 0
+    f"""{ctes("relations")} SELECT DISTINCT 'doc' || CAST(o_custkey AS VARCHAR) AS document_id FROM orders WHERE o_orderstatus = 'F'
         AND 'doc' || CAST(o_custkey AS VARCHAR) IN (SELECT to_document FROM relations WHERE kind IN ('amends', 'applies-to', 'exception-to')
             AND effective_from <= DATE '{_DAY}' AND (effective_until IS NULL OR effective_until > DATE '{_DAY}'))""",
 )
 def amendment_review(spark, d):
-    picked = table(spark, d, "orders").where("o_orderkey % 3 = 0").select(F.concat(F.lit("doc"), F.col("o_custkey")).alias("document_id")).distinct()
+    picked = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.concat(F.lit("doc"), F.col("o_custkey")).alias("document_id")).distinct()
     return governance.amendment_review(picked, derived(spark, d, "relations"), _DAY)

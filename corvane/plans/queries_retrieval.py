@@ -52,11 +52,11 @@ def bm25_two_terms(spark, d):
 
 
 _VEC = """SELECT q.vec_id AS query_id, e.vec_id AS id, list_cosine_distance(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS dist
-    FROM embeddings q, embeddings e WHERE q.vec_id < 5"""
+    FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0"""
 
 
 def _query_vectors(spark, d):
-    return [(r.vec_id, r.embedding) for r in table(spark, d, "embeddings").where("vec_id < 5").select("vec_id", "embedding").collect()]
+    return [(r.vec_id, r.embedding) for r in table(spark, d, "embeddings").where("vec_id % 100 = 0").select("vec_id", "embedding").collect()]
 
 
 @query(
@@ -81,7 +81,7 @@ def cosine_pairs(spark, d):
 
 _LEGS = f"""WITH {_bm25_sql(["the", "and", "idiot"], 1)},
     lex AS (SELECT chunk_id, row_number() OVER (ORDER BY score DESC, chunk_id) AS lexical_rank FROM (SELECT * FROM scored ORDER BY score DESC, chunk_id LIMIT 50)),
-    v AS (SELECT 'd' || CAST(id AS VARCHAR) AS chunk_id, id, dist FROM ({_VEC}) WHERE query_id = 3),
+    v AS (SELECT 'd' || CAST(id AS VARCHAR) AS chunk_id, id, dist FROM ({_VEC}) WHERE query_id = 0),
     vec AS (SELECT chunk_id, row_number() OVER (ORDER BY dist, chunk_id) AS vector_rank FROM (SELECT * FROM v ORDER BY dist, id LIMIT 50)),
     fused AS (SELECT chunk_id, lexical_rank, vector_rank, coalesce(1.0 / (60 + lexical_rank), 0) + coalesce(1.0 / (60 + vector_rank), 0) AS score
               FROM lex FULL OUTER JOIN vec USING (chunk_id))"""
@@ -92,7 +92,7 @@ def _vectors(spark, d):
 
 
 def _query_vector(spark, d):
-    return next(v for i, v in _query_vectors(spark, d) if i == 3)
+    return next(v for i, v in _query_vectors(spark, d) if i == 0)
 
 
 @query("rrf_fusion", f"{_LEGS} SELECT chunk_id, lexical_rank, vector_rank, round(score, 9) AS score FROM fused")
@@ -178,7 +178,7 @@ def collection_selection(spark, d):
 
 @query(
     "routing_rank",
-    f"""WITH h AS (SELECT lang AS pool, doc_id, CAST(n_chars AS DOUBLE) AS score, {_tok()} AS w FROM documents WHERE n_chars < 3000),
+    f"""WITH h AS (SELECT lang AS pool, doc_id, CAST(n_chars AS DOUBLE) AS score, {_tok()} AS w FROM documents),
         e AS (SELECT pool, row_number() OVER (PARTITION BY pool ORDER BY score DESC, 'd' || CAST(doc_id AS VARCHAR)) AS place, score,
                      list_contains(w, 'the') AS t1, list_contains(w, 'de') AS t2, list_contains(w, 'idiot') AS t3,
                      contains(' ' || array_to_string(w, ' ') || ' ', ' of the ') AS phrase FROM h),
@@ -189,7 +189,7 @@ def collection_selection(spark, d):
                row_number() OVER (ORDER BY (coverage + multi) / 2 * (1 + 3 * phrase) DESC, margin DESC, hits DESC, pool) AS rank FROM s""",
 )
 def routing_rank(spark, d):
-    hits = table(spark, d, "documents").where("n_chars < 3000").select(
+    hits = table(spark, d, "documents").select(
         F.col("lang").alias("pool"), F.concat(F.lit("d"), F.col("doc_id")).alias("chunk_id"), "text", F.col("n_chars").cast("double").alias("score")
     )
     ranked = fusion.routing_rank(fusion.routing_score(fusion.routing_evidence(hits, ["the", "de", "idiot"], ["of the"])))
@@ -212,15 +212,15 @@ def leg_comparison(spark, d):
 
 @query(
     "shadow_identity",
-    """WITH a AS (SELECT 'd' || CAST(doc_id AS VARCHAR) AS chunk_id, md5(text) AS h FROM documents WHERE doc_id % 10 <> 0),
-        b AS (SELECT 'd' || CAST(doc_id AS VARCHAR) AS chunk_id, CASE WHEN doc_id % 17 = 0 THEN md5(text || '!') ELSE md5(text) END AS h FROM documents WHERE doc_id % 9 <> 0)
+    """WITH a AS (SELECT 'd' || CAST(doc_id AS VARCHAR) AS chunk_id, md5(text) AS h FROM documents WHERE lang <> 'es'),
+        b AS (SELECT 'd' || CAST(doc_id AS VARCHAR) AS chunk_id, CASE WHEN source = 'src3' THEN md5(text || '!') ELSE md5(text) END AS h FROM documents WHERE lang <> 'fr')
         SELECT chunk_id, CASE WHEN a.h IS NULL THEN 'only_right' WHEN b.h IS NULL THEN 'only_left' ELSE 'differs' END AS state
         FROM a FULL OUTER JOIN b USING (chunk_id) WHERE a.h IS DISTINCT FROM b.h""",
 )
 def shadow_identity(spark, d):
     docs = table(spark, d, "documents").withColumn("chunk_id", F.concat(F.lit("d"), F.col("doc_id")))
-    a = docs.where("doc_id % 10 <> 0").select("chunk_id", F.md5("text").alias("hash"))
-    b = docs.where("doc_id % 9 <> 0").select("chunk_id", F.md5(F.when(F.col("doc_id") % 17 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).alias("hash"))
+    a = docs.where("lang <> 'es'").select("chunk_id", F.md5("text").alias("hash"))
+    b = docs.where("lang <> 'fr'").select("chunk_id", F.md5(F.when(F.col("source") == "src3", F.concat("text", F.lit("!"))).otherwise(F.col("text"))).alias("hash"))
     return fusion.shadow_identity(a, b)
 
 
@@ -286,10 +286,10 @@ def number_lexemes(spark, d):
     return corpus.number_lexemes(table(spark, d, "documents"))
 
 
-@query("number_forms", f"SELECT lexeme FROM ({_NUM}) WHERE starts_with(digits, '4') ORDER BY lexeme LIMIT 8")
+@query("number_forms", f"SELECT digits, string_agg(lexeme, ' ' ORDER BY lexeme) AS forms FROM ({_NUM}) GROUP BY digits")
 def number_forms(spark, d):
     n = corpus.number_lexemes(table(spark, d, "documents"))
-    return n.where(F.col("digits").startswith("4")).select("lexeme").distinct().orderBy("lexeme").limit(8)
+    return n.groupBy("digits").agg(F.array_join(F.array_sort(F.collect_set("lexeme")), " ").alias("forms"))
 
 
 @query(
