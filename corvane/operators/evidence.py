@@ -74,7 +74,7 @@ def canonical_text(c: Column, kind: str, scale: int | None = None) -> Column:
     if kind == "bool":
         t = F.when(c, "true").otherwise("false")
     elif kind == "decimal":
-        t = F.regexp_replace(F.format_string(f"%.{scale or 0}f", c.cast(T.DecimalType(38, scale or 0))), r"^-(0(?:\.0*)?)$", "$1")
+        t = c.cast(T.DecimalType(38, scale or 0)).cast("string")
     elif kind == "date":
         t = F.date_format(c, "yyyy-MM-dd")
     elif kind == "timestamp_tz":

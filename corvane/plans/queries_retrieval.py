@@ -137,7 +137,7 @@ _FUSED = """{ctes}, r AS (
     UNION ALL
     SELECT pool, chunk_id, (CASE WHEN is_probe THEN 0.25 ELSE 1.0 END) * 2.0 / (60 + row_number() OVER (PARTITION BY is_probe ORDER BY score, chunk_id)) FROM vec),
     ev AS (SELECT pool, row_number() OVER (ORDER BY pool) AS rk FROM (SELECT DISTINCT pool FROM lex))
-    SELECT pool, chunk_id, round(sum(part) + 0.5 / (60 + any_value(rk)), 9) AS score FROM r JOIN ev USING (pool) GROUP BY 1, 2"""
+    SELECT pool, chunk_id, round(sum(part) + coalesce(0.5 / (60 + any_value(rk)), 0), 9) AS score FROM r LEFT JOIN ev USING (pool) GROUP BY 1, 2"""
 
 
 @query("fuse_pools_weighted", _FUSED.replace("{ctes}", ctes("lex", "vec")))
