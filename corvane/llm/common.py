@@ -79,6 +79,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes what :func:`materialise` left. DataFrames that read it are of no use afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/corvane")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/corvane/{name}-{uuid.uuid4().hex}"
 
@@ -143,7 +149,9 @@ def drop_ids(docs: DataFrame, lost: DataFrame, id_col: str = "doc_id") -> DataFr
     through untouched.
     """
     gone = materialise(lost.select(F.col(lost.columns[0]).alias("__lost")).where("__lost IS NOT NULL").distinct(), "lost")
-    sketch = Sketch(gone.select(F.xxhash64("__lost")))
+    # a byte for each lost id, up to 8 MB
+    bits = min(1 << 26, max(1 << 22, 1 << (8 * gone.count()).bit_length()))
+    sketch = Sketch(gone.select(F.xxhash64("__lost")), bits)
     flagged = sketch.flag(docs.withColumn("__h", F.xxhash64(F.col(id_col).cast("long"))), "__h", "__may").drop("__h")
     names = [F.col(f"`{c}`") for c in docs.columns]
     doubtful = flagged.where("__may").select(*names)

@@ -405,7 +405,7 @@ def contamination(
     benchmark: DataFrame,
     width: int = 10,
     shard_words: int = 1 << 18,
-    block_words: int = 2_000_000,
+    block_words: int = 500_000,
 ) -> DataFrame:
     """Per row of ``docs``: ``doc_id, n_words, hit_starts, hit_ends, items``.
 

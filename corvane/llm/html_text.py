@@ -52,6 +52,7 @@ BAD_ROLES = frozenset("navigation banner contentinfo complementary search dialog
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)|([a-zA-Z][-\w:]*)", re.S)
 _SPLIT = re.compile(r"[^a-z0-9]+")
+_ABOUT = re.compile(r"(?i)(?:has|with|no|without|hide|show)[-_]")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
 
@@ -87,7 +88,9 @@ def _element(tag: str, attrs: str, parent: Element | None) -> Element:
             k = (k or bare).lower()
             v = v.strip("\"'")
             if k in ("class", "id"):
-                names.update(_SPLIT.split(_CAMEL.sub("-", v).lower()))
+                for name in v.split():
+                    if not _ABOUT.match(name):  # says what else is on the page, not what this is
+                        names.update(_SPLIT.split(_CAMEL.sub("-", name).lower()))
             elif k == "role":
                 e.banned |= v.lower() in BAD_ROLES
                 e.main |= v.lower() in ("main", "article")

@@ -135,11 +135,12 @@ def train(
     collected.sort(key=lambda r: (r.doc_id, r.label))
     target = np.array([r.label for r in collected], dtype=np.float64)
     slots = [np.frombuffer(r.slots, dtype="<i4") for r in collected]
+    del collected
     seen = np.zeros(1 << bits, dtype=np.int32)
     for x in slots:
         seen[x] += 1
-    slots = [x[seen[x] >= min_rows] for x in slots]
-    del collected
+    for i, x in enumerate(slots):  # one by one, so that the sample is never held twice
+        slots[i] = x[seen[x] >= min_rows]
     model = FtrlProximal(bits, alpha=alpha, l1=l1_per_root * math.sqrt(len(slots)))
     order = np.random.default_rng(seed)
     for _ in range(epochs if slots else 0):

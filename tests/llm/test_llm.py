@@ -190,6 +190,8 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a = "</p>";</sc
 
 def test_main_text():
     assert html_text.main_text(PAGE).split("\n") == ["Title & more", "One two three four five.", "Short.", "Some boldtext next", "item a", "item b"]
+    wrapped = '<body><div class="layout has-sidebar"><article><p>One of the words here.</p><p>Two.</p></article><div id="sidebar">Links and more links</div></div>'
+    assert html_text.main_text(wrapped) == "One of the words here.\nTwo."
     assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<p> </p>") == ""
     assert html_text.main_text("plain words") == "plain words"
     assert html_text.main_text("<p>" * 3000 + "deep") == "deep"
