@@ -91,4 +91,4 @@ def nearest(
         run, "query_id long, id long, distance double"
     )
     by = Window.partitionBy("query_id").orderBy("distance", "id")
-    return near.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+    return near.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))

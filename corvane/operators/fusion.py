@@ -12,7 +12,7 @@ def leg_ranks(candidates: DataFrame, *partition: str, descending: bool = True) -
     """Place of each candidate in its leg, best first; what isn't a number comes last."""
     bad = F.col("score").isNull() | F.isnan("score")
     best = F.col("score").desc() if descending else F.col("score")
-    return candidates.withColumn("rank", F.row_number().over(Window.partitionBy(*partition).orderBy(bad, best, "chunk_id")))
+    return candidates.withColumn("rank", F.row_number().over(Window.partitionBy(*partition).orderBy(bad, best, "chunk_id")).cast("long"))
 
 
 def fuse_pools(
@@ -105,7 +105,7 @@ def routing_score(evidence: DataFrame, boost: float = 3.0) -> DataFrame:
 def routing_rank(scored: DataFrame) -> DataFrame:
     """Pools by score, margin, hits and name. A row per collection."""
     by = Window.orderBy(F.col("routing").desc(), F.col("margin").desc(), F.col("hits").desc(), "pool")
-    return scored.withColumn("rank", F.row_number().over(by))
+    return scored.withColumn("rank", F.row_number().over(by).cast("long"))
 
 
 def leg_comparison(a: DataFrame, b: DataFrame) -> DataFrame:

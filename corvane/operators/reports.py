@@ -104,8 +104,8 @@ def evidence_report(metrics: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("turns"),
         F.count_if("refused").alias("refusals"),
         F.count_if("complete").alias("complete"),
-        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY latency_ms)").alias("p50"),
-        F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY latency_ms)").alias("p95"),
+        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY latency_ms)").cast("long").alias("p50"),
+        F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY latency_ms)").cast("long").alias("p95"),
     )
     codes = (
         metrics.where("refused")
@@ -177,8 +177,8 @@ def latency_report(interactions: DataFrame, limit_ms: int) -> DataFrame:
     """Nearest-rank percentiles, good answers within the limit, and how requests ended."""
     good = (F.col("status") < 400) & (F.col("latency_ms") <= limit_ms)
     return interactions.groupBy("method").agg(
-        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY latency_ms)").alias("p50"),
-        F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY latency_ms)").alias("p95"),
+        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY latency_ms)").cast("long").alias("p50"),
+        F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY latency_ms)").cast("long").alias("p95"),
         F.round(F.count_if(good) / F.count(F.lit(1)), 6).alias("goodput"),
         *(F.count_if(F.col("status") == s).alias(f"status_{s}") for s in (200, 404, 500)),
     )

@@ -108,7 +108,7 @@ def top_leg(scored: DataFrame, n: int, descending: bool = True) -> DataFrame:
     best = F.col("score").desc() if descending else F.col("score")
     top = scored.orderBy(bad, best, "chunk_id").limit(n)
     # over n rows only
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(bad, best, "chunk_id")))
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(bad, best, "chunk_id")).cast("long"))
 
 
 def rrf(lexical: DataFrame, vector: DataFrame, k: int = 60, lexical_weight: float = 1.0, vector_weight: float = 1.0) -> DataFrame:

@@ -106,7 +106,7 @@ DERIVED = {
                CASE WHEN l_orderkey % 6 = 0 THEN NULL ELSE CAST(SUM(l_linenumber) * 10 AS BIGINT) END AS output_tokens
         FROM lineitem GROUP BY l_orderkey""",
     "observations": """
-        SELECT l_orderkey AS attempt_id, ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_extendedprice) AS revision,
+        SELECT l_orderkey AS attempt_id, CAST(ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_extendedprice) AS BIGINT) AS revision,
                CASE WHEN l_returnflag = 'R' THEN 'partial' WHEN l_returnflag = 'A' THEN 'unknown' ELSE 'complete' END AS coverage,
                CAST(ROUND(l_extendedprice * 1000) AS BIGINT) AS micros, CASE WHEN l_orderkey % 2 = 0 THEN 'USD' ELSE 'EUR' END AS currency
         FROM lineitem""",
@@ -132,7 +132,7 @@ DERIVED = {
         FROM events""",
     "chain_events": """
         SELECT CONCAT('src', CAST(user_id AS STRING)) AS source, event_id,
-               ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY event_id) + CASE WHEN event_id % 97 = 0 THEN 1 ELSE 0 END AS sequence,
+               CAST(ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY event_id) + CASE WHEN event_id % 97 = 0 THEN 1 ELSE 0 END AS BIGINT) AS sequence,
                MD5(CONCAT(CAST(event_id AS STRING), event_type)) AS digest,
                CASE WHEN event_id % 89 = 0 THEN 'broken'
                     ELSE LAG(MD5(CONCAT(CAST(event_id AS STRING), event_type))) OVER (PARTITION BY user_id ORDER BY event_id) END AS prior_digest

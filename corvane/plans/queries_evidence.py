@@ -98,7 +98,7 @@ def count_conflicts(spark, d):
         sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS used FROM conversations) WHERE used <= 900""",
 )
 def context_fit(spark, d):
-    p = table(spark, d, "conversations").select(F.col("conv_id").alias("layer"), F.col("turn").alias("ordinal"), F.length("text").alias("length"))
+    p = table(spark, d, "conversations").select(F.col("conv_id").alias("layer"), F.col("turn").alias("ordinal"), F.length("text").cast("long").alias("length"))
     return evidence.fit_budget(p, 900)
 
 

@@ -202,7 +202,7 @@ def routing_rank(spark, d):
         b AS (SELECT chunk_id, row_number() OVER (ORDER BY score, chunk_id) AS rb FROM (SELECT * FROM vec ORDER BY score, chunk_id LIMIT 100))
         SELECT count(*) FILTER (ra IS NOT NULL AND rb IS NOT NULL) AS overlap,
                round(count(*) FILTER (ra IS NOT NULL AND rb IS NOT NULL) / greatest(count(ra), count(rb), 1), 6) AS fraction,
-               round(avg(abs(ra - rb)), 6) AS mean_move, CAST(max(abs(ra - rb)) AS INT) AS max_move FROM a FULL OUTER JOIN b USING (chunk_id)""",
+               round(avg(abs(ra - rb)), 6) AS mean_move, max(abs(ra - rb)) AS max_move FROM a FULL OUTER JOIN b USING (chunk_id)""",
 )
 def leg_comparison(spark, d):
     return fusion.leg_comparison(
@@ -244,8 +244,8 @@ def passage_dedup(spark, d):
 
 @query(
     "demotion_factors",
-    r"""SELECT doc_id, least(CASE WHEN contains(lower(text), '$$$') AND lang <> 'de' THEN 0.1 ELSE 1.0 END, CASE WHEN contains(' ' || array_to_string(w, ' ') || ' ', ' license ') THEN 0.5 ELSE 1.0 END) AS multiplier,
-        greatest(CASE WHEN contains(lower(text), '$$$') AND lang <> 'de' THEN 0.5 ELSE 0.0 END, CASE WHEN contains(' ' || array_to_string(w, ' ') || ' ', ' license ') THEN 0.2 ELSE 0.0 END) AS penalty
+    r"""SELECT doc_id, CAST(least(CASE WHEN contains(lower(text), '$$$') AND lang <> 'de' THEN 0.1 ELSE 1.0 END, CASE WHEN contains(' ' || array_to_string(w, ' ') || ' ', ' license ') THEN 0.5 ELSE 1.0 END) AS DOUBLE) AS multiplier,
+        CAST(greatest(CASE WHEN contains(lower(text), '$$$') AND lang <> 'de' THEN 0.5 ELSE 0.0 END, CASE WHEN contains(' ' || array_to_string(w, ' ') || ' ', ' license ') THEN 0.2 ELSE 0.0 END) AS DOUBLE) AS penalty
         FROM (SELECT *, """ + _tok() + " AS w FROM documents)",
 )
 def demotion_factors(spark, d):
@@ -420,7 +420,7 @@ def index_sources(spark, d):
 def text_functions(spark, d):
     t, w = F.col("text"), tx.word_tokens(F.col("text"))
     return table(spark, d, "documents").select(
-        "doc_id", F.size(w).alias("n_tokens"), F.size(F.array_distinct(w)).alias("n_distinct"),
+        "doc_id", F.size(w).cast("long").alias("n_tokens"), F.size(F.array_distinct(w)).cast("long").alias("n_distinct"),
         tx.query_fingerprint(t).alias("fingerprint"), tx.count_pattern(t, F.lit("the")).alias("n_the"),
     )
 
