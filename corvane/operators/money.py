@@ -21,13 +21,22 @@ def money_report(observations: DataFrame) -> DataFrame:
     return per.withColumn("micros", F.col("micros").cast("long"))
 
 
-def applicable_prices(attempts: DataFrame, prices: DataFrame) -> DataFrame:
-    """Each attempt with the prices valid when it was submitted; of several the newest, then the largest id."""
-    hit = attempts.join(prices.withColumnRenamed("id", "price_id"), ["provider", "model"]).where(
-        (F.col("submitted_at") >= F.col("valid_from")) & (F.col("submitted_at") < F.col("valid_until"))
-    )
+def applicable_prices(attempts: DataFrame, prices: DataFrame, bin_days: int = 32, most_bins: int = 128) -> DataFrame:
+    """Each attempt with the prices valid when it was submitted; of several the newest, then the largest id.
+
+    Validity is a range, and models are few. So days are binned, and a price takes part in the bins it
+    touches: an attempt only meets prices of its own bin. Prices without an end, or of many bins, are
+    matched by their key alone.
+    """
+    day = lambda c: F.floor(F.datediff(F.col(c), F.lit("1970-01-01").cast("date")) / bin_days)
+    p = prices.withColumnRenamed("id", "price_id").withColumn("first", day("valid_from")).withColumn("last", day("valid_until"))
+    short = F.coalesce(F.col("last") - F.col("first") < most_bins, F.lit(False))
+    binned = p.where(short).withColumn("bin", F.explode(F.sequence("first", "last")))
+    hits = attempts.withColumn("bin", day("submitted_at")).join(binned, ["provider", "model", "bin"]).drop("bin")
+    hits = hits.unionByName(attempts.join(p.where(~short), ["provider", "model"]))
+    hits = hits.where((F.col("submitted_at") >= F.col("valid_from")) & (F.col("valid_until").isNull() | (F.col("submitted_at") < F.col("valid_until"))))
     names = ["price_id", "valid_from", "input_micro", "output_micro", "per_units", "currency", "input_tokens", "output_tokens"]
-    return hit.groupBy("id").agg(F.max_by(F.struct(*names), F.struct("valid_from", "price_id")).alias("x")).select("id", "x.*")
+    return hits.groupBy("id").agg(F.max_by(F.struct(*names), F.struct("valid_from", "price_id")).alias("x")).select("id", "x.*")
 
 
 def calculate(priced: DataFrame) -> DataFrame:

@@ -82,10 +82,14 @@ def bm25(chunks: DataFrame, terms: Sequence[str], minimum_should_match: int = 1,
     One pass counts the terms over all chunks (a row of numbers comes back), one pass scores.
     Neither shuffles anything but those counts.
     """
-    tokens = word_tokens(F.col("text"))
-    tf = [_count("tokens", t) for t in terms]
-    counted = chunks.select("collection", "chunk_id", "text", tokens.alias("tokens")).select(
-        "collection", "chunk_id", "text", F.size("tokens").alias("dl"), *(c.alias(f"tf{i}") for i, c in enumerate(tf))
+    # counted by pattern, so that no array of tokens is built for a text
+    low = F.lower("text")
+    counted = chunks.select(
+        "collection",
+        "chunk_id",
+        *(["text"] if rules else []),
+        F.regexp_count("text", F.lit(rf"{_WORD_CHAR}+")).alias("dl"),
+        *(_count(low, t).alias(f"tf{i}") for i, t in enumerate(terms)),
     )
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms)))).first()
     score, matched = F.lit(0.0), F.lit(0)
@@ -94,12 +98,18 @@ def bm25(chunks: DataFrame, terms: Sequence[str], minimum_should_match: int = 1,
         f = F.col(f"tf{i}")
         score = score + idf * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("dl") / F.lit(float(stats.avgdl or 1.0))))
         matched = matched + (f > 0).cast("int")
-    multiplier, _ = demotion_factors(rules, F.col("text"), F.col("collection"))
+    multiplier = demotion_factors(rules, F.col("text"), F.col("collection"))[0] if rules else F.lit(1.0)
     return counted.where(matched >= minimum_should_match).select("collection", "chunk_id", (score * multiplier).alias("score"))
 
 
-def _count(tokens: str, term: str) -> Column:
-    return F.size(F.filter(tokens, lambda x: x == term))
+_WORD_CHAR = r"[\p{IsAlphabetic}\p{N}]"
+
+
+def _count(low: Column, term: str) -> Column:
+    """Occurrences of a term as a whole word of a lower-cased text. Texts without it are passed over."""
+    literal = rf"\Q{term}\E"
+    pattern = rf"{literal}(?<!{_WORD_CHAR}{literal})(?!{_WORD_CHAR})"
+    return F.when(F.contains(low, F.lit(term)), F.regexp_count(low, F.lit(pattern))).otherwise(0)
 
 
 def top_leg(scored: DataFrame, n: int, descending: bool = True) -> DataFrame:
