@@ -27,8 +27,21 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small "
     "span strike strong sub sup time tt u var wbr".split()
 )
+#: MathML; its text runs in the line.
+MATH = frozenset(
+    "math annotation annotation-xml maction maligngroup malignmark menclose merror mfenced mfrac mglyph mi mlabeledtr "
+    "mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd "
+    "mtext mtr munder munderover none semantics".split()
+)
+SPACED = frozenset("br mspace mtd mtr mlabeledtr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math object noframes noembed xmp select".split())
+RAW = frozenset("script style textarea title noscript iframe template svg object noframes noembed xmp select".split())
+#: HTML leaves an svg at these tags, except inside the elements of the second kind.
+LEAVES_SVG = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p "
+    "pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
+HTML_IN_SVG = frozenset("foreignobject desc title".split())
 #: Never part of an article.
 BANNED = frozenset("nav footer aside form head dialog menu button fieldset".split())
 #: An opening tag of the first kind ends an open element of the second.
@@ -51,6 +64,7 @@ BAD_ROLES = frozenset("navigation banner contentinfo complementary search dialog
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)|([a-zA-Z][-\w:]*)", re.S)
+_UNQUOTED_END = re.compile(r"=\s*[^\s\"'>]*\Z")
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _ABOUT = re.compile(r"(?i)(?:has|with|no|without|hide|show)[-_]")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
@@ -103,6 +117,33 @@ def _element(tag: str, attrs: str, parent: Element | None) -> Element:
     return e
 
 
+def _empty(attrs: str) -> bool:
+    """Whether a tag of foreign content closes itself. A '/' that ends an unquoted value belongs to the value."""
+    return attrs.endswith("/") and not _UNQUOTED_END.search(attrs)
+
+
+def _svg_end(page: str, pos: int) -> int:
+    """Where the svg opened before ``pos`` ends: after its closing tag, or where HTML leaves it without one."""
+    inside = ["svg"]
+    for m in _TAG.finditer(page, pos):
+        if m[2] is None:
+            continue
+        tag = m[2].lower()
+        if m[1] and tag in inside:
+            while inside.pop() != tag:
+                pass
+            if not inside:
+                return m.end()
+        elif m[1] or tag in LEAVES_SVG:
+            if HTML_IN_SVG.isdisjoint(inside):
+                return m.start()
+            if not m[1] and tag not in VOID:
+                inside.append(tag)
+        elif tag not in VOID and not _empty(m[3]):
+            inside.append(tag)
+    return len(page)
+
+
 def blocks_of(page: str) -> list[Block]:
     """Text blocks in page order. Text between two block-level tags is one block."""
     root = top = Element("#", None, 0)
@@ -141,12 +182,17 @@ def blocks_of(page: str) -> list[Block]:
             continue
         tag = m[2].lower()
         if tag in RAW:
-            if not m[1]:
+            if m[1]:
+                continue
+            if tag == "svg":
+                if not _empty(m[3]):
+                    pos = _svg_end(page, pos)
+            else:
                 close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, pos)
                 pos = close.end() if close else end
             continue
-        if tag in INLINE:
-            if tag == "br":
+        if tag in INLINE or tag in MATH:
+            if tag in SPACED:
                 parts.append(" ")
             elif tag == "a":
                 links = 0 if m[1] else 1

@@ -198,6 +198,23 @@ def test_main_text():
     assert html_text.main_text("<!-- never closed <p>x") == ""
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<p>a <svg/> b</p><p>c</p>", "a b\nc"),
+        ('<p>a <svg class="x" /> b</p><p>c <svg><text>no</text></svg> d</p>', "a b\nc d"),
+        ("<p>a <svg><svg/><svg><g>no</g></svg>no<!-- </svg> --></svg> b</p><p>c</p>", "a b\nc"),
+        ("<p>a <svg href=x/>no</svg> b</p><p>c</p>", "a b\nc"),
+        ("<p>a <svg><path d=0></p><p>c</p>", "a\nc"),
+        ("<p>a <svg><foreignObject><div>no<br>no</div></foreignObject>no</svg> b</p>", "a b"),
+        ("<p>a <math/> b</p><p>c</p>", "a b\nc"),
+        ("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p><p>c</p>", "so x=1 holds\nc"),
+    ],
+)
+def test_foreign_content(page, want):
+    assert html_text.main_text(f"<article>{page}</article>").split("\n") == want.split("\n")
+
+
 def test_min_cut_is_minimal():
     rnd = random.Random(1)
     for _ in range(60):
