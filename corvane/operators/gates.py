@@ -77,8 +77,8 @@ def similarity_ratio(a: str, b: str) -> float:
     return difflib.SequenceMatcher(None, a.lower(), b.lower(), autojunk=False).ratio()
 
 
-def similarity_gate(pairs: DataFrame, least: float = 0.9) -> DataFrame:
-    """``pairs``: ``cid, text, previous``. Near repetitions of a previous text.
+def similarity_gate(pairs: DataFrame, least: float = 0.9, keep: Sequence[str] = ("cid",)) -> DataFrame:
+    """``pairs``: ``cid, text, previous``. Near repetitions of a previous text, with the columns to ``keep``.
 
     Pairs whose lengths rule the ratio out are dropped before the comparison. Blank texts are skipped.
     """
@@ -89,9 +89,25 @@ def similarity_gate(pairs: DataFrame, least: float = 0.9) -> DataFrame:
         for b in batches:
             ratio = [similarity_ratio(x, y) for x, y in zip(b["text"], b["previous"], strict=True)]
             out = b.assign(ratio=ratio)
-            yield out[out["ratio"] >= least][["cid", "previous", "ratio"]]
+            yield out[out["ratio"] >= least][[*keep, "previous", "ratio"]]
 
-    return possible.select("cid", "text", "previous").mapInPandas(run, "cid string, previous string, ratio double")
+    schema = ", ".join(f"{c} string" for c in keep)
+    return possible.select(*keep, "text", "previous").mapInPandas(run, f"{schema}, previous string, ratio double")
+
+
+def repetition_gate(candidates: DataFrame, previous: DataFrame, least: float = 0.9) -> DataFrame:
+    """One finding for each previous text that a candidate's text nearly repeats.
+
+    ``previous``: ``cid, previous``, the texts before each candidate; without ``cid`` they stand before all of them.
+    """
+    new = keyed(candidates).select("cid", "claim_key", "text")
+    if "cid" in previous.columns:
+        near = similarity_gate(new.join(previous.select("cid", "previous"), "cid"), least, ("cid", "claim_key"))
+    else:  # each text is compared once, however many candidates have it
+        pairs = new.select("text").distinct().crossJoin(previous.select("previous"))
+        near = new.join(similarity_gate(pairs.withColumn("same", F.col("text")), least, ("same",)), F.col("text") == F.col("same"))
+    share = F.floor(F.col("ratio") * 100).cast("string")
+    return near.select(_finding("text.similarity", "warn", F.concat(F.lit("text is "), share, F.lit("% similar to a previous one")), F.col("previous")))
 
 
 def counter_gate(candidates: DataFrame, patterns: Sequence[tuple[str, int]]) -> DataFrame:
@@ -103,15 +119,19 @@ def counter_gate(candidates: DataFrame, patterns: Sequence[tuple[str, int]]) ->
     return used.where("found > budget")
 
 
-def run_gates(candidates: DataFrame, facts: DataFrame, anchors: DataFrame, extended: bool = True) -> DataFrame:
-    """All gates. A ledger finding goes where an anchor finding says the same of the same claim.
+def run_gates(
+    candidates: DataFrame, facts: DataFrame, anchors: DataFrame, extended: bool = True, previous: DataFrame | None = None
+) -> DataFrame:
+    """All five gates. A ledger finding goes where an anchor finding says the same of the same claim.
 
-    Outside extended mode blocks are warnings.
+    ``previous`` are the texts before the candidates, as in ``repetition_gate``; without any, none can be repeated. Outside extended mode blocks are warnings.
     """
     anchor = anchor_gate(candidates, anchors)
     told = anchor.select("cid", "claim_key").distinct()
     ledger = ledger_gate(candidates, facts).join(told, ["cid", "claim_key"], "left_anti").select(anchor.columns)
     out = anchor.unionByName(ledger).unionByName(orphan_gate(candidates, facts)).unionByName(meta_gate(candidates))
+    if previous is not None:
+        out = out.unionByName(repetition_gate(candidates, previous))
     return out if extended else downgrade(out)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import META_MARKERS
@@ -39,6 +40,11 @@ def _inputs(spark, d):
     )
 
 
+def _passages(spark, d):
+    """The benchmark's passages as the texts before every candidate."""
+    return table(spark, d, "benchmark").select(F.col("text").alias("previous"))
+
+
 @query("gate_anchor", f"{_ALL} SELECT * FROM g_anchor")
 def gate_anchor(spark, d):
     c, _, a = _inputs(spark, d)
@@ -64,12 +70,21 @@ def gate_meta(spark, d):
 
 @query("gates_dedup_union", f"{_ALL} SELECT * FROM found")
 def gates_dedup_union(spark, d):
-    return gates.run_gates(*_inputs(spark, d))
+    return gates.run_gates(*_inputs(spark, d), previous=_passages(spark, d))
 
 
 @query("gates_downgraded", f"{_ALL} SELECT rule_id, CASE severity WHEN 'block' THEN 'warn' ELSE severity END AS severity, count(*) AS n FROM found GROUP BY 1, 2")
 def gates_downgraded(spark, d):
-    return gates.run_gates(*_inputs(spark, d), extended=False).groupBy("rule_id", "severity").agg(F.count(F.lit(1)).alias("n"))
+    return gates.run_gates(*_inputs(spark, d), extended=False, previous=_passages(spark, d)).groupBy("rule_id", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("gates_previous_text")
+def gates_previous_text(spark, d):
+    """All gates where the text before a candidate is that of its subject's last one. No SQL says the ratio."""
+    c, f, a = _inputs(spark, d)
+    by = Window.partitionBy("subject").orderBy(F.substring("cid", 2, 20).cast("long"))
+    before = c.select("cid", F.lag("text").over(by).alias("previous")).where("previous IS NOT NULL")
+    return gates.run_gates(c, f, a, previous=before)
 
 
 @query(
@@ -78,7 +93,7 @@ def gates_downgraded(spark, d):
 )
 def blocked_status(spark, d):
     c, f, a = _inputs(spark, d)
-    return gates.disputed(c, gates.run_gates(c, f, a)).select("cid", "status")
+    return gates.disputed(c, gates.run_gates(c, f, a, previous=_passages(spark, d))).select("cid", "status")
 
 
 @query(

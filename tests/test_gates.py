@@ -54,6 +54,18 @@ def test_similarity(spark):
     assert [(r.cid, r.ratio) for r in gates.similarity_gate(p).collect()] == [("1", 1.0)]
 
 
+def test_run_gates_warns_of_near_repetition(spark, facts):
+    anchors = spark.createDataFrame([("hero.eyes", "green ish")], "detail_key string, locked_value string")
+    c = candidates(spark, ("1", "fact", "hero", "age", "3", None, "Once upon a time."), ("2", "fact", "hero", "age", "3", None, "Else"), ("3", "fact", "x", "y", "z", None, None))
+    own = spark.createDataFrame([("1", "once upon a time"), ("1", "another beginning"), ("2", "once upon a time."), ("3", "x"), ("2", None)], "cid string, previous string")
+    found = gates.run_gates(c, facts, anchors, previous=own).collect()
+    assert [(r.cid, r.rule_id, r.severity, r.claim_key, r.detail) for r in found] == [("1", "text.similarity", "warn", "hero.age", "once upon a time")]
+    assert found[0].message == "text is 96% similar to a previous one"
+    assert sorted((r.cid, r.detail) for r in gates.run_gates(c, facts, anchors, previous=own.select("previous")).collect()) == [("1", "once upon a time"), ("1", "once upon a time.")]
+    assert {r.status for r in gates.disputed(c, gates.run_gates(c, facts, anchors, previous=own)).collect()} == {"accepted"}
+    assert gates.run_gates(c, facts, anchors).count() == 0
+
+
 def test_shape_and_dedup(spark):
     c = candidates(spark, ("1", "fact", "s", "k", "12", None, ""), ("2", "odd", "s", "k", "x", None, ""))
     shape = {"properties": {"value": {"type": "integer"}, "claim_type": {"enum": ["fact"]}}, "required": ["text"]}
