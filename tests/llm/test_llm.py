@@ -314,6 +314,13 @@ def test_added_spans_and_masking(spark):
     assert masked[2] == "nothing to see"
 
 
+def test_long_secrets_are_masked_to_their_end(spark):
+    token, key = "eyJhbGciOiJIUzI1NiJ9." + "aB3-_x" * 60 + "." + "q9" * 40, "sk-" + "a1B2" * 40
+    t = f'api token: {token} and key {key}, password="{"p4Ss" * 100}" end'
+    docs = docs_of(spark, [(1, t)])
+    assert pii.mask(docs).first().text == 'api [secret] and key [secret], [secret]" end'
+
+
 def test_em_learns_who_is_right():
     # the first voter agrees with the majority, the last speaks at random
     def code(votes):
