@@ -87,15 +87,17 @@ def permitted_collections(collections: DataFrame, principal: Principal) -> DataF
     return collections.where(F.col("active") & permits(principal, F.col("level"), F.col("compartments")))
 
 
-def shadowed_prefixes(prefixes: DataFrame, depth: int = 64) -> DataFrame:
+def shadowed_prefixes(prefixes: DataFrame) -> DataFrame:
     """``outer, inner``: a collection whose prefix begins another's and that is less restricted.
 
-    A prefix is matched by its own leading parts, so this is an equi-join and not a comparison of all pairs.
+    A prefix is matched by its own leading parts, of the lengths that prefixes have, so this is an
+    equi-join and not a comparison of all pairs.
     """
+    lengths = prefixes.select(F.char_length("prefix").alias("n")).distinct()
     lead = prefixes.select(
-        F.col("collection").alias("inner"), F.col("prefix").alias("inner_prefix"), F.col("level").alias("inner_level"),
-        F.explode(F.sequence(F.lit(1), F.least(F.char_length("prefix"), F.lit(depth)))).alias("n"),
-    ).withColumn("prefix", F.substring(F.col("inner_prefix"), F.lit(1), F.col("n")))
+        F.col("collection").alias("inner"), F.col("prefix").alias("inner_prefix"), F.col("level").alias("inner_level")
+    ).join(F.broadcast(lengths), F.col("n") <= F.char_length("inner_prefix"))
+    lead = lead.withColumn("prefix", F.substring(F.col("inner_prefix"), F.lit(1), F.col("n")))
     outer = prefixes.select(F.col("collection").alias("outer"), "prefix", F.col("level").alias("outer_level"))
     return lead.join(outer, "prefix").where("outer <> inner AND outer_level < inner_level").select("outer", "inner", F.col("prefix").alias("outer_prefix"), "inner_prefix")
 

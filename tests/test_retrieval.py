@@ -159,6 +159,13 @@ def test_verification(spark):
     assert x.x == ["tide", "sea-wall"] and x.r == '{"token": "[redacted]", "q": 1}'
 
 
+def test_long_prefixes_shadow(spark):
+    long = "a/" * 50
+    p = spark.createDataFrame([("o", long, 0), ("i", long + "x", 1), ("s", "a/", 0), ("e", "", 0), ("n", None, 0)], "collection string, prefix string, level int")
+    got = sorted((r.outer, r.inner, r.outer_prefix) for r in access.shadowed_prefixes(p).collect())
+    assert got == [("e", "i", ""), ("o", "i", long), ("s", "i", "a/")]
+
+
 def test_context_keeps_the_newest_facts_that_fit(spark):
     f = spark.createDataFrame([(i, "s", "k", "v" * 9) for i in range(1, 6)], "seq long, subject string, key string, value string")
     ladder = spark.createDataFrame([(0, "x" * 4000), (1, "y" * 400), (2, "z" * 8)], "tier int, text string")
