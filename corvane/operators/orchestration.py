@@ -14,7 +14,7 @@ from corvane.functions.vectors import local_embed
 from corvane.operators import fusion, governance, retrieval
 from corvane.operators.access import Principal, permits
 from corvane.operators.corpus import chunk_text
-from corvane.operators.retrieval import RetrievalSpec
+from corvane.operators.retrieval import Demotion, RetrievalSpec
 
 
 def chunk_locations(text: str, max_bytes: int) -> list[tuple[int, int] | None]:
@@ -50,8 +50,8 @@ def locations(sources: DataFrame, max_bytes: int = 1200) -> DataFrame:
     return sources.select("source_id", "text").mapInArrow(run, "chunk_id string, start long, length long")
 
 
-def vector_leg(chunks: DataFrame, query_vector: Sequence[float]) -> DataFrame:
-    """``collection, chunk_id, score``: distance of every chunk that carries its embedding."""
+def vector_leg(chunks: DataFrame, query_vector: Sequence[float], rules: Sequence[Demotion] = ()) -> DataFrame:
+    """``collection, chunk_id, score``: distance of every chunk that carries its embedding, with the penalty of the rules."""
     q = np.asarray(query_vector, dtype=np.float64)
     norm = np.linalg.norm(q)
     unit = q / norm if norm else q
@@ -63,9 +63,13 @@ def vector_leg(chunks: DataFrame, query_vector: Sequence[float]) -> DataFrame:
             x = b.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
             n = np.linalg.norm(x, axis=1)
             score = 1 - np.divide(x @ unit, n, out=np.zeros(len(n)), where=n > 0)
+            score += b.column(3).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score)], ["collection", "chunk_id", "score"])
 
-    return chunks.select("collection", "chunk_id", "embedding").mapInArrow(run, "collection string, chunk_id string, score double")
+    penalty = retrieval.demotion_factors(rules, F.col("text"), F.col("collection"))[1] if rules else F.lit(0.0)
+    return chunks.select("collection", "chunk_id", "embedding", penalty.cast("double").alias("penalty")).mapInArrow(
+        run, "collection string, chunk_id string, score double"
+    )
 
 
 def best_of_each(scored: DataFrame, n: int, descending: bool) -> DataFrame:
@@ -85,9 +89,9 @@ def retrieve_documents(chunks: DataFrame, query: str, spec: RetrievalSpec, colle
     if collections is not None:
         chunks = chunks.where(F.col("collection").isin(list(collections)))
     vector = local_embed(query) if query_vector is None else query_vector
-    terms = retrieval.query_terms(query) + retrieval.expand_query(query, spec.query_expansions)
+    terms = retrieval.search_terms(chunks, query, spec)
     lexical = retrieval.bm25(chunks, terms, spec.minimum_should_match, rules=spec.content_demotions)
-    near = vector_leg(chunks, vector)
+    near = vector_leg(chunks, vector, spec.content_demotions)
     lex = best_of_each(lexical, spec.candidate_pool_per_collection, True).withColumnRenamed("collection", "pool")
     vec = best_of_each(near, spec.candidate_pool_per_collection, False).withColumnRenamed("collection", "pool")
     evidence = fusion.density_evidence(lex.where(F.col("rank") <= spec.probe_candidate_n).drop("rank"), vec.where(F.col("rank") <= spec.probe_candidate_n).drop("rank"))

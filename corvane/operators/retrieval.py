@@ -9,8 +9,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.functions.text import STOP_WORDS, has_phrase, word_tokens
+from corvane.functions.text import STOP_WORDS, has_phrase, number_digits, word_tokens
 from corvane.functions.vectors import nearest
+from corvane.operators.corpus import number_forms, number_lexemes
 
 
 @dataclass
@@ -64,6 +65,23 @@ def expand_query(query: str, expansions: Sequence[tuple[Sequence[str], Sequence[
     return added
 
 
+def common_terms(chunks: DataFrame, terms: Sequence[str], fraction: float) -> list[str]:
+    """Those of ``terms`` that more than ``fraction`` of all texts have, and two texts at least."""
+    low = F.lower("text")
+    seen = chunks.agg(F.count(F.lit(1)).alias("n"), *(F.count_if(_count(low, t) > 0).alias(f"df{i}") for i, t in enumerate(terms))).first()
+    return [t for i, t in enumerate(terms) if seen[f"df{i}"] >= 2 and seen[f"df{i}"] > fraction * seen.n]
+
+
+def search_terms(chunks: DataFrame, query: str, spec: RetrievalSpec) -> list[str]:
+    """What the lexical leg looks for: words that aren't too common, expansions, and numbers as the texts spell them."""
+    terms = query_terms(query)
+    if spec.stop_term_fraction and terms:
+        terms = query_terms(query, common_terms(chunks, terms, spec.stop_term_fraction))
+    digits = chunks.sparkSession.range(1).select(number_digits(F.lit(query))).first()[0]
+    forms = [r.lexeme for r in number_forms(number_lexemes(chunks), digits).collect()] if digits else []
+    return list(dict.fromkeys(terms + expand_query(query, spec.query_expansions) + forms))
+
+
 def demotion_factors(rules: Sequence[Demotion], text: Column, collection: Column) -> tuple[Column, Column]:
     """The least multiplier and the largest penalty of all rules that match."""
     multiplier, penalty = F.lit(1.0), F.lit(0.0)
@@ -139,7 +157,7 @@ def hybrid_search(chunks: DataFrame, vectors: DataFrame, query: str, query_vecto
     ``chunks``: ``collection, chunk_id, text``; ``vectors``: ``chunk_no, chunk_id, embedding``.
     """
     spec = spec or RetrievalSpec()
-    terms = query_terms(query) + expand_query(query, spec.query_expansions)
+    terms = search_terms(chunks, query, spec)
     wide = max(4 * spec.candidate_n, 10) if spec.content_demotions else spec.candidate_n
     lexical = top_leg(bm25(chunks, terms, spec.minimum_should_match, rules=spec.content_demotions), spec.candidate_n)
     near = nearest(vectors, [(0, query_vector)], wide, "chunk_no").select(F.col("id").alias("chunk_no"), "distance")

@@ -79,6 +79,22 @@ def test_retrieval_over_collections_is_its_parts(spark):
     assert got == want and max(got, key=got.get) == "a1"
 
 
+def test_searches_use_more_of_the_spec(spark):
+    from pyspark.sql import functions as F
+
+    from corvane.functions.vectors import embed
+
+    texts = [("a", "a1", "patent us4436097 of a pump"), ("a", "a2", "a pump in the patent"), ("b", "b1", "license pump and valve"), ("b", "b2", "pump")]
+    chunks = spark.createDataFrame(texts, "collection string, chunk_id string, text string").withColumn("embedding", embed(F.col("text")))
+    assert retrieval.search_terms(chunks, "pump 4,436,097", RetrievalSpec()) == ["pump", "4", "436", "097", "us4436097"]
+    assert retrieval.search_terms(chunks, "pump patent valve", RetrievalSpec(stop_term_fraction=0.5)) == ["patent", "valve"]
+    lexical_only = RetrievalSpec(vector_weight=0.0)
+    assert orchestration.retrieve_documents(chunks, "4,436,097", lexical_only).first().chunk_id == "a1"
+    near = lambda rules: {r.chunk_id: r.score for r in orchestration.vector_leg(chunks, [1.0] * 256, rules).collect()}
+    plain, demoted = near([]), near([retrieval.Demotion("license", 1.0, 0.25)])
+    assert {k: round(demoted[k] - plain[k], 9) for k in plain} == {"a1": 0, "a2": 0, "b1": 0.25, "b2": 0}
+
+
 def test_bindings_move_only_from_what_was_expected(spark):
     b = spark.createDataFrame([("x", "a1", "serving")], "name string, artifact string, state string")
     assert [r.artifact for r in orchestration.publish_if(b, "x", "a2", "a1").collect()] == ["a2"]
