@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import claim_key, scope_matches
+from corvane.operators.digests import ladder
 
 
 def pinned(df: DataFrame, as_of_seq: int | None, seq: str = "seq") -> DataFrame:
@@ -169,16 +170,19 @@ class Snapshot:
     anchors: DataFrame
     promises: DataFrame
     counters: DataFrame
+    digests: DataFrame
 
 
 def load_snapshot(
     claims: DataFrame, anchors: DataFrame, promises: DataFrame, counters: DataFrame, chain: DataFrame, as_of_seq: int | None
 ) -> Snapshot:
+    facts = slice_facts(claims, as_of_seq)
     return Snapshot(
-        slice_facts(claims, as_of_seq),
+        facts,
         anchors_at(anchors, chain, as_of_seq),
         promises_at(promises, as_of_seq),
         counter_totals(counters, as_of_seq),
+        ladder(facts),
     )
 
 

@@ -108,3 +108,20 @@ def test_digests(hero, spark):
     assert [r.text for r in digests.tier1(facts).collect()] == ["book: 2 facts in 2 scopes; keys: eyes, home"]
     empty = digests.tier2(facts.where(F.lit(False))).collect()
     assert [(r.text, r.built_from_seq) for r in empty] == [("0 facts, 0 scopes, 0 subjects", 0)]
+
+
+def test_snapshot_rebuilds_digests_under_the_pin(spark):
+    claims = spark.createDataFrame(
+        [("c1", 1, "s", "k", "v", "a.b", "accepted", None), ("c2", 2, "s", "j", "w", "c", "accepted", None), ("c3", 3, "s", "k", "x", "a.b", "accepted", "c1")],
+        "id string, seq long, subject string, key string, value string, scope_path string, status string, supersedes_id string",
+    )
+    empty = lambda schema: spark.createDataFrame([], schema)
+    stores = (
+        empty("version_id string, detail_key string, locked_value string, seq long, locked boolean"),
+        empty("id string, seq long, fulfilled_seq long, due_scope string"),
+        empty("version_id string, key string, scope_path string, count long, budget long, seq long"),
+        empty("id string, position int"),
+    )
+    at = lambda pin: {(r.tier, r.scope): r.n_facts for r in ledger.load_snapshot(claims, *stores, pin).digests.collect()}
+    assert at(1) == {(0, "a.b"): 1, (1, "a"): 1, (2, "*"): 1}
+    assert at(None) == {(0, "a.b"): 1, (0, "c"): 1, (1, "a"): 1, (1, "c"): 1, (2, "*"): 2}
