@@ -103,8 +103,8 @@ def test_contamination_equals_brute_force(spark, shard_words):
     items = [(j, " ".join(rnd.choice("abcd") for _ in range(rnd.randint(0, 7)))) for j in range(12)] + [(99, None), (1, "a b")]
     b = spark.createDataFrame(items, "item_id long, text string")
     df = docs_of(spark, docs).coalesce(1)
-    for block in (2_000_000, 10):
-        got = {r.doc_id: r for r in dec.contamination(df, b, 5, shard_words, block).collect()}
+    for block, at_once in ((2_000_000, 3_000_000), (10, 1000), (10, 20)):
+        got = {r.doc_id: r for r in dec.contamination(df, b, 5, shard_words, block, at_once).collect()}
         for i, t in docs:
             n, hit, found = brute_contamination(t, items, 5)
             r = got[i]
@@ -126,8 +126,42 @@ def test_removal_leaves_no_window_and_the_rest_alone(spark):
     half = passage.split()
     docs = docs_of(spark, [(1, f"Before, {passage}! after it"), (2, "clean text"), (3, passage), (4, " ".join(half[:6]) + " " + passage + " " + " ".join(half[6:]))])
     b = spark.createDataFrame([(1, passage)], "item_id long, text string")
-    out = {r.doc_id: (r.text, r.n_chars) for r in dec.remove_contamination(docs, b).collect()}
-    assert out == {1: ("Before, ! after it", 18), 2: ("clean text", 10)}
+    for size in ({}, {"block_words": 5, "pass_words": 100}, {"block_words": 5, "pass_words": 5}):
+        more = b.unionByName(spark.createDataFrame([(2, "not there at all"), (3, "nor this")], b.schema))
+        out = {r.doc_id: (r.text, r.n_chars) for r in dec.remove_contamination(docs, more, **size).collect()}
+        assert out == {1: ("Before, ! after it", 18), 2: ("clean text", 10)}
+
+
+@pytest.mark.parametrize("size", [{}, {"block_words": 2, "pass_words": 100}, {"block_words": 2, "pass_words": 2}])
+def test_one_row_per_row_whatever_the_ids_and_blocks(spark, size):
+    b = spark.createDataFrame([(1, "a b c"), (2, "d e"), (3, "zz yy")], "item_id long, text string")
+    docs = docs_of(spark, [(None, "a b c"), (None, "x a b c d"), (7, "a b c d e f"), (7, "a b c d e f"), (8, "q"), (9, None), (10, "")])
+    got = sorted((r.doc_id or 0, r.n_words, tuple(r.hit_starts), tuple(r.hit_ends), tuple(r["items"])) for r in dec.contamination(docs, b, **size).collect())
+    assert got == sorted(
+        [(0, 3, (0,), (3,), ("1",)), (0, 5, (1,), (4,), ("1",)), (8, 1, (), (), ()), (9, 0, (), (), ()), (10, 0, (), (), ())]
+        + [(7, 6, (0,), (5,), ("1", "2"))] * 2
+    )
+    kept = dec.remove_contamination(docs.withColumn("__cut", F.lit(1)).withColumn("__items", F.lit(2)), b, **size)
+    assert sorted((r.doc_id or 0, r.text, r.n_chars) for r in kept.collect() if r.text is not None) == [(0, "x  d", 4), (7, " f", 2), (7, " f", 2), (8, "q", 1), (10, "", 0)]
+    assert kept.where("text IS NULL").count() == 1
+
+
+def test_removal_from_odd_tables(spark):
+    b = spark.createDataFrame([(1, "text here"), (None, "w w"), (3, None)], "item_id long, text string")
+    df = odd(spark)
+    out = dec.remove_contamination(df, b)
+    assert out.schema == df.schema
+    assert sorted((r.doc_id or 0, (r.text or "-")[:5]) for r in out.collect()) == [(0, "same "), (1, "Same "), (2, "same "), (2, "same "), (3, "-"), (4, "-"), (5, "xxxxx"), (6, "w w w"), (7, "😀 é")]
+    assert dec.remove_contamination(empty(spark), b).count() == 0
+    assert dec.remove_contamination(df, b.limit(0)).count() == 9
+
+
+def test_bits():
+    for n in (0, 1, 63, 64, 65, 1000):
+        x = np.random.default_rng(n).random(n) < 0.3
+        bits, at = dec.Bits(x), np.arange(n + 1)
+        assert list(bits.rank(at)) == [int(x[:i].sum()) for i in at] and len(bits) == x.sum()
+        assert list(bits.get(at[:-1])) == list(x)
 
 
 # --- 2 WARC
