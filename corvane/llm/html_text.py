@@ -12,7 +12,8 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import deque
+from bisect import bisect_left
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -62,14 +63,80 @@ BAD_NAMES = frozenset(
 )
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form toolbar".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Inside an article these are taken at their word; the other bad names may be those of its sections.
+FIRM_NAMES = frozenset(
+    "ad ads adv advert adverts advertisement advertising adbox adsense sponsor sponsored sponsors promo promoted nav navbar breadcrumb "
+    "breadcrumbs sidebar widget widgets share sharing social cookie cookies consent gdpr popup modal newsletter subscribe subscription "
+    "signup login comments commentlist disqus replies respond pagination pager".split()
+)
+#: Words beside a bad one that leave its meaning.
+HELPERS = frozenset(
+    "box slot container wrapper wrap list area section block unit button buttons link links bar panel form inner outer top bottom left "
+    "right item items post posts article articles stories site page main content js row col text title 1 2 3".split()
+)
+#: Tags of running text.
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th blockquote pre figure figcaption".split())
+
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>\"']*+)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>", re.S)
+_MARKUP = re.compile(r"<(?:[!?]|/?[a-zA-Z])")
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>\"']*+)")
+_SPECIAL = re.compile("[>\"']")
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)|([a-zA-Z][-\w:]*)", re.S)
-_UNQUOTED_END = re.compile(r"=\s*[^\s\"'>]*\Z")
+_LAST = re.compile(r"[^\s\"'>]*")
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _ABOUT = re.compile(r"(?i)(?:has|with|no|without|hide|show)[-_]")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
 
+class Tags:
+    """Tags of a page by place, in time linear in the page, however broken it is.
+
+    What begins like a tag but never ends, for a quote in it stays open, is text. Once there is
+    such a one, ends are found from a list of the places of '>' and quotes: an end that is known not to
+    exist from some place on isn't looked for from there again.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.special: list[int] | None = None
+        self.endless: set[int] = set()  # numbers of special places from which, outside quotes, no tag ends
+
+    def after(self, pos: int) -> tuple[int, int, bool, str | None, str] | None:
+        """The first tag at or after ``pos``: start, end, whether it closes, name in lower case (none for a comment), attributes."""
+        page = self.page
+        while (at := page.find("<", pos)) >= 0:
+            if not _MARKUP.match(page, at):
+                pos = at + 1
+                continue
+            if self.special is None or page[at + 1] in "!?":
+                m = _TAG.match(page, at)
+                if m:
+                    return at, m.end(), bool(m[1]), m[2] and m[2].lower(), m[3] or ""
+                self.special = [m.start() for m in _SPECIAL.finditer(page, at)]
+            end = self._end(at)
+            if end < 0:
+                pos = at + 1
+                continue
+            m = _NAME.match(page, at, end)
+            return at, end + 1, bool(m[1]), m[2].lower(), page[m.end() : end]
+        return None
+
+    def _end(self, at: int) -> int:
+        special, seen = self.special, []
+        k = bisect_left(special, at)
+        while k < len(special) and k not in self.endless:
+            c = self.page[special[k]]
+            if c == ">":
+                return special[k]
+            seen.append(k)
+            k += 1
+            while k < len(special) and self.page[special[k]] != c:
+                k += 1
+            k += 1
+        self.endless.update(seen)
+        return -1
+
+
 @dataclass
 class Element:
     tag: str
@@ -78,6 +145,10 @@ class Element:
     banned: bool = False
     bad: bool = False
     main: bool = False
+    suspect: bool = False  # bad if it is mostly links
+    in_form: bool = False  # banned for nothing but a form
+    scope: Element | None = None  # the nearest element that no implied end tag crosses
+    held: Counter | None = None  # open elements of this scope by tag
 
 
 @dataclass
@@ -87,66 +158,109 @@ class Block:
     linked: int = 0  # characters inside links
 
 
+def _names(value: str) -> Iterator[list[str]]:
+    """The parts of each class or id."""
+    for name in value.split():
+        if not _ABOUT.match(name):  # says what else is on the page, not what this is
+            yield [x for x in _SPLIT.split(_CAMEL.sub("-", name).lower()) if x]
+
+
+def _judge(e: Element, tag: str, named: list[tuple[str, list[str]]], in_article: bool) -> None:
+    """What classes and ids say of an element. In an article, whose sections have names of their own, only
+    a whole name counts, and one that may be a section's only with links for evidence."""
+    every = {x for _, parts in named for x in parts}
+    if not in_article:
+        if every & BAD_NAMES and tag not in ("body", "html"):
+            e.bad = not (every & MAIN_NAMES and tag in MAIN)
+        elif every & MAIN_NAMES and not e.bad:
+            e.main = True
+        return
+    for attr, parts in named:
+        if not BAD_NAMES.intersection(parts) or not (BAD_NAMES | HELPERS).issuperset(parts):
+            continue
+        firm = not FIRM_NAMES.isdisjoint(parts)
+        if tag in TEXTUAL:
+            sure = firm and attr == "class"
+        elif tag == "section":
+            sure = firm
+        else:
+            sure = firm or attr == "class"
+        e.bad |= sure
+        e.suspect |= not sure
+
+
 def _element(tag: str, attrs: str, parent: Element | None) -> Element:
     e = Element(tag, parent, parent.depth + 1 if parent else 0)
     if parent:
-        e.banned, e.bad, e.main = parent.banned, parent.bad, parent.main
+        e.banned, e.bad, e.main, e.suspect, e.in_form = parent.banned, parent.bad, parent.main, parent.suspect, parent.in_form
     in_article = e.main
-    if tag in BANNED or (tag == "header" and not in_article):
-        e.banned = True
+    if tag in MAIN and e.in_form:  # a form around a whole page
+        e.banned = e.in_form = False
+    if tag == "form" and not e.banned:
+        e.banned = e.in_form = True
+    elif tag in BANNED or (tag == "header" and not in_article):
+        e.banned, e.in_form = True, False
     if tag in MAIN:
         e.main = True
     if attrs.strip(" /\t\r\n"):
-        names: set[str] = set()
+        named: list[tuple[str, list[str]]] = []
         for k, v, bare in _ATTR.findall(attrs):
             k = (k or bare).lower()
             v = v.strip("\"'")
             if k in ("class", "id"):
-                for name in v.split():
-                    if not _ABOUT.match(name):  # says what else is on the page, not what this is
-                        names.update(_SPLIT.split(_CAMEL.sub("-", name).lower()))
+                named += [(k, parts) for parts in _names(v)]
             elif k == "role":
-                e.banned |= v.lower() in BAD_ROLES
+                if v.lower() in BAD_ROLES:
+                    e.banned, e.in_form = True, False
                 e.main |= v.lower() in ("main", "article")
             elif k == "hidden" or (k == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", v, re.I)):
-                e.banned = True
-        if names & BAD_NAMES and tag not in ("body", "html"):
-            e.bad = not (names & MAIN_NAMES and tag in MAIN)
-        elif names & MAIN_NAMES and not e.bad:
-            e.main = True
+                e.banned, e.in_form = True, False
+        if named:
+            _judge(e, tag, named, in_article)
     return e
 
 
 def _empty(attrs: str) -> bool:
     """Whether a tag of foreign content closes itself. A '/' that ends an unquoted value belongs to the value."""
-    return attrs.endswith("/") and not _UNQUOTED_END.search(attrs)
+    if not attrs.endswith("/"):
+        return False
+    last = _LAST.match(attrs[::-1])[0]
+    return "=" not in last and not attrs[: len(attrs) - len(last)].rstrip().endswith("=")
 
 
-def _svg_end(page: str, pos: int) -> int:
+def _svg_end(tags: Tags, pos: int) -> int:
     """Where the svg opened before ``pos`` ends: after its closing tag, or where HTML leaves it without one."""
-    inside = ["svg"]
-    for m in _TAG.finditer(page, pos):
-        if m[2] is None:
+    inside, held = ["svg"], Counter(["svg"])
+    while t := tags.after(pos):
+        start, pos, closing, tag, attrs = t
+        if tag is None:
             continue
-        tag = m[2].lower()
-        if m[1] and tag in inside:
-            while inside.pop() != tag:
-                pass
+        if closing and held[tag]:
+            while True:
+                last = inside.pop()
+                held[last] -= 1
+                if last == tag:
+                    break
             if not inside:
-                return m.end()
-        elif m[1] or tag in LEAVES_SVG:
-            if HTML_IN_SVG.isdisjoint(inside):
-                return m.start()
-            if not m[1] and tag not in VOID:
+                return pos
+        elif closing or tag in LEAVES_SVG:
+            if not any(held[x] for x in HTML_IN_SVG):
+                return start
+            if not closing and tag not in VOID:
                 inside.append(tag)
-        elif tag not in VOID and not _empty(m[3]):
+                held[tag] += 1
+        elif tag not in VOID and not _empty(attrs):
             inside.append(tag)
-    return len(page)
+            held[tag] += 1
+    return len(tags.page)
 
 
 def blocks_of(page: str) -> list[Block]:
     """Text blocks in page order. Text between two block-level tags is one block."""
     root = top = Element("#", None, 0)
+    root.scope, root.held = root, Counter()
+    opened: Counter[str] = Counter()
+    tags = Tags(page)
     out: list[Block] = []
     parts: list[str] = []
     linked = links = 0
@@ -161,32 +275,45 @@ def blocks_of(page: str) -> list[Block]:
             parts.clear()
         linked = 0
 
+    def push(e: Element) -> None:
+        nonlocal top
+        opened[e.tag] += 1
+        e.scope = top.scope
+        e.scope.held[e.tag] += 1
+        if e.tag in BARRIER:
+            e.scope, e.held = e, Counter()
+        top = e
+
     def pop_to(e: Element) -> None:
         nonlocal top
         flush()
-        top = e.parent or root
+        while True:
+            opened[top.tag] -= 1
+            top.parent.scope.held[top.tag] -= 1
+            last, top = top, top.parent
+            if last is e:
+                break
 
     end = len(page)
     while pos < end:
-        m = _TAG.search(page, pos)
-        stop = m.start() if m else end
+        t = tags.after(pos)
+        stop = t[0] if t else end
         if stop > pos:
             piece = page[pos:stop]
             parts.append(piece)
             if links:
                 linked += len(piece.strip())
-        if not m:
+        if not t:
             break
-        pos = m.end()
-        if m[2] is None:
+        _, pos, closing, tag, attrs = t
+        if tag is None:
             continue
-        tag = m[2].lower()
         if tag in RAW:
-            if m[1]:
+            if closing:
                 continue
             if tag == "svg":
-                if not _empty(m[3]):
-                    pos = _svg_end(page, pos)
+                if not _empty(attrs):
+                    pos = _svg_end(tags, pos)
             else:
                 close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, pos)
                 pos = close.end() if close else end
@@ -195,28 +322,28 @@ def blocks_of(page: str) -> list[Block]:
             if tag in SPACED:
                 parts.append(" ")
             elif tag == "a":
-                links = 0 if m[1] else 1
+                links = 0 if closing else 1
             continue
         flush()
-        if m[1]:
+        if closing:
             links = 0
-            e = top
-            while e.parent and e.tag != tag:
-                e = e.parent
-            if e.parent:
+            if opened[tag]:
+                e = top
+                while e.tag != tag:
+                    e = e.parent
                 pop_to(e)
             continue
         if tag in VOID:
             continue
         for other in CLOSES.get(tag, ()):
-            e = top
-            while e.parent and e.tag != other and e.tag not in BARRIER:
-                e = e.parent
-            if e.parent and e.tag == other:
+            if top.scope.held[other]:
+                e = top
+                while e.tag != other:
+                    e = e.parent
                 pop_to(e)
         if top.tag == "p":  # a block-level tag ends a paragraph
             pop_to(top)
-        top = _element(tag, m[3] or "", top)
+        push(_element(tag, attrs, top))
     flush()
     return out
 
@@ -232,9 +359,9 @@ def costs(b: Block, has_main: bool) -> tuple[float, float]:
         return FIRM, 0.0
     x = -0.4
     x += 5.0 if e.main else (-2.5 if has_main else 0.0)
-    if e.bad:
-        x -= 9.0
     density = b.linked / len(b.text)
+    if e.bad or (e.suspect and density > 0.5):
+        x -= 9.0
     x -= 3.0 * density if not e.main else 1.0 * density
     words = b.text.count(" ") + 1
     x += min(3.0, math.log2(1 + words / 6)) if density < 0.5 else 0.0

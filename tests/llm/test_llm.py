@@ -1,9 +1,11 @@
 """The training-data operators against brute force, exact round trips and held-out accuracy, and on odd tables."""
 
 import hashlib
+import html
 import os
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -249,6 +251,94 @@ def test_foreign_content(page, want):
     assert html_text.main_text(f"<article>{page}</article>").split("\n") == want.split("\n")
 
 
+@pytest.mark.parametrize(
+    "section",
+    [
+        '<section id="discussion"><h2>Discussion</h2><p>Words of it.</p></section>',
+        '<div class="related-work"><p>Words of it.</p></div>',
+        '<div id="legal"><p>Words of it.</p></div>',
+        '<p class="alert">Words of it.</p>',
+        '<p id="search-engines">Words of it.</p>',
+        '<h2 id="comments-on-method">Words of it.</h2>',
+        '<section id="popular-music"><p>Words of it.</p></section>',
+    ],
+)
+def test_sections_of_an_article_stay_whatever_their_names(section):
+    for page in (f"<article><p>One two three.</p>{section}<p>Four five.</p></article>", f"<form><main><p>One two three.</p>{section}<p>Four five.</p></main></form>"):
+        got = html_text.main_text(page).split("\n")
+        assert got[0] == "One two three." and "Words of it." in got and got[-1] == "Four five."
+
+
+@pytest.mark.parametrize(
+    "other",
+    [
+        '<div class="ad">Words to drop here, many of them, as in a paragraph.</div>',
+        '<div class="ad-box"><p>Words to drop.</p></div>',
+        '<section class="comments"><p>Words to drop here, many of them, as in a paragraph.</p></section>',
+        '<div id="comments"><p>Words to drop.</p></div>',
+        '<div class="notice"><p>Words to drop.</p></div>',
+        '<div class="shareButtons"><a href="x">Words to drop</a></div>',
+        '<div id="related"><ul><li><a href="x">Words to drop</a></li></ul></div>',
+        '<form><p>Words to drop here, many of them, as in a paragraph.</p></form>',
+        '<aside><p>Words to drop.</p></aside>',
+    ],
+)
+def test_what_isnt_the_article_goes_from_inside_it(other):
+    assert html_text.main_text(f"<article><p>One two three.</p>{other}<p>Four five six.</p></article>") == "One two three.\nFour five six."
+
+
+HOSTILE = {
+    "open tags": lambda n: "<a " * n,
+    "no names": lambda n: "<a" * n,
+    "open quotes": lambda n: "<a x='" * n,
+    "mixed quotes": lambda n: "<a x='\" " * n,
+    "end tags": lambda n: "<div>" * n + "</p>" * n,
+    "items": lambda n: "<li><div>" + "<h1>" * n + "<li></li>" * n,
+    "deep": lambda n: "<div>x" * n,
+    "svg": lambda n: "<svg><foreignObject>" + "<g>" * n + "</x>" * n,
+    "svg attributes": lambda n: "<svg " + "=" * n + '"x"/' + ">" * n,
+    "comments": lambda n: "<!--" * n,
+    "scripts": lambda n: "<script>" * n,
+    "less-than": lambda n: "<" * n,
+    "paragraphs": lambda n: "".join(f"<p>{'word ' * (i % 40)}" for i in range(n)),
+    "short lines": lambda n: "".join(f"<div><a>x y</a> {'word ' * (i % 7)}</div>" for i in range(n)),
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_time_is_linear_in_the_page(name):
+    def seconds(n):
+        page = HOSTILE[name](n)
+        t = time.process_time()
+        html_text.main_text(page)
+        return time.process_time() - t
+
+    assert seconds(64_000) < 40 * seconds(4_000) + 0.5  # 256 times if quadratic
+
+
+def test_broken_tags_are_text():
+    rnd = random.Random(4)
+    for _ in range(3000):
+        page = "".join(rnd.choice(["<a ", "<a", "<b>", "'", '"', ">", "x", "</p", " ", "<", "<p class=\"q\">", "<!--", "-->"]) for _ in range(rnd.randint(1, 12)))
+        tags, pos, got = html_text.Tags(page), 0, []
+        while t := tags.after(pos):
+            got.append(t[:2])
+            pos = t[1]
+        assert got == [m.span() for m in html_text._TAG.finditer(page)], page
+
+
+@needs_data
+def test_all_pages_equal_an_independent_extraction(spark):
+    """Regular pages: the article's blocks are what lies between its tags, but for bold type."""
+    want = {}
+    for r in pq.read_table(f"{SF}/pages.parquet").to_pylist():
+        article = re.search("<article>(.*?)</article>", r["html"] or "", re.S)
+        blocks = re.split("</?(?:p|h1)>", re.sub("</?b>", "", re.sub("<br>", " ", article[1]))) if article else []
+        want[r["page_id"]] = "\n".join(x for x in (" ".join(html.unescape(b).split()) for b in blocks) if x)
+    got = {r.page_id: r.text for r in entry.queries()["op3_html_text"](spark, SF).collect()}
+    assert got == want and sum(map(bool, want.values())) > 200
+
+
 def test_min_cut_is_minimal():
     rnd = random.Random(1)
     for _ in range(60):
