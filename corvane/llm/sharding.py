@@ -1,8 +1,10 @@
 """Proportional stratified interleaving into shards, in DataFrame operations only.
 
 Within each source, rows are ranked in a seeded random order; a row's fractional rank is
-(rank - 1/2) / rows of its source. All rows are then ordered by fractional rank and cut
-into runs of equal count, so each shard holds every source in its share of the whole.
+(rank - u) / rows of its source, where u between 0 and 1 is drawn once for each source. All rows
+are then ordered by fractional rank and cut into runs of equal count, so each shard holds every source
+in its share of the whole. Sources of a row or two fall anywhere, for u differs, and so the many of a
+long tail spread over all shards as well; with the same u they would all meet in the middle.
 
 No rank is taken over a whole source or over all rows at once. The random order is a
 64-bit hash, so its leading bits split any source, however hot, into buckets of nearly
@@ -15,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.llm.common import materialise
+
 
 def interleave(
     docs: DataFrame,
@@ -23,11 +27,15 @@ def interleave(
     id_col: str = "doc_id",
     source_col: str = "source",
     carry: dict[str, Column] | None = None,
-    rows_per_bucket: int = 4096,
-    max_buckets: int = 1 << 16,
+    rows_per_bucket: int = 512,
+    max_buckets: int = 1 << 20,
 ) -> DataFrame:
     """Per row: ``doc_id, position, shard, slot`` and ``carry``; shard counts differ by one at most.
 
+    The law held is that of rows. Groups of equal texts are many rows like any others: each has its own place and its own
+    ``carry``, and a group may lie in several shards, for one that held a third of all rows would
+    break the law.
+
     ``position`` runs from 0 over all rows in interleaved order; ``slot`` from 0 within a
     shard. Rows without a source form a source of their own. Rows that repeat an id are
     kept, in any order among themselves. An empty table gives no rows. ``carry`` names
@@ -56,7 +64,7 @@ def interleave(
     ranked = (
         rows.withColumn("__r", F.row_number().over(within))
         .join(offsets, ["__s", "__b"])
-        .withColumn("__f", (F.col("__before") + F.col("__r") - F.lit(0.5)) / F.col("__of"))
+        .withColumn("__f", (F.col("__before") + F.col("__r") - _offset(seed)) / F.col("__of"))
         .withColumn("__fb", F.expr(f"least(cast(floor(__f * {buckets}) as long), {buckets - 1}L)"))
         .select("doc_id", "__s", "__h", "__f", "__fb", *extra)
     )
@@ -79,12 +87,23 @@ def interleave(
     return placed.select("doc_id", "position", "shard", slot.alias("slot"), *extra)
 
 
+def _offset(seed: int) -> Column:
+    """The u of a row's source."""
+    return (F.pmod(F.xxhash64(F.lit(seed), F.col("__s"), F.lit("offset")), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
+
+
 def write_shards(docs: DataFrame, path: str, shards: int = 16, seed: int = 17, rows_per_file: int = 100_000) -> None:
-    """Writes ``docs`` with ``slot``, a folder for each shard. Ids must be unique."""
-    placed = interleave(docs, shards, seed).select(F.col("doc_id").alias("__id"), "shard", "slot")
+    """Writes ``docs`` with ``slot``, a folder for each shard.
+
+    Rows are numbered, and places join by the number: rows without an id or with a repeated one are
+    written like others, and texts are shuffled only by that join and to their files. Columns named ``shard`` or ``slot``
+    are replaced. An empty table writes no file.
+    """
+    rows = materialise(docs.drop("shard", "slot").withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    placed = interleave(rows, shards, seed, carry={"__at": F.col("__row")}).select("__at", "shard", "slot")
     (
-        docs.join(placed, docs["doc_id"] == F.col("__id"))
-        .drop("__id")
+        rows.join(placed, F.col("__row") == F.col("__at"))
+        .drop("__row", "__at")
         .repartition("shard", F.expr(f"slot div {rows_per_file}"))
         .sortWithinPartitions("shard", "slot")
         .write.partitionBy("shard")

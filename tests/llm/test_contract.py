@@ -70,12 +70,15 @@ def test_shards_by_plain_python(spark):
     by = defaultdict(list)
     for d in docs:
         by[d["source"]].append(d["doc_id"])
+    sources = spark.createDataFrame([(s,) for s in by], "s string")
+    drawn = F.pmod(F.xxhash64(F.lit(17), F.concat(F.lit("s"), "s"), F.lit("offset")), F.lit(1 << 52))
+    u = {r.s: (r.u + 0.5) / (1 << 52) for r in sources.withColumn("u", drawn).collect()}
     # buckets are of 24 bits below the top ones of the unsigned hash
     place = lambda i: ((order[i] % 2**64) >> 40) % 32
     fraction = {}
     for source, ids in by.items():
         for k, i in enumerate(sorted(ids, key=lambda i: (place(i), order[i], i)), 1):
-            fraction[i] = ((k - 0.5) / len(ids), order[i], f"s{source}", i)
+            fraction[i] = ((k - u[source]) / len(ids), order[i], f"s{source}", i)
     n = len(docs)
     want = {}
     for p, i in enumerate(sorted(fraction, key=fraction.get)):

@@ -719,12 +719,29 @@ def test_shards_are_even_and_mixed(spark, shards):
     assert again == {r.doc_id: r.position for r in rows}
 
 
+def test_a_tail_of_small_sources_is_even_over_the_shards(spark):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.when(F.col("id") < 2000, "hot").otherwise(F.concat(F.lit("s"), "id")).alias("source"))
+    tail = {r.shard: r["count"] for r in interleave(docs, 16).where("doc_id >= 2000").groupBy("shard").count().collect()}
+    assert len(tail) == 16 and min(tail.values()) > 80 and max(tail.values()) < 170  # 125 on average
+
+
+def test_copies_carry_their_own_values(spark):
+    docs = docs_of(spark, [(i, "same text") for i in range(40)] + [(3, "other"), (3, None)])
+    rows = interleave(docs, 4, carry={"size": F.octet_length(F.coalesce("text", F.lit(""))) + 1, "crc": F.crc32(F.coalesce("text", F.lit("")).cast("binary"))}).collect()
+    assert sorted((r.size, r.crc) for r in rows if r.doc_id == 3) == sorted((len(t) + 1, zlib.crc32(t)) for t in (b"same text", b"other", b""))
+    assert {(r.size, r.crc) for r in rows if r.doc_id != 3} == {(10, zlib.crc32(b"same text"))}
+    assert len({r.shard for r in rows if r.doc_id != 3}) == 4
+
+
 def test_sharding_of_odd_tables(spark, tmp_path):
     rows = interleave(odd(spark), 4).collect()
     assert sorted(r.position for r in rows) == list(range(9))
     assert interleave(empty(spark), 4).count() == 0
     docs = docs_of(spark, [(i, "t") for i in range(50)])
     write_shards(docs, str(tmp_path / "s"), 4)
+    write_shards(odd(spark).withColumn("slot", F.lit("x")), str(tmp_path / "odd"), 4)
+    assert spark.read.parquet(str(tmp_path / "odd")).count() == 9
+    write_shards(empty(spark), str(tmp_path / "none"), 4)
     back = spark.read.parquet(str(tmp_path / "s"))
     assert back.count() == 50 and back.groupBy("shard").count().agg(F.max("count") - F.min("count")).first()[0] == 1
 
