@@ -61,9 +61,15 @@ def ascii_lower(c: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where the session has none."""
+    """The folder that driver and executors share.
+
+    A session that has none gets a temporary one if it runs on one machine; on a cluster that would be
+    another folder for each executor, so there the setting is required.
+    """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
         d = tempfile.mkdtemp(prefix="corvane-checkpoint-")
@@ -71,24 +77,29 @@ def shared_dir(spark: SparkSession) -> str:
     return d
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """This application's own part of the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/corvane/{spark.sparkContext.applicationId}"
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes to the shared folder and reads back, so that lost executors cost no recomputation."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/corvane/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def clear_scratch(spark: SparkSession) -> None:
-    """Deletes what :func:`materialise` left. DataFrames that read it are of no use afterwards."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/corvane")
+    """Deletes what this application's :func:`materialise` left. DataFrames that read it are of no use afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/corvane/{name}-{uuid.uuid4().hex}"
-
-
 def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
     """Lowers the session's Arrow batches to ``rows``, for whole texts go through Python in them.
 
@@ -142,18 +153,21 @@ class Sketch:
         )
 
 
-def drop_ids(docs: DataFrame, lost: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` without the rows whose id is in the one column of ``lost``; rows without an id stay.
+def drop_rows(docs: DataFrame, lost: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that ``lost`` (id, ``xxhash64`` of the text) names; columns as they were.
 
-    Only rows that the bitmap of lost ids may hold are shuffled; the rest, most of a corpus, goes
-    through untouched.
+    A row is named by both, so that rows without an id, or with an id that others have, can be told
+    apart by their texts. Only rows that the bitmap of lost ones may hold are shuffled; the rest, most
+    of a corpus, goes through untouched.
     """
-    gone = materialise(lost.select(F.col(lost.columns[0]).alias("__lost")).where("__lost IS NOT NULL").distinct(), "lost")
-    # a byte for each lost id, up to 8 MB
+    i, t = lost.columns
+    gone = materialise(lost.select(F.col(i).cast("long").alias("__lost"), F.col(t).alias("__text_hash")).distinct(), "lost")
+    # a byte for each lost row, up to 8 MB
     bits = min(1 << 26, max(1 << 22, 1 << (8 * gone.count()).bit_length()))
-    sketch = Sketch(gone.select(F.xxhash64("__lost")), bits)
-    flagged = sketch.flag(docs.withColumn("__h", F.xxhash64(F.col(id_col).cast("long"))), "__h", "__may").drop("__h")
+    sketch = Sketch(gone.select(F.xxhash64("__lost", "__text_hash")), bits)
+    named = docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__t", F.xxhash64(F.col(text_col).cast("string")))
+    flagged = sketch.flag(named.withColumn("__h", F.xxhash64("__id", "__t")), "__h", "__may").drop("__h")
     names = [F.col(f"`{c}`") for c in docs.columns]
-    doubtful = flagged.where("__may").select(*names)
-    kept = doubtful.join(gone, doubtful[id_col] == gone["__lost"], "left_anti")
-    return flagged.where("NOT __may").select(*names).unionByName(kept)
+    doubtful = flagged.where("__may")
+    same = F.col("__id").eqNullSafe(F.col("__lost")) & (F.col("__t") == F.col("__text_hash"))
+    return flagged.where("NOT __may").select(*names).unionByName(doubtful.join(gone, same, "left_anti").select(*names))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import Sketch, ascii_lower, drop_ids
+from corvane.llm.common import Sketch, ascii_lower, drop_rows
 
 
 def exact_dedup(
@@ -21,6 +21,7 @@ def exact_dedup(
     text_col: str = "text",
     prefix_chars: int = 256,
     digest: bool = False,
+    text_hash: bool = False,
 ) -> DataFrame:
     """Decision per row: ``doc_id, keep_id, group_size, kept`` (and ``text_sha256``).
 
@@ -29,10 +30,11 @@ def exact_dedup(
     and all rows with the kept id are marked kept. An empty table gives no rows. Rows
     without an id take part and show a null ``keep_id`` only if no row of their group has
     an id. Other columns of ``docs``, whatever their names, are ignored. With ``digest``
-    each row carries the SHA-256 of its normalised text, which reads all texts whole.
+    each row carries the SHA-256 of its normalised text, which reads all texts whole; with ``text_hash`` the
+    ``xxhash64`` of the text as it is.
     """
     raw = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), raw.alias("__t"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), raw.alias("__t"), *([F.xxhash64(text_col).alias("text_hash")] if text_hash else []))
     size = F.octet_length("__t").cast("long")
     head = F.xxhash64(size, ascii_lower(F.substring("__t", 1, prefix_chars)))
     full = F.sha2(ascii_lower(F.col("__t")), 256)
@@ -73,12 +75,16 @@ def exact_dedup(
         F.coalesce(F.col("n"), F.lit(1)).cast("long").alias("group_size"),
         (F.col("n").isNull() | F.col("doc_id").eqNullSafe(F.col("keep"))).alias("kept"),
         *(["text_sha256"] if digest else []),
+        *(["text_hash"] if text_hash else []),
     )
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the row of largest id of each group of equal texts, all columns as they were.
 
-    Rows without an id can't be named and stay, and so do rows that repeat a kept id.
+    Null counts as empty. Rows that repeat the kept id and its text stay with it. Rows without an id go if one of their group
+    has an id; a group in which none has stays as it is. Of rows that repeat an id with different texts each
+    goes by its own text. An empty table gives no rows.
     """
-    return drop_ids(docs, exact_dedup(docs, id_col, text_col).where("NOT kept").select("doc_id"), id_col)
+    lost = exact_dedup(docs, id_col, text_col, text_hash=True).where("NOT kept").select("doc_id", "text_hash")
+    return drop_rows(docs, lost, id_col, text_col)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import Sketch, WordHash, drop_ids, materialise, mix64, small_batches, words_of
+from corvane.llm.common import Sketch, WordHash, drop_rows, materialise, mix64, small_batches, words_of
 
 NGRAM = 5
 THRESHOLD = 0.8
@@ -141,8 +141,12 @@ def link_bucket(
     return out
 
 
+def _set_id(sh: np.ndarray) -> bytes:
+    return hashlib.blake2b(sh.tobytes(), digest_size=16).digest()
+
+
 def _signed(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int) -> DataFrame:
-    """``doc_id, cls, bands`` per row; ``cls`` is null for texts without words."""
+    """``doc_id, text_hash, cls, bands`` per row; ``cls`` is null for texts without words."""
     k = bands * rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,43 +154,38 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int)
         a, b = _permutations(k)
         for batch in batches:
             cls, keys = [], []
-            for t in batch.column(1).to_pylist():
+            for t in batch.column(2).to_pylist():
                 sh = shingles(words_of(t), seen)
-                cls.append(hashlib.blake2b(sh.tobytes(), digest_size=16).digest() if len(sh) else None)
+                cls.append(_set_id(sh) if len(sh) else None)
                 keys.append(band_keys(signature(sh, a, b), bands, rows) if len(sh) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(cls, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "cls", "bands"],
+                [batch.column(0), batch.column(1), pa.array(cls, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                ["doc_id", "text_hash", "cls", "bands"],
             )
 
-    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        run, "doc_id long, cls binary, bands array<long>"
-    )
+    text = F.col(text_col).cast("string")
+    rows_of = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    return small_batches(rows_of).mapInArrow(run, "doc_id long, text_hash long, cls binary, bands array<long>")
 
 
-def _whole(docs: DataFrame, k: int) -> DataFrame:
-    """``rep, sig, sh`` per row of ``docs`` (``rep``, ``text``)."""
+def _whole(texts: DataFrame, k: int) -> DataFrame:
+    """``cls, sig, sh`` per row of ``texts`` (one column) that has words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = WordHash()
         a, b = _permutations(k)
         for batch in batches:
-            sigs, sets = [], []
-            for t in batch.column(1).to_pylist():
-                sh = shingles(words_of(t), seen)
-                sigs.append(signature(sh, a, b).tobytes() if len(sh) else b"")
-                sets.append(sh.tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sigs, pa.binary()), pa.array(sets, pa.binary())], ["rep", "sig", "sh"]
-            )
+            sets = [sh for sh in (shingles(words_of(t), seen) for t in batch.column(0).to_pylist()) if len(sh)]
+            columns = ([_set_id(sh) for sh in sets], [signature(sh, a, b).tobytes() for sh in sets], [sh.tobytes() for sh in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], ["cls", "sig", "sh"])
 
-    return small_batches(docs).mapInArrow(run, "rep long, sig binary, sh binary")
+    return small_batches(texts).mapInArrow(run, "cls binary, sig binary, sh binary")
 
 
 class NearDuplicates:
-    """The join over one table. ``docs`` needs unique ids; rows without an id or without words
-    link to nothing and are classes of their own. Rows that repeat an id and its text count
-    once. Columns other than the two named are ignored. An empty table gives empty results.
+    """The join over one table. Rows without an id or without words link to nothing and are classes
+    of their own. Rows that repeat an id count as rows, whether their texts are the same or not. Columns
+    other than the two named are ignored. An empty table gives empty results.
     """
 
     def __init__(
@@ -203,29 +202,25 @@ class NearDuplicates:
         self.threshold, self.bands, self.rows, self.block = threshold, bands, rows, block
         self.tolerance = tolerance
         self.signed = materialise(_signed(docs, id_col, text_col, bands, rows), "signed")
-        texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
-        #: cls, rep (the smallest id of the class), copies
-        self.classes = (
+        #: node, cls, rep (the smallest id of the class), copies, bands
+        self.classes = materialise(
             self.signed.where("cls IS NOT NULL AND doc_id IS NOT NULL")
             .groupBy("cls")
-            .agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+            .agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
+            .withColumn("node", F.monotonically_increasing_id()),
+            "classes",
         )
         self.members = self._members()
         needy = Sketch(self.members.select(F.xxhash64("rep")))
-        self.whole = _whole(
-            needy.flag(texts.withColumn("__h", F.xxhash64("rep")), "__h", "__in").where("__in").select("rep", "text"),
-            bands * rows,
-        )
+        texts = docs.select(F.xxhash64(F.col(id_col).cast("long")).alias("__h"), F.col(text_col).cast("string").alias("text"))
+        self.whole = _whole(needy.flag(texts, "__h", "__in").where("__in").select("text"), bands * rows)
 
     def _members(self) -> DataFrame:
-        """``rep, keys``: the buckets worth looking at, each with its size, per representative."""
-        reps = self.signed.join(
-            self.classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"
-        ).select("doc_id", "bands")
-        dealt = reps.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key"))
+        """``node, cls, rep, keys``: the buckets worth looking at, each with its size, per class."""
+        dealt = self.classes.select("node", F.explode("bands").alias("key"))
         buckets = (
             dealt.groupBy("key")
-            .agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("low"), F.expr("bit_xor(xxhash64(rep))").alias("all"))
+            .agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.expr("bit_xor(xxhash64(node))").alias("all"))
             .where("n > 1")
             .groupBy("n", "low", "all")
             .agg(F.min("key").alias("key"))
@@ -235,22 +230,24 @@ class NearDuplicates:
         hit = Sketch(buckets.select(F.xxhash64("key"))).flag(dealt.withColumn("__h", F.xxhash64("key")), "__h", "__in")
         members = (
             hit.where("__in")
-            .select("rep", "key")
+            .select("node", "key")
             .join(buckets.repartition(F.hash("key")), "key")
-            .groupBy("rep")
+            .groupBy("node")
             .agg(F.array_sort(F.collect_set(F.struct("key", "n"))).alias("keys"))
+            .join(self.classes.select("node", "cls", "rep"), "node")
         )
         return materialise(members, "members")
 
     def _grouped(self):
         """Rows of each bucket, dealt by bucket and pair of blocks."""
-        rows = self.whole.dropDuplicates(["rep"]).join(self.members, "rep")
+        # rows of one class have the same set, so any of them will do
+        rows = self.whole.dropDuplicates(["cls"]).join(self.members, "cls")
         blocks = F.ceil(F.col("b.n") / F.lit(self.block)).cast("int")
         return (
-            rows.select("rep", "sig", "sh", F.col("keys.key").alias("keys"), F.explode("keys").alias("b"))
+            rows.select("node", "sig", "sh", F.col("keys.key").alias("keys"), F.explode("keys").alias("b"))
             .select(
-                "rep", "sig", "sh", "keys", F.col("b.key").alias("key"), blocks.alias("nb"),
-                F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("mine"),
+                "node", "sig", "sh", "keys", F.col("b.key").alias("key"), blocks.alias("nb"),
+                F.pmod(F.xxhash64("node"), blocks).cast("int").alias("mine"),
             )
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
             .withColumn("i", F.least("mine", "other"))
@@ -264,7 +261,7 @@ class NearDuplicates:
         needed = needed_matches(bands * self.rows, STEP, threshold, self.tolerance)
 
         def run(df: pd.DataFrame) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-            df = df.sort_values("rep")
+            df = df.sort_values("node")
             n = len(df)
             keys = np.zeros((n, bands), dtype=np.int64)
             for r, own in enumerate(df["keys"]):
@@ -273,9 +270,9 @@ class NearDuplicates:
             sigs = np.stack([np.frombuffer(x, dtype=np.uint32) for x in df["sig"]])
             sets = [np.frombuffer(x, dtype=np.uint64) for x in df["sh"]]
             crossing = bool(df["i"].iloc[0] != df["j"].iloc[0])
-            reps = df["rep"].to_numpy()
-            return reps, link_bucket(
-                int(df["key"].iloc[0]), reps, df["mine"].to_numpy(), crossing, keys, sigs, sets, threshold, needed
+            nodes = df["node"].to_numpy()
+            return nodes, link_bucket(
+                int(df["key"].iloc[0]), nodes, df["mine"].to_numpy(), crossing, keys, sigs, sets, threshold, needed
             )
 
         return run
@@ -286,20 +283,23 @@ class NearDuplicates:
         find = self._linked()
 
         def run(df: pd.DataFrame) -> pd.DataFrame:
-            reps, links = find(df)
-            rows = [(reps[i], reps[j]) for i, js in links for j in js]
+            nodes, links = find(df)
+            rows = [(nodes[i], nodes[j]) for i, js in links for j in js]
             return pd.DataFrame(rows, columns=["a", "b"], dtype="int64")
 
-        return self._grouped().applyInPandas(run, "a long, b long")
+        found = self._grouped().applyInPandas(run, "a long, b long")
+        for end in ("a", "b"):
+            found = found.join(self.classes.select(F.col("node").alias(end), F.col("rep").alias(f"rep_{end}")), end)
+        return found.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"))
 
     def links(self) -> DataFrame:
-        """``rep, n, root``: links found in one bucket, and the smallest id reached there."""
+        """``node, n, root``: links found in one bucket, and the smallest node reached there."""
         find = self._linked()
 
         def run(df: pd.DataFrame) -> pd.DataFrame:
-            reps, links = find(df)
-            count = np.zeros(len(reps), dtype=np.int64)
-            parent = list(range(len(reps)))
+            nodes, links = find(df)
+            count = np.zeros(len(nodes), dtype=np.int64)
+            parent = list(range(len(nodes)))
 
             def root(x: int) -> int:
                 while parent[x] != x:
@@ -316,42 +316,52 @@ class NearDuplicates:
                         parent[max(a, b)] = min(a, b)
             at = np.flatnonzero(count)
             return pd.DataFrame(
-                {"rep": reps[at], "n": count[at], "root": [reps[root(int(x))] for x in at]},
+                {"node": nodes[at], "n": count[at], "root": [nodes[root(int(x))] for x in at]},
             ).astype("int64")
 
-        return self._grouped().applyInPandas(run, "rep long, n long, root long")
+        return self._grouped().applyInPandas(run, "node long, n long, root long")
 
     def result(self) -> DataFrame:
-        """``doc_id, class_id, rep_id, n_links, n_copies`` per row.
+        """``doc_id, text_hash, class_id, rep_id, n_links, n_copies, kept`` per row.
 
         ``class_id``: smallest id of the near-duplicate class; ``rep_id``: smallest id with an
         equal set of shingles; ``n_links``: other sets that are similar; ``n_copies``: rows
-        with the same set.
+        with the same set; ``kept``: whether the row is the class's one document, that of the smallest
+        id (repeats of that row are kept with it). If an id is repeated with different texts, classes may share a
+        number, but ``kept`` goes by the texts. ``text_hash`` tells such rows apart.
         """
         links = materialise(self.links(), "links")
-        component = connected_components(links.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-        per = links.groupBy("rep").agg(F.sum("n").alias("n_links"))
+        component = connected_components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        per = links.groupBy("node").agg(F.sum("n").alias("n_links"))
+        linked = component.join(self.classes.select("node", "rep"), "node")
+        # dealt by another column, so that the planner can split the partition of a large class
+        tops = linked.groupBy("label").agg(F.min(F.struct("rep", "node")).alias("top")).repartition(F.col("top.node"))
+        placed = component.join(tops, "label").join(per, "node").select(
+            "node", "n_links", F.col("top.rep").alias("class_id"), (F.col("top.node") == F.col("node")).alias("first")
+        )
         known = (
-            self.classes.join(per, "rep", "left")
-            .join(component.withColumnRenamed("node", "rep"), "rep", "left")
+            self.classes.select("node", "cls", "rep", "copies")
+            .join(placed, "node", "left")
             .select(
                 F.col("cls").alias("c2"),
                 "rep",
                 "copies",
                 F.coalesce("n_links", F.lit(0)).alias("n_links"),
-                F.coalesce("label", "rep").alias("class_id"),
+                F.coalesce("class_id", "rep").alias("class_id"),
+                F.coalesce("first", F.lit(True)).alias("first"),
             )
             .repartition("rep")
         )
-        rows = self.signed.select(
-            "doc_id", F.coalesce("cls", F.concat(F.lit("none-").cast("binary"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))).alias("c")
-        )
-        return rows.join(known, F.col("c") == F.col("c2"), "left").select(
+        alone = F.concat(F.lit("none-").cast("binary"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+        key = F.when(F.col("doc_id").isNotNull(), F.coalesce("cls", alone)).otherwise(alone)
+        return self.signed.select("doc_id", "text_hash", key.alias("c")).join(known, F.col("c") == F.col("c2"), "left").select(
             "doc_id",
+            "text_hash",
             F.coalesce("class_id", "doc_id").alias("class_id"),
             F.coalesce("rep", "doc_id").alias("rep_id"),
             F.coalesce("n_links", F.lit(0)).alias("n_links"),
             F.coalesce("copies", F.lit(1)).alias("n_copies"),
+            F.coalesce(F.col("first") & (F.col("rep") == F.col("doc_id")), F.lit(True)).alias("kept"),
         )
 
 
@@ -381,10 +391,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    return NearDuplicates(docs, **options).result()
+    return NearDuplicates(docs, **options).result().drop("text_hash")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the document of smallest id of each near-duplicate class."""
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col)
-    return drop_ids(docs, found.where("doc_id <> class_id").select("doc_id"), id_col)
+    """``docs`` with the document of smallest id of each near-duplicate class; columns as they were.
+
+    Rows without an id, and null, empty and other texts without words, stay; so do repeats of a kept
+    row. Of rows that repeat an id with different texts each goes by its own text. An empty
+    table gives no rows.
+    """
+    found = NearDuplicates(docs, id_col, text_col).result()
+    return drop_rows(docs, found.where("NOT kept").select("doc_id", "text_hash"), id_col, text_col)

@@ -388,7 +388,9 @@ def test_exact_dedup_of_odd_tables(spark):
     assert exact_dedup(empty(spark)).count() == 0
     kept = drop_exact_copies(odd(spark))
     assert kept.columns == odd(spark).columns
-    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 2, 2, 4, 5, 6, 7]
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == [2, 2, 4, 5, 6, 7]
+    shared = docs_of(spark, [(1, "a"), (1, "b"), (2, "a"), (None, "c"), (None, "c"), (None, "b")])
+    assert sorted((r.doc_id or 0, r.text) for r in drop_exact_copies(shared).collect()) == [(0, "c"), (0, "c"), (1, "b"), (2, "a")]
 
 
 # --- 5 personal data
@@ -637,7 +639,13 @@ def test_near_duplicates_of_odd_tables(spark):
     assert by[3].class_id == 3 and by[4].class_id == 4 and by[3].n_links == 0  # texts without words
     assert near_dup.near_duplicates(empty(spark)).count() == 0
     kept = near_dup.drop_near_duplicates(odd(spark))
-    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 3, 4, 5, 6, 7]
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 3, 4, 5, 6, 7] and kept.columns == odd(spark).columns
+    assert near_dup.drop_near_duplicates(empty(spark)).count() == 0
+    words = " ".join(f"w{i}" for i in range(60))
+    shared = docs_of(spark, [(1, words), (1, "another text of its own"), (1, words), (2, words + " more"), (3, "another text of its own"), (2, "alone here"), (None, words)])
+    for _ in range(2):
+        kept = near_dup.drop_near_duplicates(shared.repartition(3))
+        assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, words), (1, "another text of its own"), (1, words), (1, words), (2, "alone here")]
 
 
 # --- 8 toxicity, 9 quality
