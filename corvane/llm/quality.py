@@ -5,9 +5,8 @@ preferred is the logistic function of the difference of their scores, and a scor
 weighted sum of features. So the weights come from logistic loss on feature differences.
 Features describe the whole text: shares of character classes, repetition of words and
 lines, word shapes. The accepted documents are those above a quantile of the scores of
-the whole table; the share of poor documents among the labelled rows sets the quantile. Where
-that would cut above the score that parts the labelled rows best, it is lowered to that, so
-that a table with fewer poor documents than the labels had loses no good ones.
+the whole table. The quantile's level is the share of poor documents, as estimated from all
+labelled rows less one standard error: a good document lost is worse than a poor one kept.
 """
 
 from __future__ import annotations
@@ -15,7 +14,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -69,8 +68,7 @@ class Ranking:
     mean: np.ndarray
     scale: np.ndarray
     weights: np.ndarray
-    poor_share: float
-    most_cut: float = float("inf")
+    level: float  # of the quantile
 
     def raw(self, x: np.ndarray) -> np.ndarray:
         return expand((x - self.mean) / self.scale) @ self.weights
@@ -85,8 +83,9 @@ def expand(z: np.ndarray) -> np.ndarray:
 def fit(x: np.ndarray, good: np.ndarray, pairs: int = 40_000, steps: int = 400, rate: float = 0.05, l2: float = 1e-4, seed: int = 5) -> Ranking:
     """Weights from ``pairs`` sampled preference pairs, by Adam steps on logistic loss."""
     k = len(FEATURES)
-    if not len(x) or good.all() or not good.any():
-        return Ranking(np.zeros(k), np.ones(k), np.zeros(5 * k), float(1 - good.mean()) if len(x) else 0.0)
+    level = poor_level(int((~good).sum()), len(good))
+    if level in (0.0, 1.0) or good.all():
+        return Ranking(np.zeros(k), np.ones(k), np.zeros(5 * k), level)
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
     z = expand((x - mean) / scale)
     rng = np.random.default_rng(seed)
@@ -94,22 +93,22 @@ def fit(x: np.ndarray, good: np.ndarray, pairs: int = 40_000, steps: int = 400,
     w, m, v = np.zeros(z.shape[1]), np.zeros(z.shape[1]), np.zeros(z.shape[1])
     for t in range(1, steps + 1):
         at = rng.integers(0, pairs, 4096)
-        d = z[a[at]] - z[b[at]]
-        p = 1 / (1 + np.exp(-np.clip(d @ w, -35, 35)))
-        g = -(d * (1 - p)[:, None]).mean(axis=0) + l2 * w
+        g = gradient(w, z[a[at]] - z[b[at]], l2)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return Ranking(mean, scale, w, float(1 - good.mean()), _best_cut(z @ w, good))
+    return Ranking(mean, scale, w, level)
 
 
-def _best_cut(raw: np.ndarray, good: np.ndarray) -> float:
-    """The score that parts good from poor best, each kind counting the same; midway if there is a gap."""
-    order = np.argsort(raw, kind="stable")
-    s, g = raw[order], good[order]
-    right = np.cumsum(~g) / (~g).sum() + 1 - np.cumsum(g) / g.sum()  # poor below plus good above
-    top = np.flatnonzero(right >= right.max() - 1e-12)
-    k = int(top[len(top) // 2])
-    return float((s[k] + s[min(k + 1, len(s) - 1)]) / 2)
+def gradient(w: np.ndarray, d: np.ndarray, l2: float) -> np.ndarray:
+    """Of the mean logistic loss of pairs with feature differences ``d``, and of ``l2 / 2 * |w|**2``."""
+    p = 1 / (1 + np.exp(-np.clip(d @ w, -35, 35)))
+    return -(d * (1 - p)[:, None]).mean(axis=0) + l2 * w
+
+
+def poor_level(poor: int, rows: int) -> float:
+    """The share of poor rows less its standard error, 0 at least."""
+    share = poor / max(rows, 1)
+    return max(0.0, share - (share * (1 - share) / max(rows, 1)) ** 0.5)
 
 
 def _featurised(rows: DataFrame) -> DataFrame:
@@ -124,7 +123,7 @@ def _featurised(rows: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, seed: int = 3) -> Ranking:
-    """Fits on at most ``sample_rows`` rows of ``labels`` (``doc_id``, ``label`` 1 for good).
+    """Fits on at most ``sample_rows`` rows of ``labels`` (``doc_id``, ``label`` 1 for good); the quantile's level comes from all.
 
     Rows with a null label or id are left out. Without labels of both kinds all texts score alike.
     """
@@ -135,7 +134,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, seed: i
     )
     rows = sorted((r.doc_id, r.label, tuple(r.x)) for r in _featurised(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")).collect())
     x = np.array([r[2] for r in rows]).reshape(len(rows), len(FEATURES))
-    return fit(x, np.array([r[1] == 1 for r in rows], dtype=bool))
+    ranking = fit(x, np.array([r[1] == 1 for r in rows], dtype=bool))
+    poor, every = labels.where("label IS NOT NULL AND doc_id IS NOT NULL").agg(F.count_if(F.col("label") != 1), F.count(F.lit(1))).first()
+    return replace(ranking, level=poor_level(poor, every))
 
 
 def raw_scores(docs: DataFrame, ranking: Ranking) -> DataFrame:
@@ -150,6 +151,31 @@ def raw_scores(docs: DataFrame, ranking: Ranking) -> DataFrame:
     return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, raw double")
 
 
+def quantile(values: DataFrame, level: float, bins: int = 4096, rounds: int = 4) -> float:
+    """The least value with at least ``level`` of all rows of the one column below it, to a part in ``bins ** rounds`` of their range.
+
+    Rows are counted in equal ranges, and again in the range where the quantile lies, so that no
+    task and not the driver ever holds more than ``bins`` counts. 0 for an empty table.
+    """
+    x = F.col(values.columns[0])
+    low, high, n = values.agg(F.min(x), F.max(x), F.count(x)).first()
+    if not n:
+        return 0.0
+    below, want = 0, level * n
+    for _ in range(rounds):
+        width = (high - low) / bins
+        if width <= 0 or low + width == low:
+            break
+        at = F.least(F.floor((x - low) / width), F.lit(bins - 1)).cast("int").alias("b")
+        inside = values.where((x >= low) & (x <= high)).groupBy(at).count()
+        for b, count in sorted((r.b, r["count"]) for r in inside.collect()):
+            if below + count > want:
+                break
+            below += count
+        low, high = low + b * width, min(high, low + (b + 1) * width)
+    return float(low)
+
+
 def score(docs: DataFrame, ranking: Ranking, cut: float = 0.7) -> DataFrame:
     """``doc_id, score`` in 0 to 1 per row; the quantile of the whole table lies at ``cut``.
 
@@ -157,12 +183,10 @@ def score(docs: DataFrame, ranking: Ranking, cut: float = 0.7) -> DataFrame:
     are scored one by one. An empty table gives no rows.
     """
     raw = materialise(raw_scores(docs, ranking), "raw")
-    low, spread = raw.agg(
-        F.percentile_approx("raw", float(ranking.poor_share), 100_000), F.stddev_pop("raw")
-    ).first()
-    low, spread = min(low or 0.0, ranking.most_cut), max(spread or 0.0, 1e-9)
+    low = quantile(raw.select("raw"), ranking.level)
+    spread = max(raw.agg(F.stddev_pop("raw")).first()[0] or 0.0, 1e-9)
     at = float(np.log(cut / (1 - cut)))
-    x = (F.col("raw") - F.lit(float(low))) * F.lit(4.0 / spread) + F.lit(at)
+    x = (F.col("raw") - F.lit(low)) * F.lit(4.0 / spread) + F.lit(at)
     return raw.select("doc_id", (1 / (1 + F.exp(-F.greatest(F.lit(-35.0), F.least(F.lit(35.0), x))))).alias("score"))
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import math
 import os
 import random
 import re
@@ -667,6 +668,81 @@ def labelled(spark, n=900):
     return docs_of(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
 
 
+def test_ftrl_equals_a_scalar_one():
+    rnd = random.Random(6)
+    alpha, beta, l1, l2, bits = 0.5, 1.0, 0.7, 0.1, 4
+    model = toxicity.FtrlProximal(bits, alpha, beta, l1, l2)
+    z, n = [0.0] * 17, [0.0] * 17
+
+    def weight(i):
+        if abs(z[i]) <= l1:
+            return 0.0
+        return -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(400):
+        slots = sorted(rnd.sample(range(16), rnd.randint(0, 6)))
+        label, times = float(rnd.random() < 0.2 + 0.6 * (3 in slots)), rnd.choice([1.0, 4.0])
+        p = model.learn(np.array(slots, dtype=np.int64), label, times)
+        w = {i: weight(i) for i in [*slots, 16]}
+        want = 1 / (1 + math.exp(-sum(w.values())))
+        assert abs(p - want) < 1e-12
+        for i in w:
+            g = (want - label) * times
+            z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * w[i]
+            n[i] += g * g
+    out = model.export()
+    assert {int(k): pytest.approx(float(v), abs=1e-6) for k, v in zip(out.slots, out.values, strict=True)} == {i: weight(i) for i in range(16) if weight(i)}
+    assert 0 < len(out.slots) < 16 and out.bias == pytest.approx(weight(16))
+
+
+def test_features_are_words_pairs_and_skip_pairs():
+    seen = WordHash()
+    mask = (1 << 64) - 1
+
+    def spread(x):
+        for shift, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+            x = ((x ^ (x >> shift)) * times) & mask
+        return x >> 44
+
+    words = [b"a", b"b", b"a", b"c"]
+    h = [seen[w] for w in words]
+    pair, skip = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+    want = {*h, *((x * pair + y) & mask for x, y in zip(h, h[1:], strict=False)), *((x * skip + y) & mask for x, y in zip(h, h[2:], strict=False))}
+    assert sorted(map(spread, want)) == toxicity.text_features(words, seen, 20).tolist()
+
+
+def test_pairwise_gradient_is_that_of_the_loss():
+    rng = np.random.default_rng(1)
+    d, w, l2 = rng.normal(size=(40, 5)), rng.normal(size=5), 0.3
+
+    def loss(w):
+        return np.log1p(np.exp(-(d @ w))).mean() + l2 / 2 * (w @ w)
+
+    step = 1e-6
+    want = [(loss(w + step * e) - loss(w - step * e)) / (2 * step) for e in np.eye(5)]
+    assert np.allclose(quality.gradient(w, d, l2), want, atol=1e-6)
+
+
+def test_ranking_orders_preference_pairs():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, len(quality.FEATURES)))
+    good = x[:, 0] + 0.5 * x[:, 3] + 0.1 * rng.normal(size=400) > 0
+    r = quality.fit(x, good)
+    raw = r.raw(x)
+    assert (raw[good][:, None] > raw[~good][None, :]).mean() > 0.98
+    assert r.level == quality.poor_level(int((~good).sum()), 400) < (~good).mean()
+
+
+@pytest.mark.parametrize("level", [0.0, 0.13, 0.5, 0.999, 1.0])
+def test_quantile_by_counting(spark, level):
+    values = [round(math.sin(i) ** 3 * 7, 6) for i in range(3000)] + [2.5] * 500
+    got = quality.quantile(spark.createDataFrame([(v,) for v in values], "raw double"), level, bins=16, rounds=12)
+    below = sum(v < got - 1e-9 for v in values)
+    assert below <= level * 3500 and (level == 1.0 or sum(v <= got + 1e-9 for v in values) > level * 3500)
+    assert quality.quantile(spark.createDataFrame([(4.0,)] * 3, "raw double"), level) == 4.0
+    assert quality.quantile(spark.createDataFrame([], "raw double"), level) == 0.0
+
+
 def test_toxicity_on_held_out_rows(spark):
     docs, labels = labelled(spark)
     model = toxicity.train(docs, toxicity.toxic_labels(labels))
@@ -699,6 +775,9 @@ def test_classifiers_on_odd_tables(spark):
     for rows in (toxicity.score(odd(spark), t).collect(), quality.score(odd(spark), q).collect()):
         assert len(rows) == 9 and all(0 <= r.score <= 1 for r in rows)
         assert sum(r.doc_id is None for r in rows) == 1
+    calm = toxicity.Weights(20, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.float32), -1.0)
+    assert toxicity.drop_toxic(odd(spark), calm).count() == 9 and toxicity.drop_toxic(odd(spark), calm).schema == odd(spark).schema
+    assert toxicity.drop_toxic(odd(spark), calm, 0.2).count() == 0 and toxicity.drop_toxic(empty(spark), t).count() == 0
     assert toxicity.score(empty(spark), t).count() == quality.score(empty(spark), q).count() == 0
     none = labels.where("doc_id < 0")
     assert {r.score for r in toxicity.score(odd(spark), toxicity.train(docs, toxicity.toxic_labels(none))).collect()} == {0.5}
