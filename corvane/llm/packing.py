@@ -2,11 +2,11 @@
 
 Each partition tokenises its documents, cuts those longer than a sequence, and packs the
 pieces best-fit, longest first. Bins that are full but for ``slack`` tokens are sealed and
-given out. What the others hold are the items of the next round, where the leavings of
-several partitions meet and are packed best-fit again, and so on up a tree. Only numbers and
-sizes travel up the tree; a task gets at most about ``max_items`` of them, however large the
-table. (Handing up an underfull bin as one item, not to be taken apart, ties together what
-happened to meet in a small partition and needs up to 4 % more sequences.)
+given out. The others are the items of the next round, where those of several partitions meet and are
+packed best-fit as wholes, and so on up a tree. Bins that are underfull at its root, for what
+happened to meet in a small partition is tied together in them, are opened in one repair round,
+which packs their pieces best-fit anew. Only numbers and sizes travel up the tree; a task gets at
+most about ``max_items`` of them, however large the table.
 """
 
 from __future__ import annotations
@@ -153,12 +153,7 @@ def _local(docs: DataFrame, tokenizer: str, length: int, end_id: int, slack: int
 
         def packed() -> pa.RecordBatch:
             bins = best_fit(np.array([x[3] for x in waiting], dtype=np.int64), length)
-            rows = []
-            for fill, items in zip(bins.fill, bins.items, strict=True):
-                if fill >= length - slack:
-                    rows.append((fill, [row(waiting[i], o) for i, o in items]))
-                else:
-                    rows += [(waiting[i][3], [row(waiting[i], 0)]) for i, _ in items]
+            rows = [(fill, [row(waiting[i], o) for i, o in items]) for fill, items in zip(bins.fill, bins.items, strict=True)]
             waiting.clear()
             return give(rows)
 
@@ -192,34 +187,33 @@ def pack(
     slack: int = 4,
     fan: int = 16,
     max_items: int = 200_000,
+    repair: bool = True,
 ) -> DataFrame:
     """Per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
 
     ``tokenizer`` is the path of a ``tokenizers`` file that all executors can read. A null
     or empty text is the end id alone. Rows are packed one by one, so those that repeat an
     id, or have none, are packed as well. An empty table gives no rows. Columns other than
-    ``doc_id`` and ``text`` are ignored.
+    ``doc_id`` and ``text`` are ignored. Without ``repair`` the underfull bins of the tree's root stay as
+    they are.
     """
     local = materialise(_local(docs, tokenizer, length, end_id, slack, max_items), "packed")
-    items = local.where("NOT sealed").select("bin", "part", "size")
+    # a row for each local bin: the bin it now lies in (its head) and where
+    items = local.where("NOT sealed").select("bin", "part", "size", F.col("bin").alias("head"), F.lit(0).alias("base"))
     parts, count = local.agg(F.max("part") + 1, F.count_if(~F.col("sealed"))).first()
     parts, placed = parts or 1, None
 
-    def merge(last: bool):
-        def run(df: pd.DataFrame) -> pd.DataFrame:
-            df = df.sort_values(["size", "bin"], ascending=[False, True])
-            number, part = df["bin"].to_numpy(), int(df["part"].iloc[0])
-            sizes = df["size"].to_numpy(dtype=np.int64)
-            bins = best_fit(sizes, length)
-            rows = []
-            for fill, held in zip(bins.fill, bins.items, strict=True):
-                if last or fill >= length - slack:
-                    rows += [(number[i], part, sizes[i], number[held[0][0]], offset) for i, offset in held]
-                else:
-                    rows += [(number[i], part, sizes[i], None, 0) for i, _ in held]
-            return pd.DataFrame(rows, columns=["bin", "part", "size", "seq", "base"]).astype({"seq": "Int64"})
-
-        return run
+    def merge(df: pd.DataFrame) -> pd.DataFrame:
+        held = df.groupby("head")["size"].sum().reset_index().sort_values(["size", "head"], ascending=[False, True])
+        heads = held["head"].to_numpy()
+        bins = best_fit(held["size"].to_numpy(dtype=np.int64), length)
+        moved = pd.DataFrame(
+            [(heads[i], heads[inside[0][0]], offset, fill) for fill, inside in zip(bins.fill, bins.items, strict=True) for i, offset in inside],
+            columns=["head", "to", "offset", "fill"],
+        )
+        out = df.merge(moved, on="head")
+        out["base"] += out["offset"]
+        return out.assign(head=out["to"])[["bin", "part", "size", "head", "base", "fill"]]
 
     while True:
         # fewer tasks each round, but none with more than about max_items
@@ -227,21 +221,39 @@ def pack(
         last = after == 1 or after >= parts
         dealt = items.withColumn("part", F.expr(f"cast(part % {after} as int)"))
         merged = materialise(
-            dealt.groupBy("part").applyInPandas(merge(last), "bin long, part int, size int, seq long, base int"), "merged"
+            dealt.groupBy("part").applyInPandas(merge, "bin long, part int, size int, head long, base int, fill int"), "merged"
         )
-        done = merged.where("seq IS NOT NULL").select(F.col("bin").alias("b2"), "seq", "base")
+        done = merged if last and not repair else merged.where(F.col("fill") >= length - slack)
+        done = done.select(F.col("bin").alias("b2"), "head", "base")
         placed = done if placed is None else placed.unionByName(done)
+        items = merged.where(F.col("fill") < length - slack).select("bin", "part", "size", "head", "base")
         if last:
             break
-        items = merged.where("seq IS NULL").select("bin", "part", "size")
         parts, count = after, items.count()
-    rows = local.select("bin", F.inline("pieces"))
-    return rows.join(placed, rows["bin"] == placed["b2"], "left").select(
-        "doc_id",
-        "piece",
-        "start",
-        "length",
-        "ids_crc32",
-        F.coalesce("seq", "bin").alias("sequence_id"),
-        (F.col("offset") + F.coalesce("base", F.lit(0))).alias("offset"),
+
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    out = local.where("sealed").select(F.inline("pieces"), F.col("bin").alias("sequence_id")).select(*columns)
+    loose = local.where("NOT sealed").select("bin", "pieces")
+    whole = loose.join(placed, F.col("bin") == F.col("b2")).select(F.inline("pieces"), F.col("head").alias("sequence_id"), "base")
+    out = out.unionByName(whole.withColumn("offset", F.col("offset") + F.col("base")).select(*columns))
+    if not repair:
+        return out
+    opened = materialise(
+        loose.join(items.select(F.col("bin").alias("b2")), F.col("bin") == F.col("b2")).select("bin", F.posexplode("pieces").alias("k", "p")), "opened"
     )
+    tasks = max(1, -(-opened.count() // max_items))
+
+    def refit(df: pd.DataFrame) -> pd.DataFrame:
+        df = df.sort_values(["n", "bin", "k"], ascending=[False, True, True])
+        number, k = df["bin"].to_numpy(), df["k"].to_numpy()
+        bins = best_fit(df["n"].to_numpy(dtype=np.int64), length)
+        # a bin has fewer pieces than a sequence tokens, so these numbers are its first piece's own
+        rows = [
+            (number[i], k[i], -int(number[inside[0][0]]) * (length + 1) - int(k[inside[0][0]]) - 1, at) for inside in bins.items for i, at in inside
+        ]
+        return pd.DataFrame(rows, columns=["b3", "k3", "seq", "at"]).astype("int64")
+
+    sizes = opened.select("bin", "k", F.col("p.length").alias("n"), F.pmod(F.xxhash64("bin", "k"), F.lit(tasks)).alias("task"))
+    again = materialise(sizes.groupBy("task").applyInPandas(refit, "b3 long, k3 int, seq long, at long"), "repaired")
+    repaired = opened.join(again, (F.col("bin") == F.col("b3")) & (F.col("k") == F.col("k3"))).select("p.*", "seq", "at")
+    return out.unionByName(repaired.withColumn("sequence_id", F.col("seq")).withColumn("offset", F.col("at")).select(*columns))

@@ -536,6 +536,10 @@ def test_packing_is_whole_and_tight(spark, parts):
     rows = packing.pack(docs_of(spark, texts).repartition(parts), tokenizer(), fan=3).collect()
     used, least = check_packing(rows, texts)
     assert used <= least * 1.02 + 1
+    tree, _ = check_packing(packing.pack(docs_of(spark, texts).repartition(parts), tokenizer(), fan=3, repair=False).collect(), texts)
+    assert tree >= used
+    few, _ = check_packing(packing.pack(docs_of(spark, texts).repartition(parts), tokenizer(), fan=3, max_items=60).collect(), texts)
+    assert few <= least * 1.2 + 1
 
 
 def test_packing_of_odd_tables(spark):
