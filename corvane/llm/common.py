@@ -137,6 +137,11 @@ class Sketch:
             .agg(F.bit_or("__bit").alias("__mask"))
         )
 
+    @classmethod
+    def sized(cls, hashes: DataFrame) -> Sketch:
+        """With a byte for each key, 8 MB at most. ``hashes`` is counted first."""
+        return cls(hashes, min(1 << 26, max(1 << 22, 1 << (8 * hashes.count()).bit_length())))
+
     def flag(self, df: DataFrame, hash_col: str, out: str) -> DataFrame:
         """Adds boolean ``out``: whether the row's hash may be among the keys."""
         return (
@@ -162,9 +167,7 @@ def drop_rows(docs: DataFrame, lost: DataFrame, id_col: str = "doc_id", text_col
     """
     i, t = lost.columns
     gone = materialise(lost.select(F.col(i).cast("long").alias("__lost"), F.col(t).alias("__text_hash")).distinct(), "lost")
-    # a byte for each lost row, up to 8 MB
-    bits = min(1 << 26, max(1 << 22, 1 << (8 * gone.count()).bit_length()))
-    sketch = Sketch(gone.select(F.xxhash64("__lost", "__text_hash")), bits)
+    sketch = Sketch.sized(gone.select(F.xxhash64("__lost", "__text_hash")))
     named = docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__t", F.xxhash64(F.col(text_col).cast("string")))
     flagged = sketch.flag(named.withColumn("__h", F.xxhash64("__id", "__t")), "__h", "__may").drop("__h")
     names = [F.col(f"`{c}`") for c in docs.columns]
