@@ -16,6 +16,7 @@ hold their counts whatever the size of the table.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -58,38 +59,79 @@ CONTEXT = {
     "secret": "key secret password token credential aws api login",
 }
 
+#: Words before what only looks like personal data.
+CONTEXT_AGAINST = {
+    "email": "example regex pattern template",
+    "ip": "version release section chapter figure table build firmware",
+    "card": "isbn issn order invoice tracking serial article doi hash checksum",
+    "phone": "isbn issn order invoice tracking serial version id",
+    "account": "isbn issn order invoice tracking serial part model",
+    "secret": "example placeholder template sample dummy",
+}
+
 VOTERS = ("check", "gazetteer", "context", "shape", "neighbours")
 #: Each voter says yes (2), no (0) or nothing (1); kinds and base or not tell patterns apart too.
 MAX_PATTERNS = len(KINDS) * 2 * 3 ** len(VOTERS)
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with ``value`` computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _scan(items: Column, start: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str, block: int = 128) -> Column:
+    """What ``step(state, item)`` puts out for each item, as an array of ``kind``; it gives the next state and the output.
+
+    A fold that appends to one array copies it each time, which is quadratic; here arrays of a block are
+    appended to, and then the blocks.
+    """
+    n = F.size(items)
+    none, blocks = F.expr(f"cast(array() as array<{kind}>)"), F.expr(f"cast(array() as array<array<{kind}>>)")
+
+    def one(acc: Column, x: Column) -> Column:
+        state, out = step(acc["state"], x)
+        return F.struct(state.alias("state"), F.concat(acc["out"], F.array(out)).alias("out"))
+
+    def whole(acc: Column, b: Column) -> Column:
+        inner = F.aggregate(F.slice(items, b * block + 1, F.lit(block)), F.struct(acc["state"].alias("state"), none.alias("out")), one)
+        return _let(inner, lambda r: F.struct(r["state"].alias("state"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+
+    numbers = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / block).cast("int"))).otherwise(F.expr("cast(array() as array<int>)"))
+    return F.aggregate(numbers, F.struct(start.alias("state"), blocks.alias("out")), whole, lambda acc: F.flatten(acc["out"]))
+
+
+_SPAN = "struct<s:int,e:int,m:string,before:string,after:string>"
+
+
 def _spans(text: Column, pattern: str, where: Column) -> Column:
-    """``array<struct<s,e,m>>``: start, end and text of all matches, leftmost first, in code points.
+    """``array<_SPAN>``: start, end and text of all matches, leftmost first, in code points, with at most 40
+    characters before each and the one after.
 
-    What lies between matches comes from ``split`` with the same pattern, so places follow from
-    lengths alone.
+    What lies between matches comes from ``split`` with the same pattern, so places and surroundings follow
+    from the pieces alone, and the text isn't walked through for each match.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    kind = "array<struct<s:int,e:int,m:string>>"
-    folded = F.aggregate(
-        F.zip_with(found, F.split(text, pattern, -1), lambda m, gap: F.struct(m.alias("m"), F.char_length(gap).alias("g"))),
-        F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {kind})").alias("out")),
-        lambda acc, x: F.when(x["m"].isNull(), acc).otherwise(
-            F.struct(
-                (acc["at"] + x["g"] + F.char_length(x["m"])).alias("at"),
-                F.concat(
-                    acc["out"],
-                    F.array(
-                        F.struct(
-                            (acc["at"] + x["g"]).alias("s"), (acc["at"] + x["g"] + F.char_length(x["m"])).alias("e"), x["m"].alias("m")
-                        )
-                    ),
-                ).alias("out"),
-            )
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.when(where & F.regexp_like(text, F.lit(pattern)), folded).otherwise(F.expr(f"cast(array() as {kind})"))
+
+    def pieces(found: Column, gaps: Column) -> Column:
+        return F.transform(
+            found,
+            lambda m, i: F.struct(
+                m.alias("m"),
+                F.get(gaps, i).alias("gap"),
+                F.substring(F.concat(F.get(gaps, i + 1), F.coalesce(F.get(found, i + 1), F.lit(""))), 1, 1).alias("after"),
+            ),
+        )
+
+    def step(state: Column, x: Column) -> tuple[Column, Column]:
+        start = state["at"] + F.char_length(x["gap"])
+        end = start + F.char_length(x["m"])
+        before = F.right(F.concat(state["tail"], x["gap"]), F.lit(40))
+        span = F.struct(start.alias("s"), end.alias("e"), x["m"].alias("m"), before.alias("before"), x["after"].alias("after"))
+        return F.struct(end.alias("at"), F.right(F.concat(before, x["m"]), F.lit(40)).alias("tail")), span
+
+    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"))
+    folded = _let(F.struct(found.alias("f"), gaps.alias("g")), lambda r: _let(pieces(r["f"], r["g"]), lambda p: _scan(p, start, step, _SPAN)))
+    return F.when(where & F.regexp_like(text, F.lit(pattern)), folded).otherwise(F.expr(f"cast(array() as array<{_SPAN}>)"))
 
 
 def _digits(m: Column) -> Column:
@@ -165,18 +207,17 @@ def _shape(kind: str, m: Column) -> Column:
     return _vote(n.between(11, 34), n > 34)
 
 
-def _candidate(kind: str, text: Column, x: Column, base: bool) -> Column:
+def _candidate(kind: str, x: Column, base: bool) -> Column:
     """The span with its vote pattern as one number below ``MAX_PATTERNS``."""
     m = x["m"]
-    before = F.lower(F.substring(text, F.greatest(F.lit(1), x["s"] - 39), F.least(F.lit(40), x["s"])))
-    after = F.substring(text, x["e"] + 1, F.lit(1))
-    words = "|".join(CONTEXT[kind].split())
+    before = F.lower(x["before"])
+    said = lambda words: F.regexp_like(before, F.lit(rf"(?<![\p{{L}}])(?:{'|'.join(words.split())})(?![\p{{L}}])"))
     if base:
         check = _vote(_passes(kind, m), ~_passes(kind, m))
     else:
         check = _vote(F.lit(kind in ("secret", "ip")), F.lit(False))
-    context = _vote(F.regexp_like(before, F.lit(rf"(?<![\p{{L}}])(?:{words})(?![\p{{L}}])")), F.lit(False))
-    glued = F.regexp_like(F.concat(F.substring(before, -1, 1), after), F.lit("[0-9A-Za-z_/=]"))
+    context = _vote(said(CONTEXT[kind]), said(CONTEXT_AGAINST[kind]))
+    glued = F.regexp_like(F.concat(F.right(before, F.lit(1)), x["after"]), F.lit("[0-9A-Za-z_/=]"))
     votes = (check, _gazetteer(kind, m), context, _shape(kind, m), _vote(~glued, glued))
     code = F.lit(KINDS.index(kind) * 2 + (0 if base else 1))
     for v in votes:
@@ -202,7 +243,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = rows.select("doc_id", "t", *(c.alias(k) for k, c in raw.items()))
 
     def judged(kind: str, base: bool) -> Column:
-        return F.transform(f"{'b' if base else 'w'}_{kind}", lambda x: _candidate(kind, t, x, base))
+        return F.transform(f"{'b' if base else 'w'}_{kind}", lambda x: _candidate(kind, x, base))
 
     base = F.concat(*(judged(k, True) for k in BASE))
     wide = F.concat(*(judged(k, False) for k in ADDED))
@@ -290,8 +331,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
     """``doc_id, base, added``: spans (``kind, s, e``) per row of ``docs``.
 
     ``base`` are the spans of the four exact rules, in the order of ``BASE`` and then by start.
-    ``added`` are those the classifier accepts which overlap no base span and no added span of
-    an earlier kind. Null and empty texts have none; rows that repeat are searched one by one;
+    ``added`` are those the classifier accepts which overlap no base span, by start; of some that overlap one another
+    the first stays, by start and then by kind. Null and empty texts have none; rows that repeat are searched one by one;
     an empty table gives no rows. Other columns are ignored.
     """
     proposed = materialise(candidates(docs, id_col, text_col), "pii")
@@ -301,34 +342,56 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
     plain = lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"))
     base = F.transform(F.filter("spans", lambda x: x["base"]), plain)
     more = F.transform(F.filter("spans", lambda x: ~x["base"] & F.array_contains(ok, x["code"])), plain)
-    clear = F.aggregate(
-        "more",
-        F.expr("cast(array() as array<struct<kind:string,s:int,e:int>>)"),
-        lambda acc, x: F.when(
-            F.exists(F.concat(F.col("base"), acc), lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"])), acc
-        ).otherwise(F.concat(acc, F.array(x))),
-    )
+    clear = _clear(F.col("base"), F.col("more"))
     return proposed.select("doc_id", base.alias("base"), more.alias("more")).withColumn(
         "added", F.when(F.size("more") > 0, clear).otherwise(F.col("more"))
     ).drop("more")
 
 
+def _clear(base: Column, more: Column) -> Column:
+    """Those of ``more`` that overlap no span of ``base`` and none before them that is kept, in linear time once sorted."""
+    kind = "struct<s:int,add:int,kind:string,e:int>"
+    placed = lambda add: lambda x: F.struct(x["s"].alias("s"), F.lit(add).alias("add"), x["kind"].alias("kind"), x["e"].alias("e"))
+    none = F.lit(None).cast(kind)
+
+    def from_end(follows: Column, x: Column) -> tuple[Column, Column]:
+        """State: where the next base span starts."""
+        return F.when(x["add"] == 0, x["s"]).otherwise(follows), F.when((x["add"] == 0) | (follows >= x["e"]), x).otherwise(none)
+
+    def from_start(taken: Column, x: Column) -> tuple[Column, Column]:
+        """State: up to where text is taken. A base span always stays, an empty one takes nothing."""
+        free = (x["add"] == 0) | (taken <= x["s"])
+        return F.when(free, F.greatest(taken, x["e"])).otherwise(taken), F.when(free, x).otherwise(none)
+
+    every = F.array_sort(F.concat(F.transform(base, placed(0)), F.transform(more, placed(1))))
+    first = _let(F.reverse(every), lambda a: _scan(a, F.lit(2**31 - 1), from_end, kind))
+    second = _let(F.reverse(F.array_compact(first)), lambda a: _scan(a, F.lit(0), from_start, kind))
+    kept = F.filter(F.array_compact(second), lambda x: x["add"] == 1)
+    return F.transform(kept, lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
+
+
 def mask(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``doc_id`` and the text with every span replaced by its kind in brackets. Ids must be unique."""
-    spans = find(docs).select(F.col("doc_id").alias("__id"), F.array_sort(F.concat(F.transform("base", _by_start), F.transform("added", _by_start))).alias("sp"))
-    joined = docs.select("doc_id", F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(spans, F.col("doc_id") == F.col("__id"))
-    out = F.aggregate(
-        "sp",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("o")),
-        lambda acc, x: F.when(x["s"] < acc["at"], acc).otherwise(
-            F.struct(
-                x["e"].alias("at"),
-                F.concat(acc["o"], F.substring("t", acc["at"] + 1, x["s"] - acc["at"]), F.lit("["), x["kind"], F.lit("]")).alias("o"),
-            )
-        ),
-        lambda acc: F.concat(acc["o"], F.substring("t", acc["at"] + 1, F.char_length("t"))),
+    """``doc_id`` and the text with every span replaced by its kind in brackets.
+
+    Spans that overlap one before them are covered by that one's brackets as far as it goes. Null counts as empty. Rows
+    are masked one by one, whether their ids are null or repeated. An empty table gives no rows. Other columns are
+    left out.
+    """
+    rows = materialise(
+        docs.select("doc_id", F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("row", F.monotonically_increasing_id()), "numbered"
     )
-    return joined.select("doc_id", out.alias("text"))
+    found = find(rows, id_col="row").select(F.col("doc_id").alias("at"), F.array_sort(F.concat(F.transform("base", _by_start), F.transform("added", _by_start))).alias("sp"))
+    kind = "string"
+
+    def step(end: Column, x: Column) -> tuple[Column, Column]:
+        """State: up to where the text is given out. The text between spans is cut from what is left of the start."""
+        return F.greatest(end, x["e"]), F.when(
+            x["s"] >= end, F.concat(F.substring(F.col("text"), end + 1, x["s"] - end), F.lit("["), x["kind"], F.lit("]"))
+        ).otherwise(F.lit(""))
+
+    last = F.greatest(F.lit(0), F.coalesce(F.array_max(F.transform("sp", lambda x: x["e"])), F.lit(0)))
+    out = F.concat(F.array_join(_scan(F.col("sp"), F.lit(0), step, kind), ""), F.substring(F.col("text"), last + 1, F.char_length("text")))
+    return rows.join(found, F.col("row") == F.col("at")).select("doc_id", out.alias("text"))
 
 
 def _by_start(x: Column) -> Column:

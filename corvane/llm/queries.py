@@ -136,6 +136,7 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *(count(k).alias(f"n_{k}") for k in pii.BASE),
         F.sha2(pii.listing(F.col("base")), 256).alias("base_sha256"),
         pii.listing(every).alias("spans"),
+        F.size(every).cast("long").alias("n_spans"),
     )
 
 

@@ -508,6 +508,90 @@ def test_long_secrets_are_masked_to_their_end(spark):
     assert pii.mask(docs).first().text == 'api [secret] and key [secret], [secret]" end'
 
 
+def planted(n=600, seed=12):
+    """Texts with added spans of known kinds and places, and texts with look-alikes only."""
+    rnd = random.Random(seed)
+    digits = lambda k: "".join(rnd.choice("0123456789") for _ in range(k))
+    letters = lambda k, a="abcdefghijklmnop0123456789": "".join(rnd.choice(a) for _ in range(k))
+    make = {
+        "email": lambda: f"{letters(6)} [at] {letters(5)} [dot] com",
+        "ip": lambda: ":".join(letters(4, "0123456789abcdef") for _ in range(8)),
+        "phone": lambda: f"({rnd.randint(200, 999)}) {digits(3)}-{digits(4)}",
+        "account": lambda: f"{rnd.choice(['DE', 'GB', 'FR'])}{digits(2)}" + "".join(f" {digits(4)}" for _ in range(4)),
+        "secret": lambda: rnd.choice([lambda: "AKIA" + letters(16, "ABCDEFGH0123456789"), lambda: "ghp_" + letters(36), lambda: f"password={letters(14)}7x"])(),
+    }
+    lead = {"email": "write to ", "ip": "host ", "phone": "call ", "account": "iban ", "secret": ""}
+    harmless = [lambda: f"version {digits(1)}.{digits(1)}", lambda: f"in {digits(4)}", lambda: "at dot com", lambda: f"{digits(3)}-{digits(3)}", lambda: "password is required", lambda: f"ratio {digits(2)}:{digits(2)}"]
+    rows, truth = [], {}
+    for i in range(n):
+        words = [letters(rnd.randint(2, 8), "abcdefghij") for _ in range(rnd.randint(3, 30))]
+        t, kind = " ".join(words) + " ", None
+        if i % 2:
+            kind = rnd.choice(list(make))
+            t += lead[kind]
+            span = make[kind]()
+            while kind == "account" and luhn(re.sub("[^0-9]", "", span)):  # a card by the base rules, which stay
+                span = make[kind]()
+            truth[i] = (kind, len(t), len(t) + len(span))
+            t += span
+        else:
+            t += rnd.choice(harmless)()
+        rows.append((i, t + " " + " ".join(words[:3])))
+    return rows, truth
+
+
+def test_added_spans_recall_and_precision_of_each_kind(spark):
+    rows, truth = planted()
+    got = {r.doc_id: [(x.kind, x.s, x.e) for x in r.added] for r in pii.find(docs_of(spark, rows)).collect()}
+    for kind in pii.ADDED:
+        want = {i for i, (k, *_) in truth.items() if k == kind}
+        found = {i for i in want if truth[i] in got[i]}
+        claimed = {i for i, spans in got.items() if any(k == kind for k, *_ in spans)}
+        assert len(found) >= 0.95 * len(want) > 20, kind
+        assert len(claimed & want) >= 0.95 * len(claimed), kind
+
+
+def test_context_speaks_for_and_against(spark):
+    docs = docs_of(spark, [(1, "my phone is (212) 555-1234"), (2, "order number (212) 555-1234"), (3, "some words (212) 555-1234")])
+    at = pii.VOTERS.index("context")
+    votes = {r.doc_id: [pii._decode(c)[2][at] for c in r.codes] for r in pii.candidates(docs).select("doc_id", F.expr("filter(spans, x -> x.kind = 'phone').code").alias("codes")).collect()}
+    assert votes == {1: [2], 2: [0], 3: [1]}
+
+
+def test_overlaps_equal_brute_force(spark):
+    rnd = random.Random(8)
+    rows, want = [], {}
+    kind = "array<struct<kind:string,s:int,e:int>>"
+    for i in range(300):
+        base, more = ([(rnd.choice("ab"), s, s + rnd.randint(1, 9)) for s in rnd.sample(range(300), rnd.randint(0, n))] for n in (6, 60))
+        rows.append((i, base, more))
+        kept, end = [], 0
+        for s, k, e in sorted((s, k, e) for k, s, e in more):
+            if all(e <= a or z <= s for _, a, z in base) and end <= s:
+                kept.append((k, s, e))
+                end = e
+        want[i] = kept
+    df = spark.createDataFrame(rows, f"i int, base {kind}, more {kind}")
+    assert {r.i: [tuple(x) for x in r.c] for r in df.select("i", pii._clear(F.col("base"), F.col("more")).alias("c")).collect()} == want
+
+
+def test_many_spans_take_linear_time(spark):
+    def seconds(n):
+        docs = docs_of(spark, [(1, "a@b.c 10.0.0.1 +1 988 555 2485, " * n)])
+        t = time.time()
+        assert len(pii.find(docs).first().base) >= 3 * n
+        return time.time() - t
+
+    seconds(100)
+    assert seconds(20_000) < 6 * seconds(5_000) + 2
+
+
+def test_masking_of_odd_tables(spark):
+    docs = docs_of(spark, [(None, "to me@x.org"), (1, "to me@x.org"), (1, "and you@x.org"), (2, None), (3, "")]).withColumn("sp", F.lit(1)).withColumn("t", F.lit(2))
+    assert sorted((r.doc_id or 0, r.text or "") for r in pii.mask(docs).collect()) == [(0, "to [email]"), (1, "and [email]"), (1, "to [email]"), (2, ""), (3, "")]
+    assert pii.mask(docs.limit(0)).count() == 0
+
+
 def test_em_learns_who_is_right():
     # the first voter agrees with the majority, the last speaks at random
     def code(votes):
