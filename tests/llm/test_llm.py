@@ -1011,6 +1011,43 @@ def test_pipeline_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == seen["packing"].count()
 
 
+def test_every_stage_on_odd_tables(spark, tmp_path):
+    docs, labels = labelled(spark, 300)
+    labels.unionByName(spark.createDataFrame([(None, 1, 1), (2, None, None)], labels.schema)).write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "text here"), (None, "w w"), (3, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    before = odd(spark)
+    ids = lambda df: sorted(r.doc_id or 0 for r in df.select("doc_id").collect())
+    want = {
+        "toxicity": [0, 1, 2, 2, 3, 4, 5, 6, 7],
+        "exact_dedup": [2, 2, 4, 5, 6, 7],
+        "near_dedup": [0, 1, 3, 4, 5, 6, 7],
+        "decontamination": [0, 1, 2, 2, 3, 4, 5, 6, 7],
+    }
+    for name, stage in corpus_pipeline.STAGES:
+        train = docs.select(*docs.columns, *(F.lit(7).alias(c) for c in before.columns if c not in docs.columns))
+        given = before.unionByName(train) if name == "toxicity" else before
+        out = stage(spark, given, str(tmp_path))
+        if name == "packing":
+            assert sum(r.piece == 0 for r in out.collect()) == 9
+            continue
+        assert out.schema == before.schema
+        if name == "toxicity":  # the labelled rows share ids with the odd ones
+            out = out.join(before.select("doc_id", "text"), ["doc_id", "text"], "left_semi").unionByName(out.where("doc_id IS NULL OR text IS NULL"))
+        assert ids(out) == want[name], name
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    docs, labels = labelled(spark, 300)
+    rows = odd(spark).withColumn("doc_id", F.col("doc_id") + 5000)
+    both = rows.unionByName(docs, allowMissingColumns=True)
+    both.write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "no such passage in it")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    # of the group of four the two rows of largest id, of null and empty text the latter
+    assert sorted(r.doc_id for r in out.where("piece = 0 AND doc_id >= 5000").collect()) == [5002, 5002, 5004, 5005, 5006, 5007]
+
+
 def test_pipeline_of_an_empty_table(spark, tmp_path):
     docs, labels = labelled(spark, 1)
     docs.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
