@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -12,6 +11,7 @@ from corvane.operators.access import Principal
 from corvane.operators.evidence import EvidenceColumn, Layer, Manifest, View
 from corvane.plans.inputs import PIN, ctes, derived, table
 from corvane.plans.registry import query
+from corvane.session import shared_dir
 from corvane.streaming import streams
 
 ORDERS = [
@@ -218,8 +218,7 @@ def intents(spark, d):
 
 
 def _scratch(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corvane-stream-")
-    return f"{base.rstrip('/')}/streams/{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/corvane/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
 
 
 def _stream(spark, d, frame, parts: int = 3):

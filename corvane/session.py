@@ -2,9 +2,42 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Sends the package to the Python workers, once for each context, so that none needs it on its path."""
+    context = spark.sparkContext
+    if not getattr(context, "_corvane_shipped", False):
+        package = Path(__file__).resolve().parent
+        archive = Path(tempfile.mkdtemp(prefix="corvane-")) / "corvane.zip"  # read by the driver alone, which serves it
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in sorted(package.rglob("*.py")):
+                z.write(f, f.relative_to(package.parent))
+        context.addPyFile(str(archive))
+        context._corvane_shipped = True
+    return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share.
+
+    A session that has none gets a temporary one if it runs on one machine; on a cluster that would be
+    another folder for each executor, so there the setting is required.
+    """
+    d = spark.conf.get("spark.checkpoint.dir", None)
+    if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        d = tempfile.mkdtemp(prefix="corvane-checkpoint-")
+        spark.conf.set("spark.checkpoint.dir", d)
+    return d.rstrip("/")
+
+
 def session(app: str = "corvane", master: str | None = None, shuffle_gb: float | None = None, **conf: str) -> SparkSession:
     """UTC, adaptive execution, skew joins split. ``shuffle_gb`` sizes shuffle partitions to about 128 MB."""
     b = SparkSession.builder.appName(app)
@@ -20,4 +53,4 @@ def session(app: str = "corvane", master: str | None = None, shuffle_gb: float |
     }
     if shuffle_gb is not None:
         settings["spark.sql.shuffle.partitions"] = str(max(8, round(shuffle_gb * 8)))
-    return b.config(map=settings | conf).getOrCreate()
+    return ship(b.config(map=settings | conf).getOrCreate())
