@@ -9,6 +9,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.session import shared_dir
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -60,26 +62,9 @@ def ascii_lower(c: Column) -> Column:
     )
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    A session that has none gets a temporary one if it runs on one machine; on a cluster that would be
-    another folder for each executor, so there the setting is required.
-    """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        import tempfile
-
-        d = tempfile.mkdtemp(prefix="corvane-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    return d
-
-
 def scratch_dir(spark: SparkSession) -> str:
     """This application's own part of the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/corvane/{spark.sparkContext.applicationId}"
+    return f"{shared_dir(spark)}/corvane/{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
