@@ -17,8 +17,8 @@ STOP_WORDS = (
     "just don should now"
 ).split()
 
-# Phrases by which a text gives away that it talks about itself.
-META_MARKERS = ("as an ai", "language model", "i cannot", "in this chapter", "the author", "[placeholder]")
+# Phrases that give away an assistant or a template.
+META_MARKERS = ("as an ai", "as a language model", "i cannot assist", "i'm sorry, but", "[insert", "lorem ipsum")
 
 
 def normalized_claim(subject: Column, key: Column, value: Column) -> Column:
@@ -27,17 +27,19 @@ def normalized_claim(subject: Column, key: Column, value: Column) -> Column:
 
 
 def split_normalized(c: Column) -> Column:
-    """Struct ``subject, key, value``: the first ``=`` ends the name, its last ``.`` splits it."""
-    name = F.substring_index(c, "=", 1)
-    ok = c.contains("=") & name.contains(".")
+    """Struct ``subject, key, value``, each trimmed: the first ``=`` ends the name, its last ``.`` splits it.
+
+    A name without ``.`` is a key without subject, a text without ``=`` a value without name.
+    """
+    named = c.contains("=")
+    name = F.trim(F.substring_index(c, "=", 1))
     key = F.substring_index(name, ".", -1)
-    return F.when(
-        ok,
-        F.struct(
-            F.substring(name, F.lit(1), F.char_length(name) - F.char_length(key) - 1).alias("subject"),
-            key.alias("key"),
-            F.substring(c, F.char_length(name) + 2, F.char_length(c)).alias("value"),
-        ),
+    subject = F.substring(name, F.lit(1), F.greatest(F.lit(0), F.char_length(name) - F.char_length(key) - 1))
+    value = F.substring(c, F.char_length(F.substring_index(c, "=", 1)) + 2, F.char_length(c))
+    return F.struct(
+        F.when(named, F.trim(subject)).otherwise(F.lit("")).alias("subject"),
+        F.when(named, F.trim(key)).otherwise(F.lit("")).alias("key"),
+        F.trim(F.when(named, value).otherwise(c)).alias("value"),
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.functions.text import normalized_claim, scope_group
+from corvane.functions.text import claim_key, normalized_claim, scope_group
 
 
 def tier0(facts: DataFrame) -> DataFrame:
@@ -24,33 +24,37 @@ def tier0(facts: DataFrame) -> DataFrame:
 
 
 def tier1(facts: DataFrame) -> DataFrame:
-    """A summary per first segment of the scope."""
-    per = facts.groupBy(scope_group(F.coalesce("scope_path", F.lit(""))).alias("scope")).agg(
-        F.count(F.lit(1)).alias("n_facts"),
-        F.max("seq").alias("built_from_seq"),
-        F.countDistinct("scope_path").alias("n_scopes"),
-        F.array_join(F.array_sort(F.collect_set("key")), ", ").alias("keys"),
+    """A summary per first segment of the scope: the claim keys, without values."""
+    group = scope_group(F.coalesce("scope_path", F.lit(""))).alias("scope")
+    keys = facts.select(group, claim_key(F.col("subject"), F.col("key")).alias("k")).distinct()
+    listed = keys.groupBy("scope").agg(F.array_join(F.array_sort(F.collect_list("k")), ", ").alias("keys"))
+    per = facts.groupBy(group).agg(
+        F.count(F.lit(1)).alias("n_facts"), F.max("seq").alias("built_from_seq"), F.countDistinct("scope_path").alias("n_scopes")
     )
     text = F.concat(
-        F.col("scope"), F.lit(": "), F.col("n_facts").cast("string"), F.lit(" facts in "), F.col("n_scopes").cast("string"),
+        F.lit("[group "), F.col("scope"), F.lit("] "), F.col("n_facts").cast("string"), F.lit(" facts across "), F.col("n_scopes").cast("string"),
         F.lit(" scopes; keys: "), F.col("keys"),
     )
-    return per.select("scope", "n_facts", "built_from_seq", text.alias("text")).withColumn("sha256", F.sha2("text", 256))
+    return per.join(listed, "scope").select("scope", "n_facts", "built_from_seq", text.alias("text")).withColumn("sha256", F.sha2("text", 256))
 
 
 def tier2(facts: DataFrame) -> DataFrame:
-    """One summary of everything, of nothing too."""
+    """One summary of everything, of nothing too. Its scope is the empty one."""
+    subjects = facts.select("subject").distinct().agg(
+        F.count(F.lit(1)).alias("n_subjects"), F.array_join(F.array_sort(F.collect_list("subject")), ", ").alias("subjects")
+    )
     all_ = facts.agg(
         F.count(F.lit(1)).alias("n_facts"),
         F.coalesce(F.max("seq"), F.lit(0)).alias("built_from_seq"),
         F.countDistinct("scope_path").alias("n_scopes"),
-        F.countDistinct("subject").alias("n_subjects"),
     )
     text = F.concat(
-        F.col("n_facts").cast("string"), F.lit(" facts, "), F.col("n_scopes").cast("string"), F.lit(" scopes, "),
-        F.col("n_subjects").cast("string"), F.lit(" subjects"),
+        F.lit("[rollup] "), F.col("n_facts").cast("string"), F.lit(" facts, "), F.col("n_scopes").cast("string"), F.lit(" scopes, "),
+        F.col("n_subjects").cast("string"), F.lit(" subjects: "), F.col("subjects"),
     )
-    return all_.select(F.lit("*").alias("scope"), "n_facts", "built_from_seq", text.alias("text")).withColumn("sha256", F.sha2("text", 256))
+    # both sides have one row
+    both = all_.crossJoin(F.broadcast(subjects))
+    return both.select(F.lit("").alias("scope"), "n_facts", "built_from_seq", text.alias("text")).withColumn("sha256", F.sha2("text", 256))
 
 
 def ladder(facts: DataFrame) -> DataFrame:

@@ -18,15 +18,33 @@ from corvane.operators.ledger import latest_per_key
 
 SEVERITY = {"info": 0, "warn": 1, "block": 2}
 
+# What the rules are called.
+RULE_ANCHOR = "gate.anchor-consistency"
+RULE_LEDGER = "gate.ledger-conflict"
+RULE_ORPHAN = "gate.orphaned-reference"
+RULE_META = "gate.meta-leakage"
+RULE_SIMILARITY = "gate.lexical-similarity"
+SIMILARITY_THRESHOLD = 0.9
 
-def _finding(rule: str, severity: str, message: Column, detail: Column) -> list[Column]:
+
+def told(*parts: Column | str) -> Column:
+    """A message of texts and columns; an unknown value reads as nothing."""
+    return F.concat(*(F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit("")) for p in parts))
+
+
+def detail(**values: Column) -> Column:
+    """A JSON object, keys in alphabetical order, unknown values as null."""
+    return F.to_json(F.struct(*(values[k].alias(k) for k in sorted(values))), {"ignoreNullFields": "false"})
+
+
+def _finding(rule: str, severity: str, message: Column, key: Column, about: Column) -> list[Column]:
     return [
         F.col("cid"),
         F.lit(rule).alias("rule_id"),
         F.lit(severity).alias("severity"),
         message.alias("message"),
-        F.col("claim_key"),
-        detail.alias("detail"),
+        key.cast("string").alias("claim_key"),
+        about.alias("detail"),
     ]
 
 
@@ -34,12 +52,46 @@ def keyed(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("claim_key", claim_key(F.col("subject"), F.col("key")))
 
 
+def _locked(candidates: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Candidates with the anchor of their key, null without one; anchors without an id get a null one."""
+    known = F.col("id") if "id" in anchors.columns else F.lit(None).cast("string")
+    named = anchors.select(F.col("detail_key").alias("claim_key"), "locked_value", known.alias("anchor_id"))
+    return candidates.join(named, "claim_key", "left")
+
+
+def _accepted(candidates: DataFrame, facts: DataFrame) -> DataFrame:
+    """Candidates with the latest accepted fact of their key, null without one."""
+    latest = latest_per_key(facts).select(
+        "claim_key", F.col("value").alias("canon_value"), F.col("id").alias("canon_claim_id"), F.col("seq").alias("canon_seq")
+    )
+    return candidates.join(latest, "claim_key", "left")
+
+
+def _against_anchor() -> Column:
+    return F.coalesce(fold(F.col("value")) != fold(F.col("locked_value")), F.lit(False))
+
+
+def _against_ledger() -> Column:
+    new = (F.col("claim_type") != "correction") & F.col("supersedes_id").isNull()
+    return F.coalesce(new & (fold(F.col("value")) != fold(F.col("canon_value"))), F.lit(False))
+
+
+def _anchor_finding() -> list[Column]:
+    key, value, locked = F.col("claim_key"), F.col("value"), F.col("locked_value")
+    message = told("claim '", key, "=", value, "' contradicts locked anchor value '", locked, "'")
+    return _finding(RULE_ANCHOR, "block", message, key, detail(claim_key=key, proposed_value=value, locked_value=locked, anchor_id=F.col("anchor_id")))
+
+
+def _ledger_finding() -> list[Column]:
+    key, value, canon = F.col("claim_key"), F.col("value"), F.col("canon_value")
+    message = told("claim '", key, "=", value, "' conflicts with accepted canon '", key, "=", canon, "' (use a correction to supersede)")
+    about = detail(claim_key=key, proposed_value=value, canon_value=canon, canon_claim_id=F.col("canon_claim_id"), canon_seq=F.col("canon_seq"))
+    return _finding(RULE_LEDGER, "block", message, key, about)
+
+
 def anchor_gate(candidates: DataFrame, anchors: DataFrame) -> DataFrame:
     """A candidate with another value than a locked anchor of its key is blocked."""
-    hit = keyed(candidates).join(anchors.select(F.col("detail_key").alias("claim_key"), "locked_value"), "claim_key")
-    return hit.where(fold(F.col("value")) != fold(F.col("locked_value"))).select(
-        _finding("anchor.conflict", "block", F.concat(F.col("claim_key"), F.lit(" is locked")), F.col("locked_value"))
-    )
+    return _locked(keyed(candidates), anchors).where(_against_anchor()).select(_anchor_finding())
 
 
 def ledger_gate(candidates: DataFrame, facts: DataFrame) -> DataFrame:
@@ -47,29 +99,34 @@ def ledger_gate(candidates: DataFrame, facts: DataFrame) -> DataFrame:
 
     Corrections, and candidates that name what they supersede, are exempt.
     """
-    new = keyed(candidates).where("claim_type <> 'correction' AND supersedes_id IS NULL")
-    latest = latest_per_key(facts).select("claim_key", F.col("value").alias("accepted"))
-    return (
-        new.join(latest, "claim_key")
-        .where(fold(F.col("value")) != fold(F.col("accepted")))
-        .select(_finding("ledger.conflict", "block", F.concat(F.col("claim_key"), F.lit(" is accepted otherwise")), F.col("accepted")))
-    )
+    return _accepted(keyed(candidates), facts).where(_against_ledger()).select(_ledger_finding())
 
 
 def orphan_gate(candidates: DataFrame, facts: DataFrame) -> DataFrame:
     """A correction of something not in the ledger. Subject and whole key must both be known,
     for dots in names make keys ambiguous."""
     corrections = keyed(candidates).where("claim_type = 'correction'")
-    known = facts.select("subject", claim_key(F.col("subject"), F.col("key")).alias("claim_key")).distinct()
-    return corrections.join(known, ["subject", "claim_key"], "left_anti").select(
-        _finding("correction.orphan", "warn", F.concat(F.lit("nothing to correct at "), F.col("claim_key")), F.lit(None).cast("string"))
-    )
+    return corrections.join(_known(facts, "subject"), "subject", "left").join(_known(facts, "claim_key"), "claim_key", "left").where(_orphaned()).select(_orphan_finding())
+
+
+def _known(facts: DataFrame, name: str) -> DataFrame:
+    return keyed(facts).select(name).distinct().withColumn(f"known_{name}", F.lit(True))
+
+
+def _orphaned() -> Column:
+    return (F.col("claim_type") == "correction") & (F.col("known_subject").isNull() | F.col("known_claim_key").isNull())
+
+
+def _orphan_finding() -> list[Column]:
+    key = F.col("claim_key")
+    return _finding(RULE_ORPHAN, "warn", told("correction targets '", key, "' but no such canon was established"), key, detail(claim_key=key))
 
 
 def meta_gate(candidates: DataFrame) -> DataFrame:
     """One finding for each marker in a candidate's text."""
-    marked = keyed(candidates).withColumn("marker", F.explode(meta_markers(F.col("text"))))
-    return marked.select(_finding("text.meta", "warn", F.concat(F.lit("text contains "), F.col("marker")), F.col("marker")))
+    marked = candidates.withColumn("marker", F.explode(meta_markers(F.col("text"))))
+    message = told("output contains meta-leakage marker '", F.col("marker"), "'")
+    return marked.select(_finding(RULE_META, "warn", message, F.lit(None), detail(marker=F.col("marker"))))
 
 
 def similarity_ratio(a: str, b: str) -> float:
@@ -91,23 +148,27 @@ def similarity_gate(pairs: DataFrame, least: float = 0.9, keep: Sequence[str] =
             out = b.assign(ratio=ratio)
             yield out[out["ratio"] >= least][[*keep, "previous", "ratio"]]
 
-    schema = ", ".join(f"{c} string" for c in keep)
+    kinds = dict(pairs.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in keep)
     return possible.select(*keep, "text", "previous").mapInPandas(run, f"{schema}, previous string, ratio double")
 
 
-def repetition_gate(candidates: DataFrame, previous: DataFrame, least: float = 0.9) -> DataFrame:
+def repetition_gate(candidates: DataFrame, previous: DataFrame, least: float = SIMILARITY_THRESHOLD) -> DataFrame:
     """One finding for each previous text that a candidate's text nearly repeats.
 
-    ``previous``: ``cid, previous``, the texts before each candidate; without ``cid`` they stand before all of them.
+    ``previous``: ``cid, previous_index, previous``, the texts before each candidate in their order, from 0; without
+    ``cid`` they stand before all of them.
     """
-    new = keyed(candidates).select("cid", "claim_key", "text")
+    new = candidates.select("cid", "text")
     if "cid" in previous.columns:
-        near = similarity_gate(new.join(previous.select("cid", "previous"), "cid"), least, ("cid", "claim_key"))
+        near = similarity_gate(new.join(previous.select("cid", "previous_index", "previous"), "cid"), least, ("cid", "previous_index"))
     else:  # each text is compared once, however many candidates have it
-        pairs = new.select("text").distinct().crossJoin(previous.select("previous"))
-        near = new.join(similarity_gate(pairs.withColumn("same", F.col("text")), least, ("same",)), F.col("text") == F.col("same"))
-    share = F.floor(F.col("ratio") * 100).cast("string")
-    return near.select(_finding("text.similarity", "warn", F.concat(F.lit("text is "), share, F.lit("% similar to a previous one")), F.col("previous")))
+        pairs = new.select("text").distinct().crossJoin(previous.select("previous_index", "previous"))
+        near = new.join(similarity_gate(pairs.withColumn("same", F.col("text")), least, ("same", "previous_index")), F.col("text") == F.col("same"))
+    index, ratio = F.col("previous_index").cast("int"), F.col("ratio")
+    share = F.format_string("%.0f", F.bround(ratio * 100, 0))
+    message = told("output is ", share, "% similar to previous unit ", index, f" (threshold {least:.0%})")
+    return near.select(_finding(RULE_SIMILARITY, "warn", message, F.lit(None), detail(previous_index=index, ratio=ratio)))
 
 
 def counter_gate(candidates: DataFrame, patterns: Sequence[tuple[str, int]]) -> DataFrame:
@@ -126,10 +187,23 @@ def run_gates(
 
     ``previous`` are the texts before the candidates, as in ``repetition_gate``; without any, none can be repeated. Outside extended mode blocks are warnings.
     """
-    anchor = anchor_gate(candidates, anchors)
-    told = anchor.select("cid", "claim_key").distinct()
-    ledger = ledger_gate(candidates, facts).join(told, ["cid", "claim_key"], "left_anti").select(anchor.columns)
-    out = anchor.unionByName(ledger).unionByName(orphan_gate(candidates, facts)).unionByName(meta_gate(candidates))
+    # one pass over the candidates looks up anchor and fact, and each row tells what holds of it
+    looked = _accepted(_locked(keyed(candidates), anchors), facts)
+    looked = looked.join(_known(facts, "subject"), "subject", "left").join(_known(facts, "claim_key"), "claim_key", "left")
+    names = ("cid", "rule_id", "severity", "message", "claim_key", "detail")
+    of = lambda holds, finding: F.when(holds, F.struct(*(c.alias(n) for c, n in zip(finding, names, strict=True))))
+    by_anchor = _against_anchor()
+    # within a candidate an anchor finding stands for a ledger finding of the same key
+    subsumed = F.max(by_anchor).over(Window.partitionBy("cid", "claim_key"))
+    looked = looked.withColumn("__subsumed", subsumed)
+    found = F.array_compact(
+        F.array(
+            of(by_anchor, _anchor_finding()),
+            of(_against_ledger() & ~F.col("__subsumed"), _ledger_finding()),
+            of(_orphaned(), _orphan_finding()),
+        )
+    )
+    out = looked.select(F.explode(found).alias("f")).select("f.*").unionByName(meta_gate(candidates))
     if previous is not None:
         out = out.unionByName(repetition_gate(candidates, previous))
     return out if extended else downgrade(out)
@@ -148,9 +222,13 @@ def disputed(candidates: DataFrame, findings: DataFrame) -> DataFrame:
 
 
 def findings_view(
-    findings: DataFrame, rule: str | None = None, rule_prefix: str | None = None, severity: str | None = None, as_of_seq: int | None = None
+    findings: DataFrame,
+    rule: str | None = None,
+    rule_prefix: str | None = None,
+    severity: str | None = None,
+    as_of_seq: int | None = None,
 ) -> DataFrame:
-    """Findings by rule, literal prefix of the rule, severity and pin; each may be left out."""
+    """Findings by rule, literal prefix of the rule, severity and pin; each may be left out. See :func:`recent` for order and limit."""
     out = findings
     if rule is not None:
         out = out.where(F.col("rule_id") == rule)
@@ -163,6 +241,11 @@ def findings_view(
     return out
 
 
+def recent(rows: DataFrame, limit: int, *order: str) -> DataFrame:
+    """The newest ``limit`` rows by ``order``, each column descending; the limit is the feature of a recent list."""
+    return rows.orderBy(*(F.col(c).desc() for c in order)).limit(limit)
+
+
 def dedup_findings(incoming: DataFrame, existing: DataFrame, identity: Sequence[str]) -> DataFrame:
     """Incoming findings that are new by ``identity``; repeats in the batch count once. Blocks are refused."""
     by = Window.partitionBy(*identity).orderBy("seq", "claim_no")

@@ -12,6 +12,11 @@ from corvane.functions.text import claim_key, scope_matches
 from corvane.operators.digests import ladder
 
 
+# What the rules are called.
+RULE_COUNTER = "gate.counter-budget"
+RULE_PROMISE = "gate.promise-unfulfilled"
+
+
 def pinned(df: DataFrame, as_of_seq: int | None, seq: str = "seq") -> DataFrame:
     """Rows at or before the pin; no pin is the head."""
     return df if as_of_seq is None else df.where(F.col(seq) <= as_of_seq)
@@ -90,9 +95,10 @@ def anchors_at(anchors: DataFrame, chain: DataFrame, as_of_seq: int | None = Non
     placed = pinned(anchors, as_of_seq).where("locked").join(
         F.broadcast(chain.select(F.col("id").alias("version_id"), "position")), "version_id"
     )
+    names = [c for c in anchors.columns if c not in ("detail_key", "locked")]
     return (
         placed.groupBy("detail_key")
-        .agg(F.max_by(F.struct("version_id", "locked_value", "seq"), F.struct("position", "seq")).alias("x"))
+        .agg(F.max_by(F.struct(*names), F.struct("position", "seq")).alias("x"))
         .select("detail_key", "x.*")
     )
 
@@ -108,12 +114,26 @@ def promises_at(promises: DataFrame, as_of_seq: int | None = None) -> DataFrame:
     )
 
 
-def overdue(promises: DataFrame, scope: str, final: bool = False) -> DataFrame:
-    """Open promises due at ``scope``; at the end, all open ones."""
+def overdue(promises: DataFrame, scope: str | None, final: bool = False) -> DataFrame:
+    """A finding for each open promise due at ``scope``; at the final unit, for each open one.
+
+    ``promise_id, rule_id, severity, message, scope_path, detail``.
+    """
     late = promises.where("status = 'open'")
-    if not final:
-        late = late.where(F.col("due_scope") == scope)
-    return late.withColumn("message", F.concat(F.lit("promise "), F.col("id"), F.lit(" is due at "), F.col("due_scope")))
+    key, due, about = F.col("key"), F.col("due_scope"), F.coalesce("description", F.lit(""))
+    if final:
+        message = F.concat(F.lit("promise '"), key, F.lit("' is still open at the final unit: "), about)
+    else:
+        late = late.where(due == F.lit(scope))
+        message = F.concat(F.lit("promise '"), key, F.lit("' was due at scope '"), due, F.lit("' and is still open"))
+    return late.select(
+        F.col("id").alias("promise_id"),
+        F.lit(RULE_PROMISE).alias("rule_id"),
+        F.lit("warn").alias("severity"),
+        message.alias("message"),
+        F.lit(scope).alias("scope_path"),
+        F.to_json(F.struct(F.col("id").alias("promise_id"), key.alias("promise_key")), {"ignoreNullFields": "false"}).alias("detail"),
+    )
 
 
 def counter_totals(counters: DataFrame, as_of_seq: int | None = None, latest_only: bool = False) -> DataFrame:
@@ -129,18 +149,31 @@ def counter_totals(counters: DataFrame, as_of_seq: int | None = None, latest_onl
     return pinned(rows, as_of_seq).groupBy("key").agg(F.sum("count").alias("count"), F.max("budget").alias("budget"))
 
 
-def check_budgets(totals: DataFrame) -> DataFrame:
-    """Counters at or over their budget, with what to do about it."""
-    left = F.col("budget") - F.col("count")
-    return totals.where(F.col("budget").isNotNull()).select(
+def check_budgets(totals: DataFrame, scope: str | None = None) -> DataFrame:
+    """A finding for each counter over its budget: ``key, rule_id, severity, message, scope_path, detail``."""
+    message = F.concat(
+        F.lit("counter '"), F.col("key"), F.lit("' at "), F.col("count").cast("string"),
+        F.lit(" exceeds whole-document budget "), F.col("budget").cast("string"),
+    )
+    about = F.struct("budget", F.col("key").alias("counter_key"), F.col("count").alias("total"))
+    return totals.where(F.col("count") > F.col("budget")).select(
         "key",
-        "count",
-        "budget",
-        F.when(left < 0, "exceeded").when(left == 0, "exhausted").otherwise("available").alias("state"),
-        F.when(left <= 0, F.concat(F.lit("do not use "), F.col("key")))
-        .otherwise(F.concat(F.col("key"), F.lit(": "), left.cast("string"), F.lit(" left")))
-        .alias("directive"),
+        F.lit(RULE_COUNTER).alias("rule_id"),
+        F.lit("warn").alias("severity"),
+        message.alias("message"),
+        F.lit(scope).cast("string").alias("scope_path"),
+        F.to_json(about, {"ignoreNullFields": "false"}).alias("detail"),
+    )
+
+
+def directives(totals: DataFrame) -> DataFrame:
+    """``key, directive``: how much of a budget is used, and a line of advice at its end or one use before."""
+    key, count, budget = F.col("key"), F.col("count"), F.col("budget")
+    used = F.concat(key, F.lit(": used "), count.cast("string"), F.lit("/"), budget.cast("string"))
+    advice = F.when(count >= budget, F.concat(F.lit("AVOID: '"), key, F.lit("' — budget exhausted"))).when(
+        count + 1 == budget, F.concat(F.lit("CAUTION: '"), key, F.lit("' — one use remaining"))
     )
+    return totals.where(budget.isNotNull()).select("key", F.concat_ws("\n", used, advice).alias("directive"))
 
 
 def chain_head(claims: DataFrame, anchors: DataFrame, promises: DataFrame, counters: DataFrame) -> DataFrame:

@@ -13,8 +13,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
-#: Ledger position used by the pinned queries.
-PIN = 7500
+#: Ledger position used by the pinned queries, half of the head, and in SQL.
+PIN = "(SELECT max(o_orderkey) // 2 FROM orders)"
+HEAD = "(SELECT max(o_orderkey) FROM orders)"
+
+
+def head_at(spark: SparkSession, sf_dir: str) -> int:
+    return table(spark, sf_dir, "orders").agg({"o_orderkey": "max"}).first()[0]
+
+
+def pin_at(spark: SparkSession, sf_dir: str) -> int:
+    return head_at(spark, sf_dir) // 2
+
 
 DERIVED = {
     "claims": """
@@ -36,14 +46,15 @@ DERIVED = {
         SELECT * FROM (VALUES ('v1', CAST(NULL AS STRING), 'closed'), ('v2', 'v1', 'closed'), ('v3', 'v2', 'closed'),
                               ('v4', 'v3', 'open'), ('w2', 'v1', 'open'), ('w3', 'w2', 'open')) AS t(id, parent_id, status)""",
     "anchors": """
-        SELECT CONCAT('v', CAST(1 + o_orderkey % 4 AS STRING)) AS version_id,
+        SELECT CONCAT('a', CAST(o_orderkey AS STRING)) AS id, CONCAT('v', CAST(1 + o_orderkey % 4 AS STRING)) AS version_id,
                CONCAT('cust-', CAST(o_custkey AS STRING), '.priority') AS detail_key,
                o_orderpriority AS locked_value, o_orderkey AS seq, o_orderkey % 3 <> 0 AS locked
         FROM orders""",
     "promises": """
         SELECT CONCAT('p', CAST(o_orderkey AS STRING)) AS id, CONCAT('cust-', CAST(o_custkey AS STRING)) AS subject,
                o_orderkey AS seq, LEAD(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS fulfilled_seq,
-               CONCAT('ch', CAST(1 + o_orderkey % 9 AS STRING)) AS due_scope
+               CONCAT('ch', CAST(1 + o_orderkey % 9 AS STRING)) AS due_scope,
+               CONCAT('order-', CAST(o_orderkey AS STRING)) AS key, CONCAT('ship ', o_orderpriority) AS description
         FROM orders""",
     "counters": """
         SELECT CONCAT('v', CAST(1 + o_orderkey % 4 AS STRING)) AS version_id, o_orderpriority AS key,
@@ -56,7 +67,7 @@ DERIVED = {
                CONCAT('cust-', CAST(CASE WHEN o_orderkey % 8 = 0 THEN o_custkey + 1000000 ELSE o_custkey END AS STRING)) AS subject,
                'priority' AS key, CONCAT(' ', UPPER(o_orderpriority), CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE ' new' END) AS value,
                CASE WHEN o_orderkey % 9 = 0 THEN CONCAT('c', CAST(o_orderkey AS STRING)) END AS supersedes_id,
-               CONCAT('Order ', o_orderpriority, CASE WHEN o_orderkey % 4 = 0 THEN ' as an AI language model' ELSE '' END) AS text
+               CONCAT('Order ', o_orderpriority, CASE o_orderkey % 8 WHEN 0 THEN ' as an AI, I''m sorry, but [insert name]' WHEN 3 THEN ' Lorem Ipsum as a Language Model' WHEN 5 THEN ' the author: I CANNOT ASSIST' ELSE '' END) AS text
         FROM orders""",
     "interactions": """
         SELECT event_id AS id, CONCAT('u', CAST(user_id AS STRING)) AS uid,

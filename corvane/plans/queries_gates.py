@@ -5,27 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from corvane.functions.text import META_MARKERS
 from corvane.operators import chronology, gates, ledger
-from corvane.plans.inputs import PIN, ctes, derived, table
+from corvane.plans.inputs import ctes, derived, table
 from corvane.plans.registry import query
 
+# Literals here are the fixed values themselves, not those of the library.
 _ALL = f"""{ctes("claims", "candidates", "anchors")},
-    seen AS (SELECT * FROM claims WHERE seq <= {PIN}),
-    facts AS (SELECT * FROM seen c WHERE status = 'accepted' AND NOT EXISTS (SELECT 1 FROM seen s WHERE s.supersedes_id = c.id)),
-    locked AS (SELECT detail_key, locked_value FROM (
+    facts AS (SELECT * FROM claims c WHERE status = 'accepted' AND NOT EXISTS (SELECT 1 FROM claims s WHERE s.supersedes_id = c.id)),
+    locked AS (SELECT detail_key, locked_value, id AS anchor_id FROM (
         SELECT *, row_number() OVER (PARTITION BY detail_key ORDER BY version_id DESC, seq DESC) AS n
-        FROM anchors WHERE locked AND seq <= {PIN} AND version_id IN ('v1', 'v2', 'v3', 'v4')) WHERE n = 1),
+        FROM anchors WHERE locked AND version_id IN ('v1', 'v2', 'v3', 'v4')) WHERE n = 1),
     cand AS (SELECT *, subject || '.' || key AS claim_key, lower(trim(value)) AS folded FROM candidates),
-    g_anchor AS (SELECT cid, 'anchor.conflict' AS rule_id, 'block' AS severity, claim_key || ' is locked' AS message, claim_key, locked_value AS detail
+    g_anchor AS (SELECT cid, 'gate.anchor-consistency' AS rule_id, 'block' AS severity,
+                        'claim ''' || claim_key || '=' || value || ''' contradicts locked anchor value ''' || locked_value || '''' AS message, claim_key,
+                        '{{"anchor_id":"' || anchor_id || '","claim_key":"' || claim_key || '","locked_value":"' || locked_value || '","proposed_value":"' || value || '"}}' AS detail
                  FROM cand JOIN locked ON detail_key = claim_key WHERE folded <> lower(trim(locked_value))),
-    latest AS (SELECT subject || '.' || key AS claim_key, arg_max(value, seq) AS accepted FROM facts GROUP BY 1),
-    g_ledger AS (SELECT cid, 'ledger.conflict' AS rule_id, 'block' AS severity, claim_key || ' is accepted otherwise' AS message, claim_key, accepted AS detail
+    latest AS (SELECT subject || '.' || key AS claim_key, arg_max(value, seq) AS accepted, arg_max(id, seq) AS by_id, max(seq) AS at_seq FROM facts GROUP BY 1),
+    g_ledger AS (SELECT cid, 'gate.ledger-conflict' AS rule_id, 'block' AS severity,
+                        'claim ''' || claim_key || '=' || value || ''' conflicts with accepted canon ''' || claim_key || '=' || accepted || ''' (use a correction to supersede)' AS message, claim_key,
+                        '{{"canon_claim_id":"' || by_id || '","canon_seq":' || CAST(at_seq AS VARCHAR) || ',"canon_value":"' || accepted || '","claim_key":"' || claim_key || '","proposed_value":"' || value || '"}}' AS detail
                  FROM cand JOIN latest USING (claim_key) WHERE claim_type <> 'correction' AND supersedes_id IS NULL AND folded <> lower(trim(accepted))),
-    g_orphan AS (SELECT cid, 'correction.orphan' AS rule_id, 'warn' AS severity, 'nothing to correct at ' || claim_key AS message, claim_key, CAST(NULL AS VARCHAR) AS detail
-                 FROM cand k WHERE claim_type = 'correction' AND NOT EXISTS (SELECT 1 FROM facts f WHERE f.subject = k.subject AND f.subject || '.' || f.key = k.claim_key)),
-    g_meta AS (SELECT cid, 'text.meta' AS rule_id, 'warn' AS severity, 'text contains ' || marker AS message, claim_key, marker AS detail
-               FROM cand, (SELECT unnest([{", ".join(f"'{m}'" for m in META_MARKERS)}]) AS marker) WHERE contains(lower(text), marker)),
+    g_orphan AS (SELECT cid, 'gate.orphaned-reference' AS rule_id, 'warn' AS severity, 'correction targets ''' || claim_key || ''' but no such canon was established' AS message, claim_key,
+                        '{{"claim_key":"' || claim_key || '"}}' AS detail
+                 FROM cand k WHERE claim_type = 'correction' AND (NOT EXISTS (SELECT 1 FROM facts f WHERE f.subject = k.subject)
+                                                                  OR NOT EXISTS (SELECT 1 FROM facts f WHERE f.subject || '.' || f.key = k.claim_key))),
+    g_meta AS (SELECT cid, 'gate.meta-leakage' AS rule_id, 'warn' AS severity, 'output contains meta-leakage marker ''' || marker || '''' AS message, CAST(NULL AS VARCHAR) AS claim_key,
+                      '{{"marker":"' || marker || '"}}' AS detail
+               FROM cand, (SELECT unnest(['as an ai', 'as a language model', 'i cannot assist', 'i''m sorry, but', '[insert', 'lorem ipsum']) AS marker) WHERE contains(lower(text), marker)),
     found AS (SELECT * FROM g_anchor UNION ALL
               SELECT * FROM g_ledger l WHERE NOT EXISTS (SELECT 1 FROM g_anchor a WHERE a.cid = l.cid AND a.claim_key = l.claim_key)
               UNION ALL SELECT * FROM g_orphan UNION ALL SELECT * FROM g_meta)"""
@@ -35,14 +41,14 @@ def _inputs(spark, d):
     chain = ledger.lineage(spark, derived(spark, d, "versions"), "v4")
     return (
         derived(spark, d, "candidates"),
-        ledger.slice_facts(derived(spark, d, "claims"), PIN),
-        ledger.anchors_at(derived(spark, d, "anchors"), chain, PIN),
+        ledger.slice_facts(derived(spark, d, "claims")),
+        ledger.anchors_at(derived(spark, d, "anchors"), chain),
     )
 
 
 def _passages(spark, d):
     """The benchmark's passages as the texts before every candidate."""
-    return table(spark, d, "benchmark").select(F.col("text").alias("previous"))
+    return table(spark, d, "benchmark").select(F.col("item_id").cast("int").alias("previous_index"), F.col("text").alias("previous"))
 
 
 @query("gate_anchor", f"{_ALL} SELECT * FROM g_anchor")
@@ -83,7 +89,7 @@ def gates_previous_text(spark, d):
     """All gates where the text before a candidate is that of its subject's last one. No SQL says the ratio."""
     c, f, a = _inputs(spark, d)
     by = Window.partitionBy("subject").orderBy(F.substring("cid", 2, 20).cast("long"))
-    before = c.select("cid", F.lag("text").over(by).alias("previous")).where("previous IS NOT NULL")
+    before = c.select("cid", F.lit(0).alias("previous_index"), F.lag("text").over(by).alias("previous")).where("previous IS NOT NULL")
     return gates.run_gates(c, f, a, previous=before)
 
 
@@ -113,7 +119,7 @@ def gate_similarity(spark, d):
     a = turns.select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("cid"), "conv_id", "turn", "text")
     b = turns.select("conv_id", F.col("turn").alias("other"), F.col("text").alias("previous"))
     pairs = a.join(b, "conv_id").where("other < turn")
-    return gates.similarity_gate(pairs, 0.5).select("cid", F.md5("previous").alias("previous_md5"), "ratio")
+    return gates.similarity_gate(pairs, 0.3).select("cid", F.md5("previous").alias("previous_md5"), "ratio")
 
 
 @query(
@@ -124,6 +130,12 @@ def findings_prefix(spark, d):
     return gates.findings_view(derived(spark, d, "findings"), rule_prefix="rule_R.x_", severity="warn", as_of_seq=9000)
 
 
+@query("findings_recent", f"{ctes('findings')} SELECT * FROM findings WHERE severity = 'warn' ORDER BY seq DESC, rule_id DESC, message DESC, scope_path DESC, claim_no DESC LIMIT 1000")
+def findings_recent(spark, d):
+    found = gates.findings_view(derived(spark, d, "findings"), severity="warn")
+    return gates.recent(found, 1000, "seq", "rule_id", "message", "scope_path", "claim_no")
+
+
 @query(
     "findings_dedup",
     f"""{ctes("findings")}, inc AS (SELECT * FROM findings WHERE severity = 'warn'),

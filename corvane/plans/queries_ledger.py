@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from corvane.operators import digests, ledger
-from corvane.plans.inputs import PIN, ctes, derived
+from corvane.plans.inputs import HEAD, PIN, ctes, derived, head_at, pin_at
 from corvane.plans.registry import query
 
 FACT_COLUMNS = ["id", "seq", "claim_type", "subject", "key", "value", "scope_path", "status"]
 _COLS = ", ".join(FACT_COLUMNS)
 
 
-def _slice_sql(pin: int | None, where: str = "status = 'accepted'", tail: str = "") -> str:
+def _slice_sql(pin: str | None, where: str = "status = 'accepted'", tail: str = "") -> str:
     see = "SELECT * FROM claims" + (f" WHERE seq <= {pin}" if pin is not None else "")
     return f"""{ctes("claims")}, seen AS ({see})
         SELECT {_COLS} FROM seen c WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.supersedes_id = c.id) AND {where} {tail}"""
@@ -25,17 +27,17 @@ def slice_facts_head(spark, d):
 
 @query("slice_facts_pin", _slice_sql(PIN))
 def slice_facts_pin(spark, d):
-    return ledger.slice_facts(derived(spark, d, "claims"), PIN).select(FACT_COLUMNS)
+    return ledger.slice_facts(derived(spark, d, "claims"), pin_at(spark, d)).select(FACT_COLUMNS)
 
 
 @query("slice_facts_scope", _slice_sql(PIN, "status IN ('accepted', 'disputed') AND (scope_path = 'seg' OR scope_path LIKE 'seg.%')"))
 def slice_facts_scope(spark, d):
-    return ledger.slice_facts(derived(spark, d, "claims"), PIN, "seg", ["accepted", "disputed"]).select(FACT_COLUMNS)
+    return ledger.slice_facts(derived(spark, d, "claims"), pin_at(spark, d), "seg", ["accepted", "disputed"]).select(FACT_COLUMNS)
 
 
 @query("slice_newest_n", _slice_sql(PIN, tail="ORDER BY seq DESC, id LIMIT 25"))
 def slice_newest_n(spark, d):
-    return ledger.slice_facts(derived(spark, d, "claims"), PIN, limit=25).select(FACT_COLUMNS)
+    return ledger.slice_facts(derived(spark, d, "claims"), pin_at(spark, d), limit=25).select(FACT_COLUMNS)
 
 
 @query("chain_claims", f"{ctes('claims')} SELECT id, version_id, seq FROM claims WHERE version_id IN ('v1', 'v3')")
@@ -70,31 +72,37 @@ def lineage_walk(spark, d):
 
 @query(
     "anchors_pin",
-    f"""{ctes("anchors")} SELECT detail_key, version_id, locked_value, seq FROM (
+    f"""{ctes("anchors")} SELECT detail_key, id, version_id, locked_value, seq FROM (
         SELECT *, row_number() OVER (PARTITION BY detail_key ORDER BY version_id DESC, seq DESC) AS n
         FROM anchors WHERE locked AND seq <= {PIN} AND version_id IN ('v1', 'v2', 'v3')) WHERE n = 1""",
 )
 def anchors_pin(spark, d):
     chain = ledger.lineage(spark, derived(spark, d, "versions"), "v3")
-    return ledger.anchors_at(derived(spark, d, "anchors"), chain, PIN)
+    return ledger.anchors_at(derived(spark, d, "anchors"), chain, pin_at(spark, d))
 
 
 @query(
     "promises_pin",
-    f"""{ctes("promises")} SELECT id, subject, seq, due_scope, CASE WHEN fulfilled_seq <= {PIN} THEN fulfilled_seq END AS fulfilled_seq,
+    f"""{ctes("promises")} SELECT id, subject, seq, due_scope, key, description, CASE WHEN fulfilled_seq <= {PIN} THEN fulfilled_seq END AS fulfilled_seq,
         CASE WHEN fulfilled_seq <= {PIN} THEN 'fulfilled' ELSE 'open' END AS status FROM promises WHERE seq <= {PIN}""",
 )
 def promises_pin(spark, d):
-    return ledger.promises_at(derived(spark, d, "promises"), PIN)
+    return ledger.promises_at(derived(spark, d, "promises"), pin_at(spark, d))
 
 
-@query(
-    "promise_overdue",
-    f"""{ctes("promises")} SELECT id, due_scope, 'promise ' || id || ' is due at ' || due_scope AS message FROM promises
-        WHERE seq <= {PIN} AND (fulfilled_seq IS NULL OR fulfilled_seq > {PIN}) AND due_scope = 'ch3'""",
-)
+def _overdue_sql(message: str, where: str) -> str:
+    return f"""{ctes("promises")} SELECT id AS promise_id, 'gate.promise-unfulfilled' AS rule_id, 'warn' AS severity, {message} AS message, 'ch3' AS scope_path,
+        '{{"promise_id":"' || id || '","promise_key":"' || key || '"}}' AS detail FROM promises WHERE fulfilled_seq IS NULL AND {where}"""
+
+
+@query("promise_overdue", _overdue_sql("'promise ''' || key || ''' was due at scope ''' || due_scope || ''' and is still open'", "due_scope = 'ch3'"))
 def promise_overdue(spark, d):
-    return ledger.overdue(ledger.promises_at(derived(spark, d, "promises"), PIN), "ch3").select("id", "due_scope", "message")
+    return ledger.overdue(ledger.promises_at(derived(spark, d, "promises")), "ch3")
+
+
+@query("promise_overdue_final", _overdue_sql("'promise ''' || key || ''' is still open at the final unit: ' || description", "true"))
+def promise_overdue_final(spark, d):
+    return ledger.overdue(ledger.promises_at(derived(spark, d, "promises")), "ch3", final=True)
 
 
 @query(
@@ -102,29 +110,50 @@ def promise_overdue(spark, d):
     f"{ctes('counters')} SELECT key, CAST(sum(count) AS BIGINT) AS count, max(budget) AS budget FROM counters WHERE seq <= {PIN} GROUP BY key",
 )
 def counter_totals_pin(spark, d):
-    return ledger.counter_totals(derived(spark, d, "counters"), PIN)
+    return ledger.counter_totals(derived(spark, d, "counters"), pin_at(spark, d))
 
 
 @query(
     "counter_totals_latest",
     f"""{ctes("counters")} SELECT key, CAST(sum(count) AS BIGINT) AS count, max(budget) AS budget FROM (
         SELECT *, row_number() OVER (PARTITION BY version_id, key, scope_path ORDER BY seq DESC) AS n FROM counters)
-        WHERE n = 1 AND seq <= {PIN * 2} GROUP BY key""",
+        WHERE n = 1 AND seq <= {HEAD} - 5 GROUP BY key""",
 )
 def counter_totals_latest(spark, d):
-    return ledger.counter_totals(derived(spark, d, "counters"), PIN * 2, latest_only=True)
+    return ledger.counter_totals(derived(spark, d, "counters"), head_at(spark, d) - 5, latest_only=True)
+
+
+_TOTALS = f"""{ctes("counters")}, t AS (SELECT key, CAST(sum(count) AS BIGINT) AS count, max(budget) AS budget FROM counters GROUP BY key),
+    u AS (SELECT key, CASE key WHEN '1-URGENT' THEN budget WHEN '2-HIGH' THEN budget - 1 WHEN '5-LOW' THEN budget - 2 ELSE count END AS count, budget FROM t)"""
+
+
+def _totals(spark, d):
+    """Totals over their budget, at it, one below and two below."""
+    t = ledger.counter_totals(derived(spark, d, "counters"))
+    left = F.when(F.col("key") == "1-URGENT", 0).when(F.col("key") == "2-HIGH", 1).when(F.col("key") == "5-LOW", 2)
+    return t.withColumn("count", F.coalesce(F.col("budget") - left, F.col("count")))
 
 
 @query(
     "counter_budget",
-    f"""{ctes("counters")}, t AS (SELECT key, sum(count) AS count, max(budget) AS budget FROM counters GROUP BY key)
-        SELECT key, CAST(count AS BIGINT) AS count, budget,
-               CASE WHEN count > budget THEN 'exceeded' WHEN count = budget THEN 'exhausted' ELSE 'available' END AS state,
-               CASE WHEN count >= budget THEN 'do not use ' || key ELSE key || ': ' || CAST(budget - count AS VARCHAR) || ' left' END AS directive
-        FROM t WHERE budget IS NOT NULL""",
+    f"""{_TOTALS} SELECT key, 'gate.counter-budget' AS rule_id, 'warn' AS severity, CAST(NULL AS VARCHAR) AS scope_path,
+        'counter ''' || key || ''' at ' || CAST(count AS VARCHAR) || ' exceeds whole-document budget ' || CAST(budget AS VARCHAR) AS message,
+        '{{"budget":' || CAST(budget AS VARCHAR) || ',"counter_key":"' || key || '","total":' || CAST(count AS VARCHAR) || '}}' AS detail
+        FROM u WHERE count > budget""",
 )
 def counter_budget(spark, d):
-    return ledger.check_budgets(ledger.counter_totals(derived(spark, d, "counters")))
+    return ledger.check_budgets(_totals(spark, d))
+
+
+@query(
+    "counter_directives",
+    f"""{_TOTALS} SELECT key, key || ': used ' || CAST(count AS VARCHAR) || '/' || CAST(budget AS VARCHAR) ||
+        CASE WHEN count >= budget THEN chr(10) || 'AVOID: ''' || key || ''' — budget exhausted'
+             WHEN count + 1 = budget THEN chr(10) || 'CAUTION: ''' || key || ''' — one use remaining' ELSE '' END AS directive
+        FROM u WHERE budget IS NOT NULL""",
+)
+def counter_directives(spark, d):
+    return ledger.directives(_totals(spark, d))
 
 
 @query(
@@ -139,10 +168,11 @@ def chain_head(spark, d):
 
 @query(
     "append_claims",
-    f"""{ctes("candidates")} SELECT cid, CAST({PIN} + row_number() OVER (ORDER BY cid) AS BIGINT) AS seq FROM candidates""",
+    f"""{ctes("candidates")} SELECT cid, CAST({HEAD} + row_number() OVER (ORDER BY cid) AS BIGINT) AS seq FROM candidates""",
 )
 def append_claims(spark, d):
-    return ledger.append_claims(PIN, derived(spark, d, "candidates"), "cid", expected_head=PIN).select("cid", "seq")
+    head = head_at(spark, d)
+    return ledger.append_claims(head, derived(spark, d, "candidates"), "cid", expected_head=head).select("cid", "seq")
 
 
 @query(
@@ -157,8 +187,8 @@ def event_chain_check(spark, d):
     return ledger.event_chain_check(derived(spark, d, "chain_events"))
 
 
-_FACTS = f"""{ctes("claims")}, seen AS (SELECT * FROM claims WHERE seq <= {PIN}),
-    facts AS (SELECT * FROM seen c WHERE status = 'accepted' AND NOT EXISTS (SELECT 1 FROM seen s WHERE s.supersedes_id = c.id))"""
+_FACTS = f"""{ctes("claims")},
+    facts AS (SELECT * FROM claims c WHERE status = 'accepted' AND NOT EXISTS (SELECT 1 FROM claims s WHERE s.supersedes_id = c.id))"""
 
 _TIER0 = """SELECT scope, n_facts, built_from_seq, text, sha256(text) AS sha256 FROM (
     SELECT coalesce(scope_path, '') AS scope, count(*) AS n_facts, max(seq) AS built_from_seq,
@@ -166,18 +196,18 @@ _TIER0 = """SELECT scope, n_facts, built_from_seq, text, sha256(text) AS sha256
            string_agg(trim(subject) || '.' || trim(key) || '=' || trim(value), chr(10) ORDER BY seq) AS text
     FROM facts GROUP BY coalesce(scope_path, ''))"""
 _TIER1 = """SELECT scope, n_facts, built_from_seq, text, sha256(text) AS sha256 FROM (
-    SELECT scope, n_facts, built_from_seq, scope || ': ' || CAST(n_facts AS VARCHAR) || ' facts in ' || CAST(n_scopes AS VARCHAR) ||
+    SELECT scope, n_facts, built_from_seq, '[group ' || scope || '] ' || CAST(n_facts AS VARCHAR) || ' facts across ' || CAST(n_scopes AS VARCHAR) ||
            ' scopes; keys: ' || keys AS text
     FROM (SELECT split_part(coalesce(scope_path, ''), '.', 1) AS scope, count(*) AS n_facts, max(seq) AS built_from_seq,
-                 count(DISTINCT scope_path) AS n_scopes, string_agg(DISTINCT key, ', ' ORDER BY key) AS keys FROM facts GROUP BY 1))"""
+                 count(DISTINCT scope_path) AS n_scopes, string_agg(DISTINCT subject || '.' || key, ', ' ORDER BY subject || '.' || key) AS keys FROM facts GROUP BY 1))"""
 _TIER2 = """SELECT scope, n_facts, built_from_seq, text, sha256(text) AS sha256 FROM (
-    SELECT '*' AS scope, count(*) AS n_facts, coalesce(max(seq), 0) AS built_from_seq,
-           CAST(count(*) AS VARCHAR) || ' facts, ' || CAST(count(DISTINCT scope_path) AS VARCHAR) || ' scopes, ' ||
-           CAST(count(DISTINCT subject) AS VARCHAR) || ' subjects' AS text FROM facts)"""
+    SELECT '' AS scope, count(*) AS n_facts, coalesce(max(seq), 0) AS built_from_seq,
+           '[rollup] ' || CAST(count(*) AS VARCHAR) || ' facts, ' || CAST(count(DISTINCT scope_path) AS VARCHAR) || ' scopes, ' ||
+           CAST(count(DISTINCT subject) AS VARCHAR) || ' subjects: ' || string_agg(DISTINCT subject, ', ' ORDER BY subject) AS text FROM facts)"""
 
 
 def _facts(spark, d):
-    return ledger.slice_facts(derived(spark, d, "claims"), PIN)
+    return ledger.slice_facts(derived(spark, d, "claims"))
 
 
 @query("digest_tier0", f"{_FACTS} {_TIER0}")
@@ -205,13 +235,33 @@ def digest_ladder(spark, d):
 
 @query(
     "snapshot_counts",
-    f"""{_FACTS}, a AS (SELECT * FROM ({"SELECT CONCAT('v', CAST(1 + o_orderkey % 4 AS VARCHAR)) AS version_id, CONCAT('cust-', CAST(o_custkey AS VARCHAR), '.priority') AS detail_key, o_orderkey AS seq FROM orders WHERE o_orderkey % 3 <> 0"}) WHERE seq <= {PIN} AND version_id IN ('v1', 'v2', 'v3', 'v4'))
-        SELECT 'facts' AS part, count(*) AS n FROM facts UNION ALL SELECT 'anchors', count(DISTINCT detail_key) FROM a
-        UNION ALL SELECT 'promises', count(*) FROM orders WHERE o_orderkey <= {PIN}
-        UNION ALL SELECT 'counters', count(DISTINCT o_orderpriority) FROM orders WHERE o_orderkey <= {PIN}""",
+    f"""{ctes("claims", "anchors", "promises", "counters")}, seen AS (SELECT * FROM claims WHERE seq <= {PIN}),
+        facts AS (SELECT * FROM seen c WHERE status = 'accepted' AND NOT EXISTS (SELECT 1 FROM seen s WHERE s.supersedes_id = c.id)),
+        d AS (SELECT '0' || scope || sha256 AS x FROM ({_TIER0}) UNION ALL SELECT '1' || scope || sha256 FROM ({_TIER1}) UNION ALL SELECT '2' || scope || sha256 FROM ({_TIER2}))
+        SELECT 'facts' AS part, count(*) AS n, md5(string_agg(id || value, ',' ORDER BY id)) AS digest FROM facts
+        UNION ALL SELECT 'anchors', count(*), md5(string_agg(detail_key || id, ',' ORDER BY detail_key)) FROM (
+            SELECT *, row_number() OVER (PARTITION BY detail_key ORDER BY version_id DESC, seq DESC) AS k
+            FROM anchors WHERE locked AND seq <= {PIN} AND version_id IN ('v1', 'v2', 'v3', 'v4')) WHERE k = 1
+        UNION ALL SELECT 'promises', count(*), md5(string_agg(id || CASE WHEN fulfilled_seq <= {PIN} THEN 'fulfilled' ELSE 'open' END, ',' ORDER BY id)) FROM promises WHERE seq <= {PIN}
+        UNION ALL SELECT 'counters', count(*), md5(string_agg(key || CAST(n AS VARCHAR), ',' ORDER BY key)) FROM (SELECT key, sum(count)::BIGINT AS n FROM counters WHERE seq <= {PIN} GROUP BY key)
+        UNION ALL SELECT 'digests', count(*), md5(string_agg(x, ',' ORDER BY x)) FROM d""",
 )
 def snapshot_counts(spark, d):
+    """Size and a digest of the contents of each part of a snapshot at the pin."""
     chain = ledger.lineage(spark, derived(spark, d, "versions"), "v4")
-    s = ledger.load_snapshot(*(derived(spark, d, n) for n in ("claims", "anchors", "promises", "counters")), chain, PIN)
-    parts = [getattr(s, p).agg(F.count(F.lit(1)).alias("n")).select(F.lit(p).alias("part"), "n") for p in ("facts", "anchors", "promises", "counters")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    s = ledger.load_snapshot(*(derived(spark, d, n) for n in ("claims", "anchors", "promises", "counters")), chain, pin_at(spark, d))
+    said = {
+        "facts": F.concat("id", "value"),
+        "anchors": F.concat("detail_key", "id"),
+        "promises": F.concat("id", "status"),
+        "counters": F.concat("key", F.col("count").cast("string")),
+        "digests": F.concat(F.col("tier").cast("string"), "scope", "sha256"),
+    }
+    order = {"facts": "id", "anchors": "detail_key", "promises": "id", "counters": "key"}
+
+    def part(name):
+        rows = F.array_sort(F.collect_list(F.struct(F.col(order[name]) if name in order else said[name], said[name].alias("x"))))
+        joined = F.array_join(F.transform(rows, lambda r: r["x"]), ",")
+        return getattr(s, name).agg(F.count(F.lit(1)).alias("n"), F.md5(joined).alias("digest")).select(F.lit(name).alias("part"), "n", "digest")
+
+    return reduce(lambda a, b: a.unionByName(b), map(part, said))

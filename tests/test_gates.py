@@ -30,7 +30,10 @@ def test_ledger_gate_looks_at_the_latest_fact(spark, facts):
         ("3", "correction", "hero", "eyes", "green", None, ""),
         ("4", "fact", "hero", "eyes", "green", "f2", ""),
     )
-    assert [r.cid for r in gates.ledger_gate(c, facts).collect()] == ["2"]
+    assert [(r.cid, r.message, r.detail) for r in gates.ledger_gate(c, facts).collect()] == [
+        ("2", "claim 'hero.eyes=green' conflicts with accepted canon 'hero.eyes=green  ish' (use a correction to supersede)",
+         '{"canon_claim_id":"f2","canon_seq":2,"canon_value":"green  ish","claim_key":"hero.eyes","proposed_value":"green"}')
+    ]
 
 
 def test_orphans_need_subject_and_key(spark, facts):
@@ -42,7 +45,11 @@ def test_anchor_findings_replace_ledger_findings_and_dispute(spark, facts):
     anchors = spark.createDataFrame([("hero.eyes", "green ish")], "detail_key string, locked_value string")
     c = candidates(spark, ("1", "fact", "hero", "eyes", "blue", None, "As an AI, I"), ("2", "fact", "hero", "age", "3", None, ""))
     found = gates.run_gates(c, facts, anchors)
-    assert sorted(r.rule_id for r in found.collect()) == ["anchor.conflict", "text.meta"]
+    assert sorted((r.rule_id, r.message, r.claim_key, r.detail) for r in found.collect()) == [
+        ("gate.anchor-consistency", "claim 'hero.eyes=blue' contradicts locked anchor value 'green ish'", "hero.eyes",
+         '{"anchor_id":null,"claim_key":"hero.eyes","locked_value":"green ish","proposed_value":"blue"}'),
+        ("gate.meta-leakage", "output contains meta-leakage marker 'as an ai'", None, '{"marker":"as an ai"}'),
+    ]
     assert {r.cid: r.status for r in gates.disputed(c, found).collect()} == {"1": "disputed", "2": "accepted"}
     assert {r.severity for r in gates.run_gates(c, facts, anchors, extended=False).collect()} == {"warn"}
 
@@ -57,11 +64,13 @@ def test_similarity(spark):
 def test_run_gates_warns_of_near_repetition(spark, facts):
     anchors = spark.createDataFrame([("hero.eyes", "green ish")], "detail_key string, locked_value string")
     c = candidates(spark, ("1", "fact", "hero", "age", "3", None, "Once upon a time."), ("2", "fact", "hero", "age", "3", None, "Else"), ("3", "fact", "x", "y", "z", None, None))
-    own = spark.createDataFrame([("1", "once upon a time"), ("1", "another beginning"), ("2", "once upon a time."), ("3", "x"), ("2", None)], "cid string, previous string")
+    own = spark.createDataFrame([("1", 0, "another beginning"), ("1", 1, "once upon a time"), ("2", 0, "once upon a time."), ("3", 0, "x"), ("2", 1, None)], "cid string, previous_index int, previous string")
     found = gates.run_gates(c, facts, anchors, previous=own).collect()
-    assert [(r.cid, r.rule_id, r.severity, r.claim_key, r.detail) for r in found] == [("1", "text.similarity", "warn", "hero.age", "once upon a time")]
-    assert found[0].message == "text is 96% similar to a previous one"
-    assert sorted((r.cid, r.detail) for r in gates.run_gates(c, facts, anchors, previous=own.select("previous")).collect()) == [("1", "once upon a time"), ("1", "once upon a time.")]
+    assert [(r.cid, r.rule_id, r.severity, r.claim_key) for r in found] == [("1", "gate.lexical-similarity", "warn", None)]
+    assert found[0].message == "output is 97% similar to previous unit 1 (threshold 90%)"
+    assert found[0].detail.startswith('{"previous_index":1,"ratio":0.96')
+    same = gates.run_gates(c, facts, anchors, previous=own.select("previous_index", "previous")).collect()
+    assert sorted((r.cid, r.message[:17]) for r in same) == [("1", "output is 100% si"), ("1", "output is 97% sim")]
     assert {r.status for r in gates.disputed(c, gates.run_gates(c, facts, anchors, previous=own)).collect()} == {"accepted"}
     assert gates.run_gates(c, facts, anchors).count() == 0
 
@@ -119,8 +128,10 @@ def test_text_functions(spark):
     assert one(tx.count_pattern(F.lit("abc"), F.lit(""))) == 0
     assert one(tx.word_tokens(F.lit("Ünï-code, 42x!"))) == ["ünï", "code", "42x"]
     assert one(tx.number_digits(F.lit("case 07/638,337 no 1,234,567 and CVE12345 of 2020-01-01 at 12345.5"))) == ["1234567", "12345"]
-    assert tuple(one(tx.split_normalized(F.lit("a.b.c=x=y")))) == ("a.b", "c", "x=y")
-    assert one(tx.split_normalized(F.lit("nothing"))) is None
+    for given, parts in (("a.b.c=x=y", ("a.b", "c", "x=y")), (" a . b = c ", ("a", "b", "c")), (" nothing ", ("", "", "nothing")), ("key = v", ("", "key", "v")), ("=v", ("", "", "v")), (".k=", ("", "k", "")), ("", ("", "", ""))):
+        assert tuple(one(tx.split_normalized(F.lit(given)))) == parts
+    markers = "As an AI as a language model, I cannot assist; I'm sorry, but [insert name] Lorem Ipsum, the author in this chapter"
+    assert one(tx.meta_markers(F.lit(markers))) == ["as an ai", "as a language model", "i cannot assist", "i'm sorry, but", "[insert", "lorem ipsum"]
     assert one(tx.sample_text(F.lit("abcdefghijklmnopqrstuvwxyz"), 12)).count("…") == 2
     with pytest.raises(ValueError):
         value_equality("new-policy")

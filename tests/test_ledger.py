@@ -72,15 +72,17 @@ def test_lineage_and_anchor_precedence(spark):
 
 
 def test_one_pin_script(spark):
-    promises = spark.createDataFrame([("reveal", "hero", 2, 6, "ch3")], "id string, subject string, seq long, fulfilled_seq long, due_scope string")
+    promises = spark.createDataFrame([("p1", "hero", 2, 6, "ch3", "reveal", "who did it")], "id string, subject string, seq long, fulfilled_seq long, due_scope string, key string, description string")
     state = lambda pin: [(r.status, r.fulfilled_seq) for r in ledger.promises_at(promises, pin).collect()]
     assert state(1) == []
     assert state(2) == [("open", None)]
     assert state(None) == [("fulfilled", 6)]
     late = ledger.overdue(ledger.promises_at(promises, 2), "ch3")
-    assert [r.id for r in late.collect()] == ["reveal"]
+    assert [tuple(r) for r in late.collect()] == [
+        ("p1", "gate.promise-unfulfilled", "warn", "promise 'reveal' was due at scope 'ch3' and is still open", "ch3", '{"promise_id":"p1","promise_key":"reveal"}')
+    ]
     assert ledger.overdue(ledger.promises_at(promises, 2), "ch9").count() == 0
-    assert ledger.overdue(ledger.promises_at(promises, 2), "ch9", final=True).count() == 1
+    assert ledger.overdue(ledger.promises_at(promises, 2), "ch9", final=True).first().message == "promise 'reveal' is still open at the final unit: who did it"
 
 
 def test_counters_hide_behind_a_late_stamp(spark):
@@ -88,8 +90,20 @@ def test_counters_hide_behind_a_late_stamp(spark):
     c = spark.createDataFrame(rows, "version_id string, key string, scope_path string, count long, budget long, seq long")
     assert [(r["count"], r.budget) for r in ledger.counter_totals(c, 5).collect()] == [(1, 2)]
     assert ledger.counter_totals(c, 5, latest_only=True).count() == 0
-    assert [r.state for r in ledger.check_budgets(ledger.counter_totals(c, 5)).collect()] == ["available"]
-    assert [r.state for r in ledger.check_budgets(ledger.counter_totals(c)).collect()] == ["exceeded"]
+    assert ledger.check_budgets(ledger.counter_totals(c, 5)).count() == 0
+    found = ledger.check_budgets(ledger.counter_totals(c), "ch4").first()
+    assert tuple(found) == (
+        "flashback", "gate.counter-budget", "warn", "counter 'flashback' at 3 exceeds whole-document budget 2", "ch4", '{"budget":2,"counter_key":"flashback","total":3}'
+    )
+
+
+def test_directives(spark):
+    totals = spark.createDataFrame([("flashback", 3, 2), ("storm", 1, 2), ("rain", 0, 2), ("unbudgeted", 9, None)], "key string, count long, budget long")
+    assert {r.key: r.directive for r in ledger.directives(totals).collect()} == {
+        "flashback": "flashback: used 3/2\nAVOID: 'flashback' — budget exhausted",
+        "storm": "storm: used 1/2\nCAUTION: 'storm' — one use remaining",
+        "rain": "rain: used 0/2",
+    }
 
 
 def test_append_checks_the_head(spark):
@@ -105,9 +119,10 @@ def test_digests(hero, spark):
         "[book.ch1] 1 facts\nhero.eyes=green",
         "[book.ch2] 1 facts\nhero.home=harbor",
     ]
-    assert [r.text for r in digests.tier1(facts).collect()] == ["book: 2 facts in 2 scopes; keys: eyes, home"]
+    assert [r.text for r in digests.tier1(facts).collect()] == ["[group book] 2 facts across 2 scopes; keys: hero.eyes, hero.home"]
+    assert [(r.scope, r.text) for r in digests.tier2(facts).collect()] == [("", "[rollup] 2 facts, 2 scopes, 1 subjects: hero")]
     empty = digests.tier2(facts.where(F.lit(False))).collect()
-    assert [(r.text, r.built_from_seq) for r in empty] == [("0 facts, 0 scopes, 0 subjects", 0)]
+    assert [(r.text, r.built_from_seq) for r in empty] == [("[rollup] 0 facts, 0 scopes, 0 subjects: ", 0)]
 
 
 def test_snapshot_rebuilds_digests_under_the_pin(spark):
@@ -118,10 +133,10 @@ def test_snapshot_rebuilds_digests_under_the_pin(spark):
     empty = lambda schema: spark.createDataFrame([], schema)
     stores = (
         empty("version_id string, detail_key string, locked_value string, seq long, locked boolean"),
-        empty("id string, seq long, fulfilled_seq long, due_scope string"),
+        empty("id string, seq long, fulfilled_seq long, due_scope string, key string, description string"),
         empty("version_id string, key string, scope_path string, count long, budget long, seq long"),
         empty("id string, position int"),
     )
     at = lambda pin: {(r.tier, r.scope): r.n_facts for r in ledger.load_snapshot(claims, *stores, pin).digests.collect()}
-    assert at(1) == {(0, "a.b"): 1, (1, "a"): 1, (2, "*"): 1}
-    assert at(None) == {(0, "a.b"): 1, (0, "c"): 1, (1, "a"): 1, (1, "c"): 1, (2, "*"): 2}
+    assert at(1) == {(0, "a.b"): 1, (1, "a"): 1, (2, ""): 1}
+    assert at(None) == {(0, "a.b"): 1, (0, "c"): 1, (1, "a"): 1, (1, "c"): 1, (2, ""): 2}
