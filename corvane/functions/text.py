@@ -115,7 +115,7 @@ def meta_markers(text: Column) -> Column:
 
 def glob(pattern: str) -> str:
     """Anchored, case-insensitive regular expression for a pattern with ``*``."""
-    return "(?i)^" + ".*".join(re.escape(p) for p in pattern.split("*")) + "$"
+    return "(?is)^" + ".*".join(re.escape(p) for p in pattern.split("*")) + "$"
 
 
 def sample_text(text: Column, budget: int) -> Column:

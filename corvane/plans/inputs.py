@@ -157,15 +157,21 @@ DERIVED = {
                CONCAT('dom', CAST(doc_id % 3 AS STRING)) AS domain
         FROM documents""",
     "when_facts": """
-        SELECT CONCAT('cust-', CAST(o_custkey AS STRING)) AS subject,
-               CASE o_orderkey % 4 WHEN 0 THEN 'start_date' WHEN 1 THEN 'end_date' WHEN 2 THEN 'filed_on' ELSE 'review_due' END AS key,
-               o_orderkey AS seq, CONCAT('c', CAST(o_orderkey AS STRING)) AS claim_id, o_orderkey % 10 = 0 AS candidate,
-               CASE WHEN o_orderkey % 29 = 0 THEN 'not a date'
-                    WHEN o_orderkey % 13 = 0 THEN SUBSTRING(CAST(CAST(o_orderdate AS DATE) AS STRING), 1, 4)
-                    WHEN o_orderkey % 11 = 0 THEN SUBSTRING(CAST(CAST(o_orderdate AS DATE) AS STRING), 1, 7)
-                    WHEN o_orderkey % 17 = 0 THEN CONCAT('circa ', SUBSTRING(CAST(CAST(o_orderdate AS DATE) AS STRING), 1, 4))
-                    ELSE CAST(CAST(o_orderdate AS DATE) AS STRING) END AS value
-        FROM orders""",
+        SELECT subject, key, seq, claim_id, candidate, way, day,
+               CASE way WHEN 0 THEN iso WHEN 1 THEN SUBSTRING(iso, 1, 7) WHEN 2 THEN y WHEN 3 THEN CONCAT(mon, ' ', y) WHEN 4 THEN CONCAT('circa ', y)
+                        WHEN 5 THEN CONCAT('approx. ', y) WHEN 6 THEN CONCAT('~', mon, ' ', y) WHEN 7 THEN CONCAT(mon, ' ', CAST(dd AS STRING), ', ', y)
+                        WHEN 8 THEN CONCAT(CAST(dd AS STRING), CASE WHEN dd IN (1, 21, 31) THEN 'st' WHEN dd IN (2, 22) THEN 'nd' WHEN dd IN (3, 23) THEN 'rd' ELSE 'th' END, ' ', mon, ' ', y)
+                        WHEN 9 THEN CONCAT(y, ' to ', CAST(CAST(y AS INT) + 3 AS STRING)) WHEN 10 THEN CONCAT('Jan-April ', y) WHEN 11 THEN CONCAT('Spring ', y)
+                        WHEN 12 THEN CONCAT('winter ', y) WHEN 13 THEN CONCAT('janx ', y) ELSE CONCAT(SUBSTRING(iso, 1, 7), '-5') END AS value
+        FROM (SELECT CONCAT('cust-', CAST(o_custkey AS STRING)) AS subject,
+                     CASE o_orderkey % 4 WHEN 0 THEN 'start_date' WHEN 1 THEN 'end_date' WHEN 2 THEN 'filed_on' ELSE 'review_due' END AS key,
+                     o_orderkey AS seq, CONCAT('c', CAST(o_orderkey AS STRING)) AS claim_id, o_orderkey % 10 IN (0, 3) AS candidate,
+                     CASE WHEN o_orderkey % 3 = 0 THEN CAST((o_orderkey * 7) % 15 AS INT) ELSE 0 END AS way, CAST(o_orderdate AS DATE) AS day,
+                     CAST(CAST(o_orderdate AS DATE) AS STRING) AS iso, SUBSTRING(CAST(CAST(o_orderdate AS DATE) AS STRING), 1, 4) AS y,
+                     CAST(SUBSTRING(CAST(CAST(o_orderdate AS DATE) AS STRING), 9, 2) AS INT) AS dd,
+                     CASE SUBSTRING(CAST(CAST(o_orderdate AS DATE) AS STRING), 6, 2) WHEN '01' THEN 'January' WHEN '02' THEN 'Feb' WHEN '03' THEN 'mar.' WHEN '04' THEN 'April'
+                          WHEN '05' THEN 'May' WHEN '06' THEN 'june' WHEN '07' THEN 'JUL' WHEN '08' THEN 'Aug.' WHEN '09' THEN 'Sept' WHEN '10' THEN 'October' WHEN '11' THEN 'Nov' ELSE 'december' END AS mon
+              FROM (SELECT o_orderkey, o_custkey, CASE WHEN o_custkey % 5 = 0 AND o_orderkey % 2 = 1 THEN TIMESTAMP '1998-03-04 00:00:00' ELSE o_orderdate END AS o_orderdate FROM orders) o) x""",
     "metrics": """
         SELECT l_returnflag AS profile, l_linestatus AS layer, CAST(l_partkey % 5 AS INT) AS refusals_code, l_discount > 0.05 AS complete,
                CAST(ROUND(l_extendedprice) AS BIGINT) AS latency_ms, l_quantity > 40 AS refused

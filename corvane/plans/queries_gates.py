@@ -166,17 +166,20 @@ def shape_validation(spark, d):
     return gates.shape_validation(derived(spark, d, "candidates"), shape)
 
 
+# Dates are written in fifteen ways; the SQL knows each row's day and way, and so never reads the text.
 _TIME = f"""{ctes("when_facts")},
-    latest AS (SELECT subject, key, arg_max(value, CASE WHEN candidate THEN 1000000000 ELSE 0 END + seq) AS v,
-                      arg_max(claim_id, CASE WHEN candidate THEN 1000000000 ELSE 0 END + seq) AS claim_id,
-                      arg_max(candidate, CASE WHEN candidate THEN 1000000000 ELSE 0 END + seq) AS candidate
+    latest AS (SELECT subject, key, arg_max(struct_pack(v := value, w := way, d := day, i := claim_id, c := candidate), CASE WHEN candidate THEN 1000000000 ELSE 0 END + seq) AS x
                FROM when_facts GROUP BY subject, key),
-    bare AS (SELECT *, v LIKE 'circa %' AS uncertain, replace(v, 'circa ', '') AS t FROM latest WHERE v <> 'not a date'),
-    ev AS (SELECT subject, key, claim_id, candidate, uncertain,
-                  CASE length(t) WHEN 4 THEN 'year' WHEN 7 THEN 'month' ELSE 'day' END AS precision,
-                  CAST(t || CASE length(t) WHEN 4 THEN '-01-01' WHEN 7 THEN '-01' ELSE '' END AS DATE) AS s,
-                  CASE length(t) WHEN 4 THEN CAST(t || '-12-31' AS DATE) WHEN 7 THEN last_day(CAST(t || '-01' AS DATE)) ELSE CAST(t AS DATE) END AS e
-           FROM bare)"""
+    ev AS (SELECT subject, key, subject || '.' || key AS ck, x.v AS value, CASE WHEN x.c THEN NULL ELSE x.i END AS claim_id, x.c AS candidate, x.w IN (4, 5, 6, 11, 12) AS uncertain,
+                  CASE WHEN x.w IN (0, 7, 8) THEN 'day' WHEN x.w IN (2, 4, 5, 9) THEN 'year' ELSE 'month' END AS precision,
+                  CASE WHEN x.w IN (0, 7, 8) THEN x.d WHEN x.w IN (2, 4, 5, 9) THEN CAST(date_trunc('year', x.d) AS DATE)
+                       WHEN x.w = 11 THEN CAST(strftime(x.d, '%Y-03-01') AS DATE) WHEN x.w = 12 THEN CAST(strftime(x.d, '%Y-12-01') AS DATE)
+                       WHEN x.w = 10 THEN CAST(strftime(x.d, '%Y-01-01') AS DATE) ELSE CAST(date_trunc('month', x.d) AS DATE) END AS s,
+                  CASE WHEN x.w IN (0, 7, 8) THEN x.d WHEN x.w IN (2, 4, 5) THEN CAST(strftime(x.d, '%Y-12-31') AS DATE)
+                       WHEN x.w = 9 THEN CAST(strftime(x.d + INTERVAL 3 YEAR, '%Y-12-31') AS DATE) WHEN x.w = 11 THEN CAST(strftime(x.d, '%Y-05-31') AS DATE)
+                       WHEN x.w = 12 THEN last_day(CAST(strftime(x.d + INTERVAL 1 YEAR, '%Y-02-01') AS DATE)) WHEN x.w = 10 THEN last_day(CAST(strftime(x.d, '%Y-04-01') AS DATE))
+                       ELSE last_day(x.d) END AS e
+           FROM latest WHERE x.w < 13)"""
 
 
 def _pair_sql(a: str, b: str) -> str:
@@ -184,56 +187,111 @@ def _pair_sql(a: str, b: str) -> str:
         AND a.key <> b.key AND NOT a.uncertain AND NOT b.uncertain"""
 
 
-_TOLD = "subject, a.key AS a_key, b.key AS b_key, a.claim_id AS a_id, b.claim_id AS b_id"
+def _chain(side: str, role: str) -> str:
+    value = lambda x: f"CASE WHEN {x} IS NULL THEN 'null' ELSE '\"' || {x} || '\"' END"
+    return f"""'{{"claim":"' || {side}.ck || '","claim_id":' || {value(side + ".claim_id")} || ',"origin":"' || CASE WHEN {side}.candidate THEN 'candidate' ELSE 'ledger' END
+        || '","role":"{role}","value":"' || {side}.value || '","when":{{"end":"' || CAST({side}.e AS VARCHAR) || '","precision":"' || {side}.precision
+        || '","start":"' || CAST({side}.s AS VARCHAR) || '","uncertain":' || CAST({side}.uncertain AS VARCHAR) || '}}}}'"""
+
+
+def _found_sql(rule_id: str, kind: str, rule: str, severity: str, message: str, roles: tuple[tuple[str, str], ...], extras: str = "", after: str = "") -> str:
+    """One finding as SQL columns; ``rule`` is its JSON, ``extras`` and ``after`` what stands before and after the kind."""
+    claim = "NULL"
+    for side, _ in roles:
+        claim = f"CASE WHEN {side}.candidate THEN {side}.ck ELSE {claim} END"
+    chain = " || ',' || ".join(_chain(*r) for r in roles)
+    return f"""'{rule_id}' AS rule_id, '{severity}' AS severity, {message} AS message, CAST({claim} AS VARCHAR) AS claim_key,
+        '{{"chain":[' || {chain} || ']' || CASE WHEN {claim} IS NULL THEN '' ELSE ',"claim_key":"' || {claim} || '"' END || {extras or "''"} ||
+        ',"kind":"{kind}"' || {after or "''"} || ',"rule":{rule}}}' AS detail"""
+
+
+_ORDER = chronology.Rule("order", "start_date", "end_date", "block")
+_CONTAINS = chronology.Rule("contains", "start_date", "filed_on")
+_OVERLAP = chronology.Rule("overlap", "*", "*")
+_DEADLINE = chronology.Rule("deadline", "start_date", "review_due", days=90)
+_DURATION = chronology.Rule("duration", "start_date", "end_date", least=30, most=400)
+_ABSOLUTE = chronology.Rule("order", "Cust-7.start_date", "*_on")
+_SAID_A, _SAID_B = "a.ck || '=' || a.value", "b.ck || '=' || b.value"
+
+_ORDER_SQL = f"""SELECT {_found_sql("gate.chronology-order", "order", '{"order":{"after":"end_date","before":"start_date"}}', "block",
+    f"'chronology: ''' || {_SAID_B} || ''' must come after ''' || {_SAID_A} || ''' but is definitely before it'", (("a", "before"), ("b", "after")))}
+    {_pair_sql('start_date', 'end_date')} AND b.e < a.s"""
+_CONTAINS_SQL = f"""SELECT {_found_sql("gate.chronology-order", "contains", '{"contains":{"inner":"filed_on","outer":"start_date"}}', "warn",
+    f"'chronology: ''' || {_SAID_B} || ''' must fall within ''' || {_SAID_A} || ''' but is definitely outside it'", (("a", "outer"), ("b", "inner")))}
+    {_pair_sql('start_date', 'filed_on')} AND NOT (a.s <= b.e AND b.s <= a.e)"""
+_OVERLAP_SQL = f"""SELECT {_found_sql("gate.chronology-order", "overlap", '{"forbid_overlap":{"a":"*","b":"*"}}', "warn",
+    f"'chronology: ''' || {_SAID_A} || ''' and ''' || {_SAID_B} || ''' must not overlap but definitely do'", (("a", "a"), ("b", "b")))}
+    {_pair_sql('%', '%')} AND a.precision = 'day' AND b.precision = 'day' AND a.s <= b.e AND b.s <= a.e AND a.key < b.key"""
+_DEADLINE_RULE = '{"deadline":{"due_from":"start_date","key":"review_due","within_days":90}}'
+_DUE = """',"deadline":"' || CAST(CAST(a.e + 90 AS DATE) AS VARCHAR) || '"'"""
+_DEADLINE_SQL = f"""SELECT {_found_sql("gate.chronology-deadline", "deadline", _DEADLINE_RULE, "warn",
+    f"'chronology: ''' || {_SAID_B} || ''' is definitely later than the deadline ' || CAST(CAST(a.e + 90 AS DATE) AS VARCHAR) || ' (90 days after ''' || {_SAID_A} || ''')'",
+    (("a", "due_from"), ("b", "event")), extras=_DUE)}
+    {_pair_sql('start_date', 'review_due')} AND b.s > a.e + 90
+    UNION ALL SELECT {_found_sql("gate.chronology-deadline", "deadline", _DEADLINE_RULE, "warn",
+    f"'chronology: no ''review_due'' event within 90 days of ''' || {_SAID_A} || ''' — deadline ' || CAST(CAST(a.e + 90 AS DATE) AS VARCHAR) || ' passed as of 2000-01-01'",
+    (("a", "due_from"),), extras=_DUE, after="',\"now\":\"2000-01-01\"'")}
+    FROM ev a WHERE key = 'start_date' AND NOT uncertain AND e + 90 < DATE '2000-01-01' AND NOT EXISTS (SELECT 1 FROM ev y WHERE y.subject = a.subject AND y.key = 'review_due')"""
+_GAPS = "date_diff('day', a.e, b.s) AS lo, date_diff('day', a.s, b.e) AS hi"
+_DURATION_SQL = f"""SELECT {_found_sql("gate.chronology-duration", "duration", '{"duration":{"from":"start_date","max_days":400,"min_days":30,"to":"end_date"}}', "warn",
+    f"'chronology: elapsed days from ''' || {_SAID_A} || ''' to ''' || {_SAID_B} || ''' (between ' || CAST(date_diff('day', a.e, b.s) AS VARCHAR) || ' and ' || CAST(date_diff('day', a.s, b.e) AS VARCHAR) || ') '"
+    " || CASE WHEN date_diff('day', a.e, b.s) > 400 THEN 'definitely exceeds max_days=400' ELSE 'definitely under min_days=30' END",
+    (("a", "from"), ("b", "to")), extras="',\"gap_days_max\":' || CAST(date_diff('day', a.s, b.e) AS VARCHAR) || ',\"gap_days_min\":' || CAST(date_diff('day', a.e, b.s) AS VARCHAR)")}
+    {_pair_sql('start_date', 'end_date')} AND (date_diff('day', a.s, b.e) < 30 OR date_diff('day', a.e, b.s) > 400)"""
+_ABSOLUTE_SQL = f"""SELECT {_found_sql("gate.chronology-order", "order", '{"order":{"after":"*_on","before":"Cust-7.start_date"}}', "warn",
+    f"'chronology: ''' || {_SAID_B} || ''' must come after ''' || {_SAID_A} || ''' but is definitely before it'", (("a", "before"), ("b", "after")))}
+    FROM ev a JOIN ev b ON b.key = 'filed_on' WHERE a.ck = 'cust-7.start_date' AND (a.candidate OR b.candidate) AND NOT a.uncertain AND NOT b.uncertain AND b.e < a.s"""
 
 
 def _timeline(spark, d):
     return chronology.timeline(derived(spark, d, "when_facts"))
 
 
-@query("chrono_timeline", f"{_TIME} SELECT subject, key, claim_id, candidate, uncertain, precision, CAST(s AS VARCHAR) AS start, CAST(e AS VARCHAR) AS until FROM ev")
+@query(
+    "chrono_timeline",
+    f"{_TIME} SELECT subject, key, value, claim_id, candidate, uncertain, precision, CAST(s AS VARCHAR) AS start, CAST(e AS VARCHAR) AS until FROM ev",
+)
 def chrono_timeline(spark, d):
-    return _timeline(spark, d).select(
-        "subject", "key", "claim_id", "candidate", "when.uncertain", "when.precision", F.col("when.start").cast("string").alias("start"), F.col("when.end").cast("string").alias("until")
-    )
+    when = [F.col("when.uncertain"), F.col("when.precision"), F.col("when.start").cast("string").alias("start"), F.col("when.end").cast("string").alias("until")]
+    return _timeline(spark, d).select("subject", "key", "value", "claim_id", "candidate", *when)
 
 
-@query("chrono_order", f"{_TIME} SELECT 'order' AS rule, {_TOLD} {_pair_sql('start_date', 'end_date')} AND b.e < a.s")
+@query("chrono_order", f"{_TIME} {_ORDER_SQL}")
 def chrono_order(spark, d):
-    return chronology.order_rule(_timeline(spark, d), "start_date", "end_date")
+    return chronology.order_rule(_timeline(spark, d), _ORDER)
 
 
-@query("chrono_contains", f"{_TIME} SELECT 'contains' AS rule, {_TOLD} {_pair_sql('start_date', 'filed_on')} AND NOT (a.s <= b.e AND b.s <= a.e)")
+@query("chrono_contains", f"{_TIME} {_CONTAINS_SQL}")
 def chrono_contains(spark, d):
-    return chronology.contains_rule(_timeline(spark, d), "start_date", "filed_on")
+    return chronology.contains_rule(_timeline(spark, d), _CONTAINS)
 
 
-@query(
-    "chrono_overlap",
-    f"""{_TIME} SELECT DISTINCT 'overlap' AS rule, subject, least(a.key, b.key) AS a_key, greatest(a.key, b.key) AS b_key
-        {_pair_sql('%', '%')} AND a.precision = 'day' AND b.precision = 'day' AND a.s <= b.e AND b.s <= a.e""",
-)
+@query("chrono_overlap", f"{_TIME} {_OVERLAP_SQL}")
 def chrono_overlap(spark, d):
-    return chronology.forbid_overlap(_timeline(spark, d), "*", "*")
+    return chronology.forbid_overlap(_timeline(spark, d), _OVERLAP)
 
 
-@query(
-    "chrono_deadline",
-    f"""{_TIME} SELECT 'deadline' AS rule, {_TOLD} {_pair_sql('start_date', 'review_due')} AND b.s > a.e + 90
-        UNION ALL SELECT 'deadline', subject, key, NULL, claim_id, NULL FROM ev x WHERE key = 'start_date' AND candidate AND NOT uncertain
-            AND e + 90 < DATE '2000-01-01' AND NOT EXISTS (SELECT 1 FROM ev y WHERE y.subject = x.subject AND y.key = 'review_due')""",
-)
+@query("chrono_deadline", f"{_TIME} {_DEADLINE_SQL}")
 def chrono_deadline(spark, d):
-    return chronology.deadline_rule(_timeline(spark, d), "start_date", "review_due", 90, "2000-01-01")
+    return chronology.deadline_rule(_timeline(spark, d), _DEADLINE, "2000-01-01")
 
 
-@query(
-    "chrono_duration",
-    f"""{_TIME} SELECT 'duration' AS rule, {_TOLD} {_pair_sql('start_date', 'end_date')}
-        AND (date_diff('day', a.s, b.e) < 30 OR date_diff('day', a.e, b.s) > 400)""",
-)
+@query("chrono_duration", f"{_TIME} {_DURATION_SQL}")
 def chrono_duration(spark, d):
-    return chronology.duration_rule(_timeline(spark, d), "start_date", "end_date", 30, 400)
+    return chronology.duration_rule(_timeline(spark, d), _DURATION)
+
+
+@query("chrono_absolute", f"{_TIME} {_ABSOLUTE_SQL}")
+def chrono_absolute(spark, d):
+    """A target that names one fact meets those of every subject."""
+    return chronology.order_rule(_timeline(spark, d), _ABSOLUTE)
+
+
+@query("check_chronology", f"{_TIME} {' UNION ALL '.join((_ORDER_SQL, _CONTAINS_SQL, _OVERLAP_SQL, _DEADLINE_SQL, _DURATION_SQL, _ABSOLUTE_SQL))}")
+def check_chronology(spark, d):
+    """All rules at once."""
+    rules = (_ORDER, _CONTAINS, _OVERLAP, _DEADLINE, _DURATION, _ABSOLUTE)
+    return chronology.check_chronology(derived(spark, d, "when_facts"), rules, "2000-01-01")
 
 
 @query(

@@ -1,4 +1,5 @@
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -83,25 +84,57 @@ def test_shape_and_dedup(spark):
     assert [r.claim_no for r in gates.dedup_findings(f, f.where("seq > 9"), ["rule_id", "message"]).collect()] == [1]
 
 
-@pytest.mark.parametrize(
-    ("value", "start", "end", "precision", "uncertain"),
-    [
-        ("1987-03", "1987-03-01", "1987-03-31", "month", False),
-        ("March 5, 1987", "1987-03-05", "1987-03-05", "day", False),
-        ("5 March 1987", "1987-03-05", "1987-03-05", "day", False),
-        ("winter 1990", "1990-12-01", "1991-02-28", "season", True),
-        ("circa 1920", "1920-01-01", "1920-12-31", "year", True),
-        ("1901-1905", "1901-01-01", "1905-12-31", "range", False),
-    ],
-)
-def test_parse_when(spark, value, start, end, precision, uncertain):
-    w = spark.createDataFrame([(value,)], "v string").select(chronology.parse_when(F.col("v")).alias("w")).first().w
-    assert (w.start, w.end, w.precision, w.uncertain) == (dt.date.fromisoformat(start), dt.date.fromisoformat(end), precision, uncertain)
-
-
-@pytest.mark.parametrize("value", ["1987-02-30", "1905-1901", "soon", "", None])
-def test_parse_when_gives_null_for_the_rest(spark, value):
-    assert spark.createDataFrame([(value,)], "v string").select(chronology.parse_when(F.col("v")).alias("w")).first().w is None
+WHEN = [
+    ("2020-05-17", "2020-05-17", "2020-05-17", "day", False),
+    ("2020-05", "2020-05-01", "2020-05-31", "month", False),
+    ("1995", "1995-01-01", "1995-12-31", "year", False),
+    ("1990-1995", "1990-01-01", "1995-12-31", "year", False),
+    ("1901 to 1905", "1901-01-01", "1905-12-31", "year", False),
+    ("1901 – 1905", "1901-01-01", "1905-12-31", "year", False),
+    ("March-June 2020", "2020-03-01", "2020-06-30", "month", False),
+    ("March-May 1990", "1990-03-01", "1990-05-31", "month", False),
+    ("March to May 1990", "1990-03-01", "1990-05-31", "month", False),
+    ("jan. — feb. 2024", "2024-01-01", "2024-02-29", "month", False),
+    ("March 5, 2020", "2020-03-05", "2020-03-05", "day", False),
+    ("MARCH 5th 2020", "2020-03-05", "2020-03-05", "day", False),
+    ("5th March 2020", "2020-03-05", "2020-03-05", "day", False),
+    ("5 Mar., 2020", "2020-03-05", "2020-03-05", "day", False),
+    ("Sept 2020", "2020-09-01", "2020-09-30", "month", False),
+    ("February 2024", "2024-02-01", "2024-02-29", "month", False),
+    ("circa 1943", "1943-01-01", "1943-12-31", "year", True),
+    ("~March 2020", "2020-03-01", "2020-03-31", "month", True),
+    ("approx. 1950", "1950-01-01", "1950-12-31", "year", True),
+    ("approx 1920", "1920-01-01", "1920-12-31", "year", True),
+    ("approximately 1920", "1920-01-01", "1920-12-31", "year", True),
+    ("~1920", "1920-01-01", "1920-12-31", "year", True),
+    ("around 1920", "1920-01-01", "1920-12-31", "year", True),
+    ("About 1920", "1920-01-01", "1920-12-31", "year", True),
+    ("ca.1920", "1920-01-01", "1920-12-31", "year", True),
+    ("c. 1920-05-01", "1920-05-01", "1920-05-01", "day", True),
+    ("spring 2021", "2021-03-01", "2021-05-31", "month", True),
+    ("Fall 2021", "2021-09-01", "2021-11-30", "month", True),
+    ("winter 2020", "2020-12-01", "2021-02-28", "month", True),
+    ("winter 2023", "2023-12-01", "2024-02-29", "month", True),
+    ("\t 1995 \n", "1995-01-01", "1995-12-31", "year", False),
+]
+NO_DATE = [
+    "1987-02-30", "1905-1901", "soon", "", None, "janx 1990", "1987-03-5", "2020-13", "2020-5", "circa", "~", "June-March 2020", "31 February 2020", "March 32, 2020",
+    "spring of 2021", "Spring", "95", "2020/05/17", "2020-05-17T00:00", "May 2020 or so", "1990-1995-2000", "TO 1990", "1901 TO 1905", "March, 2020",
+]
+
+
+def test_parse_when(spark):
+    rows = spark.createDataFrame([(v,) for v, *_ in WHEN], "v string").select("v", chronology.parse_when(F.col("v")).alias("w")).collect()
+    day = dt.date.fromisoformat
+    assert {r.v: tuple(r.w) for r in rows} == {v: (day(s), day(e), p, u) for v, s, e, p, u in WHEN}
+
+
+def test_parse_when_gives_null_for_the_rest(spark):
+    rows = spark.createDataFrame([(v,) for v in NO_DATE], "v string").select("v", chronology.parse_when(F.col("v")).alias("w")).collect()
+    assert [r.v for r in rows if r.w is not None] == []
+
+
+FACTS = "subject string, key string, seq long, claim_id string, candidate boolean, value string"
 
 
 def test_chronology_reports_only_what_is_certain(spark):
@@ -116,9 +149,58 @@ def test_chronology_reports_only_what_is_certain(spark):
         ("w", "end_date", 8, "h", False, "2000-04-01"),
         ("w", "end_date", 9, "i", False, "unknown"),
     ]
-    f = spark.createDataFrame(rows, "subject string, key string, seq long, claim_id string, candidate boolean, value string")
-    found = chronology.order_rule(chronology.timeline(f), "start_date", "end_date")
-    assert [r.subject for r in found.collect()] == ["s"]  # t is uncertain, u has no candidate, w's end became unreadable
+    rule = chronology.Rule("order", "start_date", "end_date", "block")
+    found = chronology.check_chronology(spark.createDataFrame(rows, FACTS), [rule]).collect()
+    # t is uncertain, u has no candidate, w's end became unreadable
+    assert [(r.rule_id, r.severity, r.message, r.claim_key) for r in found] == [
+        ("gate.chronology-order", "block", "chronology: 's.end_date=2000-04-01' must come after 's.start_date=2000-05-01' but is definitely before it", "s.start_date")
+    ]
+    assert json.loads(found[0].detail) == {
+        "kind": "order", "rule": {"order": {"before": "start_date", "after": "end_date"}}, "claim_key": "s.start_date",
+        "chain": [
+            {"role": "before", "claim_id": None, "claim": "s.start_date", "value": "2000-05-01", "origin": "candidate", "when": {"start": "2000-05-01", "end": "2000-05-01", "precision": "day", "uncertain": False}},
+            {"role": "after", "claim_id": "b", "claim": "s.end_date", "value": "2000-04-01", "origin": "ledger", "when": {"start": "2000-04-01", "end": "2000-04-01", "precision": "day", "uncertain": False}},
+        ],
+    }
+
+
+def test_deadlines_missed_are_told_of_every_start(spark):
+    rows = [
+        ("s", "start_date", 1, "a", False, "2000-05-01"),
+        ("t", "start_date", 2, "b", True, "2000-05-01"),
+        ("u", "start_date", 3, "c", False, "2000-05-01"),
+        ("u", "review_due", 4, "d", False, "spring 2001"),
+        ("v", "start_date", 5, "e", True, "2000-05-01"),
+        ("v", "review_due", 6, "f", False, "2000-09-01"),
+    ]
+    facts = spark.createDataFrame(rows, FACTS)
+    rule = chronology.Rule("deadline", "start_date", "review_due", days=30)
+    got = {r.message: (r.claim_key, json.loads(r.detail).get("now")) for r in chronology.check_chronology(facts, [rule], "2000-06-01").collect()}
+    missing = "chronology: no 'review_due' event within 30 days of '{}.start_date=2000-05-01' — deadline 2000-05-31 passed as of 2000-06-01"
+    assert got == {
+        missing.format("s"): (None, "2000-06-01"),
+        missing.format("t"): ("t.start_date", "2000-06-01"),
+        "chronology: 'v.review_due=2000-09-01' is definitely later than the deadline 2000-05-31 (30 days after 'v.start_date=2000-05-01')": ("v.start_date", None),
+    }
+    assert chronology.check_chronology(facts, [rule], "2000-05-31").count() == chronology.check_chronology(facts, [rule]).count() == 1
+
+
+def test_a_target_that_names_a_fact_meets_all_subjects(spark):
+    rows = [("War", "end", 1, "a", False, "1945-05-08"), ("s", "born_on", 2, "b", True, "1950"), ("t", "born_on", 3, "c", True, "1940"), ("t", "end", 4, "d", True, "1930")]
+    facts = spark.createDataFrame(rows, FACTS)
+    order = chronology.Rule("order", "war.end", "*_on")
+    assert [r.claim_key for r in chronology.check_chronology(facts, [order]).collect()] == ["t.born_on"]
+    late = chronology.Rule("deadline", "war.end", "*_on", days=10)
+    assert [r.claim_key for r in chronology.check_chronology(facts, [late], "1990-01-01").collect()] == ["s.born_on"]
+    gap = chronology.Rule("duration", "war.end", "*_on", most=1000)
+    found = chronology.check_chronology(facts, [gap]).collect()
+    assert [r.message for r in found] == ["chronology: elapsed days from 'War.end=1945-05-08' to 's.born_on=1950' (between 1699 and 2063) definitely exceeds max_days=1000"]
+
+
+def test_a_pair_that_overlaps_is_told_once(spark):
+    rows = [("s", "a_on", 1, "a", True, "2000-05-01"), ("s", "b_on", 2, "b", False, "2000-05-01"), ("s", "c_on", 3, "c", False, "2000-05")]
+    found = chronology.check_chronology(spark.createDataFrame(rows, FACTS), [chronology.Rule("overlap", "*", "*_on")]).collect()
+    assert [r.message for r in found] == ["chronology: 's.a_on=2000-05-01' and 's.b_on=2000-05-01' must not overlap but definitely do"]
 
 
 def test_text_functions(spark):
