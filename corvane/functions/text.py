@@ -130,18 +130,25 @@ def sample_text(text: Column, budget: int) -> Column:
     )
 
 
-def number_digits(text: Column, most: int = 8) -> Column:
-    """Digits of long numbers in a query: five or more, groups joined, an optional short prefix dropped.
+_NUMBERS = re.compile(r"[A-Za-z]{5,}|(?P<short>[A-Za-z]{1,4})(?P<serial>[0-9]*)|(?P<run>[0-9]+(?:,[0-9]{3}(?![0-9]))*)(?P<fraction>\.[0-9]+)?")
 
-    Dates and decimals don't count.
+
+def number_digits(query: str, most: int = 8) -> list[str]:
+    """Digits of the long numbers in a query: five or more, with groups joined or behind one to four letters.
+
+    Neither amounts with a fraction count, nor eight digits that read as a date, nor what runs on in letters.
     """
-    found = F.regexp_extract_all(
-        F.concat(F.lit(" "), text, F.lit(" ")),
-        F.lit(r"(?<![\p{L}0-9.,/-])[A-Za-z]{0,4}([0-9]{1,3}(?:,[0-9]{3})+|[0-9]{5,})(?![0-9]|[.,/-][0-9])"),
-        F.lit(1),
-    )
-    digits = F.transform(found, lambda x: F.replace(x, F.lit(","), F.lit("")))
-    return F.slice(F.array_distinct(F.filter(digits, lambda d: F.char_length(d) >= 5)), 1, most)
+    found: list[str] = []
+    for m in _NUMBERS.finditer(query):
+        if m["run"]:
+            after_letter = m.start() > 0 and query[m.start() - 1].isascii() and query[m.start() - 1].isalpha()
+            digits = m["run"].replace(",", "") if not m["fraction"] and not after_letter else ""
+        else:
+            goes_on = query[m.end() : m.end() + 1]
+            digits = m["serial"] if m["serial"] and not (goes_on.isascii() and goes_on.isalnum()) else ""
+        if len(digits) >= 5 and not (len(digits) == 8 and digits[:2] in ("19", "20")) and digits not in found:
+            found.append(digits)
+    return found[:most]
 
 
 def query_fingerprint(text: Column) -> Column:

@@ -88,18 +88,31 @@ def permitted_collections(collections: DataFrame, principal: Principal) -> DataF
 
 
 def shadowed_prefixes(prefixes: DataFrame) -> DataFrame:
-    """``outer, inner``: a collection whose prefix begins another's and that is less restricted.
+    """``outer, inner, outer_prefix, inner_prefix, message``: a collection whose prefix begins another's and that is less restricted.
 
-    A prefix is matched by its own leading parts, of the lengths that prefixes have, so this is an
-    equi-join and not a comparison of all pairs.
+    Less restricted is one of no higher level and no compartment that the other lacks, and strictly so in one of both.
+    ``prefixes``: ``collection, prefix, level, compartments``. A prefix is matched by its own leading parts, of
+    the lengths that prefixes have, so this is an equi-join and not a comparison of all pairs.
     """
     lengths = prefixes.select(F.char_length("prefix").alias("n")).distinct()
-    lead = prefixes.select(
-        F.col("collection").alias("inner"), F.col("prefix").alias("inner_prefix"), F.col("level").alias("inner_level")
-    ).join(F.broadcast(lengths), F.col("n") <= F.char_length("inner_prefix"))
-    lead = lead.withColumn("prefix", F.substring(F.col("inner_prefix"), F.lit(1), F.col("n")))
-    outer = prefixes.select(F.col("collection").alias("outer"), "prefix", F.col("level").alias("outer_level"))
-    return lead.join(outer, "prefix").where("outer <> inner AND outer_level < inner_level").select("outer", "inner", F.col("prefix").alias("outer_prefix"), "inner_prefix")
+    side = lambda name: F.struct("collection", "prefix", "level", F.array_distinct("compartments").alias("held"), "compartments").alias(name)
+    # as many lengths as the longest prefix has characters, at most
+    lead = prefixes.select(side("b")).join(F.broadcast(lengths), F.col("n") <= F.char_length("b.prefix"))
+    lead = lead.withColumn("lead", F.substring(F.col("b.prefix"), F.lit(1), F.col("n")))
+    met = lead.join(prefixes.select(side("a"), F.col("prefix").alias("lead")), "lead")
+    subset = F.size(F.array_except("a.held", "b.held")) == 0
+    strictly = (F.col("a.level") < F.col("b.level")) | (F.size("a.held") < F.size("b.held"))
+    shown = lambda x: F.concat(F.lit("["), F.array_join(F.transform(F.col(f"{x}.compartments"), lambda c: F.concat(F.lit('"'), c, F.lit('"'))), ", "), F.lit("]"))
+    text = lambda c: F.col(c).cast("string")
+    message = F.concat(
+        F.lit("collection '"), text("a.collection"), F.lit("' (level "), text("a.level"), F.lit(", compartments "), shown("a"), F.lit(") binds '"), text("a.prefix"),
+        F.lit("', a prefix of the more-restricted '"), text("b.collection"), F.lit("' (level "), text("b.level"), F.lit(", "), shown("b"), F.lit(") binding '"), text("b.prefix"),
+        F.lit("' — the restricted documents are also served to the wider audience; make the overlap a decision, not an accident"),
+    )
+    hits = met.where((F.col("a.collection") != F.col("b.collection")) & (F.col("a.level") <= F.col("b.level")) & subset & strictly)
+    return hits.select(
+        F.col("a.collection").alias("outer"), F.col("b.collection").alias("inner"), F.col("a.prefix").alias("outer_prefix"), F.col("b.prefix").alias("inner_prefix"), message.alias("message")
+    )
 
 
 def unreadable(sources: DataFrame, removals: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import text_id, word_tokens
@@ -89,8 +89,19 @@ def corpus_fingerprint(sources: DataFrame) -> DataFrame:
 
 
 def write_index(chunks: DataFrame, path: str, version: str) -> None:
-    """Writes the chunks of one index version, a folder for each collection."""
-    chunks.withColumn("index_version", F.lit(version)).write.mode("append").partitionBy("collection", "index_version").parquet(path)
+    """Writes the chunks of one index version, a folder for each collection. Writing a version again replaces it."""
+    rows = chunks.withColumn("index_version", F.lit(version))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("collection", "index_version").parquet(path)
+
+
+def index_sources(rows: DataFrame) -> DataFrame:
+    """``source_id, content_hash``: what an index was built from."""
+    return rows.select("source_id", "content_hash").distinct()
+
+
+def sorted_distinct(c: Column) -> Column:
+    """An array of provenance, each value once and in order."""
+    return F.array_sort(F.array_distinct(c))
 
 
 def lexemes(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
@@ -111,11 +122,11 @@ def stop_terms(frequency: DataFrame, fraction: float, total: int) -> DataFrame:
 
 
 def number_lexemes(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``digits, lexeme`` of tokens that are a long number with up to four letters before it."""
+    """``digits, lexeme`` of tokens that are a long number with one to four letters before it."""
     token = F.explode(F.array_distinct(word_tokens(F.col(text_col))))
     return (
         docs.select(token.alias("lexeme"))
-        .where(F.regexp_like("lexeme", F.lit("^[a-z]{0,4}[0-9]{5,}$")))
+        .where(F.regexp_like("lexeme", F.lit("^[a-z]{1,4}[0-9]{5,}$")))
         .select(F.regexp_replace("lexeme", "^[a-z]+", "").alias("digits"), "lexeme")
         .distinct()
     )

@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
+import pandas as pd
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corvane.functions.canonical import float_text, jcs
 from corvane.operators.access import Principal, permits
 
-# Separators of the canonical form.
+# The version of the canonical form, its separators, and the types it knows.
+CANON = "canon@1"
 FIELD, ROW, SECTION, NULL = "\x1f", "\x1e", "\x1d", "\x00"
-
 TYPES = ("bool", "int64", "decimal", "float64", "string", "bytes", "date", "timestamp_tz", "timestamp_naive", "interval", "uuid", "json", "array")
 
 
@@ -27,6 +32,8 @@ class EvidenceColumn:
     key: bool = False
     unit: str | None = None
     additivity: str | None = None
+    name: str | None = None
+    element: str | None = None  # of an array
 
 
 @dataclass
@@ -39,6 +46,10 @@ class Manifest:
     compartments: Sequence[str] = field(default_factory=list)
     row_count: int | None = None
     logical_hash: str | None = None
+    order_by: Sequence[str] = field(default_factory=list)  # a total order, where no column is a key
+    truncated: bool = False
+    denied: Sequence[str] = field(default_factory=list)  # columns that policy held back
+    authorization: str = ""
 
     def problems(self) -> list[str]:
         """What is wrong with the structure; nothing for a sound manifest."""
@@ -69,46 +80,118 @@ class Manifest:
         )
 
 
-def canonical_text(c: Column, kind: str, scale: int | None = None) -> Column:
+@F.pandas_udf(T.StringType())
+def _float_text(x: pd.Series) -> pd.Series:
+    return x.map(float_text, na_action="ignore")
+
+
+@F.pandas_udf(T.StringType())
+def _json_text(x: pd.Series) -> pd.Series:
+    return x.map(lambda t: jcs(json.loads(t)), na_action="ignore")
+
+
+def canonical_text(c: Column, kind: str, scale: int | None = None, element: str | None = None) -> Column:
     """The canonical text of a value; null is a byte of its own and not an empty string."""
     if kind == "bool":
         t = F.when(c, "true").otherwise("false")
     elif kind == "decimal":
         t = c.cast(T.DecimalType(38, scale or 0)).cast("string")
+    elif kind == "float64":
+        t = F.when(F.isnan(c), "NaN").otherwise(_float_text(F.nanvl(c, F.lit(0.0))))
     elif kind == "date":
         t = F.date_format(c, "yyyy-MM-dd")
-    elif kind == "timestamp_tz":
-        t = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    elif kind == "timestamp_tz":  # from the epoch, so that the session's zone has no say
+        seconds = (F.unix_micros(c).cast("decimal(20,0)") / F.lit(1_000_000)).cast("decimal(18,6)")
+        utc = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
+        t = F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     elif kind == "timestamp_naive":
         t = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     elif kind == "bytes":
-        t = F.base64(c)
+        t = F.regexp_replace(F.base64(c), "[\r\n]", "")  # no lines, whatever the session says
     elif kind == "uuid":
         t = F.lower(c)
+    elif kind == "json":
+        t = _json_text(c)
     elif kind == "array":
-        t = F.concat(F.lit("["), F.array_join(c, FIELD), F.lit("]"))
+        if element in ("float64", "json", "array"):
+            raise ValueError(f"arrays of {element} have no canonical form here")
+        t = F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: canonical_text(x, element or "string", scale)), FIELD), F.lit("]"))
     else:
         t = c.cast("string")
     return F.when(c.isNull(), NULL).otherwise(t)
 
 
 def canonical_row(columns: Sequence[EvidenceColumn]) -> Column:
-    return F.concat_ws(FIELD, *[canonical_text(F.col(c.id), c.type, c.scale) for c in columns])
+    return F.concat_ws(FIELD, *[canonical_text(F.col(c.id), c.type, c.scale, c.element) for c in columns])
+
 
+def row_rule(manifest: Manifest) -> str:
+    """How rows are told apart: by key columns, as a multiset, or by their place in a total order, as a sequence."""
+    if any(c.key for c in manifest.columns):
+        return "keys"
+    if manifest.order_by:
+        return "position"
+    raise ValueError("result_not_identifiable")
 
-def logical_hash(df: DataFrame, columns: Sequence[EvidenceColumn], group: str | None = None) -> DataFrame:
-    """SHA-256 over the header and the rows, sorted, for they are a multiset.
 
-    Rows are hashed one by one before they meet, so what is gathered is 64 characters a row; with
-    ``group`` one hash for each of its values.
+def canonical_head(manifest: Manifest) -> str:
+    """Version, schema and identity of a table, as they go before its rows into the hash."""
+    flag = lambda x: "true" if x else "false"
+    said = lambda x: NULL if x is None else str(x)
+    columns = (FIELD.join([c.id, c.name or c.id, c.type, said(c.scale), said(c.unit), flag(c.nullable), flag(c.key)]) for c in manifest.columns)
+    identity = [row_rule(manifest), *manifest.order_by, flag(manifest.truncated), *sorted(manifest.denied), manifest.authorization]
+    return SECTION.join([CANON, ROW.join(columns), FIELD.join(identity), ""])
+
+
+def logical_hashes(df: DataFrame, manifest: Manifest, *group: str) -> DataFrame:
+    """``n_rows, logical_hash`` for each value of ``group``, or of the whole table without one.
+
+    SHA-256 of the head and of the encoded rows, which are sorted bytewise where columns are keys, and otherwise stand in the declared
+    order. A hash takes its input in order, so one task streams the sorted rows of a group through it; they are sorted with
+    spilling, and never held or collected.
     """
-    header = ROW.join(f"{c.id}{FIELD}{c.type}{FIELD}{'' if c.scale is None else c.scale}" for c in columns)
-    keys = [group] if group else []
-    rows = df.select(*keys, F.sha2(canonical_row(columns), 256).alias("__r"))
-    return rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.sha2(F.concat(F.lit(header), F.lit(SECTION), F.array_join(F.sort_array(F.collect_list("__r")), ROW)), 256).alias("logical_hash"),
-    )
+    head, names = canonical_head(manifest), list(group)
+    order = ["__r"] if row_rule(manifest) == "keys" else [F.expr(o) for o in manifest.order_by]
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    rows = df.withColumn("__r", canonical_row(manifest.columns))
+    dealt = rows.repartition(*names) if names else rows.repartition(1)
+    lined = dealt.sortWithinPartitions(*names, *order).select(*names, F.col("__r"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, digest, n = None, None, 0
+
+        def told() -> pa.RecordBatch:
+            keys = [pa.array([v], t) for v, t in zip(now, types, strict=True)]
+            return pa.RecordBatch.from_arrays([*keys, pa.array([n], pa.int64()), pa.array([digest.hexdigest()])], [*names, "n_rows", "logical_hash"])
+
+        for b in batches:
+            types = [b.column(i).type for i in range(len(names))]
+            for *key, row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if digest is None or key != now:
+                    if digest is not None:
+                        yield told()
+                    now, digest, n = key, hashlib.sha256(head.encode()), 0
+                digest.update((ROW if n else "").encode() + row.encode())
+                n += 1
+        if digest is not None:
+            yield told()
+
+    found = lined.mapInArrow(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in names), "n_rows long, logical_hash string"]))
+    if names:
+        return found
+    # an empty table has a hash as well
+    none = hashlib.sha256(head.encode()).hexdigest()
+    return found.agg(F.coalesce(F.max("n_rows"), F.lit(0)).alias("n_rows"), F.coalesce(F.max("logical_hash"), F.lit(none)).alias("logical_hash"))
+
+
+def logical_hash(df: DataFrame, manifest: Manifest) -> tuple[int, str]:
+    """Rows and hash of a whole table. Rows are sorted over all partitions, and come to the driver in a stream, a partition at a time."""
+    order = ["__r"] if row_rule(manifest) == "keys" else [F.expr(o) for o in manifest.order_by]
+    digest, n = hashlib.sha256(canonical_head(manifest).encode()), 0
+    for r in df.withColumn("__r", canonical_row(manifest.columns)).orderBy(*order).select("__r").toLocalIterator():
+        digest.update((ROW if n else "").encode() + r[0].encode())
+        n += 1
+    return n, digest.hexdigest()
 
 
 def domain_key(tenant: str, logical: str, policy: str, level: int, compartments: Sequence[str]) -> Column:
@@ -116,17 +199,30 @@ def domain_key(tenant: str, logical: str, policy: str, level: int, compartments:
 
 
 def seal(df: DataFrame, manifest: Manifest, path: str) -> Manifest:
-    """Writes a table with its manifest beside it; an unsound manifest is refused."""
+    """Writes a table with its manifest beside it; an unsound manifest, or one that says otherwise, is refused.
+
+    Sealing the same rows at the same place again changes nothing; other rows there are refused. The sidecar is written last, so
+    what has none was never sealed, and is written anew.
+    """
     if wrong := manifest.problems():
         raise ValueError("; ".join(wrong))
     shaped = df.select(*[F.col(c.id) for c in manifest.columns])
-    found = logical_hash(shaped, manifest.columns).first()
-    if manifest.logical_hash and manifest.logical_hash != found.logical_hash:
+    rows, digest = logical_hash(shaped, manifest)
+    if manifest.logical_hash and manifest.logical_hash != digest:
         raise ValueError("the table isn't what its manifest says")
-    manifest.logical_hash, manifest.row_count = found.logical_hash, found.n_rows
-    shaped.write.mode("errorifexists").parquet(f"{path}/data")
-    sidecar = json.dumps({"id": manifest.id, "rows": manifest.row_count, "hash": manifest.logical_hash}, sort_keys=True)
-    df.sparkSession.createDataFrame([(sidecar,)], "value string").coalesce(1).write.text(f"{path}/manifest")
+    manifest.logical_hash, manifest.row_count = digest, rows
+    spark = df.sparkSession
+    try:
+        there = json.loads(spark.read.text(f"{path}/manifest").first()[0])
+    except AnalysisException:
+        there = None
+    if there is not None:
+        if there["hash"] != digest:
+            raise ValueError("another table is sealed there")
+        return manifest
+    shaped.write.mode("overwrite").parquet(f"{path}/data")
+    sidecar = json.dumps({"canon": CANON, "id": manifest.id, "rows": rows, "hash": digest}, sort_keys=True)
+    spark.createDataFrame([(sidecar,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
     return manifest
 
 

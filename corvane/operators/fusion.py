@@ -148,5 +148,5 @@ def budget_pack(passages: DataFrame, budget: int, by: str = "request") -> DataFr
 
 def drop_repeats(passages: DataFrame) -> DataFrame:
     """The best ranked of passages with equal source, hash and text."""
-    by = Window.partitionBy("request", "source_id", "hash").orderBy("rank")
+    by = Window.partitionBy("request", "source_id", "hash", "text").orderBy("rank")
     return passages.withColumn("n", F.row_number().over(by)).where("n = 1").drop("n")

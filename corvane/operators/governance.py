@@ -5,58 +5,74 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Relations that need the document they point to, and those that amend it.
+NEEDS = ("requires", "amends", "applies-to", "exception-to")
+AMENDS = ("amends", "applies-to", "exception-to")
+
 
 def active(at: Column, start: str = "effective_from", until: str = "effective_until") -> Column:
     """Half-open: from the first day on, before the last."""
     return (F.col(start) <= at) & (F.col(until).isNull() | (F.col(until) > at))
 
 
+def _flag(documents: DataFrame, name: str, flag: str) -> DataFrame:
+    return documents.select(F.col(name).alias("document_id")).distinct().withColumn(flag, F.lit(True))
+
+
 def governing_publications(publications: DataFrame, relations: DataFrame, day: str) -> DataFrame:
-    """``document_id, id, verdict``: the latest publication begun by ``day``, and what it comes to.
+    """``document_id, id, verdict``, and ``collection`` if there is one: the latest publication begun by ``day``, and what it comes to.
 
-    A withdrawn latest one never lets an earlier one back; two latest ones are ambiguous; a document
-    that an active relation supersedes is superseded; requirements unmet and conflicts need review.
+    A withdrawn latest one never lets an earlier one back; two latest ones are ambiguous. A document that a standing one
+    supersedes is superseded, but if it supersedes another itself, the chain needs review. So do documents that
+    govern and conflict with any other, or that require, amend, apply to or except one that doesn't govern.
     """
     at = F.lit(day).cast("date")
     begun = publications.where(F.col("effective_from") <= at)
-    top = begun.groupBy("document_id").agg(
-        F.max(F.struct("effective_from", "published_at")).alias("top"),
-        F.max_by(F.struct("id", "state", "effective_until"), F.struct("effective_from", "published_at")).alias("x"),
-    )
-    ties = (
-        begun.join(top.select("document_id", "top"), "document_id")
-        .where((F.col("effective_from") == F.col("top.effective_from")) & (F.col("published_at") == F.col("top.published_at")))
+    place = ["collection"] if "collection" in publications.columns else []
+    order = F.struct("effective_from", "published_at")
+    latest = begun.groupBy("document_id").agg(F.max(order).alias("top"))
+    # of several latest ones the first by id stands for the others, deterministically
+    top = (
+        begun.join(latest, "document_id")
+        .where(order == F.col("top"))
         .groupBy("document_id")
-        .agg(F.countDistinct("id").alias("ties"))
-    )
-    now = relations.where(active(at))
-    replaced = now.where("kind = 'supersedes'").select(F.col("to_document").alias("document_id")).distinct().withColumn("replaced", F.lit(True))
-    standing = top.where((F.col("x.state") == "published") & (F.col("x.effective_until").isNull() | (F.col("x.effective_until") > at))).select("document_id")
-    needs = now.where("kind = 'requires'").select(F.col("from_document").alias("document_id"), F.col("to_document").alias("needed"))
-    unmet = needs.join(standing.withColumnRenamed("document_id", "needed"), "needed", "left_anti").select("document_id").distinct().withColumn("unmet", F.lit(True))
-    clash = (
-        now.where("kind = 'conflicts'")
-        .select(F.col("from_document").alias("document_id"), F.col("to_document").alias("other"))
-        .join(standing.withColumnRenamed("document_id", "other"), "other", "left_semi")
-        .select("document_id")
-        .distinct()
-        .withColumn("clash", F.lit(True))
+        .agg(F.countDistinct("id").alias("ties"), F.min_by(F.struct("id", "state", "effective_until", *place), "id").alias("x"))
     )
+    now = relations.where(active(at)).select("from_document", "to_document", "kind")
+    standing = (F.col("x.state") != "withdrawn") & (F.col("x.effective_until").isNull() | (F.col("x.effective_until") > at))
+    known = top.select("document_id", standing.alias("stands"))
+    ends = now.where("kind = 'supersedes'").join(known.where("stands").select(F.col("document_id").alias("from_document")), "from_document", "left_semi")
+    replaced = _flag(ends, "to_document", "replaced")
+    chained = _flag(now.where("kind = 'supersedes'").join(replaced.select(F.col("document_id").alias("from_document")), "from_document", "left_semi"), "from_document", "chained")
+    governs = known.where("stands").join(replaced, "document_id", "left_anti").select("document_id")
+    unmet = _flag(now.where(F.col("kind").isin(*NEEDS)).join(governs.select(F.col("document_id").alias("to_document")), "to_document", "left_anti"), "from_document", "unmet")
+    clash = _flag(now.where("kind = 'conflicts'"), "from_document", "clash")
     verdict = (
         F.when(F.col("ties") > 1, "ambiguous")
+        .when(F.col("chained"), "review")
         .when(F.col("x.state") == "withdrawn", "withdrawn")
         .when(F.col("x.effective_until") <= at, "expired")
         .when(F.col("replaced"), "superseded")
         .when(F.col("unmet") | F.col("clash"), "review")
         .otherwise("governs")
     )
-    joined = top.join(ties, "document_id")
-    for side in (replaced, unmet, clash):
+    joined = top
+    for side in (replaced, chained, unmet, clash):
         joined = joined.join(side, "document_id", "left")
-    return joined.select("document_id", F.col("x.id").alias("id"), verdict.alias("verdict"))
+    return joined.select("document_id", F.col("x.id").alias("id"), verdict.alias("verdict"), *(F.col(f"x.{c}").alias(c) for c in place))
+
+
+def governing(verdicts: DataFrame) -> DataFrame:
+    """The documents that govern, of collections in which nothing needs review.
+
+    One ambiguous document, or one for review, leaves its whole collection undecided.
+    """
+    undecided = verdicts.where(F.col("verdict").isin("ambiguous", "review")).select("collection").distinct()
+    return verdicts.where("verdict = 'governs'").join(undecided, "collection", "left_anti").select("collection", "document_id", "id")
 
 
 def amendment_review(selected: DataFrame, relations: DataFrame, day: str) -> DataFrame:
-    """Selected documents that an active amendment or exception touches."""
-    touching = relations.where(active(F.lit(day).cast("date")) & F.col("kind").isin("amends", "applies-to", "exception-to"))
-    return selected.join(touching.select(F.col("to_document").alias("document_id")).distinct(), "document_id", "left_semi")
+    """Selected documents that an active amendment or exception touches, from either side."""
+    touching = relations.where(active(F.lit(day).cast("date")) & F.col("kind").isin(*AMENDS))
+    either = touching.select(F.explode(F.array("from_document", "to_document")).alias("document_id")).distinct()
+    return selected.join(either, "document_id", "left_semi")

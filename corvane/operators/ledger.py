@@ -204,6 +204,7 @@ class Snapshot:
     promises: DataFrame
     counters: DataFrame
     digests: DataFrame
+    as_of_seq: int | None = None
 
 
 def load_snapshot(
@@ -216,6 +217,7 @@ def load_snapshot(
         promises_at(promises, as_of_seq),
         counter_totals(counters, as_of_seq),
         ladder(facts),
+        as_of_seq,
     )
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -22,33 +24,95 @@ def money_report(observations: DataFrame) -> DataFrame:
 
 
 def applicable_prices(attempts: DataFrame, prices: DataFrame, bin_days: int = 32, most_bins: int = 128) -> DataFrame:
-    """Each attempt with the prices valid when it was submitted; of several the newest, then the largest id.
+    """Each attempt with ``price``, the one valid when it was submitted, or null; of several the newest, then the largest id.
 
-    Validity is a range, and models are few. So days are binned, and a price takes part in the bins it
-    touches: an attempt only meets prices of its own bin. Prices without an end, or of many bins, are
-    matched by their key alone.
+    Provider, route and model are equal. Validity is a range, and models are few. So days are binned, and a price takes
+    part in the bins it touches: an attempt only meets prices of its own bin. Prices without an end, or of many
+    bins, are matched by their key alone.
     """
+    key = ["provider", "route", "model"]
+    names = [F.col(c) for c in prices.columns if c not in key]
     day = lambda c: F.floor(F.datediff(F.col(c), F.lit("1970-01-01").cast("date")) / bin_days)
-    p = prices.withColumnRenamed("id", "price_id").withColumn("first", day("valid_from")).withColumn("last", day("valid_until"))
+    p = prices.select(*key, F.struct(*names, *key).alias("price"), "valid_from", "valid_until").withColumn("first", day("valid_from")).withColumn("last", day("valid_until"))
     short = F.coalesce(F.col("last") - F.col("first") < most_bins, F.lit(False))
     binned = p.where(short).withColumn("bin", F.explode(F.sequence("first", "last")))
-    hits = attempts.withColumn("bin", day("submitted_at")).join(binned, ["provider", "model", "bin"]).drop("bin")
-    hits = hits.unionByName(attempts.join(p.where(~short), ["provider", "model"]))
+    asked = attempts.select("id", *key, "submitted_at")
+    hits = asked.withColumn("bin", day("submitted_at")).join(binned, [*key, "bin"]).drop("bin")
+    hits = hits.unionByName(asked.join(p.where(~short), key))
     hits = hits.where((F.col("submitted_at") >= F.col("valid_from")) & (F.col("valid_until").isNull() | (F.col("submitted_at") < F.col("valid_until"))))
-    names = ["price_id", "valid_from", "input_micro", "output_micro", "per_units", "currency", "input_tokens", "output_tokens"]
-    return hits.groupBy("id").agg(F.max_by(F.struct(*names), F.struct("valid_from", "price_id")).alias("x")).select("id", "x.*")
+    best = hits.groupBy("id").agg(F.max_by("price", F.struct("price.valid_from", "price.id")).alias("price"))
+    return attempts.join(best, "id", "left")
+
+
+# What is charged for, and which of it under each basis.
+CATEGORIES = ("input", "output", "cache_read", "cache_write", "reasoning", "context")
+INCLUSIVE = ("input", "output")
 
 
 def calculate(priced: DataFrame) -> DataFrame:
-    """Charge per attempt, each category rounded up; an unknown count leaves its part out and says so."""
+    """``id, price_id, currency, micro_units, missing_price, missing_usage, unknown_categories, error`` per attempt.
+
+    ``priced`` has a count, or null if it is unknown, for each category, ``unknown_categories``, and ``price`` with its
+    ``basis`` and a map of ``rates`` (``micro_units, per_tokens``). Inclusive rates charge the totals of input and
+    output; partitioned ones charge what is left of them after cache and reasoning, and those apart. Each
+    category is rounded up to a whole unit. The sum, a decimal number as text, is only told if every rate and count is known; a
+    rate of zero is one, a missing rate isn't. Usage or prices that contradict themselves give an ``error``.
+    """
+    price, rates = F.col("price"), F.col("price.rates")
+    count = {c: F.col(c).cast("decimal(20,0)") for c in CATEGORIES}
+    zero = lambda c: F.coalesce(count[c], F.lit(0).cast("decimal(20,0)"))
+    bad_usage = (zero("cache_read") + zero("cache_write") > count["input"]) | (count["reasoning"] > count["output"])
+    named = F.map_keys(rates)
+    bad_price = (
+        (F.col("price.id").cast("string") == "") | (F.col("price.provider") == "") | (F.col("price.model") == "")
+        | ~F.regexp_like(F.col("price.route"), F.lit("^[0-9a-f]{64}$")) | ~F.regexp_like(F.col("price.currency"), F.lit("^[A-Z]{3}$"))
+        | (F.col("price.valid_from") >= F.col("price.valid_until"))
+        | F.exists(F.map_values(rates), lambda r: r["per_tokens"] == 0)
+        | (F.size(F.array_except(named, F.array(*map(F.lit, CATEGORIES)))) > 0)
+        | ((F.col("price.basis") == "inclusive") & (F.size(F.array_except(named, F.array(*map(F.lit, INCLUSIVE)))) > 0))
+    )
+    whole = F.col("price.basis") == "inclusive"
+    counts = {
+        "input": F.when(whole, count["input"]).otherwise(count["input"] - count["cache_read"] - count["cache_write"]),
+        "output": F.when(whole, count["output"]).otherwise(count["output"] - count["reasoning"]),
+    } | {c: F.when(~whole, count[c]) for c in CATEGORIES if c not in INCLUSIVE}
 
-    def part(tokens: str, micro: str):
-        return F.expr(f"cast(ceil(cast({tokens} as decimal(38,0)) * {micro} / per_units) as bigint)")
+    def charge(c: str) -> Column:
+        rate = F.try_element_at(rates, F.lit(c))
+        product, per = counts[c].cast("decimal(20,0)") * rate["micro_units"].cast("decimal(18,0)"), F.nullif(rate["per_tokens"], F.lit(0)).cast("decimal(18,0)")
+        rest = product % per
+        return ((product - rest) / per).cast("decimal(38,0)") + F.when(rest > 0, 1).otherwise(0)
 
-    return priced.select(
-        "id",
-        "price_id",
-        "currency",
-        (F.coalesce(part("input_tokens", "input_micro"), F.lit(0)) + F.coalesce(part("output_tokens", "output_micro"), F.lit(0))).alias("micros"),
-        F.col("output_tokens").isNull().alias("incomplete"),
+    needed = lambda names, of: reduce(lambda a, b: a | b, (of(c) for c in names))
+    no_rate = lambda c: F.try_element_at(rates, F.lit(c)).isNull()
+    no_count = lambda c: count[c].isNull()
+    unpriced = price.isNull() | F.when(whole, needed(INCLUSIVE, no_rate)).otherwise(needed(CATEGORIES, no_rate))
+    uncounted = needed(INCLUSIVE, no_count) | (price.isNotNull() & ~F.coalesce(whole, F.lit(True)) & needed(CATEGORIES, no_count))
+    strange = F.col("unknown_categories") | F.coalesce(whole & ~needed(INCLUSIVE, no_count) & (count["context"] > 0), F.lit(False))
+    total = F.when(whole, charge("input") + charge("output")).otherwise(reduce(lambda a, b: a + b, map(charge, CATEGORIES)))
+    error = (
+        F.when(bad_usage, "usage subset exceeds parent total")
+        .when(price.isNotNull() & bad_price, "invalid price snapshot")
+        .when(~unpriced & ~uncounted & ~strange & (total > F.lit(str(2**64 - 1)).cast("decimal(20,0)")), "monetary total exceeds u64 micro-units")
     )
+    found = priced.select(
+        "id", price.getField("id").alias("price_id"), F.col("price.currency").alias("currency"),
+        F.when(~unpriced & ~uncounted & ~strange, total.cast("string")).alias("micro_units"),
+        unpriced.alias("missing_price"), uncounted.alias("missing_usage"), strange.alias("unknown_categories"), error.alias("error"),
+    )
+    sound = F.col("error").isNull()
+    return found.select("id", *(F.when(sound, F.col(c)).alias(c) for c in found.columns if c not in ("id", "error")), "error")
+
+
+def usage_coverage(evidence: DataFrame, day: str) -> DataFrame:
+    """``day, complete, partial, unknown``: what is known of the usage of a day's reservations.
+
+    ``evidence``: ``day, usage_source, input_tokens, output_tokens``. Only what a provider reported counts: both numbers are a complete
+    observation, one a partial one; everything else is unknown.
+    """
+    told = F.coalesce(F.col("usage_source") == "provider_reported", F.lit(False))
+    known = F.col("input_tokens").isNotNull().cast("int") + F.col("output_tokens").isNotNull().cast("int")
+    rows = evidence.where(F.col("day") == F.lit(day).cast("date"))
+    return rows.agg(
+        F.count_if(told & (known == 2)).alias("complete"), F.count_if(told & (known == 1)).alias("partial"), F.count_if(~told | (known == 0)).alias("unknown")
+    ).select(F.lit(day).alias("day"), "complete", "partial", "unknown")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -124,7 +125,7 @@ def governed_query(
     hits = retrieve_documents(seen, query, spec)
     ranked = hits.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "chunk_id")))
     passages = seen.join(F.broadcast(ranked), ["collection", "chunk_id"]).select(
-        F.lit(0).alias("request"), "rank", "chunk_id", F.col("document_id").alias("source_id"), F.md5("text").alias("hash"),
+        F.lit(0).alias("request"), "rank", "chunk_id", F.col("document_id").alias("source_id"), F.md5("text").alias("hash"), "text",
         F.ceil(F.octet_length("text") / 4).cast("long").alias("cost"),
     )
     once = fusion.drop_repeats(passages)
@@ -135,8 +136,8 @@ def governed_query(
 def vocabulary_search(chunks: DataFrame, query: str, synonyms: Sequence[Sequence[str]], spec: RetrievalSpec | None = None) -> DataFrame:
     """A search in which a word of a group of synonyms stands for all of them."""
     spec = spec or RetrievalSpec()
-    spec.query_expansions = [*spec.query_expansions, *(([w], [x for x in group if x != w]) for group in synonyms for w in group)]
-    return retrieve_documents(chunks, query, spec)
+    added = [*spec.query_expansions, *(([w], [x for x in group if x != w]) for group in synonyms for w in group)]
+    return retrieve_documents(chunks, query, replace(spec, query_expansions=added))
 
 
 def vocabulary_candidates(collections: DataFrame, vocabularies: DataFrame, recent: DataFrame, now: str, most: int = 50) -> DataFrame:

@@ -27,18 +27,37 @@ def filtered(df: DataFrame, since=None, until=None, **equal) -> DataFrame:
     return df
 
 
-def usage(interactions: DataFrame, turns: DataFrame, sessions: DataFrame, most: int = 500) -> DataFrame:
-    """``key, interactions, avg_latency, turns, tokens`` per user: either side may be missing."""
-    seen = interactions.groupBy(F.col("uid").alias("key")).agg(F.count(F.lit(1)).alias("interactions"), F.avg("latency_ms").alias("avg_latency"))
-    said = (
-        turns.join(sessions.select(F.col("id").alias("session_id"), "uid"), "session_id")
-        .groupBy(F.col("uid").alias("key"))
-        .agg(F.count(F.lit(1)).alias("turns"), F.sum("tokens").alias("tokens"))
+#: What usage is told by: columns of interactions and of turns joined to their sessions.
+USAGE_KEYS = {"uid": "uid", "session": "session_id", "runbook": "runbook_ref", "collection": None}
+
+
+def usage(interactions: DataFrame, turns: DataFrame, sessions: DataFrame, group_by: str = "uid", since=None, until=None, most: int = 500) -> DataFrame:
+    """``key, interactions, turns, input_tokens, output_tokens, avg_latency`` per user, session, runbook or collection.
+
+    Either side may be missing. A row that names several collections counts for each. The busiest come first;
+    the limit is the feature of the report.
+    """
+    if group_by not in USAGE_KEYS:
+        raise ValueError(f"group_by must be uid|session|runbook|collection, got '{group_by}'")
+    seen, said = filtered(interactions, since, until), filtered(turns, since, until)
+    if group_by == "collection":
+        seen = seen.select(F.explode("collection_ids").alias("key"), "latency_ms")
+        said = said.select(F.explode("collections_searched").alias("key"), "input_tokens", "output_tokens")
+    else:
+        name = USAGE_KEYS[group_by]
+        seen = seen.where(F.col(name).isNotNull()).select(F.col(name).alias("key"), "latency_ms")
+        if group_by == "runbook":
+            said = said.join(sessions.select(F.col("id").alias("session_id"), "runbook_ref"), "session_id")
+        said = said.select(F.col(name).alias("key"), "input_tokens", "output_tokens")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    a = seen.groupBy("key").agg(F.count(F.lit(1)).alias("interactions"), F.avg("latency_ms").alias("avg_latency"))
+    b = said.groupBy("key").agg(
+        F.count(F.lit(1)).alias("turns"), *(F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in ("input_tokens", "output_tokens"))
     )
     return (
-        seen.join(said, "key", "full_outer")
-        .select("key", "interactions", F.round("avg_latency", 3).alias("avg_latency"), F.coalesce("turns", F.lit(0)).alias("turns"), F.coalesce("tokens", F.lit(0)).alias("tokens"))
-        .orderBy(F.desc_nulls_last("interactions"), "key")
+        a.join(b, "key", "full_outer")
+        .select("key", zero("interactions"), zero("turns"), zero("input_tokens"), zero("output_tokens"), F.round("avg_latency", 3).alias("avg_latency"))
+        .orderBy(F.col("interactions").desc(), "key")
         .limit(most)
     )
 

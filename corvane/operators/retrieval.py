@@ -77,7 +77,7 @@ def search_terms(chunks: DataFrame, query: str, spec: RetrievalSpec) -> list[str
     terms = query_terms(query)
     if spec.stop_term_fraction and terms:
         terms = query_terms(query, common_terms(chunks, terms, spec.stop_term_fraction))
-    digits = chunks.sparkSession.range(1).select(number_digits(F.lit(query))).first()[0]
+    digits = number_digits(query)
     forms = [r.lexeme for r in number_forms(number_lexemes(chunks), digits).collect()] if digits else []
     return list(dict.fromkeys(terms + expand_query(query, spec.query_expansions) + forms))
 

@@ -2,33 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.functions.text import fold
-
 #: Quotes shorter than this, in bytes, aren't checked.
 LEAST_QUOTE = 15
+_S = r"\p{IsWhite_Space}"
+
+
+def _spaced(c: Column) -> Column:
+    """White space collapsed; case stays."""
+    return F.regexp_replace(F.regexp_replace(c, rf"^{_S}+|{_S}+$", ""), rf"{_S}+", " ")
 
 
 def quoted_spans(answers: DataFrame) -> DataFrame:
-    """``answer_id, quote`` of each span in quotation marks that is long enough."""
-    found = F.flatten(
-        F.array(
-            F.regexp_extract_all("answer", F.lit('"([^"]+)"'), F.lit(1)),
-            F.regexp_extract_all("answer", F.lit("“([^”]+)”"), F.lit(1)),
-        )
-    )
-    spans = answers.select("answer_id", F.explode(F.array_distinct(F.transform(found, F.trim))).alias("quote"))
-    return spans.where(F.octet_length("quote") >= LEAST_QUOTE)
+    """``answer_id, quote`` of each span between two quotation marks, straight or curly, that is long enough.
+
+    Any mark ends a span that any other began; one that none ends isn't a span.
+    """
+    pieces = F.split("answer", '["“”]', -1)
+    inside = F.filter(pieces, lambda p, i: (i % 2 == 1) & (i < F.size(pieces) - 1))
+    spans = answers.select("answer_id", F.explode(inside).alias("quote"))
+    return spans.where(F.octet_length(F.regexp_replace("quote", rf"^{_S}+|{_S}+$", "")) >= LEAST_QUOTE)
 
 
 def check_quotes(answers: DataFrame, served: DataFrame) -> DataFrame:
-    """Quotes that no text served with the answer contains, white space and case aside."""
+    """Quotes that no text served with the answer contains word by word, white space aside."""
     spans = quoted_spans(answers)
     borne = (
-        spans.join(served.select("answer_id", fold(F.col("text")).alias("t")), "answer_id")
-        .where(F.contains("t", fold(F.col("quote"))))
+        spans.distinct()
+        .join(served.select("answer_id", _spaced(F.col("text")).alias("t")), "answer_id")
+        .where(F.contains("t", _spaced(F.col("quote"))))
         .select("answer_id", "quote")
         .distinct()
     )
@@ -36,8 +40,10 @@ def check_quotes(answers: DataFrame, served: DataFrame) -> DataFrame:
 
 
 def check_citations(answers: DataFrame, served: DataFrame) -> DataFrame:
-    """Bracketed paths that weren't served with the answer, each once."""
-    cited = answers.select("answer_id", F.explode(F.array_distinct(F.regexp_extract_all("answer", F.lit(r"\[([^\[\]\s]*/[^\[\]\s]*)\]"), F.lit(1)))).alias("path"))
+    """Labels in brackets with a '/' that weren't served with the answer, each once. Labels may have spaces, but no line ends."""
+    tokens = F.transform(F.regexp_extract_all("answer", F.lit(r"\[([^\]]*)\]"), F.lit(1)), lambda t: F.regexp_replace(t, rf"^{_S}+|{_S}+$", ""))
+    labels = F.filter(tokens, lambda t: F.contains(t, F.lit("/")) & ~F.contains(t, F.lit("\n")))
+    cited = answers.select("answer_id", F.explode(F.array_distinct(labels)).alias("path"))
     return cited.join(served.select("answer_id", "path").distinct(), ["answer_id", "path"], "left_anti")
 
 
@@ -101,11 +107,27 @@ def intent(label):
     return out
 
 
-def model_expansion(raw, most: int = 12):
-    """Terms that a model offered as a JSON list: lower-cased letters, hyphens and apostrophes, 2 to 40 long."""
-    terms = F.transform(F.from_json(raw, "array<string>"), lambda x: F.lower(F.trim(x)))
-    good = F.filter(terms, lambda x: F.regexp_like(x, F.lit(r"^[\p{IsAlphabetic}'-]{2,40}$")))
-    return F.slice(F.array_distinct(F.coalesce(good, F.expr("cast(array() as array<string>)"))), 1, most)
+def model_expansion(raw, query, most: int = 12):
+    """Terms that a model offered as a JSON list of texts, which may stand within other text; null if there is none to read.
+
+    Kept are lower-case words of letters, hyphens and apostrophes, 2 to 40 bytes, that the query doesn't have, each once.
+    """
+    strict = lambda t: F.try_variant_get(F.try_parse_json(t), "$", "array<variant>")
+    texts = lambda v: F.when(
+        F.forall(v, lambda x: F.schema_of_variant(x) == "STRING"), F.transform(v, lambda x: F.try_variant_get(x, "$", "string"))
+    )
+    first, last = F.locate("[", raw), F.char_length(raw) - F.locate("]", F.reverse(raw)) + 1
+    embedded = F.when((first > 0) & F.contains(raw, F.lit("]")) & (last > first), F.substring(raw, first, last - first + 1)).otherwise("[]")
+    terms = F.transform(F.coalesce(texts(strict(raw)), texts(strict(embedded))), lambda x: F.regexp_replace(x, rf"^{_S}+|{_S}+$", ""))
+    had = F.split(F.lower(query), r"[^\p{IsAlphabetic}\p{N}]+")
+    good = F.filter(
+        terms,
+        lambda x: F.octet_length(x).between(2, 40)
+        & (x == F.lower(x))
+        & F.regexp_like(x, F.lit(r"^[\p{IsAlphabetic}'-]*\p{IsAlphabetic}[\p{IsAlphabetic}'-]*$"))
+        & ~F.array_contains(had, x),
+    )
+    return F.slice(F.array_distinct(good), 1, most)
 
 
 def redacted(body, cap: int = 4096):

@@ -74,17 +74,21 @@ DERIVED = {
                CASE WHEN user_id % 3 = 0 THEN NULL ELSE CONCAT('s', CAST(user_id % 40 AS STRING)) END AS session_id,
                event_type AS method, CASE WHEN event_id % 4 = 0 THEN CONCAT('rb-', CAST(event_id % 5 AS STRING)) END AS runbook_ref,
                CASE WHEN event_type = 'error' THEN 500 WHEN value < 5 THEN 404 ELSE 200 END AS status,
-               CAST(ROUND(value * 10) AS BIGINT) AS latency_ms, ts AS created_at, props
+               CAST(ROUND(value * 10) AS BIGINT) AS latency_ms, ts AS created_at, props,
+               CASE event_id % 4 WHEN 0 THEN SPLIT('docs,faq', ',') WHEN 1 THEN SPLIT('ops', ',') WHEN 2 THEN SPLIT('docs,ops,old', ',') END AS collection_ids
         FROM events""",
     "turns": """
         SELECT CONCAT('s', CAST(conv_id % 40 AS STRING)) AS session_id, conv_id, turn AS ordinal, role, text AS query,
                CAST(FLOOR(LENGTH(text) / 4) AS BIGINT) AS tokens,
                CASE role WHEN 'assistant' THEN 'modelA' WHEN 'user' THEN 'modelB' ELSE 'modelC' END AS model,
-               CONCAT('prov', CAST(conv_id % 3 AS STRING)) AS provider,
+               CONCAT('prov', CAST(conv_id % 3 AS STRING)) AS provider, CONCAT('u', CAST(conv_id % 40 AS STRING)) AS uid,
+               CASE WHEN turn % 3 <> 0 THEN CAST(FLOOR(LENGTH(text) / 4) AS BIGINT) END AS input_tokens, CAST(FLOOR(LENGTH(text) / 8) AS BIGINT) AS output_tokens,
+               CASE conv_id % 3 WHEN 0 THEN SPLIT('docs,new', ',') WHEN 1 THEN SPLIT('faq', ',') END AS collections_searched,
                TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' HOUR * (CAST(conv_id AS INT) % 600) AS created_at
         FROM conversations""",
     "sessions": """
         SELECT DISTINCT CONCAT('s', CAST(conv_id % 40 AS STRING)) AS id, CONCAT('u', CAST(conv_id % 40 AS STRING)) AS uid,
+               CONCAT('rb-', CAST(conv_id % 40 % 7 AS STRING)) AS runbook_ref,
                TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' HOUR * (CAST(conv_id % 40 AS INT) * 13) AS opened_at
         FROM conversations""",
     "sources": """
@@ -94,27 +98,35 @@ DERIVED = {
         FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""",
     "publications": """
         SELECT CONCAT('pub', CAST(o_orderkey AS STRING)) AS id, CONCAT('doc', CAST(o_custkey AS STRING)) AS document_id,
-               CAST(o_orderdate AS DATE) AS effective_from,
+               CONCAT('col', CAST(CAST(FLOOR(o_custkey / 2) AS BIGINT) AS STRING)) AS collection,
+               CASE WHEN o_custkey % 37 = 5 THEN DATE '1996-01-01' ELSE CAST(o_orderdate AS DATE) END AS effective_from,
                CASE WHEN o_orderkey % 4 = 0 THEN CAST(o_orderdate AS DATE) + INTERVAL '400' DAY END AS effective_until,
-               o_orderkey AS published_at, CASE WHEN o_orderstatus = 'P' THEN 'withdrawn' ELSE 'published' END AS state
+               CASE WHEN o_custkey % 37 = 5 THEN 7 ELSE o_orderkey END AS published_at, CASE WHEN o_orderstatus = 'P' THEN 'withdrawn' ELSE 'published' END AS state
         FROM orders""",
     "relations": """
         SELECT CONCAT('doc', CAST(o_custkey AS STRING)) AS from_document, CONCAT('doc', CAST(o_custkey + 1 AS STRING)) AS to_document,
-               CASE o_orderkey % 5 WHEN 0 THEN 'supersedes' WHEN 1 THEN 'requires' WHEN 2 THEN 'conflicts' WHEN 3 THEN 'amends' ELSE 'exception-to' END AS kind,
+               CASE o_orderkey % 7 WHEN 0 THEN 'supersedes' WHEN 1 THEN 'requires' WHEN 2 THEN 'conflicts' WHEN 3 THEN 'amends' WHEN 4 THEN 'applies-to' WHEN 5 THEN 'exception-to' ELSE 'cites' END AS kind,
                CAST(o_orderdate AS DATE) AS effective_from,
-               CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderdate AS DATE) + INTERVAL '300' DAY END AS effective_until
+               CASE WHEN o_orderkey % 9 <> 0 THEN CAST(o_orderdate AS DATE) + INTERVAL '60' DAY END AS effective_until
         FROM orders""",
     "prices": """
-        SELECT p_partkey AS id, CONCAT('prov', CAST(p_size % 3 AS STRING)) AS provider, CONCAT('m', CAST(p_partkey % 7 AS STRING)) AS model,
+        SELECT p_partkey AS id, CONCAT('prov', CAST(p_size % 3 AS STRING)) AS provider, SHA2(CONCAT('route', CAST(p_partkey % 2 AS STRING)), 256) AS route,
+               CONCAT('m', CAST(p_partkey % 7 AS STRING)) AS model, CASE WHEN p_partkey % 2 = 0 THEN 'USD' ELSE 'EUR' END AS currency,
                CAST(DATE '1995-01-01' + INTERVAL '1' DAY * (p_size * 45) AS DATE) AS valid_from,
                CAST(DATE '1995-01-01' + INTERVAL '1' DAY * (p_size * 45 + 90) AS DATE) AS valid_until,
-               CAST(ROUND(p_retailprice * 100) AS BIGINT) AS input_micro, CAST(ROUND(p_retailprice * 300) AS BIGINT) AS output_micro,
-               CAST(1000 AS BIGINT) AS per_units, CASE WHEN p_partkey % 2 = 0 THEN 'USD' ELSE 'EUR' END AS currency
+               CASE WHEN p_partkey % 3 = 0 THEN 'partitioned' ELSE 'inclusive' END AS basis, CAST(1000 + p_partkey % 3 AS BIGINT) AS per_tokens,
+               CAST(ROUND(p_retailprice * 100) AS BIGINT) AS input_micro, CASE WHEN p_partkey % 11 <> 4 THEN CAST(ROUND(p_retailprice * 300) AS BIGINT) END AS output_micro,
+               CASE WHEN p_partkey % 3 = 0 OR p_partkey % 13 = 1 THEN CAST(ROUND(p_retailprice * 10) AS BIGINT) END AS cache_micro,
+               CASE WHEN p_partkey % 3 = 0 THEN CAST(p_partkey % 5 AS BIGINT) END AS context_micro
         FROM part""",
     "attempts": """
-        SELECT l_orderkey AS id, CONCAT('prov', CAST(l_orderkey % 3 AS STRING)) AS provider, CONCAT('m', CAST(l_orderkey % 7 AS STRING)) AS model,
-               CAST(MIN(l_shipdate) AS DATE) AS submitted_at, CAST(SUM(l_quantity) AS BIGINT) AS input_tokens,
-               CASE WHEN l_orderkey % 6 = 0 THEN NULL ELSE CAST(SUM(l_linenumber) * 10 AS BIGINT) END AS output_tokens
+        SELECT l_orderkey AS id, CONCAT('prov', CAST(l_orderkey % 3 AS STRING)) AS provider, SHA2(CONCAT('route', CAST(l_orderkey % 2 AS STRING)), 256) AS route,
+               CONCAT('m', CAST(l_orderkey % 7 AS STRING)) AS model, CAST(MIN(l_shipdate) AS DATE) AS submitted_at, CAST(SUM(l_quantity) * 10 AS BIGINT) AS input,
+               CASE WHEN l_orderkey % 6 = 0 THEN NULL ELSE CAST(SUM(l_linenumber) * 10 AS BIGINT) END AS output,
+               CASE WHEN l_orderkey % 5 = 0 THEN NULL ELSE CAST(SUM(l_quantity) AS BIGINT) END AS cache_read,
+               CASE WHEN l_orderkey % 17 = 0 THEN CAST(SUM(l_quantity) * 10 AS BIGINT) ELSE CAST(COUNT(*) AS BIGINT) END AS cache_write,
+               CASE WHEN l_orderkey % 19 = 0 THEN CAST(SUM(l_linenumber) * 11 AS BIGINT) ELSE CAST(COUNT(*) AS BIGINT) END AS reasoning,
+               CASE WHEN l_orderkey % 23 = 0 THEN CAST(4 AS BIGINT) ELSE CAST(0 AS BIGINT) END AS context, l_orderkey % 29 = 0 AS unknown_categories
         FROM lineitem GROUP BY l_orderkey""",
     "observations": """
         SELECT l_orderkey AS attempt_id, CAST(ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_extendedprice) AS BIGINT) AS revision,
@@ -207,5 +219,6 @@ def _bind(sql: str, name: str) -> str:
 
 
 def ctes(*names: str) -> str:
-    """``WITH`` clause of the derived inputs, for the SQL counterparts."""
-    return "WITH " + ", ".join(f"{n} AS MATERIALIZED ({DERIVED[n].strip()})" for n in names)
+    """``WITH`` clause of the derived inputs, for the SQL counterparts. Only the hash function has another name there."""
+    said = {n: re.sub(r"SHA2\((.*?), 256\)", r"SHA256(\1)", DERIVED[n].strip()) for n in names}
+    return "WITH " + ", ".join(f"{n} AS MATERIALIZED ({sql})" for n, sql in said.items())

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from corvane.operators import context, digests, evidence, ledger, verification
+from corvane.operators import context, evidence, ledger, verification
 from corvane.operators.access import Principal
 from corvane.operators.evidence import EvidenceColumn, Layer, Manifest, View
-from corvane.plans.inputs import PIN, ctes, derived, table
+from corvane.plans.inputs import PIN, ctes, derived, pin_at, table
+from corvane.plans.queries_ledger import _TIER0, _TIER1, _TIER2
 from corvane.plans.registry import query
 from corvane.session import shared_dir
 from corvane.streaming import streams
@@ -17,24 +19,54 @@ from corvane.streaming import streams
 ORDERS = [
     EvidenceColumn("o_orderkey", "int64", False, key=True),
     EvidenceColumn("o_orderstatus", "string"),
-    EvidenceColumn("o_custkey", "int64"),
+    EvidenceColumn("o_custkey", "int64", name="customer", unit="id"),
     EvidenceColumn("late", "bool"),
+    EvidenceColumn("at", "timestamp_tz"),
+    EvidenceColumn("both", "array", element="string"),
 ]
 
-_ROWS = """SELECT o_orderpriority AS grp, sha256(CAST(o_orderkey AS VARCHAR) || chr(31) || coalesce(nullif(o_orderstatus, 'P'), chr(0)) || chr(31) ||
-    CAST(o_custkey AS VARCHAR) || chr(31) || CASE WHEN o_totalprice > 100000 THEN 'true' ELSE 'false' END) AS r FROM orders"""
-_HEAD_SQL = " || chr(30) || ".join(f"'{c.id}' || chr(31) || '{c.type}' || chr(31)" for c in ORDERS)
+_MANIFEST = Manifest("orders", ORDERS, authorization="level-0")
+_ROWS = """SELECT o_orderpriority AS grp, o_orderdate, o_orderkey, CAST(o_orderkey AS VARCHAR) || chr(31) || coalesce(nullif(o_orderstatus, 'P'), chr(0)) || chr(31) ||
+    CAST(o_custkey AS VARCHAR) || chr(31) || CASE WHEN o_totalprice > 100000 THEN 'true' ELSE 'false' END || chr(31) ||
+    CASE WHEN o_orderkey % 5 = 0 THEN chr(0) ELSE strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%fZ') END || chr(31) || '[' || o_orderstatus || chr(31) || o_orderpriority || ']' AS r FROM orders"""
+
+
+def _head_sql(key: bool, identity: str) -> str:
+    """The head written out: each column's id, name, type, scale, unit, nullable and key flag."""
+    columns = (
+        f"o_orderkey,o_orderkey,int64,@,@,false,{'true' if key else 'false'}", "o_orderstatus,o_orderstatus,string,@,@,true,false", "o_custkey,customer,int64,@,id,true,false",
+        "late,late,bool,@,@,true,false", "at,at,timestamp_tz,@,@,true,false", "both,both,array,@,@,true,false",
+    )
+    one = lambda c: " || chr(31) || ".join("chr(0)" if x == "@" else f"'{x}'" for x in c.split(","))
+    return "'canon@1' || chr(29) || " + " || chr(30) || ".join(map(one, columns)) + f" || chr(29) || {identity} || chr(29)"
+
+
+def _hashable(spark, d):
+    return table(spark, d, "orders").select(
+        "o_orderpriority", "o_orderdate", "o_orderkey", F.expr("nullif(o_orderstatus, 'P')").alias("o_orderstatus"), "o_custkey", (F.col("o_totalprice") > 100000).alias("late"),
+        F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderdate").cast("timestamp")).alias("at"), F.array("o_orderstatus", "o_orderpriority").alias("both"),
+    )
 
 
 @query(
     "logical_hash",
-    f"""SELECT grp AS o_orderpriority, count(*) AS n_rows, sha256({_HEAD_SQL} || chr(29) || string_agg(r, chr(30) ORDER BY r)) AS logical_hash FROM ({_ROWS}) GROUP BY 1""",
+    f"""SELECT grp AS o_orderpriority, count(*) AS n_rows, sha256({_head_sql(True, "'keys' || chr(31) || 'false' || chr(31) || 'level-0'")} || string_agg(r, chr(30) ORDER BY r)) AS logical_hash
+        FROM ({_ROWS}) GROUP BY 1""",
 )
 def logical_hash(spark, d):
-    o = table(spark, d, "orders").select(
-        "o_orderpriority", "o_orderkey", F.expr("nullif(o_orderstatus, 'P')").alias("o_orderstatus"), "o_custkey", (F.col("o_totalprice") > 100000).alias("late")
-    )
-    return evidence.logical_hash(o, ORDERS, "o_orderpriority")
+    return evidence.logical_hashes(_hashable(spark, d), _MANIFEST, "o_orderpriority")
+
+
+@query(
+    "logical_hash_sequence",
+    f"""SELECT count(*) AS n_rows, sha256({_head_sql(False, "'position' || chr(31) || 'o_orderdate' || chr(31) || 'o_orderkey' || chr(31) || 'true' || chr(31) || 'secret' || chr(31) || ''")} ||
+        string_agg(r, chr(30) ORDER BY o_orderdate, o_orderkey)) AS logical_hash FROM ({_ROWS})""",
+)
+def logical_hash_sequence(spark, d):
+    """Rows in a declared order, of a result that is cut and lacks a column."""
+    columns = [replace(c, key=False) for c in ORDERS]
+    m = Manifest("orders", columns, order_by=["o_orderdate", "o_orderkey"], truncated=True, denied=["secret"])
+    return evidence.logical_hashes(_hashable(spark, d), m)
 
 
 @query(
@@ -42,7 +74,7 @@ def logical_hash(spark, d):
     """SELECT o_orderkey, o_totalprice, (SELECT count(*) FROM orders) AS total, true AS has_more FROM (SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 40 OFFSET 20)""",
 )
 def evidence_rows(spark, d):
-    m = Manifest("m", ORDERS, level=1)
+    m = Manifest("m", ORDERS[:4], level=1)
     o = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
     return evidence.rows_page(o, m, Principal(2), [F.col("o_totalprice").desc(), F.col("o_orderkey")], 20, 40)
 
@@ -102,19 +134,78 @@ def context_fit(spark, d):
     return evidence.fit_budget(p, 900)
 
 
+def _context_sql(pin: str | None, scope: str | None, budget: int | None) -> str:
+    """All six sections, the four levels of digests, and facts trimmed at the last of them."""
+    seen = f" WHERE seq <= {pin}" if pin else ""
+    done = f"fulfilled_seq <= {pin}" if pin else "fulfilled_seq IS NOT NULL"
+    group = "''" if scope is None else f"'{scope.split('.')[0]}'"
+    mine = "false" if scope is None else f"split_part(scope, '.', 1) = {group}"
+    others = "true" if scope is None else f"scope <> {group}"
+    limit = "NULL" if budget is None else str(4 * budget + 3)
+    header = (
+        f"""SELECT 1 AS section, 'Point-in-time pin' AS title, '' AS place, 'This brief reflects the ledger as of seq ' || CAST({pin} AS VARCHAR) || '. Later facts are not visible.' AS line UNION ALL"""
+        if pin
+        else ""
+    )
+    return f"""{ctes("claims", "anchors", "promises", "counters")}, seen AS (SELECT * FROM claims{seen}),
+        facts AS (SELECT * FROM seen c WHERE status = 'accepted' AND NOT EXISTS (SELECT 1 FROM seen s WHERE s.supersedes_id = c.id)),
+        t0 AS ({_TIER0}), t1 AS ({_TIER1}), t2 AS ({_TIER2}),
+        d AS (SELECT 1 AS lv, '0' || scope AS place, text FROM t0 UNION ALL SELECT 2, '0' || scope, text FROM t0 WHERE {mine} UNION ALL SELECT 2, '1' || scope, text FROM t1 WHERE {others}
+              UNION ALL SELECT 3, '1' || scope, text FROM t1 UNION ALL SELECT 4, '2' || scope, text FROM t2),
+        f AS (SELECT seq, id, trim(subject) || '.' || trim(key) || '=' || trim(value) AS line FROM facts),
+        fixed AS ({header}
+            SELECT 4 AS section, 'Locked details' AS title, detail_key AS place, detail_key || '=' || locked_value || ' [locked]' AS line FROM (
+                SELECT *, row_number() OVER (PARTITION BY detail_key ORDER BY version_id DESC, seq DESC) AS k FROM anchors
+                WHERE locked AND version_id IN ('v1', 'v2', 'v3', 'v4'){seen.replace(" WHERE", " AND")}) WHERE k = 1
+            UNION ALL SELECT 5, 'Open promises', lpad(CAST(seq AS VARCHAR), 20, '0') || id, '[' || key || '] ' || description || ' (due: ' || due_scope || ')' FROM (SELECT * FROM promises{seen})
+                WHERE NOT coalesce({done}, false)
+            UNION ALL SELECT 6, 'Frequency budgets', key, key || ': used ' || CAST(n AS VARCHAR) || '/' || CAST(b AS VARCHAR) ||
+                CASE WHEN n >= b THEN chr(10) || 'AVOID: ''' || key || ''' — budget exhausted' WHEN n + 1 = b THEN chr(10) || 'CAUTION: ''' || key || ''' — one use remaining' ELSE '' END
+                FROM (SELECT key, CAST(sum(count) AS BIGINT) AS n, max(budget) AS b FROM counters{seen} GROUP BY key) WHERE b IS NOT NULL),
+        parts AS (SELECT 0 AS lv, strlen(any_value(title)) + 4 + sum(strlen(line)) + count(*) - 1 AS b FROM fixed GROUP BY section),
+        fb AS (SELECT CASE WHEN count(*) > 0 THEN 18 + sum(strlen(line)) + count(*) - 1 END AS b FROM f),
+        db AS (SELECT l.lv, CASE WHEN count(text) > 0 THEN 16 + sum(strlen(text)) + count(*) - 1 END AS b FROM (SELECT unnest([1, 2, 3, 4]) AS lv) l LEFT JOIN d ON d.lv = l.lv GROUP BY 1),
+        base AS (SELECT db.lv, coalesce((SELECT sum(b) FROM parts), 0) + coalesce(db.b, 0) + 2 * greatest(0, (SELECT count(*) FROM parts) + (db.b IS NOT NULL)::INT - 1) AS b FROM db),
+        full_size AS (SELECT lv, base.b + coalesce(fb.b + 2, 0) AS b FROM base, fb),
+        chosen AS (SELECT CASE WHEN {limit} IS NULL THEN 1 ELSE coalesce((SELECT min(lv) FROM full_size WHERE b <= {limit}), 4) END AS lv,
+                          {limit} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM full_size WHERE b <= {limit}) AS cut),
+        kept AS (SELECT *, sum(strlen(line) + 1) OVER (ORDER BY seq DESC, id DESC) AS used FROM f)
+        SELECT section, title, place, line FROM fixed
+        UNION ALL SELECT 2, 'Canon digest', place, text FROM d, chosen WHERE d.lv = chosen.lv
+        UNION ALL SELECT 3, 'Accepted facts', lpad(CAST(seq AS VARCHAR), 20, '0') || id, line FROM kept, chosen
+            WHERE NOT cut OR used - 1 <= {limit} - (SELECT b FROM base WHERE lv = 4) - 20"""
+
+
+def _snapshot(spark, d, pin=None):
+    chain = ledger.lineage(spark, derived(spark, d, "versions"), "v4")
+    return ledger.load_snapshot(*(derived(spark, d, n) for n in ("claims", "anchors", "promises", "counters")), chain, pin)
+
+
+@query("context_compose", _context_sql(None, None, None))
+def context_compose(spark, d):
+    """Without a budget all is told."""
+    return context.compose_context(_snapshot(spark, d))
+
+
+@query("context_compose_pin", _context_sql(PIN, "seg.BUILDING", 40_000))
+def context_compose_pin(spark, d):
+    """At a pin and under a budget; which level it comes to depends on the size of the ledger."""
+    return context.compose_context(_snapshot(spark, d, pin_at(spark, d)), "seg.BUILDING", 40_000)
+
+
+@query("context_compose_tight", _context_sql(None, None, 32_000))
+def context_compose_tight(spark, d):
+    return context.compose_context(_snapshot(spark, d), None, 32_000)
+
+
 @query(
-    "context_compose",
-    f"""{ctes("claims")}, seen AS (SELECT * FROM claims WHERE seq <= {PIN}),
-        facts AS (SELECT seq, subject || '.' || key || '=' || value AS line FROM seen c WHERE status = 'accepted' AND NOT EXISTS (SELECT 1 FROM seen s WHERE s.supersedes_id = c.id)),
-        t2 AS (SELECT text, CAST(ceil(strlen(text) / 4.0) AS BIGINT) AS tokens FROM (SELECT CAST(count(*) AS VARCHAR) || ' facts, ' || CAST(count(DISTINCT scope_path) AS VARCHAR) || ' scopes, ' ||
-            CAST(count(DISTINCT subject) AS VARCHAR) || ' subjects' AS text FROM seen c WHERE status = 'accepted' AND NOT EXISTS (SELECT 1 FROM seen s WHERE s.supersedes_id = c.id))),
-        f AS (SELECT seq, line, CAST(ceil(strlen(line) / 4.0) AS BIGINT) AS tokens, sum(CAST(ceil(strlen(line) / 4.0) AS BIGINT)) OVER (ORDER BY seq DESC) AS used FROM facts)
-        SELECT 'digest-2' AS section, CAST(0 AS BIGINT) AS ordinal, text AS line, tokens FROM t2
-        UNION ALL SELECT 'facts', seq, line, tokens FROM f WHERE used <= 60 - (SELECT tokens FROM t2)""",
+    "context_text",
+    f"""WITH l AS ({_context_sql(PIN, None, 3000)}), s AS (SELECT section, '## ' || any_value(title) || chr(10) || string_agg(line, chr(10) ORDER BY place) AS body FROM l GROUP BY section),
+        t AS (SELECT string_agg(body, chr(10) || chr(10) ORDER BY section) AS text FROM s) SELECT text, CAST(strlen(text) // 4 AS BIGINT) AS tokens, sha256(text) AS sha256 FROM t""",
 )
-def context_compose(spark, d):
-    facts = ledger.slice_facts(derived(spark, d, "claims"), PIN)
-    return context.compose_context(facts, digests.ladder(facts), 60)
+def context_text(spark, d):
+    """The text itself."""
+    return context.render(context.compose_context(_snapshot(spark, d, pin_at(spark, d)), None, 3000))
 
 
 @query(
@@ -136,7 +227,7 @@ def observations_to_claims(spark, d):
 
 
 _ANSWERS = """SELECT doc_id AS answer_id, CONCAT('He said "', SUBSTRING(text, 5, 30), '" and "', SUBSTRING(text, 1, 4), '" in [', source, '/', CAST(doc_id % 50 AS STRING),
-    '] and [see] evidence/ev', CAST(doc_id % 3 AS STRING), '#', CAST(doc_id % 40 AS STRING), ' of ', CAST(doc_id % 20 AS STRING)) AS answer FROM {documents} WHERE text NOT LIKE '%"%'"""
+    '] and [of the ', lang, '/', CAST(doc_id % 4 AS STRING), '] and [see] evidence/ev', CAST(doc_id % 3 AS STRING), '#', CAST(doc_id % 40 AS STRING), ' of ', CAST(doc_id % 20 AS STRING)) AS answer FROM {documents}"""
 _SERVED = """SELECT doc_id AS answer_id, CONCAT(source, '/', CAST(doc_id % 60 AS STRING)) AS path,
     CASE WHEN doc_id % 3 = 0 THEN UPPER(SUBSTRING(text, 6, 400)) ELSE text END AS text FROM {documents}"""
 _CELLS = "SELECT CONCAT('ev', CAST(doc_id % 2 AS STRING)) AS evidence_id, doc_id % 40 AS row, doc_id % 13 AS value FROM {documents}"
@@ -150,16 +241,25 @@ def _verif(spark, d):
 _V = f"WITH a AS ({_ANSWERS.format(documents='documents')}), s AS ({_SERVED.format(documents='documents')}), c AS ({_CELLS.format(documents='documents')})"
 
 
-@query("quote_check")
+_WS = "trim(regexp_replace({t}, '\\s+', ' ', 'g'))"
+
+
+@query(
+    "quote_check",
+    f"""{_V}, p AS (SELECT answer_id, regexp_split_to_array(answer, '["“”]') AS p FROM a),
+        q AS (SELECT answer_id, unnest(list_filter(p, lambda x, i: i % 2 = 0 AND i < len(p))) AS quote FROM p),
+        k AS (SELECT *, {_WS.format(t="quote")} AS n FROM q WHERE strlen(trim(quote, chr(10) || ' ')) >= 15)
+        SELECT answer_id, quote FROM k WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.answer_id = k.answer_id AND contains({_WS.format(t="s.text")}, k.n))""",
+)
 def quote_check(spark, d):
-    """Unborne quotes. White space and case are Unicode's, on which the engines differ; tested by hand."""
     a, s, _ = _verif(spark, d)
     return verification.check_quotes(a, s)
 
 
 @query(
     "citation_check",
-    f"""{_V}, x AS (SELECT answer_id, unnest(list_distinct(regexp_extract_all(answer, '\\[([^\\[\\]\\s]*/[^\\[\\]\\s]*)\\]', 1))) AS path FROM a)
+    f"""{_V}, x AS (SELECT DISTINCT answer_id, trim(t) AS path FROM (SELECT answer_id, unnest(regexp_extract_all(answer, '\\[([^\\]]*)\\]', 1)) AS t FROM a)
+            WHERE contains(t, '/') AND NOT contains(t, chr(10)))
         SELECT answer_id, path FROM x WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.answer_id = x.answer_id AND s.path = x.path)""",
 )
 def citation_check(spark, d):

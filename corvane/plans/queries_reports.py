@@ -10,16 +10,51 @@ from corvane.plans.inputs import ctes, derived, table
 from corvane.plans.registry import query
 
 
+def _usage_sql(seen: str, said: str) -> str:
+    return f"""{ctes("interactions", "turns", "sessions")},
+        a AS (SELECT key, count(*) AS interactions, round(avg(latency_ms), 3) AS avg_latency FROM ({seen}) GROUP BY key),
+        b AS (SELECT key, count(*) AS turns, CAST(sum(coalesce(input_tokens, 0)) AS BIGINT) AS input_tokens, CAST(sum(coalesce(output_tokens, 0)) AS BIGINT) AS output_tokens FROM ({said}) GROUP BY key)
+        SELECT key, coalesce(interactions, 0) AS interactions, coalesce(turns, 0) AS turns, coalesce(input_tokens, 0) AS input_tokens,
+               coalesce(output_tokens, 0) AS output_tokens, avg_latency FROM a FULL OUTER JOIN b USING (key) ORDER BY interactions DESC, key LIMIT 500"""
+
+
+def _usage(spark, d, group_by):
+    return reports.usage(*(derived(spark, d, n) for n in ("interactions", "turns", "sessions")), group_by)
+
+
+@query("usage_by_user", _usage_sql("SELECT uid AS key, latency_ms FROM interactions", "SELECT uid AS key, input_tokens, output_tokens FROM turns"))
+def usage_by_user(spark, d):
+    return _usage(spark, d, "uid")
+
+
 @query(
-    "usage_by_user",
-    f"""{ctes("interactions", "turns", "sessions")},
-        a AS (SELECT uid AS key, count(*) AS interactions, round(avg(latency_ms), 3) AS avg_latency FROM interactions GROUP BY uid),
-        b AS (SELECT s.uid AS key, count(*) AS turns, CAST(sum(tokens) AS BIGINT) AS tokens FROM turns t JOIN sessions s ON s.id = t.session_id GROUP BY s.uid)
-        SELECT key, interactions, avg_latency, coalesce(turns, 0) AS turns, coalesce(tokens, 0) AS tokens FROM a FULL OUTER JOIN b USING (key)
-        ORDER BY interactions DESC NULLS LAST, key LIMIT 500""",
+    "usage_by_session",
+    _usage_sql("SELECT session_id AS key, latency_ms FROM interactions WHERE session_id IS NOT NULL", "SELECT session_id AS key, input_tokens, output_tokens FROM turns"),
 )
-def usage_by_user(spark, d):
-    return reports.usage(*(derived(spark, d, n) for n in ("interactions", "turns", "sessions")))
+def usage_by_session(spark, d):
+    return _usage(spark, d, "session")
+
+
+@query(
+    "usage_by_runbook",
+    _usage_sql(
+        "SELECT runbook_ref AS key, latency_ms FROM interactions WHERE runbook_ref IS NOT NULL",
+        "SELECT runbook_ref AS key, input_tokens, output_tokens FROM turns JOIN sessions ON sessions.id = turns.session_id",
+    ),
+)
+def usage_by_runbook(spark, d):
+    return _usage(spark, d, "runbook")
+
+
+@query(
+    "usage_by_collection",
+    _usage_sql(
+        "SELECT unnest(collection_ids) AS key, latency_ms FROM interactions",
+        "SELECT unnest(collections_searched) AS key, input_tokens, output_tokens FROM turns",
+    ),
+)
+def usage_by_collection(spark, d):
+    return _usage(spark, d, "collection")
 
 
 @query(
@@ -203,26 +238,66 @@ def money_report(spark, d):
     return money.money_report(derived(spark, d, "observations"))
 
 
-_PRICED = """priced AS (SELECT * FROM (SELECT a.id, p.id AS price_id, p.valid_from, input_micro, output_micro, per_units, currency, input_tokens, output_tokens,
-    row_number() OVER (PARTITION BY a.id ORDER BY valid_from DESC, p.id DESC) AS n
-    FROM attempts a JOIN prices p ON a.provider = p.provider AND a.model = p.model AND submitted_at >= valid_from AND submitted_at < valid_until) WHERE n = 1)"""
+_PRICED = """best AS (SELECT * FROM (SELECT a.id AS attempt, p.*, row_number() OVER (PARTITION BY a.id ORDER BY valid_from DESC, p.id DESC) AS n
+    FROM attempts a JOIN prices p ON a.provider = p.provider AND a.route = p.route AND a.model = p.model AND submitted_at >= valid_from AND submitted_at < valid_until) WHERE n = 1),
+    priced AS (SELECT a.*, b.id AS price_id, b.currency, b.basis, b.per_tokens AS per, b.input_micro AS r_in, b.output_micro AS r_out, b.cache_micro AS r_cache,
+                      b.context_micro AS r_context, b.valid_from FROM attempts a LEFT JOIN best b ON b.attempt = a.id)"""
+
+
+def _priced(spark, d):
+    """Attempts with their price, whose rates are a map as an operator supplies them."""
+    prices = derived(spark, d, "prices")
+    micro = {"input": "input_micro", "output": "output_micro", "cache_read": "cache_micro", "cache_write": "cache_micro", "reasoning": "cache_micro", "context": "context_micro"}
+    pairs = F.array(*[
+        F.when(F.col(c).isNotNull(), F.struct(F.lit(k).alias("k"), F.struct(F.col(c).alias("micro_units"), F.col("per_tokens").alias("per_tokens")).alias("v")))
+        for k, c in micro.items()
+    ])
+    prices = prices.withColumn("rates", F.map_from_entries(F.array_compact(pairs))).drop("per_tokens", "input_micro", "output_micro", "cache_micro", "context_micro")
+    return money.applicable_prices(derived(spark, d, "attempts"), prices)
 
 
 @query("price_applicability", f"{ctes('attempts', 'prices')}, {_PRICED} SELECT id, price_id, CAST(valid_from AS VARCHAR) AS valid_from FROM priced")
 def price_applicability(spark, d):
-    return money.applicable_prices(derived(spark, d, "attempts"), derived(spark, d, "prices")).select(
-        "id", "price_id", F.col("valid_from").cast("string").alias("valid_from")
-    )
+    return _priced(spark, d).select("id", F.col("price.id").alias("price_id"), F.col("price.valid_from").cast("string").alias("valid_from"))
+
+
+def _charge(count: str, rate: str) -> str:
+    return f"CAST(({count} * CAST({rate} AS HUGEINT) + per - 1) // per AS HUGEINT)"
 
 
 @query(
     "money_calculate",
-    f"""{ctes("attempts", "prices")}, {_PRICED} SELECT id, price_id, currency,
-        CAST(coalesce((input_tokens * input_micro + per_units - 1) // per_units, 0) + coalesce((output_tokens * output_micro + per_units - 1) // per_units, 0) AS BIGINT) AS micros,
-        output_tokens IS NULL AS incomplete FROM priced""",
+    f"""{ctes("attempts", "prices")}, {_PRICED},
+        x AS (SELECT *, coalesce(basis = 'inclusive', false) AS inc, coalesce(cache_read, 0) + cache_write > input OR coalesce(reasoning > output, false) AS bad,
+              basis = 'inclusive' AND r_cache IS NOT NULL AS wrong FROM priced),
+        y AS (SELECT *, price_id IS NULL OR r_in IS NULL OR r_out IS NULL OR (NOT inc AND (r_cache IS NULL OR r_context IS NULL)) AS missing_price,
+              output IS NULL OR (price_id IS NOT NULL AND NOT inc AND cache_read IS NULL) AS missing_usage,
+              unknown_categories OR (inc AND output IS NOT NULL AND context > 0) AS strange FROM x),
+        z AS (SELECT *, CASE WHEN inc THEN {_charge("input", "r_in")} + {_charge("output", "r_out")}
+              ELSE {_charge("(input - cache_read - cache_write)", "r_in")} + {_charge("(output - reasoning)", "r_out")} + {_charge("cache_read", "r_cache")}
+                   + {_charge("cache_write", "r_cache")} + {_charge("reasoning", "r_cache")} + {_charge("context", "r_context")} END AS total FROM y)
+        SELECT id, CASE WHEN ok THEN price_id END AS price_id, CASE WHEN ok THEN currency END AS currency,
+               CASE WHEN ok AND NOT missing_price AND NOT missing_usage AND NOT strange THEN CAST(total AS VARCHAR) END AS micro_units,
+               CASE WHEN ok THEN missing_price END AS missing_price, CASE WHEN ok THEN missing_usage END AS missing_usage, CASE WHEN ok THEN strange END AS unknown_categories,
+               CASE WHEN bad THEN 'usage subset exceeds parent total' WHEN wrong THEN 'invalid price snapshot' END AS error
+        FROM (SELECT *, NOT bad AND NOT coalesce(wrong, false) AS ok FROM z)""",
 )
 def money_calculate(spark, d):
-    return money.calculate(money.applicable_prices(derived(spark, d, "attempts"), derived(spark, d, "prices")))
+    return money.calculate(_priced(spark, d))
+
+
+_EVIDENCE = """SELECT o_orderkey AS id, CAST(DATE '1997-01-01' + INTERVAL '1' DAY * CAST(o_orderkey % 3 AS INT) AS DATE) AS day,
+    CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'estimated' ELSE 'provider_reported' END AS usage_source,
+    CASE WHEN o_orderkey % 7 <> 0 THEN o_custkey END AS input_tokens, CASE WHEN o_orderkey % 11 <> 0 THEN o_custkey END AS output_tokens FROM {orders}"""
+
+
+@query(
+    "budget_usage_coverage",
+    f"""WITH e AS ({_EVIDENCE.format(orders="orders")}), x AS (SELECT *, coalesce(usage_source = 'provider_reported', false) AS told, (input_tokens IS NOT NULL)::INT + (output_tokens IS NOT NULL)::INT AS k FROM e WHERE day = DATE '1997-01-02')
+        SELECT '1997-01-02' AS day, count(*) FILTER (told AND k = 2) AS complete, count(*) FILTER (told AND k = 1) AS partial, count(*) FILTER (NOT told OR k = 0) AS unknown FROM x""",
+)
+def budget_usage_coverage(spark, d):
+    return money.usage_coverage(spark.sql(_EVIDENCE, orders=table(spark, d, "orders")), "1997-01-02")
 
 
 @query(
@@ -279,14 +354,22 @@ def permitted_collections(spark, d):
     return access.permitted_collections(c, Principal(0)).drop("compartments")
 
 
-_PREFIXES = """SELECT prefix AS collection, prefix, CAST(MAX(p_size) % 4 AS INT) AS level
+_PREFIXES = """SELECT prefix AS collection, prefix, CAST(MAX(p_size) % 4 AS INT) AS level,
+    CASE WHEN LENGTH(prefix) % 3 = 0 THEN SPLIT('eu', ',') WHEN LENGTH(prefix) % 3 = 1 THEN SPLIT('eu,hr', ',') ELSE SPLIT('hr,hr', ',') END AS compartments
     FROM (SELECT p_size, SUBSTRING(CONCAT(p_brand, '/', p_type), 1, 6 + CAST(p_partkey % 12 AS INT)) AS prefix FROM {part}) x GROUP BY prefix"""
 
 
+def _held(x: str) -> str:
+    return f"""'["' || array_to_string({x}.compartments, '", "') || '"]'"""
+
+
 @query(
     "prefix_shadowing",
-    f"""WITH p AS ({_PREFIXES.format(part="part")}) SELECT a.collection AS outer, b.collection AS inner, a.prefix AS outer_prefix, b.prefix AS inner_prefix
-        FROM p a JOIN p b ON starts_with(b.prefix, a.prefix) AND a.collection <> b.collection AND a.level < b.level""",
+    f"""WITH p AS ({_PREFIXES.format(part="part")}) SELECT a.collection AS outer, b.collection AS inner, a.prefix AS outer_prefix, b.prefix AS inner_prefix,
+            'collection ''' || a.collection || ''' (level ' || CAST(a.level AS VARCHAR) || ', compartments ' || {_held("a")} || ') binds ''' || a.prefix || ''', a prefix of the more-restricted ''' ||
+            b.collection || ''' (level ' || CAST(b.level AS VARCHAR) || ', ' || {_held("b")} || ') binding ''' || b.prefix || ''' — the restricted documents are also served to the wider audience; make the overlap a decision, not an accident' AS message
+        FROM p a JOIN p b ON starts_with(b.prefix, a.prefix) AND a.collection <> b.collection AND a.level <= b.level AND list_has_all(b.compartments, a.compartments)
+            AND (a.level < b.level OR len(list_distinct(a.compartments)) < len(list_distinct(b.compartments)))""",
 )
 def prefix_shadowing(spark, d):
     return access.shadowed_prefixes(spark.sql(_PREFIXES, part=table(spark, d, "part")))
@@ -304,29 +387,49 @@ def unreadable_sources(spark, d):
 _DAY = "1998-06-01"
 
 
-@query(
-    "governing_publications",
-    f"""{ctes("publications", "relations")},
+_RULING = f"""{ctes("publications", "relations")},
         begun AS (SELECT * FROM publications WHERE effective_from <= DATE '{_DAY}'),
         ranked AS (SELECT *, rank() OVER (PARTITION BY document_id ORDER BY effective_from DESC, published_at DESC) AS r FROM begun),
-        top AS (SELECT document_id, max(id) AS id, arg_max(state, id) AS state, arg_max(effective_until, id) AS until, count(DISTINCT id) AS ties FROM ranked WHERE r = 1 GROUP BY 1),
+        ties AS (SELECT document_id, count(DISTINCT id) AS ties FROM ranked WHERE r = 1 GROUP BY 1),
+        top AS (SELECT t.*, CASE WHEN ties = 1 THEN p.id END AS id, p.state, p.effective_until AS until, p.collection FROM ties t
+                JOIN (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY id) AS k FROM ranked WHERE r = 1) p ON p.document_id = t.document_id AND p.k = 1),
         rel AS (SELECT * FROM relations WHERE effective_from <= DATE '{_DAY}' AND (effective_until IS NULL OR effective_until > DATE '{_DAY}')),
-        standing AS (SELECT document_id FROM top WHERE state = 'published' AND (until IS NULL OR until > DATE '{_DAY}'))
-        SELECT document_id, id, CASE WHEN ties > 1 THEN 'ambiguous' WHEN state = 'withdrawn' THEN 'withdrawn' WHEN until <= DATE '{_DAY}' THEN 'expired'
-            WHEN document_id IN (SELECT to_document FROM rel WHERE kind = 'supersedes') THEN 'superseded'
-            WHEN document_id IN (SELECT from_document FROM rel WHERE kind = 'requires' AND to_document NOT IN (SELECT document_id FROM standing))
-              OR document_id IN (SELECT from_document FROM rel WHERE kind = 'conflicts' AND to_document IN (SELECT document_id FROM standing)) THEN 'review'
-            ELSE 'governs' END AS verdict FROM top""",
-)
-def governing_publications(spark, d):
+        standing AS (SELECT document_id FROM top WHERE state <> 'withdrawn' AND (until IS NULL OR until > DATE '{_DAY}')),
+        gone AS (SELECT DISTINCT to_document AS d FROM rel WHERE kind = 'supersedes' AND from_document IN (SELECT document_id FROM standing)),
+        remain AS (SELECT document_id FROM standing WHERE document_id NOT IN (SELECT d FROM gone)),
+        ruling AS (SELECT document_id, collection, id, CASE WHEN ties > 1 THEN 'ambiguous'
+            WHEN document_id IN (SELECT from_document FROM rel WHERE kind = 'supersedes' AND from_document IN (SELECT d FROM gone)) THEN 'review'
+            WHEN state = 'withdrawn' THEN 'withdrawn' WHEN until <= DATE '{_DAY}' THEN 'expired' WHEN document_id IN (SELECT d FROM gone) THEN 'superseded'
+            WHEN document_id IN (SELECT from_document FROM rel WHERE kind = 'conflicts' OR (kind IN ('requires', 'amends', 'applies-to', 'exception-to')
+                                                                                           AND to_document NOT IN (SELECT document_id FROM remain))) THEN 'review'
+            ELSE 'governs' END AS verdict FROM top WHERE ties = 1 OR true)"""
+
+
+def _verdicts(spark, d):
     return governance.governing_publications(derived(spark, d, "publications"), derived(spark, d, "relations"), _DAY)
 
 
+@query("governing_publications", f"{_RULING} SELECT document_id, collection, id, verdict FROM ruling")
+def governing_publications(spark, d):
+    # which of two equally late ones is named is anyone's choice
+    return _verdicts(spark, d).withColumn("id", F.when(F.col("verdict") != "ambiguous", F.col("id")))
+
+
+@query(
+    "governing_collections",
+    f"""{_RULING} SELECT collection, document_id, id FROM ruling r WHERE verdict = 'governs'
+        AND NOT EXISTS (SELECT 1 FROM ruling x WHERE x.collection = r.collection AND x.verdict IN ('ambiguous', 'review'))""",
+)
+def governing_collections(spark, d):
+    return governance.governing(_verdicts(spark, d))
+
+
 @query(
     "amendment_review",
-    f"""{ctes("relations")} SELECT DISTINCT 'doc' || CAST(o_custkey AS VARCHAR) AS document_id FROM orders WHERE o_orderstatus = 'F'
-        AND 'doc' || CAST(o_custkey AS VARCHAR) IN (SELECT to_document FROM relations WHERE kind IN ('amends', 'applies-to', 'exception-to')
-            AND effective_from <= DATE '{_DAY}' AND (effective_until IS NULL OR effective_until > DATE '{_DAY}'))""",
+    f"""{ctes("relations")}, t AS (SELECT * FROM relations WHERE kind IN ('amends', 'applies-to', 'exception-to')
+            AND effective_from <= DATE '{_DAY}' AND (effective_until IS NULL OR effective_until > DATE '{_DAY}'))
+        SELECT DISTINCT 'doc' || CAST(o_custkey AS VARCHAR) AS document_id FROM orders WHERE o_orderstatus = 'F'
+        AND ('doc' || CAST(o_custkey AS VARCHAR) IN (SELECT to_document FROM t) OR 'doc' || CAST(o_custkey AS VARCHAR) IN (SELECT from_document FROM t))""",
 )
 def amendment_review(spark, d):
     picked = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.concat(F.lit("doc"), F.col("o_custkey")).alias("document_id")).distinct()

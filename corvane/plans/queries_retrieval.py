@@ -235,11 +235,11 @@ def budget_pack(spark, d):
 
 @query(
     "passage_dedup",
-    """SELECT request, source_id, hash, min(rank) AS rank FROM (SELECT doc_id % 7 AS request, source AS source_id, md5(text) AS hash, doc_id AS rank FROM documents) GROUP BY 1, 2, 3""",
+    """SELECT request, source_id, hash, min(rank) AS rank FROM (SELECT doc_id % 7 AS request, source AS source_id, n_chars % 3 AS hash, text, doc_id AS rank FROM documents) GROUP BY 1, 2, 3, text""",
 )
 def passage_dedup(spark, d):
-    p = table(spark, d, "documents").select((F.col("doc_id") % 7).alias("request"), F.col("source").alias("source_id"), F.md5("text").alias("hash"), F.col("doc_id").alias("rank"))
-    return fusion.drop_repeats(p)
+    p = table(spark, d, "documents").select((F.col("doc_id") % 7).alias("request"), F.col("source").alias("source_id"), (F.col("n_chars") % 3).alias("hash"), "text", F.col("doc_id").alias("rank"))
+    return fusion.drop_repeats(p).drop("text")
 
 
 @query(
@@ -277,19 +277,25 @@ def stop_terms(spark, d):
     return corpus.stop_terms(corpus.document_frequency(docs, "doc_id", n), 0.2, n)
 
 
-_NUM = f"""SELECT DISTINCT regexp_replace(lexeme, '^[a-z]+', '') AS digits, lexeme FROM (SELECT unnest({_tok()}) AS lexeme FROM documents)
-    WHERE regexp_matches(lexeme, '^[a-z]{{0,4}}[0-9]{{5,}}$')"""
+#: Texts with numbers as patents, cases and counts are written.
+_NUMBERED = """SELECT doc_id, CONCAT(text, ' US', CAST(4000000 + doc_id * 37 AS STRING), ' EPO', CAST(doc_id AS STRING), ' abcde', CAST(10000 + doc_id AS STRING), ' ',
+    CAST(50000 + doc_id % 9 AS STRING), ' no', CAST(50000 + doc_id % 9 AS STRING)) AS text FROM {documents}"""
+_NUM = f"""SELECT DISTINCT regexp_replace(lexeme, '[^0-9]', '', 'g') AS digits, lexeme FROM (SELECT unnest({_tok()}) AS lexeme FROM ({_NUMBERED.format(documents="documents")}))
+    WHERE regexp_matches(lexeme, '^[a-z]{{1,4}}[0-9]{{5,}}$')"""
+
+
+def _numbers(spark, d):
+    return corpus.number_lexemes(spark.sql(_NUMBERED, documents=table(spark, d, "documents")))
 
 
 @query("number_lexemes", _NUM)
 def number_lexemes(spark, d):
-    return corpus.number_lexemes(table(spark, d, "documents"))
+    return _numbers(spark, d)
 
 
 @query("number_forms", f"SELECT digits, string_agg(lexeme, ' ' ORDER BY lexeme) AS forms FROM ({_NUM}) GROUP BY digits")
 def number_forms(spark, d):
-    n = corpus.number_lexemes(table(spark, d, "documents"))
-    return n.groupBy("digits").agg(F.array_join(F.array_sort(F.collect_set("lexeme")), " ").alias("forms"))
+    return _numbers(spark, d).groupBy("digits").agg(F.array_join(F.array_sort(F.collect_set("lexeme")), " ").alias("forms"))
 
 
 @query(
@@ -407,9 +413,18 @@ def stratified_sample(spark, d):
     return corpus.stratified_sample(derived(spark, d, "sources"), 20)
 
 
-@query("index_sources", f"{ctes('sources')} SELECT DISTINCT collection, content_hash FROM sources")
+@query("index_sources", f"{ctes('sources')} SELECT DISTINCT source_id, content_hash FROM sources")
 def index_sources(spark, d):
-    return derived(spark, d, "sources").select("collection", "content_hash").distinct()
+    return corpus.index_sources(derived(spark, d, "sources"))
+
+
+@query(
+    "sorted_provenance",
+    "SELECT lang, list_sort(list(DISTINCT source)) AS sources, list_sort(list(DISTINCT n_chars % 7)) AS marks FROM documents GROUP BY lang",
+)
+def sorted_provenance(spark, d):
+    per = table(spark, d, "documents").groupBy("lang").agg(F.collect_set("source").alias("s"), F.collect_set(F.col("n_chars") % 7).alias("m"))
+    return per.select("lang", corpus.sorted_distinct(F.col("s")).alias("sources"), corpus.sorted_distinct(F.col("m")).alias("marks"))
 
 
 @query(

@@ -209,7 +209,6 @@ def test_text_functions(spark):
     assert one(tx.count_pattern(F.lit("aAaA"), F.lit("aa"))) == 2
     assert one(tx.count_pattern(F.lit("abc"), F.lit(""))) == 0
     assert one(tx.word_tokens(F.lit("Ünï-code, 42x!"))) == ["ünï", "code", "42x"]
-    assert one(tx.number_digits(F.lit("case 07/638,337 no 1,234,567 and CVE12345 of 2020-01-01 at 12345.5"))) == ["1234567", "12345"]
     for given, parts in (("a.b.c=x=y", ("a.b", "c", "x=y")), (" a . b = c ", ("a", "b", "c")), (" nothing ", ("", "", "nothing")), ("key = v", ("", "key", "v")), ("=v", ("", "", "v")), (".k=", ("", "k", "")), ("", ("", "", ""))):
         assert tuple(one(tx.split_normalized(F.lit(given)))) == parts
     markers = "As an AI as a language model, I cannot assist; I'm sorry, but [insert name] Lorem Ipsum, the author in this chapter"

@@ -1,11 +1,17 @@
+import base64
+import datetime as dt
+import hashlib
 import math
+from dataclasses import replace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corvane.functions import text as tx
+from corvane.functions.canonical import float_text
 from corvane.functions.vectors import blend, local_embed, nearest
-from corvane.operators import access, context, corpus, evidence, fusion, governance, money, reports, retrieval, verification
+from corvane.operators import access, context, corpus, evidence, fusion, governance, ledger, money, reports, retrieval, verification
 from corvane.operators.access import Binding, Principal
 from corvane.operators.evidence import EvidenceColumn, Layer, Manifest, View
 from corvane.operators.retrieval import Demotion
@@ -91,23 +97,117 @@ def test_access_and_bindings(spark):
     assert sorted((r.source_id, r.collection) for r in access.matched_collections(df, b).collect()) == [("s1", "c3"), ("s2", "c1"), ("s2", "c4")]
 
 
-def test_governance_withdrawal_never_resurrects(spark):
-    p = spark.createDataFrame(
-        [("p1", "d", "2020-01-01", None, 1, "published"), ("p2", "d", "2021-01-01", None, 2, "withdrawn"), ("p3", "e", "2020-01-01", None, 3, "published"), ("p4", "e", "2020-01-01", None, 3, "published")],
-        "id string, document_id string, effective_from string, effective_until string, published_at long, state string",
-    ).withColumn("effective_from", F.to_date("effective_from")).withColumn("effective_until", F.to_date("effective_until"))
-    r = spark.createDataFrame([], "from_document string, to_document string, kind string, effective_from date, effective_until date")
-    verdicts = lambda day: {x.document_id: x.verdict for x in governance.governing_publications(p, r, day).collect()}
-    assert verdicts("2020-06-01") == {"d": "governs", "e": "ambiguous"}
-    assert verdicts("2021-01-01")["d"] == "withdrawn"
-
-
-def test_money_rounds_each_part_up(spark):
-    a = spark.createDataFrame([(1, "p", "m", 1500, 1), (2, "p", "m", 10, None)], "id long, provider string, model string, input_tokens long, output_tokens long").withColumn("submitted_at", F.to_date(F.lit("2020-01-05")))
-    p = spark.createDataFrame([(7, "p", "m", 3, 5, 1000, "USD")], "id long, provider string, model string, input_micro long, output_micro long, per_units long, currency string")
-    p = p.withColumn("valid_from", F.to_date(F.lit("2020-01-05"))).withColumn("valid_until", F.to_date(F.lit("2020-01-06")))
-    out = {r.id: (r.micros, r.incomplete) for r in money.calculate(money.applicable_prices(a, p)).collect()}
-    assert out == {1: (5 + 1, False), 2: (1, True)}
+PUB = "id string, document_id string, collection string, effective_from string, effective_until string, published_at string, state string"
+REL = "from_document string, to_document string, kind string, effective_from string, effective_until string"
+
+
+def governed(spark, publications, relations, day):
+    dated = lambda df: df.withColumn("effective_from", F.to_date("effective_from")).withColumn("effective_until", F.to_date("effective_until"))
+    pubs = [(i, d, "c", a, u, f"{a}T00:00:00Z", s or "approved") for i, d, a, u, s in publications]
+    rels = [(a, b, k, "2025-01-01", None) for k, a, b in relations]
+    found = governance.governing_publications(dated(spark.createDataFrame(pubs, PUB)), dated(spark.createDataFrame(rels, REL)), day)
+    return {r.document_id: r.verdict for r in found.collect()}, sorted(r.id for r in governance.governing(found).collect())
+
+
+def test_withdrawal_and_expiry_never_resurrect(spark):
+    one, two = ("one", "d", "2025-01-01", None, None), ("two", "d", "2025-06-01", None, None)
+    assert governed(spark, [one, two], [], "2025-05-31")[1] == ["one"]
+    assert governed(spark, [one, two], [], "2025-06-01")[1] == ["two"]
+    assert governed(spark, [one, ("two", "d", "2025-06-01", None, "withdrawn")], [], "2025-06-01") == ({"d": "withdrawn"}, [])
+    assert governed(spark, [one, ("two", "d", "2025-06-01", "2025-07-01", None)], [], "2025-07-01") == ({"d": "expired"}, [])
+
+
+def test_two_latest_publications_leave_the_collection_undecided(spark):
+    rows = [("one", "d", "2025-01-01", None, None), ("two", "d", "2025-01-01", None, None), ("x", "e", "2025-01-01", None, None)]
+    assert governed(spark, rows, [], "2025-08-01") == ({"d": "ambiguous", "e": "governs"}, [])
+    assert governed(spark, [*rows, ("three", "d", "2025-06-01", None, None)], [], "2025-08-01")[1] == ["three", "x"]
+
+
+@pytest.mark.parametrize(
+    ("relations", "want", "ruling"),
+    [
+        ([("requires", "a", "missing")], {"a": "review", "b": "governs"}, []),
+        ([("amends", "a", "missing")], {"a": "review", "b": "governs"}, []),
+        ([("applies-to", "a", "b")], {"a": "governs", "b": "governs"}, ["pa", "pb"]),
+        ([("exception-to", "a", "b")], {"a": "governs", "b": "governs"}, ["pa", "pb"]),
+        ([("conflicts", "a", "nowhere")], {"a": "review", "b": "governs"}, []),
+        ([("conflicts", "nowhere", "a")], {"a": "governs", "b": "governs"}, ["pa", "pb"]),
+        ([("supersedes", "a", "b")], {"a": "governs", "b": "superseded"}, ["pa"]),
+        ([("supersedes", "gone", "b")], {"a": "governs", "b": "governs"}, ["pa", "pb"]),
+        ([("supersedes", "a", "b"), ("requires", "a", "b")], {"a": "review", "b": "superseded"}, []),
+        ([("supersedes", "a", "b"), ("conflicts", "b", "a")], {"a": "governs", "b": "superseded"}, ["pa"]),
+        ([("supersedes", "a", "b"), ("supersedes", "b", "old")], {"a": "governs", "b": "review"}, []),
+    ],
+)
+def test_relations(spark, relations, want, ruling):
+    rows = [("pa", "a", "2025-01-01", None, None), ("pb", "b", "2025-01-01", None, None)]
+    verdicts, ids = governed(spark, rows, relations, "2025-06-01")
+    assert verdicts == want and ids == ruling
+
+
+def test_amendments_touch_both_sides(spark):
+    rel = spark.createDataFrame([("a", "b", "amends", "2025-01-01", None), ("c", "d", "requires", "2025-01-01", None), ("e", "f", "applies-to", "2025-01-01", "2025-02-01")], REL)
+    rel = rel.withColumn("effective_from", F.to_date("effective_from")).withColumn("effective_until", F.to_date("effective_until"))
+    picked = spark.createDataFrame([(x,) for x in "abcdef"], "document_id string")
+    assert sorted(r[0] for r in governance.amendment_review(picked, rel, "2025-06-01").collect()) == ["a", "b"]
+
+
+PRICE = "struct<id:string,provider:string,route:string,model:string,currency:string,basis:string,valid_from:timestamp,valid_until:timestamp,rates:map<string,struct<micro_units:bigint,per_tokens:bigint>>>"
+USAGE = ("input", "output", "cache_read", "cache_write", "reasoning", "context")
+
+
+def charged(spark, usage, basis="inclusive", drop=(), priced=True, **rates):
+    given = {"input": (1, 3), "output": (0, 1)} | rates
+    kinds = dt.datetime(2020, 1, 1), dt.datetime(2020, 2, 1)
+    price = ("v1", "p", "a" * 64, "m", "USD", basis, *kinds, {k: v for k, v in given.items() if k not in drop}) if priced else None
+    row = (1, *(usage.get(k) for k in USAGE), usage.get("unknown", False), price)
+    df = spark.createDataFrame([row], f"id int, {', '.join(f'{k} bigint' for k in USAGE)}, unknown_categories boolean, price {PRICE}")
+    return money.calculate(df).first()
+
+
+def test_money_rounds_up_and_zero_is_a_price(spark):
+    assert [charged(spark, {"input": n, "output": 0}).micro_units for n in (0, 1, 3, 4)] == ["0", "1", "1", "2"]
+    assert charged(spark, {"input": 1, "output": 0}, input=(0, 3)).micro_units == "0"
+
+
+def test_unknown_money_is_never_free(spark):
+    r = charged(spark, {"input": 1, "output": 0}, priced=False)
+    assert (r.missing_price, r.micro_units, r.price_id) == (True, None, None)
+    r = charged(spark, {})
+    assert (r.missing_usage, r.micro_units, r.missing_price) == (True, None, False)
+    assert charged(spark, {"input": 5}).micro_units is None
+    assert charged(spark, {"input": 1, "output": 0}, drop=["output"]).missing_price
+    r = charged(spark, {"input": 1, "output": 0, "unknown": True})
+    assert r.unknown_categories and r.micro_units is None
+    r = charged(spark, {"input": 1, "output": 0, "context": 2})
+    assert r.unknown_categories and r.micro_units is None
+
+
+def test_categories_are_charged_once(spark):
+    usage = {"input": 10, "output": 20, "cache_read": 3, "cache_write": 2, "reasoning": 7, "context": 0}
+    one = {k: (1, 1) for k in USAGE}
+    assert charged(spark, usage, input=(1, 1), output=(1, 1)).micro_units == "30"
+    assert charged(spark, usage, "partitioned", **one).micro_units == "30"
+    assert charged(spark, usage, "partitioned", **(one | {"cache_read": (0, 1)})).micro_units == "27"
+    assert charged(spark, {"input": 1, "output": 0}, "partitioned", **one).missing_usage
+    for bad in ({"reasoning": 21}, {"cache_write": 8}):
+        r = charged(spark, usage | bad, "partitioned", **one)
+        assert (r.error, r.micro_units, r.missing_price) == ("usage subset exceeds parent total", None, None)
+    assert charged(spark, usage, **one).error == "invalid price snapshot"  # inclusive rates are of input and output only
+    assert charged(spark, usage, input=(1, 0)).error == "invalid price snapshot"
+    assert charged(spark, {"input": 2**40, "output": 0}, input=(2**30, 1)).error == "monetary total exceeds u64 micro-units"
+    assert charged(spark, {"input": 2**40, "output": 0}, input=(2**23, 1)).micro_units == str(2**63)
+
+
+def test_prices_apply_by_route_and_time(spark):
+    at = lambda x: F.to_timestamp(F.lit(x))
+    a = spark.createDataFrame([(1, "p", "r1", "m", 5), (2, "p", "r2", "m", 5), (3, "p", "r1", "m", 9)], "id long, provider string, route string, model string, day int")
+    a = a.withColumn("submitted_at", F.make_timestamp(F.lit(2020), F.lit(1), "day", F.lit(0), F.lit(0), F.lit(0)))
+    p = spark.createDataFrame([(7, "p", "r1", "m"), (8, "p", "r1", "m")], "id long, provider string, route string, model string")
+    p = p.withColumn("valid_from", at("2020-01-05")).withColumn("valid_until", F.when(F.col("id") == 7, at("2020-01-09")).otherwise(at("2020-01-06")))
+    assert {r.id: r.price and r.price.id for r in money.applicable_prices(a, p).collect()} == {1: 8, 2: None, 3: None}
+    endless = p.withColumn("valid_until", F.lit(None).cast("timestamp"))
+    assert {r.id: r.price and r.price.id for r in money.applicable_prices(a, endless).collect()} == {1: 8, 2: None, 3: 8}
 
 
 def test_report_windows():
@@ -122,18 +222,52 @@ def test_evidence(spark, tmp_path):
     df = spark.createDataFrame(rows, "k long, v string, s string").withColumn("v", F.col("v").cast("decimal(38,3)"))
     text = [r.t for r in df.orderBy("k").select(evidence.canonical_row(cols).alias("t")).collect()]
     assert text == ["1\x1f0.00\x1f", "2\x1f\x00\x1f\x00", "3\x1f1.50\x1fx"]
-    h = evidence.logical_hash(df, cols).first()
-    assert h.logical_hash == evidence.logical_hash(df.orderBy(F.desc("k")), cols).first().logical_hash
+    head = "canon@1\x1dk\x1fk\x1fint64\x1f\x00\x1f\x00\x1ffalse\x1ftrue\x1ev\x1fv\x1fdecimal\x1f2\x1f\x00\x1ftrue\x1ffalse\x1es\x1fs\x1fstring\x1f\x00\x1f\x00\x1ftrue\x1ffalse\x1dkeys\x1ffalse\x1f\x1d"
+    m = Manifest("m", cols)
+    want = (3, hashlib.sha256((head + "\x1e".join(sorted(text))).encode()).hexdigest())
+    assert evidence.logical_hash(df, m) == evidence.logical_hash(df.orderBy(F.desc("k")), m) == want == tuple(evidence.logical_hashes(df.repartition(3), m).first())
+    assert tuple(evidence.logical_hashes(df.limit(0), m).first()) == evidence.logical_hash(df.limit(0), m)
+    others = [Manifest("m", [replace(cols[0], name="other"), *cols[1:]]), Manifest("m", cols, truncated=True), Manifest("m", cols, denied=["z"]), Manifest("m", cols, authorization="a")]
+    assert len({evidence.logical_hash(df, x)[1] for x in [m, *others]}) == 5
+    loose = [replace(c, key=False) for c in cols]
+    with pytest.raises(ValueError, match="result_not_identifiable"):
+        evidence.logical_hash(df, Manifest("m", loose))
+    by = lambda *o: evidence.logical_hash(df, Manifest("m", loose, order_by=o))[1]
+    assert by("k") != by("k DESC") and by("k") == evidence.logical_hashes(df, Manifest("m", loose, order_by=["k"])).first().logical_hash
     assert Manifest("m", [*cols, EvidenceColumn("k", "money")]).problems() == ["column ids repeat", "k: unknown type money"]
     sealed = evidence.seal(df, Manifest("m", cols), str(tmp_path / "t"))
-    assert sealed.row_count == 3
+    assert sealed.row_count == 3 and evidence.seal(df, Manifest("m", cols), str(tmp_path / "t")).logical_hash == want[1]
+    assert spark.read.parquet(str(tmp_path / "t" / "data")).count() == 3
+    with pytest.raises(ValueError, match="another table"):
+        evidence.seal(df.where("k > 1"), Manifest("m", cols), str(tmp_path / "t"))
     with pytest.raises(ValueError):
-        evidence.seal(df.where("k > 1"), Manifest("m", cols, logical_hash=h.logical_hash), str(tmp_path / "u"))
+        evidence.seal(df.where("k > 1"), Manifest("m", cols, logical_hash=want[1]), str(tmp_path / "u"))
     page = evidence.rows_page(df, Manifest("m", cols), Principal(0), ["k"], 1, 1).collect()
     assert [(r.k, r.total, r.has_more) for r in page] == [(2, 3, True)]
     assert evidence.rows_page(df, Manifest("m", cols, level=1), Principal(0), ["k"], 0).count() == 0
 
 
+def test_canonical_values(spark):
+    row = spark.range(1).select(
+        F.lit(True).alias("bool"), F.lit("0.1").cast("double").alias("float64"), F.lit(b"\x00\xff" * 60).alias("bytes"), F.lit("2020-02-03").cast("date").alias("date"),
+        F.lit("2020-02-03T04:05:06.7+02:00").cast("timestamp").alias("timestamp_tz"), F.lit("2020-02-03 04:05:06").cast("timestamp_ntz").alias("timestamp_naive"),
+        F.lit("AB-c").alias("uuid"), F.lit('{"b": [1.0, 1e21, 1e-7, 0.000001, -0.0, 123.5], "a": "\u00e9"}').alias("json"), F.array(F.lit("x"), F.lit(None), F.lit("")).alias("array"),
+        F.array(F.lit(True), F.lit(False)).alias("flags"),
+    )
+    text = lambda kind, c=None, **k: row.select(evidence.canonical_text(F.col(c or kind), kind, **k)).first()[0]
+    assert [text(k) for k in ("bool", "float64", "date", "timestamp_naive", "uuid")] == ["true", "0.1", "2020-02-03", "2020-02-03T04:05:06.000000", "ab-c"]
+    assert text("bytes") == base64.b64encode(b"\x00\xff" * 60).decode()
+    assert text("json") == '{"a":"é","b":[1,1e+21,1e-7,0.000001,0,123.5]}'
+    assert text("array") == "[x\x1f\x00\x1f]" and text("array", "flags", element="bool") == "[true\x1ffalse]"
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    for z in ("America/New_York", "UTC"):
+        spark.conf.set("spark.sql.session.timeZone", z)
+        assert text("timestamp_tz") == "2020-02-03T02:05:06.700000Z"
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    values = [1.0, 1e21, -0.0, 1.5e-7, float("inf"), float("-inf"), 123456789.125]
+    assert [float_text(v) for v in values] == ["1", "1000000000000000000000", "-0", "0.00000015", "inf", "-inf", "123456789.125"]
+
+
 def test_plans_and_selection(spark):
     some = spark.range(3)
     got = evidence.execute_plan([Layer("a", lambda: some.where("id > 9")), Layer("b", lambda: some), Layer("c", lambda: some, fallback=True)])
@@ -148,29 +282,106 @@ def test_plans_and_selection(spark):
 
 
 def test_verification(spark):
-    a = spark.createDataFrame([(1, 'It says "The  quick brown Fox" and "a made up sentence" [d/1] [d/2] evidence/t#1 gives 7')], "answer_id int, answer string")
-    s = spark.createDataFrame([(1, "d/1", "so the quick\nbrown fox ran")], "answer_id int, path string, text string")
-    assert [r.quote for r in verification.check_quotes(a, s).collect()] == ["a made up sentence"]
-    assert [r.path for r in verification.check_citations(a, s).collect()] == ["d/2"]
+    a = spark.createDataFrame([(1, 'It says "the  quick brown fox" and "The Quick brown fox" and “a made up sentence" [d/1] [ d/2 ] [one two/x y] [sic] [a\n/b] evidence/t#1 gives 7, "never closed at all')], "answer_id int, answer string")
+    s = spark.createDataFrame([(1, "d/1", "so the quick\n brown fox ran")], "answer_id int, path string, text string")
+    assert sorted(r.quote for r in verification.check_quotes(a, s).collect()) == ["The Quick brown fox", "a made up sentence"]
+    assert sorted(r.path for r in verification.check_citations(a, s).collect()) == ["d/2", "one two/x y"]
     cells = spark.createDataFrame([("t", 1, "7")], "evidence_id string, row long, value string")
     assert [r.state for r in verification.check_cells(a, cells).collect()] == ["ok"]
     assert [r.state for r in verification.check_cells(a, cells.withColumn("value", F.lit("9"))).collect()] == ["value_differs"]
-    x = spark.range(1).select(verification.model_expansion(F.lit('["Tide", "x", "tide", "sea-wall", "a1b"]')).alias("x"), verification.redacted(F.lit('{"token": "abc", "q": 1}')).alias("r")).first()
-    assert x.x == ["tide", "sea-wall"] and x.r == '{"token": "[redacted]", "q": 1}'
+    r = spark.range(1).select(verification.redacted(F.lit('{"token": "abc", "q": 1}')).alias("r")).first()
+    assert r.r == '{"token": "[redacted]", "q": 1}'
 
 
-def test_long_prefixes_shadow(spark):
-    long = "a/" * 50
-    p = spark.createDataFrame([("o", long, 0), ("i", long + "x", 1), ("s", "a/", 0), ("e", "", 0), ("n", None, 0)], "collection string, prefix string, level int")
-    got = sorted((r.outer, r.inner, r.outer_prefix) for r in access.shadowed_prefixes(p).collect())
-    assert got == [("e", "i", ""), ("o", "i", long), ("s", "i", "a/")]
+@pytest.mark.parametrize(
+    ("raw", "want"),
+    [
+        ('["tide", " sea-wall ", "Tide", "x", "a1b", "o\'clock", "-\'", "flood", "tide"]', ["tide", "sea-wall", "o'clock"]),
+        ('Here you are:\n```json\n["tide"]\n```', ["tide"]),
+        ("no list here", []),
+        ('["tide", 3]', None),
+        ("[broken", []),
+        ("x [broken] y", None),
+        (f'["{"e" * 40}", "{"f" * 41}", "{"é" * 20}", "{"è" * 21}"]', ["e" * 40, "é" * 20]),
+    ],
+)
+def test_model_expansion(spark, raw, want):
+    assert spark.range(1).select(verification.model_expansion(F.lit(raw), F.lit("What of the Flood?")).alias("x")).first().x == want
+
+
+def test_expansion_is_capped(spark):
+    raw = '["' + '","'.join(f"ab{c}" for c in "cdefghijklmnop") + '"]'
+    assert len(spark.range(1).select(verification.model_expansion(F.lit(raw), F.lit(""), 5).alias("x")).first().x) == 5
 
 
-def test_context_keeps_the_newest_facts_that_fit(spark):
-    f = spark.createDataFrame([(i, "s", "k", "v" * 9) for i in range(1, 6)], "seq long, subject string, key string, value string")
-    ladder = spark.createDataFrame([(0, "x" * 4000), (1, "y" * 400), (2, "z" * 8)], "tier int, text string")
-    out = context.compose_context(f, ladder, 12).collect()  # 13 bytes, 4 tokens a fact
-    assert sorted((r.section, r.ordinal) for r in out) == [("digest-2", 0), ("facts", 4), ("facts", 5)]
+def test_less_restricted_prefixes_shadow(spark):
+    long = "a/" * 50
+    rows = [("o", long, 0, ["x"]), ("i", long + "x", 1, ["x", "y"]), ("s", "a/", 0, []), ("e", "", 0, ["z"]), ("n", None, 0, []), ("t", "a/b", 0, ["q"]), ("u", "a/bc", 0, ["q", "q"])]
+    p = spark.createDataFrame(rows, "collection string, prefix string, level int, compartments array<string>")
+    got = sorted((r.outer, r.inner, r.outer_prefix) for r in access.shadowed_prefixes(p).collect())
+    assert got == [("o", "i", long), ("s", "i", "a/"), ("s", "o", "a/"), ("s", "t", "a/"), ("s", "u", "a/")]
+    message = next(r.message for r in access.shadowed_prefixes(p).collect() if (r.outer, r.inner) == ("s", "u"))
+    assert message == (
+        "collection 's' (level 0, compartments []) binds 'a/', a prefix of the more-restricted 'u' (level 0, [\"q\", \"q\"]) binding 'a/bc'"
+        " — the restricted documents are also served to the wider audience; make the overlap a decision, not an accident"
+    )
+
+
+@pytest.mark.parametrize(
+    ("query", "want"),
+    [
+        ("case 07/638,337 no 1,234,567 of 2020-01-01 at 12345.5", ["638337", "1234567"]),
+        ("US4436097 and EP1234567A1", ["4436097"]),
+        ("patents 4,436,097 and 4436097", ["4436097"]),
+        ("20240131 19991231 21240131", ["21240131"]),
+        ("ABCDE12345 ABCDE1,234,567 x12345 12345", ["12345"]),
+        ("1,23 1,2345 12,34567", ["34567"]),
+        ("123,456.78 98765.", ["98765"]),
+        (" ".join(str(10000 + i) for i in range(12)), [str(10000 + i) for i in range(8)]),
+        ("", []),
+    ],
+)
+def test_number_digits(query, want):
+    assert tx.number_digits(query) == want
+
+
+def snapshot(spark, facts=(), pin=None):
+    claims = spark.createDataFrame([(f"c{q}", q, s, k, v, p) for q, s, k, v, p in facts], "id string, seq long, subject string, key string, value string, scope_path string")
+    anchors = spark.createDataFrame([("h.e", "green")], "detail_key string, locked_value string")
+    promises = spark.createDataFrame([("p1", 3, "open", "reveal", "who", "ch3"), ("p2", 1, "open", "storm", "rain", None), ("p3", 2, "fulfilled", "x", "y", "z")], "id string, seq long, status string, key string, description string, due_scope string")
+    counters = spark.createDataFrame([("bell", 1, 2)], "key string, count long, budget long")
+    return ledger.Snapshot(claims, anchors, promises, counters, ledger.ladder(claims), pin)
+
+
+FACTS = [(1, "h", "a", "1", "x.one"), (2, "h", "b", "2", "x.two"), (3, "h", "c", "3", "y.one"), (4, "h", "d", "4", "y.one")]
+TAIL = "## Locked details\nh.e=green [locked]\n\n## Open promises\n[storm] rain\n[reveal] who (due: ch3)\n\n## Frequency budgets\nbell: used 1/2\nCAUTION: 'bell' — one use remaining"
+
+
+def test_contexts_have_six_sections_and_four_levels(spark):
+    text = lambda *a, **k: context.render(context.compose_context(snapshot(spark, FACTS, k.pop("pin", None)), *a, **k)).first().text
+    facts = "## Accepted facts\nh.a=1\nh.b=2\nh.c=3\nh.d=4\n\n" + TAIL
+    scopes = "## Canon digest\n[x.one] 1 facts\nh.a=1\n[x.two] 1 facts\nh.b=2\n[y.one] 2 facts\nh.c=3\nh.d=4\n\n"
+    active = "## Canon digest\n[x.one] 1 facts\nh.a=1\n[x.two] 1 facts\nh.b=2\n[group y] 2 facts across 1 scopes; keys: h.c, h.d\n\n"
+    groups = "## Canon digest\n[group x] 2 facts across 2 scopes; keys: h.a, h.b\n[group y] 2 facts across 1 scopes; keys: h.c, h.d\n\n"
+    rollup = "## Canon digest\n[rollup] 4 facts, 3 scopes, 1 subjects: h\n\n"
+    assert text() == scopes + facts
+    pin = "## Point-in-time pin\nThis brief reflects the ledger as of seq 9 (as of 2020-01-01). Later facts are not visible.\n\n"
+    assert text(pin=9, as_of_date="2020-01-01") == pin + scopes + facts
+    size = lambda t: len(t.encode()) // 4
+    assert size(rollup + facts) < size(scopes + facts) < size(active + facts) < size(groups + facts)
+    for budget in range(size(rollup + facts) - 12, size(groups + facts) + 2):
+        want = next((t for t in (scopes + facts, active + facts, groups + facts, rollup + facts) if size(t) <= budget), None)
+        if want is None:
+            for keep in (3, 2, 1, 0):
+                kept = "## Accepted facts\n" + "\n".join(f"h.{'abcd'[i]}={i + 1}" for i in range(4 - keep, 4)) + "\n\n" if keep else ""
+                want = rollup + kept + TAIL
+                if size(want) <= budget:
+                    break
+        assert text("x.two", budget) == want, budget
+
+
+def test_an_empty_ledger_has_a_context(spark):
+    assert context.render(context.compose_context(snapshot(spark), None, 1)).first().text == "## Canon digest\n[rollup] 0 facts, 0 scopes, 0 subjects: \n\n" + TAIL
 
 
 def test_corpus_versions_and_identity(spark):
@@ -179,4 +390,4 @@ def test_corpus_versions_and_identity(spark):
     with pytest.raises(ValueError):
         corpus.activate(p, "c", "v2", expected="v0")
     numbers = corpus.number_lexemes(spark.createDataFrame([("ab12345 12345 1234 abcde12345",)], "text string"))
-    assert sorted((r.digits, r.lexeme) for r in numbers.collect()) == [("12345", "12345"), ("12345", "ab12345")]
+    assert sorted((r.digits, r.lexeme) for r in numbers.collect()) == [("12345", "ab12345")]
