@@ -72,7 +72,7 @@ def nearest(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
+            if not b.num_rows or not len(ids):
                 continue
             own = b.column(0).to_numpy(zero_copy_only=False)
             x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
@@ -92,3 +92,25 @@ def nearest(
     )
     by = Window.partitionBy("query_id").orderBy("distance", "id")
     return near.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
+
+
+def nearest_of(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 4096) -> DataFrame:
+    """:func:`nearest` for queries that are rows themselves (``query_id`` and a vector), in blocks of bounded size.
+
+    Each block is a pass over the vectors; the driver holds one block at a time besides the plan.
+    """
+    found, held = None, []
+
+    def add() -> None:
+        nonlocal found
+        near = nearest(vectors, held, k, id_col, vector_col)
+        found = near if found is None else found.unionByName(near)
+
+    for q in queries.toLocalIterator():
+        held.append((q[0], q[1]))
+        if len(held) == block:
+            add()
+            held = []
+    if held or found is None:
+        add()
+    return found

@@ -24,12 +24,17 @@ def fuse_pools(
     evidence: DataFrame | None = None,
     evidence_weight: float = 0.0,
     unselected_weight: float = 1.0,
+    depth: int | None = None,
 ) -> DataFrame:
     """``pool, chunk_id, score`` over pooled candidates (``pool, chunk_id, score, is_probe``).
 
     Ranks are taken over all pools together, apart for probed and selected ones; probes weigh
-    ``unselected_weight``. ``evidence`` (``pool, rank``) adds a leg for how good a collection looks.
+    ``unselected_weight``. ``evidence`` (``pool, rank``) adds a leg for how good a collection looks. With a ``depth`` each pool gives its best so
+    many to either leg, which bounds what is ranked together; without one the caller's pools must be bounded.
     """
+    if depth is not None:
+        lexical = leg_ranks(lexical, "pool", "is_probe").where(F.col("rank") <= depth).drop("rank")
+        vector = leg_ranks(vector, "pool", "is_probe", descending=False).where(F.col("rank") <= depth).drop("rank")
     legs = [(leg_ranks(lexical, "is_probe"), lexical_weight), (leg_ranks(vector, "is_probe", descending=False), vector_weight)]
     parts = [
         df.select(

@@ -10,12 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.functions.text import STOP_WORDS
-from corvane.functions.vectors import local_embed
+from corvane.functions.text import STOP_WORDS, adjacent_pairs, query_phrases, word_tokens
 from corvane.operators import fusion, governance, retrieval
 from corvane.operators.access import Principal, permits
 from corvane.operators.corpus import chunk_text
-from corvane.operators.retrieval import Demotion, RetrievalSpec
+from corvane.operators.index import Index
+from corvane.operators.retrieval import Prepared, RetrievalSpec
 
 
 def chunk_locations(text: str, max_bytes: int) -> list[tuple[int, int] | None]:
@@ -51,28 +51,6 @@ def locations(sources: DataFrame, max_bytes: int = 1200) -> DataFrame:
     return sources.select("source_id", "text").mapInArrow(run, "chunk_id string, start long, length long")
 
 
-def vector_leg(chunks: DataFrame, query_vector: Sequence[float], rules: Sequence[Demotion] = ()) -> DataFrame:
-    """``collection, chunk_id, score``: distance of every chunk that carries its embedding, with the penalty of the rules."""
-    q = np.asarray(query_vector, dtype=np.float64)
-    norm = np.linalg.norm(q)
-    unit = q / norm if norm else q
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x = b.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
-            n = np.linalg.norm(x, axis=1)
-            score = 1 - np.divide(x @ unit, n, out=np.zeros(len(n)), where=n > 0)
-            score += b.column(3).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score)], ["collection", "chunk_id", "score"])
-
-    penalty = retrieval.demotion_factors(rules, F.col("text"), F.col("collection"))[1] if rules else F.lit(0.0)
-    return chunks.select("collection", "chunk_id", "embedding", penalty.cast("double").alias("penalty")).mapInArrow(
-        run, "collection string, chunk_id string, score double"
-    )
-
-
 def best_of_each(scored: DataFrame, n: int, descending: bool) -> DataFrame:
     """The best ``n`` of every collection, in one job for all of them."""
     order = (F.col("score").desc() if descending else F.col("score"), F.col("chunk_id"))
@@ -81,50 +59,81 @@ def best_of_each(scored: DataFrame, n: int, descending: bool) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= n)
 
 
-def retrieve_documents(chunks: DataFrame, query: str, spec: RetrievalSpec, collections: Sequence[str] | None = None, query_vector: Sequence[float] | None = None) -> DataFrame:
+def _pools(index: Index, asked: Prepared, spec: RetrievalSpec, n: int, collections: Sequence[str] | None) -> tuple[DataFrame, DataFrame]:
+    """The best ``n`` of every collection in either leg: ``pool, chunk_id, score, rank``."""
+    lexical = best_of_each(retrieval.lexical_leg(index, asked, spec, collections), n, True)
+    near = retrieval.vector_leg(index, asked.vector, collections)
+    if spec.content_demotions:
+        near = retrieval.penalised(index, best_of_each(near, max(4 * n, 10), False).drop("rank"), spec)
+    return lexical.withColumnRenamed("collection", "pool"), best_of_each(near, n, False).withColumnRenamed("collection", "pool")
+
+
+def phrase_fraction(index: Index, lexical: DataFrame, vector: DataFrame, query: str, n: int, rrf_k: int = 60) -> DataFrame:
+    """``pool, phrase_fraction``: the share of each pool's ``n`` best fused hits that contain two words of the query as they stand there."""
+    part = lambda leg: leg.select("pool", "chunk_id", (1.0 / (F.lit(rrf_k) + F.col("rank"))).alias("part"))
+    fused = part(lexical).unionByName(part(vector)).groupBy("pool", "chunk_id").agg(F.sum("part").alias("score"))
+    by = Window.partitionBy("pool").orderBy(F.col("score").desc(), "chunk_id")
+    hits = fused.withColumn("n", F.row_number().over(by)).where(F.col("n") <= n).select(F.col("pool").alias("collection"), "chunk_id")
+    spoken = F.array_distinct(adjacent_pairs(word_tokens(F.col("text"))))
+    said = F.size(F.array_intersect(spoken, query_phrases(F.lit(query)))) > 0
+    texts = index.chunks().select("collection", "chunk_id", "text").join(F.broadcast(hits), ["collection", "chunk_id"])
+    return texts.groupBy(F.col("collection").alias("pool")).agg((F.count_if(said) / F.count(F.lit(1))).alias("phrase_fraction"))
+
+
+def retrieve_documents(
+    index: Index, query: str, spec: RetrievalSpec, collections: Sequence[str] | None = None, query_vector: Sequence[float] | None = None
+) -> DataFrame:
     """``collection, chunk_id, score``: probe all collections, choose some, search those, merge.
 
-    ``chunks``: ``collection, chunk_id, text, embedding``. All collections are searched in one job;
-    what the probe saw of the ones not chosen stays in the merge with a lower weight.
+    The probe asks the query itself, without expansions. The collections with the best evidence, which phrases of the query raise, are
+    searched with them; ``max_collections`` 0 chooses all. What the probe saw of the others stays in the merge with a
+    lower weight. All collections are searched in one job, each to the depth of its pool.
     """
-    if collections is not None:
-        chunks = chunks.where(F.col("collection").isin(list(collections)))
-    vector = local_embed(query) if query_vector is None else query_vector
-    terms = retrieval.search_terms(chunks, query, spec)
-    lexical = retrieval.bm25(chunks, terms, spec.minimum_should_match, rules=spec.content_demotions)
-    near = vector_leg(chunks, vector, spec.content_demotions)
-    lex = best_of_each(lexical, spec.candidate_pool_per_collection, True).withColumnRenamed("collection", "pool")
-    vec = best_of_each(near, spec.candidate_pool_per_collection, False).withColumnRenamed("collection", "pool")
-    evidence = fusion.density_evidence(lex.where(F.col("rank") <= spec.probe_candidate_n).drop("rank"), vec.where(F.col("rank") <= spec.probe_candidate_n).drop("rank"))
-    chosen = fusion.select_collections(evidence, spec.max_collections or 1_000_000)
+    bare = replace(spec, query_expansions=(), query_expansion_weight=0.0)
+    probe = retrieval.prepare(index, query, bare, collections, query_vector)
+    lex, vec = _pools(index, probe, bare, spec.probe_candidate_n, collections)
+    share = phrase_fraction(index, lex, vec, query, spec.probe_candidate_n, spec.rrf_k) if spec.phrase_boost else None
+    evidence = fusion.density_evidence(lex.drop("rank"), vec.drop("rank"), share, max(0.0, spec.phrase_boost))
     # a row per collection
     order = Window.orderBy(F.desc_nulls_last("lexical_evidence"), F.desc_nulls_last("vector_evidence"), "pool")
-    ranked = chosen.select("pool", F.row_number().over(order).alias("rank"))
-
-    def depth(leg: DataFrame) -> DataFrame:
-        marked = leg.join(F.broadcast(ranked.select("pool", F.lit(False).alias("probe"))), "pool", "left").withColumn("is_probe", F.coalesce("probe", F.lit(True)))
-        keep = F.when(F.col("is_probe"), spec.probe_candidate_n).otherwise(spec.candidate_pool_per_collection)
-        return marked.where(F.col("rank") <= keep).select("pool", "chunk_id", "score", "is_probe")
+    some = evidence.where("lexical_evidence IS NOT NULL OR vector_evidence IS NOT NULL")
+    ranked = some.select("pool", F.row_number().over(order).alias("rank"))
+    chosen = ranked if not spec.max_collections else ranked.where(F.col("rank") <= spec.max_collections)
+    deep = retrieval.prepare(index, query, spec, collections, query_vector)
+    deep_lex, deep_vec = _pools(index, deep, spec, spec.candidate_pool_per_collection, collections)
+
+    def merged(found: DataFrame, probed: DataFrame) -> DataFrame:
+        names = F.broadcast(chosen.select("pool"))
+        here = found.join(names, "pool", "left_semi").withColumn("is_probe", F.lit(False))
+        there = probed.join(names, "pool", "left_anti").withColumn("is_probe", F.lit(True))
+        return here.unionByName(there).select("pool", "chunk_id", "score", "is_probe")
 
     fused = fusion.fuse_pools(
-        depth(lex), depth(vec), spec.rrf_k, spec.lexical_weight, spec.vector_weight, ranked, spec.collection_evidence_weight, spec.unselected_pool_weight
+        merged(deep_lex, lex), merged(deep_vec, vec), spec.rrf_k, spec.lexical_weight, spec.vector_weight, ranked, spec.collection_evidence_weight, spec.unselected_pool_weight
     )
     return retrieval.final_top(fused, spec.top_k).withColumnRenamed("pool", "collection")
 
 
 def governed_query(
-    chunks: DataFrame, publications: DataFrame, relations: DataFrame, principal: Principal, day: str, query: str, budget: int, spec: RetrievalSpec | None = None
-) -> DataFrame:
+    index: Index, governed: DataFrame, publications: DataFrame, relations: DataFrame, principal: Principal, day: str, query: str, budget: int,
+    spec: RetrievalSpec | None = None, query_vector: Sequence[float] | None = None,
+) -> DataFrame:
     """``chunk_id, rank, cost``: passages of governing documents that the principal may see, once each, that fit.
 
-    ``chunks`` also has ``document_id``, ``level`` and ``compartments``.
+    ``governed``: ``collection, chunk_id, document_id, level, compartments`` of every chunk. Collections that the principal may not see
+    are not searched; of the others what doesn't govern is left out of what was found, before it counts against the budget.
     """
     spec = spec or RetrievalSpec()
     ruling = governance.governing_publications(publications, relations, day).where("verdict = 'governs'").select("document_id")
-    seen = chunks.where(permits(principal, F.col("level"), F.col("compartments"))).join(ruling, "document_id", "left_semi")
-    hits = retrieve_documents(seen, query, spec)
-    ranked = hits.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "chunk_id")))
-    passages = seen.join(F.broadcast(ranked), ["collection", "chunk_id"]).select(
+    seen = governed.where(permits(principal, F.col("level"), F.col("compartments")))
+    # a row per collection
+    open_to = sorted(r.collection for r in seen.select("collection").distinct().collect())
+    wide = replace(spec, top_k=spec.candidate_pool_per_collection)
+    hits = retrieve_documents(index, query, wide, open_to, query_vector)
+    allowed = seen.join(ruling, "document_id", "left_semi").join(F.broadcast(hits), ["collection", "chunk_id"])
+    # of the few that were found
+    ranked = allowed.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "chunk_id"))).where(F.col("rank") <= (spec.top_k or 10))
+    passages = index.chunks(open_to).select("collection", "chunk_id", "text").join(F.broadcast(ranked), ["collection", "chunk_id"]).select(
         F.lit(0).alias("request"), "rank", "chunk_id", F.col("document_id").alias("source_id"), F.md5("text").alias("hash"), "text",
         F.ceil(F.octet_length("text") / 4).cast("long").alias("cost"),
     )
@@ -133,11 +142,13 @@ def governed_query(
     return once.join(taken.select(F.explode(F.split("taken", ",")).alias("chunk_id")), "chunk_id").select("chunk_id", "rank", "cost")
 
 
-def vocabulary_search(chunks: DataFrame, query: str, synonyms: Sequence[Sequence[str]], spec: RetrievalSpec | None = None) -> DataFrame:
+def vocabulary_search(
+    index: Index, query: str, synonyms: Sequence[Sequence[str]], spec: RetrievalSpec | None = None, query_vector: Sequence[float] | None = None
+) -> DataFrame:
     """A search in which a word of a group of synonyms stands for all of them."""
     spec = spec or RetrievalSpec()
     added = [*spec.query_expansions, *(([w], [x for x in group if x != w]) for group in synonyms for w in group)]
-    return retrieve_documents(chunks, query, replace(spec, query_expansions=added))
+    return retrieve_documents(index, query, replace(spec, query_expansions=added), query_vector=query_vector)
 
 
 def vocabulary_candidates(collections: DataFrame, vocabularies: DataFrame, recent: DataFrame, now: str, most: int = 50) -> DataFrame:

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import STOP_WORDS, has_phrase, number_digits, word_tokens
-from corvane.functions.vectors import nearest
-from corvane.operators.corpus import number_forms, number_lexemes
+from corvane.functions.vectors import blend, local_embed
+from corvane.operators.index import Index
 
 
 @dataclass
@@ -65,21 +66,68 @@ def expand_query(query: str, expansions: Sequence[tuple[Sequence[str], Sequence[
     return added
 
 
-def common_terms(chunks: DataFrame, terms: Sequence[str], fraction: float) -> list[str]:
-    """Those of ``terms`` that more than ``fraction`` of all texts have, and two texts at least."""
-    low = F.lower("text")
-    seen = chunks.agg(F.count(F.lit(1)).alias("n"), *(F.count_if(_count(low, t) > 0).alias(f"df{i}") for i, t in enumerate(terms))).first()
-    return [t for i, t in enumerate(terms) if seen[f"df{i}"] >= 2 and seen[f"df{i}"] > fraction * seen.n]
+@dataclass
+class Prepared:
+    """What a query looks for in an index, computed once for all collections."""
+
+    original: list[str]
+    expanded: list[str]
+    candidates: list[str]
+    vector: np.ndarray
 
 
-def search_terms(chunks: DataFrame, query: str, spec: RetrievalSpec) -> list[str]:
-    """What the lexical leg looks for: words that aren't too common, expansions, and numbers as the texts spell them."""
-    terms = query_terms(query)
-    if spec.stop_term_fraction and terms:
-        terms = query_terms(query, common_terms(chunks, terms, spec.stop_term_fraction))
-    digits = number_digits(query)
-    forms = [r.lexeme for r in number_forms(number_lexemes(chunks), digits).collect()] if digits else []
-    return list(dict.fromkeys(terms + expand_query(query, spec.query_expansions) + forms))
+def prepare(index: Index, query: str, spec: RetrievalSpec, collections: Sequence[str] | None = None, query_vector: Sequence[float] | None = None) -> Prepared:
+    """Words of the query, with numbers as the index spells them; expansions; those of both that aren't too common; and the vector.
+
+    Without a vector given, that of the query and that of the query with its expansions are mixed by the expansion's weight.
+    """
+    forms = index.number_forms(number_digits(query))
+    original = list(dict.fromkeys(query_terms(query) + forms))
+    added = [t for t in expand_query(query, spec.query_expansions) if t not in original]
+    stop = index.common([*original, *added], spec.stop_term_fraction, collections) if spec.stop_term_fraction else []
+    candidates = [t for t in [*original, *added] if t not in stop] or [*original, *added]
+    if query_vector is not None:
+        vector = np.asarray(query_vector, dtype=np.float64)
+    else:
+        own = local_embed(query)
+        vector = blend(own, local_embed(" ".join([query, *added])), min(1.0, max(0.0, spec.query_expansion_weight))) if added else own
+    return Prepared(original, added, candidates, vector)
+
+
+def lexical_leg(index: Index, asked: Prepared, spec: RetrievalSpec, collections: Sequence[str] | None = None) -> DataFrame:
+    """``collection, chunk_id, score`` of all chunks that meet the query, with what the demotions leave of it."""
+    scored = index.bm25(asked.original, asked.expanded, spec.query_expansion_weight, spec.minimum_should_match, asked.candidates, collections)
+    if not spec.content_demotions:
+        return scored
+    multiplier, _ = demotion_factors(spec.content_demotions, F.col("text"), F.col("collection"))
+    factors = index.chunks(collections).select("collection", "chunk_id", multiplier.alias("m"))
+    return scored.join(factors, ["collection", "chunk_id"]).select("collection", "chunk_id", (F.col("score") * F.col("m")).alias("score"))
+
+
+def vector_leg(index: Index, query_vector: Sequence[float], collections: Sequence[str] | None = None) -> DataFrame:
+    """``collection, chunk_id, score``: distance of every chunk that has an embedding."""
+    q = np.asarray(query_vector, dtype=np.float64)
+    norm = np.linalg.norm(q)
+    unit = q / norm if norm else q
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = b.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
+            n = np.linalg.norm(x, axis=1)
+            score = 1 - np.divide(x @ unit, n, out=np.zeros(len(n)), where=n > 0)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score)], ["collection", "chunk_id", "score"])
+
+    rows = index.chunks(collections).where("embedding IS NOT NULL").select("collection", "chunk_id", "embedding")
+    return rows.mapInArrow(run, "collection string, chunk_id string, score double")
+
+
+def penalised(index: Index, near: DataFrame, spec: RetrievalSpec) -> DataFrame:
+    """The rows of ``near`` (few) with the penalty of the demotions added to their distance."""
+    _, penalty = demotion_factors(spec.content_demotions, F.col("text"), F.col("collection"))
+    texts = index.chunks().select("collection", "chunk_id", penalty.alias("p"))
+    return texts.join(F.broadcast(near), ["collection", "chunk_id"]).select("collection", "chunk_id", (F.col("score") + F.col("p")).alias("score"))
 
 
 def demotion_factors(rules: Sequence[Demotion], text: Column, collection: Column) -> tuple[Column, Column]:
@@ -151,20 +199,18 @@ def final_top(fused: DataFrame, top_k: int) -> DataFrame:
     return fused.orderBy(F.col("score").desc(), "chunk_id").limit(top_k or 10)
 
 
-def hybrid_search(chunks: DataFrame, vectors: DataFrame, query: str, query_vector: Sequence[float], spec: RetrievalSpec | None = None) -> DataFrame:
-    """The best chunks for a query, with their place in either leg and where they come from.
+def hybrid_search(index: Index, query: str, spec: RetrievalSpec | None = None, query_vector: Sequence[float] | None = None, collections: Sequence[str] | None = None) -> DataFrame:
+    """``collection, chunk_id, text_sha256, lexical_rank, vector_rank, score``: the best chunks for a query, with their place in either leg.
 
-    ``chunks``: ``collection, chunk_id, text``; ``vectors``: ``chunk_no, chunk_id, embedding``.
+    With demotions, four times as many are fetched of the vector leg, and cut once penalties are in.
     """
     spec = spec or RetrievalSpec()
-    terms = search_terms(chunks, query, spec)
-    wide = max(4 * spec.candidate_n, 10) if spec.content_demotions else spec.candidate_n
-    lexical = top_leg(bm25(chunks, terms, spec.minimum_should_match, rules=spec.content_demotions), spec.candidate_n)
-    near = nearest(vectors, [(0, query_vector)], wide, "chunk_no").select(F.col("id").alias("chunk_no"), "distance")
-    near = vectors.select("chunk_no", "chunk_id").join(F.broadcast(near), "chunk_no")
+    asked = prepare(index, query, spec, collections, query_vector)
+    lexical = top_leg(lexical_leg(index, asked, spec, collections), spec.candidate_n)
+    near = vector_leg(index, asked.vector, collections)
     if spec.content_demotions:
-        _, penalty = demotion_factors(spec.content_demotions, F.col("text"), F.col("collection"))
-        near = chunks.join(F.broadcast(near), "chunk_id").withColumn("distance", F.col("distance") + penalty)
-    vector = top_leg(near.select("chunk_id", F.col("distance").alias("score")), spec.candidate_n, descending=False)
+        near = penalised(index, top_leg(near, max(4 * spec.candidate_n, 10), descending=False).drop("rank"), spec)
+    vector = top_leg(near, spec.candidate_n, descending=False)
     best = final_top(rrf(lexical, vector, spec.rrf_k, spec.lexical_weight, spec.vector_weight), spec.top_k)
-    return chunks.select("collection", "chunk_id", F.sha2("text", 256).alias("text_sha256")).join(F.broadcast(best), "chunk_id")
+    texts = index.chunks(collections).select("collection", "chunk_id", F.sha2("text", 256).alias("text_sha256"))
+    return texts.join(F.broadcast(best), "chunk_id")

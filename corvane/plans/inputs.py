@@ -6,10 +6,15 @@ counterpart start from the same rows. None orders a whole table: every window ha
 
 from __future__ import annotations
 
+import hashlib
 import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corvane.operators.index import Index, open_index, write_search_index
+from corvane.session import shared_dir
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -210,6 +215,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def _state(spark: SparkSession, path: str) -> str:
+    """Names, sizes and times of a table's files."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)
+    return ";".join(sorted(f"{f.getPath()},{f.getLen()},{f.getModificationTime()}" for f in files))
+
+
+def document_index(spark: SparkSession, sf_dir: str) -> Index:
+    """The search index over all documents, a chunk each, with the embeddings of those that have one.
+
+    Built by the first query of an application that needs it, and opened by the others as long as the tables' files are the same.
+    """
+    base = sf_dir.rstrip("/")
+    state = hashlib.sha256("|".join(_state(spark, f"{base}/{t}.parquet") for t in ("documents", "embeddings")).encode()).hexdigest()
+    path = f"{shared_dir(spark)}/corvane/{spark.sparkContext.applicationId}/documents-{state[:16]}"
+    found = open_index(spark, path)
+    if found is None:
+        docs = table(spark, sf_dir, "documents").select(
+            F.col("lang").alias("collection"), F.concat(F.lit("d"), F.col("doc_id")).alias("chunk_id"), F.col("doc_id").alias("vec_id"), "text"
+        )
+        vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+        found = write_search_index(docs.join(vectors, "vec_id", "left").drop("vec_id"), path)
+    return found
+
+
 def _names(sql: str, name: str) -> bool:
     return re.search(rf"\b(?:FROM|JOIN)\s+{name}\b", sql) is not None
 

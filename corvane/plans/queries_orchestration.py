@@ -5,37 +5,88 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corvane.functions.analyzer import english_lexemes, structured_tokens
-from corvane.functions.vectors import embed
 from corvane.operators import orchestration
 from corvane.operators.access import Principal
 from corvane.operators.retrieval import RetrievalSpec
-from corvane.plans.inputs import ctes, derived, table
+from corvane.plans.inputs import ctes, derived, document_index, table
+from corvane.plans.queries_reports import _DAY, _RULING
+from corvane.plans.queries_retrieval import _NEAR, _parts_sql, _query_vector, _sum, _tok
 from corvane.plans.registry import query
 
 
-def _chunks(spark, d):
-    return table(spark, d, "documents").select(
-        F.col("lang").alias("collection"), F.concat(F.lit("d"), F.col("doc_id")).alias("chunk_id"), "text", embed("text").alias("embedding"),
-        F.concat(F.lit("doc"), F.col("doc_id")).alias("document_id"), (F.col("doc_id") % 3).alias("level"), F.expr("cast(array() as array<string>)").alias("compartments"),
-    )
+def _pools_sql(score: str, least: str, n: int) -> tuple[str, str]:
+    """The best ``n`` of each pool in either leg, as SQL over ``parts`` and ``near``."""
+    lexical = f"""SELECT * FROM (SELECT collection AS pool, chunk_id, {score} AS score, row_number() OVER (PARTITION BY collection ORDER BY {score} DESC, chunk_id) AS rank FROM parts
+        WHERE {least} >= 1) WHERE rank <= {n}"""
+    vector = f"SELECT * FROM (SELECT collection AS pool, chunk_id, score, row_number() OVER (PARTITION BY collection ORDER BY score, chunk_id) AS rank FROM near) WHERE rank <= {n}"
+    return lexical, vector
+
+
+_FUSE = """r AS (SELECT pool, chunk_id, (CASE WHEN is_probe THEN 0.5 ELSE 1.0 END) / (60 + row_number() OVER (PARTITION BY is_probe ORDER BY score DESC, chunk_id)) AS part FROM ml
+        UNION ALL SELECT pool, chunk_id, (CASE WHEN is_probe THEN 0.5 ELSE 1.0 END) / (60 + row_number() OVER (PARTITION BY is_probe ORDER BY score, chunk_id)) FROM mv)"""
+
+
+def _retrieve_sql(top: int) -> str:
+    """Probe with 'idiot de la', choose two collections, search them with 'moron' besides, merge."""
+    o, w = _sum("p", 3), _sum("p", 4)
+    lp, vp = _pools_sql(o, _sum("m", 3), 50)
+    ld, vd = _pools_sql(f"0.5 * ({o}) + 0.5 * ({w})", _sum("m", 4), 100)
+    return f"""{_parts_sql(["idiot", "de", "la", "moron"])}, {_NEAR}, lp AS ({lp}), vp AS ({vp}), ld AS ({ld}), vd AS ({vd}),
+        hits AS (SELECT * FROM (SELECT pool, chunk_id, row_number() OVER (PARTITION BY pool ORDER BY sum(part) DESC, chunk_id) AS n
+            FROM (SELECT pool, chunk_id, 1.0 / (60 + rank) AS part FROM lp UNION ALL SELECT pool, chunk_id, 1.0 / (60 + rank) FROM vp) GROUP BY pool, chunk_id) WHERE n <= 50),
+        ph AS (SELECT pool, count(*) FILTER (contains(t, ' idiot de ') OR contains(t, ' de la ')) / count(*) AS f
+            FROM hits JOIN (SELECT 'd' || CAST(doc_id AS VARCHAR) AS chunk_id, ' ' || array_to_string({_tok()}, ' ') || ' ' AS t FROM documents) USING (chunk_id) GROUP BY pool),
+        a AS (SELECT pool, sum(score) AS le FROM lp WHERE rank <= 3 GROUP BY 1), b AS (SELECT pool, -sum(score) AS ve FROM vp WHERE rank <= 3 GROUP BY 1),
+        ev AS (SELECT pool, row_number() OVER (ORDER BY le * (1 + 3.0 * coalesce(f, 0)) DESC NULLS LAST, ve DESC NULLS LAST, pool) AS rk FROM a FULL OUTER JOIN b USING (pool) LEFT JOIN ph USING (pool)),
+        ml AS (SELECT pool, chunk_id, score, false AS is_probe FROM ld WHERE pool IN (SELECT pool FROM ev WHERE rk <= 2) UNION ALL SELECT pool, chunk_id, score, true FROM lp WHERE pool NOT IN (SELECT pool FROM ev WHERE rk <= 2)),
+        mv AS (SELECT pool, chunk_id, score, false AS is_probe FROM vd WHERE pool IN (SELECT pool FROM ev WHERE rk <= 2) UNION ALL SELECT pool, chunk_id, score, true FROM vp WHERE pool NOT IN (SELECT pool FROM ev WHERE rk <= 2)),
+        {_FUSE},
+        best AS (SELECT pool AS collection, chunk_id, sum(part) + coalesce(0.5 / (60 + any_value(rk)), 0) AS score FROM r LEFT JOIN ev USING (pool) GROUP BY 1, 2 ORDER BY 3 DESC, 2 LIMIT {top})"""
+
+
+_SPEC = RetrievalSpec(
+    max_collections=2, collection_evidence_weight=0.5, unselected_pool_weight=0.5, query_expansions=[(["idiot"], ["moron"])], query_expansion_weight=0.5
+)
 
 
-@query("retrieve_documents")
+@query("retrieve_documents", f"WITH {_retrieve_sql(10)} SELECT collection, chunk_id, round(score, 9) AS score FROM best")
 def retrieve_documents(spark, d):
-    """Probe, choose, search, merge; compared with its parts in the tests."""
-    spec = RetrievalSpec(max_collections=2, collection_evidence_weight=0.5, unselected_pool_weight=0.5)
-    return orchestration.retrieve_documents(_chunks(spark, d), "idiot clown de la", spec).withColumn("score", F.round("score", 9))
+    """Probe, choose, search, merge."""
+    found = orchestration.retrieve_documents(document_index(spark, d), "idiot de la", _SPEC, query_vector=_query_vector(spark, d))
+    return found.withColumn("score", F.round("score", 9))
 
 
-@query("vocabulary_search")
+_VL, _VV = _pools_sql(_sum("p", 3), _sum("m", 3), 100)
+
+
+@query(
+    "vocabulary_search",
+    f"""WITH {_parts_sql(["fool", "idiot", "moron"])}, {_NEAR}, ml AS (SELECT *, false AS is_probe FROM ({_VL})), mv AS (SELECT *, false AS is_probe FROM ({_VV})), {_FUSE}
+        SELECT pool AS collection, chunk_id, round(sum(part), 9) AS score FROM r GROUP BY 1, 2 ORDER BY sum(part) DESC, chunk_id LIMIT 10""",
+)
 def vocabulary_search(spark, d):
-    return orchestration.vocabulary_search(_chunks(spark, d), "fool", [["fool", "idiot", "moron"]]).withColumn("score", F.round("score", 9))
+    found = orchestration.vocabulary_search(document_index(spark, d), "fool", [["fool", "idiot", "moron"]], query_vector=_query_vector(spark, d))
+    return found.withColumn("score", F.round("score", 9))
 
 
-@query("governed_query")
+@query(
+    "governed_query",
+    f"""{_RULING.replace("WITH ", "WITH RECURSIVE ", 1)}, {_retrieve_sql(100)},
+        docs AS (SELECT * FROM documents WHERE doc_id % 3 <= 1),
+        hit AS (SELECT chunk_id, CAST(ceil(strlen(text) / 4.0) AS BIGINT) AS cost, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM best JOIN docs ON 'd' || CAST(doc_id AS VARCHAR) = chunk_id
+            WHERE 'doc' || CAST(doc_id AS VARCHAR) IN (SELECT document_id FROM ruling WHERE verdict = 'governs')),
+        go AS (SELECT CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS used, false AS taken UNION ALL
+            SELECT h.rank, CASE WHEN used + cost <= 4000 THEN used + cost ELSE used END, used + cost <= 4000 FROM go JOIN hit h ON h.rank = go.k + 1 AND h.rank <= 10)
+        SELECT chunk_id, rank, cost FROM hit JOIN go ON go.k = hit.rank AND go.taken""",
+)
 def governed_query(spark, d):
+    """Publications of customers' documents govern the documents of the same number."""
+    docs = table(spark, d, "documents").select(
+        F.col("lang").alias("collection"), F.concat(F.lit("d"), F.col("doc_id")).alias("chunk_id"), F.concat(F.lit("doc"), F.col("doc_id")).alias("document_id"),
+        (F.col("doc_id") % 3).alias("level"), F.expr("cast(array() as array<string>)").alias("compartments"),
+    )
     return orchestration.governed_query(
-        _chunks(spark, d), derived(spark, d, "publications"), derived(spark, d, "relations"), Principal(1), "2001-01-01", "idiot clown", 4000
+        document_index(spark, d), docs, derived(spark, d, "publications"), derived(spark, d, "relations"), Principal(1), _DAY, "idiot de la", 4000, _SPEC, _query_vector(spark, d)
     )
 
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corvane.functions import text as tx
-from corvane.functions.vectors import cosine_distance, embed, nearest
+from corvane.functions.vectors import cosine_distance, embed, nearest_of
 from corvane.operators import corpus, fusion, retrieval
 from corvane.operators.retrieval import Demotion, RetrievalSpec
-from corvane.plans.inputs import ctes, derived, table
+from corvane.plans.inputs import ctes, derived, document_index, table
 from corvane.plans.registry import query
 
 #: The word rule as DuckDB SQL.
@@ -26,37 +26,65 @@ def _chunks(spark, d):
 TERMS = ["idiot", "zu", "menttre", "handea"]
 
 
-def _bm25_sql(terms: list[str], least: int) -> str:
+def _parts_sql(terms: list[str]) -> str:
+    """``parts``: what each term adds to the score of each chunk (``p0``, ``p1``, …), and whether it has it (``m0``, …)."""
     tf = ", ".join(f"len(list_filter(w, lambda x: x = '{t}')) AS tf{i}" for i, t in enumerate(terms))
     df = ", ".join(f"count(*) FILTER (tf{i} > 0) AS df{i}" for i in range(len(terms)))
-    score = " + ".join(
-        f"ln(1 + (n - df{i} + 0.5) / (df{i} + 0.5)) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for i in range(len(terms))
+    part = ", ".join(
+        f"ln(1 + (n - df{i} + 0.5) / (df{i} + 0.5)) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS p{i}, (tf{i} > 0)::INT AS m{i}" for i in range(len(terms))
     )
-    met = " + ".join(f"(tf{i} > 0)::INT" for i in range(len(terms)))
     return f"""c AS MATERIALIZED (SELECT lang AS collection, 'd' || CAST(doc_id AS VARCHAR) AS chunk_id, len(w) AS dl, {tf}
             FROM (SELECT *, {_tok()} AS w FROM documents)),
         st AS (SELECT count(*) AS n, avg(dl) AS avgdl, {df} FROM c),
-        scored AS (SELECT collection, chunk_id, {score} AS score FROM c, st WHERE {met} >= {least})"""
+        parts AS MATERIALIZED (SELECT collection, chunk_id, {part} FROM c, st)"""
+
+
+def _sum(letter: str, n: int) -> str:
+    return " + ".join(f"{letter}{i}" for i in range(n))
+
+
+def _bm25_sql(terms: list[str], least: int) -> str:
+    n = len(terms)
+    return f"{_parts_sql(terms)}, scored AS (SELECT collection, chunk_id, {_sum('p', n)} AS score FROM parts WHERE {_sum('m', n)} >= {least})"
 
 
 @query("bm25_topn", f"WITH {_bm25_sql(TERMS, 1)} SELECT collection, chunk_id, round(score, 6) AS score FROM scored ORDER BY scored.score DESC, chunk_id LIMIT 50")
 def bm25_topn(spark, d):
-    top = retrieval.top_leg(retrieval.bm25(_chunks(spark, d), TERMS), 50)
+    top = retrieval.top_leg(document_index(spark, d).bm25(TERMS), 50)
     return top.select("collection", "chunk_id", F.round("score", 6).alias("score"))
 
 
 @query("bm25_two_terms", f"WITH {_bm25_sql(['the', 'and', 'idiot'], 2)} SELECT collection, count(*) AS n, round(sum(score), 4) AS total FROM scored GROUP BY 1")
 def bm25_two_terms(spark, d):
+    scored = document_index(spark, d).bm25(["the", "and", "idiot"], least=2)
+    return scored.groupBy("collection").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("score"), 4).alias("total"))
+
+
+@query("bm25_unindexed", f"WITH {_bm25_sql(['the', 'and', 'idiot'], 2)} SELECT collection, count(*) AS n, round(sum(score), 4) AS total FROM scored GROUP BY 1")
+def bm25_unindexed(spark, d):
+    """The same without an index, by two passes over the texts."""
     scored = retrieval.bm25(_chunks(spark, d), ["the", "and", "idiot"], 2)
     return scored.groupBy("collection").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("score"), 4).alias("total"))
 
 
-_VEC = """SELECT q.vec_id AS query_id, e.vec_id AS id, list_cosine_distance(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS dist
-    FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0"""
+@query(
+    "index_contents",
+    f"""WITH t AS (SELECT lang AS collection, doc_id, {_tok()} AS w FROM documents), p AS (SELECT collection, doc_id, unnest(w) AS lexeme FROM t),
+        a AS (SELECT collection, count(*) AS n_chunks, CAST(sum(len(w)) AS BIGINT) AS words FROM t GROUP BY 1),
+        b AS (SELECT collection, count(DISTINCT lexeme) AS lexemes, count(DISTINCT lexeme || ' ' || CAST(doc_id AS VARCHAR)) AS postings, count(*) AS tokens FROM p GROUP BY 1),
+        v AS (SELECT lang AS collection, count(*) AS vectors FROM documents JOIN embeddings ON doc_id = vec_id GROUP BY 1)
+        SELECT collection, n_chunks, words, lexemes, postings, tokens, coalesce(vectors, 0) AS vectors FROM a JOIN b USING (collection) LEFT JOIN v USING (collection)""",
+)
+def index_contents(spark, d):
+    index = document_index(spark, d)
+    postings = index.part("postings").groupBy("collection").agg(F.count(F.lit(1)).alias("postings"), F.sum("tf").alias("tokens"))
+    terms = index.part("terms").groupBy("collection").agg(F.count(F.lit(1)).alias("lexemes"))
+    vectors = index.chunks().groupBy("collection").agg(F.count("embedding").alias("vectors"))
+    return index.part("stats").join(postings, "collection").join(terms, "collection").join(vectors, "collection")
 
 
-def _query_vectors(spark, d):
-    return [(r.vec_id, r.embedding) for r in table(spark, d, "embeddings").where("vec_id % 100 = 0").select("vec_id", "embedding").collect()]
+_VEC = """SELECT q.vec_id AS query_id, e.vec_id AS id, list_cosine_distance(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS dist
+    FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0"""
 
 
 @query(
@@ -65,7 +93,8 @@ def _query_vectors(spark, d):
         WHERE rank <= 10""",
 )
 def vector_topk(spark, d):
-    return nearest(table(spark, d, "embeddings"), _query_vectors(spark, d), 10).withColumn("distance", F.abs(F.round("distance", 6)))
+    asked = table(spark, d, "embeddings").where("vec_id % 100 = 0").select("vec_id", "embedding")
+    return nearest_of(table(spark, d, "embeddings"), asked, 10).withColumn("distance", F.abs(F.round("distance", 6)))
 
 
 @query(
@@ -79,63 +108,66 @@ def cosine_pairs(spark, d):
     return e.join(b, "vec_id").select(F.col("vec_id").alias("a"), "b", F.round(cosine_distance(F.col("embedding"), F.col("eb")), 6).alias("distance"))
 
 
-_LEGS = f"""WITH {_bm25_sql(["the", "and", "idiot"], 1)},
-    lex AS (SELECT chunk_id, row_number() OVER (ORDER BY score DESC, chunk_id) AS lexical_rank FROM (SELECT * FROM scored ORDER BY score DESC, chunk_id LIMIT 50)),
-    v AS (SELECT 'd' || CAST(id AS VARCHAR) AS chunk_id, id, dist FROM ({_VEC}) WHERE query_id = 0),
-    vec AS (SELECT chunk_id, row_number() OVER (ORDER BY dist, chunk_id) AS vector_rank FROM (SELECT * FROM v ORDER BY dist, id LIMIT 50)),
+_QUERY, _EXPANSIONS = "handea of the fool menttre", [(["the fool"], ["idiot"])]
+_NEAR = f"""near AS MATERIALIZED (SELECT lang AS collection, 'd' || CAST(id AS VARCHAR) AS chunk_id, dist AS score FROM ({_VEC}) JOIN documents ON doc_id = id WHERE query_id = 0)"""
+
+
+def _legs_sql(lexical: str, near: str) -> str:
+    return f"""lex AS (SELECT chunk_id, row_number() OVER (ORDER BY score DESC, chunk_id) AS lexical_rank FROM ({lexical}) ORDER BY 2 LIMIT 50),
+    vec AS (SELECT chunk_id, row_number() OVER (ORDER BY score, chunk_id) AS vector_rank FROM ({near}) ORDER BY 2 LIMIT 50),
     fused AS (SELECT chunk_id, lexical_rank, vector_rank, coalesce(1.0 / (60 + lexical_rank), 0) + coalesce(1.0 / (60 + vector_rank), 0) AS score
               FROM lex FULL OUTER JOIN vec USING (chunk_id))"""
 
 
-def _vectors(spark, d):
-    return table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_no"), F.concat(F.lit("d"), F.col("vec_id")).alias("chunk_id"), "embedding")
+_LEGS = f"""WITH {_bm25_sql(["handea", "fool", "menttre", "idiot"], 1)}, {_NEAR}, {_legs_sql("SELECT * FROM scored", "SELECT * FROM near")}"""
+_BEST = """SELECT lang AS collection, chunk_id, sha256(text) AS text_sha256, lexical_rank, vector_rank, round(score, 9) AS score
+        FROM (SELECT * FROM fused ORDER BY score DESC, chunk_id LIMIT 10) JOIN documents ON 'd' || CAST(doc_id AS VARCHAR) = chunk_id"""
 
 
 def _query_vector(spark, d):
-    return next(v for i, v in _query_vectors(spark, d) if i == 0)
+    return table(spark, d, "embeddings").where("vec_id = 0").select("embedding").first()[0]
 
 
 @query("rrf_fusion", f"{_LEGS} SELECT chunk_id, lexical_rank, vector_rank, round(score, 9) AS score FROM fused")
 def rrf_fusion(spark, d):
-    lexical = retrieval.top_leg(retrieval.bm25(_chunks(spark, d), ["the", "and", "idiot"]), 50)
-    near = nearest(_vectors(spark, d), [(0, _query_vector(spark, d))], 50, "chunk_no")
-    vector = retrieval.top_leg(near.select(F.concat(F.lit("d"), F.col("id")).alias("chunk_id"), F.col("distance").alias("score")), 50, descending=False)
+    index = document_index(spark, d)
+    lexical = retrieval.top_leg(index.bm25(["handea", "fool", "menttre", "idiot"]), 50)
+    vector = retrieval.top_leg(retrieval.vector_leg(index, _query_vector(spark, d)), 50, descending=False)
     return retrieval.rrf(lexical, vector).withColumn("score", F.round("score", 9))
 
 
-@query(
-    "hybrid_search",
-    f"""{_LEGS} SELECT lang AS collection, chunk_id, sha256(text) AS text_sha256, lexical_rank, vector_rank, round(score, 9) AS score
-        FROM (SELECT * FROM fused ORDER BY score DESC, chunk_id LIMIT 10) JOIN documents ON 'd' || CAST(doc_id AS VARCHAR) = chunk_id""",
-)
+@query("hybrid_search", f"{_LEGS} {_BEST}")
 def hybrid_search(spark, d):
-    """Flagship: both legs over documents, fused."""
-    spec = RetrievalSpec(query_expansions=[(["fool"], ["idiot"])])
-    chunks = _chunks(spark, d)
-    lexical = retrieval.top_leg(retrieval.bm25(chunks, ["the", "and", *retrieval.expand_query("the fool", spec.query_expansions)]), spec.candidate_n)
-    near = nearest(_vectors(spark, d), [(0, _query_vector(spark, d))], spec.candidate_n, "chunk_no")
-    vector = retrieval.top_leg(
-        near.select(F.concat(F.lit("d"), F.col("id")).alias("chunk_id"), F.col("distance").alias("score")), spec.candidate_n, descending=False
-    )
-    best = retrieval.final_top(retrieval.rrf(lexical, vector, spec.rrf_k), spec.top_k)
-    return (
-        chunks.select("collection", "chunk_id", F.sha2("text", 256).alias("text_sha256"))
-        .join(F.broadcast(best), "chunk_id")
-        .withColumn("score", F.round("score", 9))
-    )
+    """Flagship: both legs over the stored index, fused."""
+    spec = RetrievalSpec(query_expansions=_EXPANSIONS)
+    return retrieval.hybrid_search(document_index(spark, d), _QUERY, spec, _query_vector(spark, d)).withColumn("score", F.round("score", 9))
+
 
+_RULES = [Demotion("license", 0.5, 0.2, "phrase"), Demotion("$$$", 0.1, 0.5, except_collections=["de"])]
+_FACTORS = f"""fac AS MATERIALIZED (SELECT 'd' || CAST(doc_id AS VARCHAR) AS chunk_id,
+        least(CASE WHEN contains(lower(text), '$$$') AND lang <> 'de' THEN 0.1 ELSE 1.0 END, CASE WHEN contains(' ' || array_to_string(w, ' ') || ' ', ' license ') THEN 0.5 ELSE 1.0 END)::DOUBLE AS mul,
+        greatest(CASE WHEN contains(lower(text), '$$$') AND lang <> 'de' THEN 0.5 ELSE 0.0 END, CASE WHEN contains(' ' || array_to_string(w, ' ') || ' ', ' license ') THEN 0.2 ELSE 0.0 END)::DOUBLE AS pen
+        FROM (SELECT *, {_tok()} AS w FROM documents))"""
 
-@query("hybrid_search_demoted")
+
+@query(
+    "hybrid_search_demoted",
+    f"""WITH {_bm25_sql(["idiot", "clown", "trash"], 1)}, {_NEAR}, {_FACTORS},
+        {_legs_sql("SELECT collection, chunk_id, score * mul AS score FROM scored JOIN fac USING (chunk_id)",
+                   "SELECT chunk_id, score + pen AS score FROM (SELECT * FROM near ORDER BY score, chunk_id LIMIT 200) JOIN fac USING (chunk_id)")} {_BEST}""",
+)
 def hybrid_search_demoted(spark, d):
-    """The whole operator with demotions: checked against its parts in the tests."""
-    spec = RetrievalSpec(content_demotions=[Demotion("license", 0.5, 0.2, "phrase"), Demotion("$$$", 0.1, 0.5, except_collections=["de"])], minimum_should_match=1)
-    return retrieval.hybrid_search(_chunks(spark, d), _vectors(spark, d), "Idiot clown of trash", _query_vector(spark, d), spec)
+    spec = RetrievalSpec(content_demotions=_RULES)
+    found = retrieval.hybrid_search(document_index(spark, d), "Idiot clown of trash", spec, _query_vector(spark, d))
+    return found.withColumn("score", F.round("score", 9))
 
 
 _FUSED = """{ctes}, r AS (
-    SELECT pool, chunk_id, (CASE WHEN is_probe THEN 0.25 ELSE 1.0 END) * 1.0 / (60 + row_number() OVER (PARTITION BY is_probe ORDER BY score DESC, chunk_id)) AS part FROM lex
+    SELECT pool, chunk_id, (CASE WHEN is_probe THEN 0.25 ELSE 1.0 END) * 1.0 / (60 + row_number() OVER (PARTITION BY is_probe ORDER BY score DESC, chunk_id)) AS part
+    FROM (SELECT *, row_number() OVER (PARTITION BY pool, is_probe ORDER BY score DESC, chunk_id) AS n FROM lex) WHERE n <= 100
     UNION ALL
-    SELECT pool, chunk_id, (CASE WHEN is_probe THEN 0.25 ELSE 1.0 END) * 2.0 / (60 + row_number() OVER (PARTITION BY is_probe ORDER BY score, chunk_id)) FROM vec),
+    SELECT pool, chunk_id, (CASE WHEN is_probe THEN 0.25 ELSE 1.0 END) * 2.0 / (60 + row_number() OVER (PARTITION BY is_probe ORDER BY score, chunk_id))
+    FROM (SELECT *, row_number() OVER (PARTITION BY pool, is_probe ORDER BY score, chunk_id) AS n FROM vec) WHERE n <= 100),
     ev AS (SELECT pool, row_number() OVER (ORDER BY pool) AS rk FROM (SELECT DISTINCT pool FROM lex))
     SELECT pool, chunk_id, round(sum(part) + coalesce(0.5 / (60 + any_value(rk)), 0), 9) AS score FROM r LEFT JOIN ev USING (pool) GROUP BY 1, 2"""
 
@@ -147,7 +179,7 @@ def fuse_pools_weighted(spark, d):
     evidence = evidence.join(
         evidence.select(F.col("pool").alias("other")), F.col("other") <= F.col("pool")
     ).groupBy("pool").agg(F.count(F.lit(1)).alias("rank"))
-    return fusion.fuse_pools(lex, vec, 60, 1.0, 2.0, evidence, 0.5, 0.25).withColumn("score", F.round("score", 9))
+    return fusion.fuse_pools(lex, vec, 60, 1.0, 2.0, evidence, 0.5, 0.25, depth=100).withColumn("score", F.round("score", 9))
 
 
 @query(
@@ -224,9 +256,17 @@ def shadow_identity(spark, d):
     return fusion.shadow_identity(a, b)
 
 
-@query("budget_pack")
+@query(
+    "budget_pack",
+    """WITH RECURSIVE p AS (SELECT conv_id AS request, 't' || CAST(turn AS VARCHAR) AS chunk_id, length(text) AS cost,
+            row_number() OVER (PARTITION BY conv_id ORDER BY turn, 't' || CAST(turn AS VARCHAR), length(text)) AS k FROM conversations),
+        r AS (SELECT DISTINCT request, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS used, '' AS taken FROM p
+              UNION ALL SELECT r.request, p.k, CASE WHEN used + cost <= 800 THEN used + cost ELSE used END,
+                  CASE WHEN used + cost > 800 THEN taken WHEN taken = '' THEN chunk_id ELSE taken || ',' || chunk_id END FROM r JOIN p ON p.request = r.request AND p.k = r.k + 1)
+        SELECT request, used, taken FROM r WHERE k = (SELECT max(k) FROM p WHERE p.request = r.request)""",
+)
 def budget_pack(spark, d):
-    """Greedy with skips, per conversation; checked against a loop in the tests."""
+    """Greedy with skips, per conversation."""
     p = table(spark, d, "conversations").select(
         F.col("conv_id").alias("request"), F.col("turn").alias("rank"), F.concat(F.lit("t"), F.col("turn")).alias("chunk_id"), F.length("text").cast("long").alias("cost")
     )
@@ -242,15 +282,9 @@ def passage_dedup(spark, d):
     return fusion.drop_repeats(p).drop("text")
 
 
-@query(
-    "demotion_factors",
-    r"""SELECT doc_id, CAST(least(CASE WHEN contains(lower(text), '$$$') AND lang <> 'de' THEN 0.1 ELSE 1.0 END, CASE WHEN contains(' ' || array_to_string(w, ' ') || ' ', ' license ') THEN 0.5 ELSE 1.0 END) AS DOUBLE) AS multiplier,
-        CAST(greatest(CASE WHEN contains(lower(text), '$$$') AND lang <> 'de' THEN 0.5 ELSE 0.0 END, CASE WHEN contains(' ' || array_to_string(w, ' ') || ' ', ' license ') THEN 0.2 ELSE 0.0 END) AS DOUBLE) AS penalty
-        FROM (SELECT *, """ + _tok() + " AS w FROM documents)",
-)
+@query("demotion_factors", f"WITH {_FACTORS} SELECT CAST(substr(chunk_id, 2) AS BIGINT) AS doc_id, mul AS multiplier, pen AS penalty FROM fac")
 def demotion_factors(spark, d):
-    rules = [Demotion("license", 0.5, 0.2, "phrase"), Demotion("$$$", 0.1, 0.5, except_collections=["de"])]
-    m, p = retrieval.demotion_factors(rules, F.col("text"), F.col("lang"))
+    m, p = retrieval.demotion_factors(_RULES, F.col("text"), F.col("lang"))
     return table(spark, d, "documents").select("doc_id", m.alias("multiplier"), p.alias("penalty"))
 
 

@@ -1,8 +1,15 @@
+import math
+from dataclasses import replace
+
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corvane.functions.analyzer import analyze, stem, tokens
 from corvane.functions.canonical import canonical_json
+from corvane.functions.vectors import blend, local_embed, nearest, nearest_of
 from corvane.operators import fusion, orchestration, retrieval
+from corvane.operators.index import build_collection_index, open_index, write_search_index
 from corvane.operators.retrieval import RetrievalSpec
 
 
@@ -63,36 +70,107 @@ def test_bootstrap_and_lint():
     assert orchestration.runbook_problems(bad) == ["step.unknown:dance", "cutover.unverified", "retrieval.minimum-should-match", "retrieval.empty-expansion"]
 
 
-def test_retrieval_over_collections_is_its_parts(spark):
-    texts = [("a", "a1", "red fox"), ("a", "a2", "red car red"), ("b", "b1", "red sea"), ("c", "c1", "nothing")]
-    from pyspark.sql import functions as F
-
-    from corvane.functions.vectors import embed
-
-    chunks = spark.createDataFrame(texts, "collection string, chunk_id string, text string").withColumn("embedding", embed(F.col("text")))
+CHUNKS = "collection string, chunk_id string, text string"
+
+
+def indexed(spark, tmp_path, texts):
+    return write_search_index(spark.createDataFrame(texts, CHUNKS), str(tmp_path / "index"), buckets=4, splits=2)
+
+
+def test_index_scores_like_a_scan(spark, tmp_path):
+    texts = [("a", "a1", "red fox jumps"), ("a", "a2", "Red red car"), ("b", "b1", "blue sky over the red sea and sea"), ("b", "b2", ""), ("b", "b3", None)]
+    index = indexed(spark, tmp_path, texts)
+    plain = spark.createDataFrame([t for t in texts if t[2] is not None], CHUNKS)
+    scan = {r.chunk_id: r.score for r in retrieval.bm25(plain.unionByName(plain.limit(0)), ["red", "sea"]).collect()}
+    n, avgdl = index.size()
+    assert (n, round(avgdl * n)) == (5, 14) and index.frequency(["red", "sea", "none"]) == {"red": 3, "sea": 1}
+    assert index.common(["red", "sea"], 0.5) == ["red"] and index.common(["red"], 0.5, ["a"]) == ["red"]
+    got = {r.chunk_id: r.score for r in index.bm25(["red", "sea"]).collect()}
+    assert got.keys() == scan.keys() == {"a1", "a2", "b1"} and max(got, key=got.get) == max(scan, key=scan.get)
+    assert [r.chunk_id for r in index.bm25(["red", "sea"], least=2).collect()] == ["b1"]
+    assert {r.chunk_id for r in index.bm25(["red", "sea"], collections=["a"]).collect()} == {"a1", "a2"}
+    assert index.bm25(["none"]).count() == index.bm25([]).count() == 0
+    mixed = {w: {r.chunk_id: r.score for r in index.bm25(["red"], ["sea"], w).collect()} for w in (0.0, 0.25, 1.0)}
+    own, whole = mixed[0.0]["b1"], mixed[1.0]["b1"]
+    assert own < mixed[0.25]["b1"] < whole and math.isclose(mixed[0.25]["b1"], 0.75 * own + 0.25 * whole) and math.isclose(whole, got["b1"])
+    # what is common may count without being asked for
+    assert {r.chunk_id for r in index.bm25(["red", "sea"], candidates=["sea"], least=2).collect()} == {"b1"}
+
+
+def test_index_is_replaced_and_reopened(spark, tmp_path):
+    indexed(spark, tmp_path, [("a", "a1", "red")])
+    again = indexed(spark, tmp_path, [("a", "a2", "blue"), ("a", "a3", "blue")])
+    assert {r.chunk_id for r in again.bm25(["blue"]).collect()} == {"a2", "a3"} and again.bm25(["red"]).count() == 0
+    assert open_index(spark, str(tmp_path / "index")).size() == (2, 1.0) and open_index(spark, str(tmp_path / "none")) is None
+    sources = spark.createDataFrame([("c", "s1", "h1", "one two\n\nthree"), ("c", "s2", "h2", None)], "collection string, source_id string, content_hash string, text string")
+    version, first = build_collection_index(sources, str(tmp_path / "built"), "doc@1", "para@2", "hash@1", "text@1", max_bytes=8)
+    assert version.startswith("idx-") and sorted(r.chunk_id for r in first.chunks().collect()) == ["s1#0", "s1#1"]
+    same, _ = build_collection_index(sources.repartition(2), str(tmp_path / "built"), "doc@1", "para@2", "hash@1", "text@1", max_bytes=8)
+    other, _ = build_collection_index(sources.withColumn("content_hash", F.lit("x")), str(tmp_path / "built"), "doc@1", "para@2", "hash@1", "text@1")
+    assert same == version != other
+
+
+def test_retrieval_over_collections_is_its_parts(spark, tmp_path):
+    index = indexed(spark, tmp_path, [("a", "a1", "red fox"), ("a", "a2", "red car red"), ("b", "b1", "red sea"), ("c", "c1", "nothing")])
     spec = RetrievalSpec(max_collections=1, unselected_pool_weight=0.5, top_k=10)
-    got = {r.chunk_id: round(r.score, 9) for r in orchestration.retrieve_documents(chunks, "red fox", spec).collect()}
-    lex = retrieval.bm25(chunks, ["red", "fox"]).withColumnRenamed("collection", "pool").withColumn("is_probe", F.col("pool") != "a")
-    vec = orchestration.vector_leg(chunks, __import__("corvane.functions.vectors", fromlist=["local_embed"]).local_embed("red fox"))
-    vec = vec.withColumnRenamed("collection", "pool").withColumn("is_probe", F.col("pool") != "a")
+    got = {r.chunk_id: round(r.score, 9) for r in orchestration.retrieve_documents(index, "red fox", spec).collect()}
+    lex = index.bm25(["red", "fox"]).withColumnRenamed("collection", "pool").withColumn("is_probe", F.col("pool") != "a")
+    vec = retrieval.vector_leg(index, local_embed("red fox")).withColumnRenamed("collection", "pool").withColumn("is_probe", F.col("pool") != "a")
     want = {r.chunk_id: round(r.score, 9) for r in fusion.fuse_pools(lex, vec, unselected_weight=0.5).collect()}
     assert got == want and max(got, key=got.get) == "a1"
+    assert {r.collection for r in orchestration.retrieve_documents(index, "red fox", spec, ["b", "c"]).collect()} == {"b", "c"}
+    every = replace(spec, max_collections=0)
+    assert len(orchestration.retrieve_documents(index, "red fox", every).collect()) == 4
 
 
-def test_searches_use_more_of_the_spec(spark):
-    from pyspark.sql import functions as F
+def test_phrases_choose_the_collection(spark, tmp_path):
+    texts = [("a", f"a{i}", "washington washington george tour tour") for i in range(4)] + [("b", f"b{i}", "george washington") for i in range(4)]
+    index = indexed(spark, tmp_path, texts)
+    spec = RetrievalSpec(max_collections=1, vector_weight=0.0, unselected_pool_weight=0.0, top_k=1)
+    chosen = lambda boost: orchestration.retrieve_documents(index, "tour of george washington", replace(spec, phrase_boost=boost)).first().collection
+    assert (chosen(0.0), chosen(9.0)) == ("a", "b")
+    both = orchestration._pools(index, retrieval.prepare(index, "george washington", spec), spec, 10, None)
+    share = {r.pool: r.phrase_fraction for r in orchestration.phrase_fraction(index, *both, "george washington", 10).collect()}
+    assert share == {"a": 0.0, "b": 1.0}
 
-    from corvane.functions.vectors import embed
 
+def test_searches_use_all_of_the_spec(spark, tmp_path):
     texts = [("a", "a1", "patent us4436097 of a pump"), ("a", "a2", "a pump in the patent"), ("b", "b1", "license pump and valve"), ("b", "b2", "pump")]
-    chunks = spark.createDataFrame(texts, "collection string, chunk_id string, text string").withColumn("embedding", embed(F.col("text")))
-    assert retrieval.search_terms(chunks, "pump 4,436,097", RetrievalSpec()) == ["pump", "4", "436", "097", "us4436097"]
-    assert retrieval.search_terms(chunks, "pump patent valve", RetrievalSpec(stop_term_fraction=0.5)) == ["patent", "valve"]
+    index = indexed(spark, tmp_path, texts)
+    asked = retrieval.prepare(index, "pump 4,436,097", RetrievalSpec())
+    assert asked.original == ["pump", "4", "436", "097", "us4436097"] and asked.candidates == asked.original
+    assert retrieval.prepare(index, "pump patent valve", RetrievalSpec(stop_term_fraction=0.5)).candidates == ["patent", "valve"]
+    assert retrieval.prepare(index, "pump", RetrievalSpec(stop_term_fraction=0.5)).candidates == ["pump"]  # nothing else is left
+    widened = RetrievalSpec(query_expansions=[(["valve"], ["Pump", "tap"])], query_expansion_weight=0.5)
+    asked = retrieval.prepare(index, "valve", widened)
+    assert (asked.original, asked.expanded) == (["valve"], ["pump", "tap"])
+    assert np.allclose(asked.vector, blend(local_embed("valve"), local_embed("valve pump tap"), 0.5))
+    assert np.allclose(retrieval.prepare(index, "valve", replace(widened, query_expansion_weight=0.0)).vector, local_embed("valve"))
     lexical_only = RetrievalSpec(vector_weight=0.0)
-    assert orchestration.retrieve_documents(chunks, "4,436,097", lexical_only).first().chunk_id == "a1"
-    near = lambda rules: {r.chunk_id: r.score for r in orchestration.vector_leg(chunks, [1.0] * 256, rules).collect()}
-    plain, demoted = near([]), near([retrieval.Demotion("license", 1.0, 0.25)])
+    assert orchestration.retrieve_documents(index, "4,436,097", lexical_only).first().chunk_id == "a1"
+    rules = RetrievalSpec(content_demotions=[retrieval.Demotion("license", 0.5, 0.25)])
+    score = lambda leg: {r.chunk_id: r.score for r in leg.collect()}
+    plain = score(retrieval.vector_leg(index, [1.0] * 256))
+    demoted = score(retrieval.penalised(index, retrieval.vector_leg(index, [1.0] * 256), rules))
     assert {k: round(demoted[k] - plain[k], 9) for k in plain} == {"a1": 0, "a2": 0, "b1": 0.25, "b2": 0}
+    asked = retrieval.prepare(index, "pump", rules)
+    plain, demoted = score(retrieval.lexical_leg(index, asked, RetrievalSpec())), score(retrieval.lexical_leg(index, asked, rules))
+    assert {k: round(demoted[k] / plain[k], 9) for k in plain} == {"a1": 1, "a2": 1, "b1": 0.5, "b2": 1}
+
+
+def test_vocabulary_search_leaves_the_spec_alone(spark, tmp_path):
+    index = indexed(spark, tmp_path, [("a", "a1", "a moron"), ("a", "a2", "wise")])
+    spec = RetrievalSpec(vector_weight=0.0)
+    assert orchestration.vocabulary_search(index, "fool", [["fool", "moron"]], spec).first().chunk_id == "a1"
+    assert spec.query_expansions == ()
+
+
+def test_queries_in_blocks_are_the_same(spark):
+    rows = [(i, [float((i * 7) % 5 - 2), float((i * 3) % 7 - 3), 1.0]) for i in range(60)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    want = sorted(nearest(v, rows[:7], 3).collect())
+    assert sorted(nearest_of(v, v.where("vec_id < 7"), 3, block=2).collect()) == want
+    assert nearest_of(v, v.where("vec_id < 0"), 3).count() == 0
 
 
 def test_bindings_move_only_from_what_was_expected(spark):
