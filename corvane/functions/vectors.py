@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -94,23 +94,22 @@ def nearest(
     return near.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
 
 
-def nearest_of(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 4096) -> DataFrame:
-    """:func:`nearest` for queries that are rows themselves (``query_id`` and a vector), in blocks of bounded size.
+def in_blocks(search: Callable[[list[tuple[int, Sequence[float]]]], DataFrame], queries: DataFrame, block: int = 4096) -> DataFrame:
+    """What ``search`` finds for queries that are rows themselves (id and vector), in blocks of bounded size.
 
-    Each block is a pass over the vectors; the driver holds one block at a time besides the plan.
+    Each block is a pass of its own; the driver holds one block at a time besides the plan.
     """
     found, held = None, []
-
-    def add() -> None:
-        nonlocal found
-        near = nearest(vectors, held, k, id_col, vector_col)
-        found = near if found is None else found.unionByName(near)
-
     for q in queries.toLocalIterator():
         held.append((q[0], q[1]))
         if len(held) == block:
-            add()
+            found = search(held) if found is None else found.unionByName(search(held))
             held = []
     if held or found is None:
-        add()
+        found = search(held) if found is None else found.unionByName(search(held))
     return found
+
+
+def nearest_of(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 4096) -> DataFrame:
+    """:func:`nearest` for queries that are rows themselves, in blocks."""
+    return in_blocks(lambda some: nearest(vectors, some, k, id_col, vector_col), queries, block)

@@ -193,6 +193,12 @@ def upsert_sources(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return every.groupBy("path").agg(F.max_by(F.struct(*names), "v").alias("x")).select("path", "x.*")
 
 
+def verified(incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sources (with ``content`` in bytes and ``declared_sha256``) whose bytes are what was declared, and the others, which are refused."""
+    same = F.coalesce(F.sha2("content", 256) == F.lower("declared_sha256"), F.lit(False))
+    return incoming.where(same), incoming.where(~same)
+
+
 def bind_sources(bound: DataFrame, matched: DataFrame) -> DataFrame:
     """Pairs of collection and source that are new."""
     return matched.select("collection", "source_id").distinct().join(bound, ["collection", "source_id"], "left_anti")

@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 import pandas as pd
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -226,6 +226,19 @@ def seal(df: DataFrame, manifest: Manifest, path: str) -> Manifest:
     return manifest
 
 
+def hydrate(spark: SparkSession, manifest: Manifest, path: str) -> DataFrame:
+    """A sealed table, read with its manifest's schema and checked against its hash.
+
+    One that isn't what its manifest says is moved to ``path`` + '.quarantine' and refused, so that it is never read by mistake.
+    """
+    rows = spark.read.schema(manifest.schema()).parquet(f"{path}/data")
+    if logical_hash(rows, manifest) != (manifest.row_count, manifest.logical_hash):
+        there = spark._jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(spark._jsc.hadoopConfiguration()).rename(there, spark._jvm.org.apache.hadoop.fs.Path(f"{path}.quarantine"))
+        raise ValueError("the table isn't what its manifest says; it is in quarantine")
+    return rows
+
+
 def rows_page(df: DataFrame, manifest: Manifest, principal: Principal, order: Sequence[str], start: int, limit: int = 100) -> DataFrame:
     """Rows ``start`` to ``start + limit`` in the declared order, each with the total and whether more follow.
 

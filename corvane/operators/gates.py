@@ -7,13 +7,13 @@ one writer proposes; the accepted facts may be many, so every gate is an equi-jo
 from __future__ import annotations
 
 import difflib
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.functions.text import claim_key, count_pattern, fold, meta_markers
+from corvane.functions.text import claim_key, count_pattern, meta_markers, value_equality
 from corvane.operators.ledger import latest_per_key
 
 SEVERITY = {"info": 0, "warn": 1, "block": 2}
@@ -67,13 +67,22 @@ def _accepted(candidates: DataFrame, facts: DataFrame) -> DataFrame:
     return candidates.join(latest, "claim_key", "left")
 
 
-def _against_anchor() -> Column:
-    return F.coalesce(fold(F.col("value")) != fold(F.col("locked_value")), F.lit(False))
+def _differs(a: str, b: str, policies: Mapping[str, str]) -> Column:
+    """Whether two values differ by the policy bound to their key; the legacy one where none is bound."""
+    out = ~value_equality("legacy-text-v1")(F.col(a), F.col(b))
+    for policy in sorted(set(policies.values())):
+        bound = F.col("claim_key").isin([k for k, p in policies.items() if p == policy])
+        out = F.when(bound, ~value_equality(policy)(F.col(a), F.col(b))).otherwise(out)
+    return out
+
+
+def _against_anchor(policies: Mapping[str, str] = {}) -> Column:  # noqa: B006
+    return F.col("locked_value").isNotNull() & _differs("value", "locked_value", policies)
 
 
-def _against_ledger() -> Column:
+def _against_ledger(policies: Mapping[str, str] = {}) -> Column:  # noqa: B006
     new = (F.col("claim_type") != "correction") & F.col("supersedes_id").isNull()
-    return F.coalesce(new & (fold(F.col("value")) != fold(F.col("canon_value"))), F.lit(False))
+    return F.coalesce(new & F.col("canon_value").isNotNull() & _differs("value", "canon_value", policies), F.lit(False))
 
 
 def _anchor_finding() -> list[Column]:
@@ -89,17 +98,28 @@ def _ledger_finding() -> list[Column]:
     return _finding(RULE_LEDGER, "block", message, key, about)
 
 
-def anchor_gate(candidates: DataFrame, anchors: DataFrame) -> DataFrame:
-    """A candidate with another value than a locked anchor of its key is blocked."""
-    return _locked(keyed(candidates), anchors).where(_against_anchor()).select(_anchor_finding())
+def anchor_gate(candidates: DataFrame, anchors: DataFrame, policies: Mapping[str, str] = {}) -> DataFrame:  # noqa: B006
+    """A candidate with another value than a locked anchor of its key is blocked. ``policies``: claim key to comparison policy."""
+    return _locked(keyed(candidates), anchors).where(_against_anchor(policies)).select(_anchor_finding())
 
 
-def ledger_gate(candidates: DataFrame, facts: DataFrame) -> DataFrame:
+def ledger_gate(candidates: DataFrame, facts: DataFrame, policies: Mapping[str, str] = {}) -> DataFrame:  # noqa: B006
     """A new fact with another value than the latest accepted one is blocked.
 
     Corrections, and candidates that name what they supersede, are exempt.
     """
-    return _accepted(keyed(candidates), facts).where(_against_ledger()).select(_ledger_finding())
+    return _accepted(keyed(candidates), facts).where(_against_ledger(policies)).select(_ledger_finding())
+
+
+def assess_transition(facts: DataFrame, anchors: DataFrame, policies: Mapping[str, str]) -> DataFrame:
+    """``claim_id`` and a finding for each fact that conflicts under other comparison policies: with its anchor, or with
+    the latest other fact of its key. Facts without findings have none; their status stays what it was."""
+    by = Window.partitionBy("claim_key").orderBy(F.col("seq").desc(), F.col("id").desc())
+    peer = lambda c: F.when(F.row_number().over(by) == 1, F.lead(c).over(by)).otherwise(F.first(c).over(by))
+    rows = keyed(facts).withColumn("canon_value", peer("value")).withColumn("canon_claim_id", peer("id")).withColumn("canon_seq", peer("seq"))
+    looked = _locked(rows, anchors).withColumn("cid", F.col("id")).withColumn("claim_type", F.lit("fact")).withColumn("supersedes_id", F.lit(None).cast("string"))
+    found = looked.where(_against_anchor(policies)).select(_anchor_finding()).unionByName(looked.where(_against_ledger(policies)).select(_ledger_finding()))
+    return found.withColumnRenamed("cid", "claim_id")
 
 
 def orphan_gate(candidates: DataFrame, facts: DataFrame) -> DataFrame:
@@ -181,8 +201,9 @@ def counter_gate(candidates: DataFrame, patterns: Sequence[tuple[str, int]]) ->
 
 
 def run_gates(
-    candidates: DataFrame, facts: DataFrame, anchors: DataFrame, extended: bool = True, previous: DataFrame | None = None
-) -> DataFrame:
+    candidates: DataFrame, facts: DataFrame, anchors: DataFrame, extended: bool = True, previous: DataFrame | None = None,
+    policies: Mapping[str, str] = {},  # noqa: B006
+) -> DataFrame:
     """All five gates. A ledger finding goes where an anchor finding says the same of the same claim.
 
     ``previous`` are the texts before the candidates, as in ``repetition_gate``; without any, none can be repeated. Outside extended mode blocks are warnings.
@@ -192,14 +213,14 @@ def run_gates(
     looked = looked.join(_known(facts, "subject"), "subject", "left").join(_known(facts, "claim_key"), "claim_key", "left")
     names = ("cid", "rule_id", "severity", "message", "claim_key", "detail")
     of = lambda holds, finding: F.when(holds, F.struct(*(c.alias(n) for c, n in zip(finding, names, strict=True))))
-    by_anchor = _against_anchor()
+    by_anchor = _against_anchor(policies)
     # within a candidate an anchor finding stands for a ledger finding of the same key
     subsumed = F.max(by_anchor).over(Window.partitionBy("cid", "claim_key"))
     looked = looked.withColumn("__subsumed", subsumed)
     found = F.array_compact(
         F.array(
             of(by_anchor, _anchor_finding()),
-            of(_against_ledger() & ~F.col("__subsumed"), _ledger_finding()),
+            of(_against_ledger(policies) & ~F.col("__subsumed"), _ledger_finding()),
             of(_orphaned(), _orphan_finding()),
         )
     )

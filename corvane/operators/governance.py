@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.functions.text import value_equality
+from corvane.operators.ledger import HeadConflict
+
 #: Relations that need the document they point to, and those that amend it.
 NEEDS = ("requires", "amends", "applies-to", "exception-to")
 AMENDS = ("amends", "applies-to", "exception-to")
@@ -76,3 +83,54 @@ def amendment_review(selected: DataFrame, relations: DataFrame, day: str) -> Dat
     touching = relations.where(active(F.lit(day).cast("date")) & F.col("kind").isin(*AMENDS))
     either = touching.select(F.explode(F.array("from_document", "to_document")).alias("document_id")).distinct()
     return selected.join(either, "document_id", "left_semi")
+
+
+@dataclass
+class ComparisonProfile:
+    """How the values of named facts are compared: (subject, key) to a comparison policy."""
+
+    values: dict[tuple[str, str], str] = field(default_factory=dict)
+
+    def problems(self) -> list[str]:
+        out = [f"policy subject/key must be nonempty, unpadded and dot-free: {p!r}" for k in self.values for p in k if not p or p.strip() != p or "." in p]
+        for policy in self.values.values():
+            try:
+                value_equality(policy)
+            except ValueError as e:
+                out.append(str(e))
+        return out
+
+    def revision(self) -> str:
+        """Names what the profile says, in whatever order it was said."""
+        if wrong := self.problems():
+            raise ValueError("; ".join(wrong))
+        listed = [{"subject": s, "key": k, "comparison": p} for (s, k), p in sorted(self.values.items())]
+        text = json.dumps({"schema_version": 1, "values": listed}, ensure_ascii=False, separators=(",", ":"))
+        return f"governance-v1:{hashlib.sha256(text.encode()).hexdigest()}"
+
+    def policies(self) -> dict[str, str]:
+        """Claim key to policy, as the gates take them."""
+        return {f"{s}.{k}": p for (s, k), p in self.values.items()}
+
+
+def inherited_profile(
+    parent: ComparisonProfile | None, own: ComparisonProfile | None, head: int, from_revision: str | None = None, expected_head: int | None = None, reason: str = ""
+) -> tuple[ComparisonProfile, bool]:
+    """The profile of a child version, and whether it changes its parent's, so that the parent's facts need assessing.
+
+    Without one of its own a child has its parent's. A change must name the parent's revision and head as they are, and why.
+    """
+    old = parent or ComparisonProfile()
+    new = old if own is None else own
+    changed = new.revision() != old.revision()
+    stated = from_revision is not None or expected_head is not None
+    if stated and (parent is None or not changed):
+        raise ValueError("governance transition requires a changed child policy")
+    if changed and parent is not None:
+        if from_revision is None:
+            raise ValueError("policy change requires governance_transition")
+        if from_revision != old.revision() or not reason.strip():
+            raise ValueError("governance transition requires the current revision and a reason")
+        if expected_head != head:
+            raise HeadConflict(f"head is {head}, expected {expected_head}")
+    return new, changed

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -184,6 +185,10 @@ def chain_head(claims: DataFrame, anchors: DataFrame, promises: DataFrame, count
     return every.agg(F.coalesce(F.max("top"), F.lit(0)).alias("head"))
 
 
+class HeadConflict(ValueError):
+    """The ledger's head isn't where a writer expected it."""
+
+
 def append_claims(ledger_head: int, proposed: DataFrame, order: str, expected_head: int | None = None) -> DataFrame:
     """Positions for a batch of claims, after the head, in the order of a column.
 
@@ -191,10 +196,58 @@ def append_claims(ledger_head: int, proposed: DataFrame, order: str, expected_he
     writer proposes at once, so it is numbered in one window.
     """
     if expected_head is not None and expected_head != ledger_head:
-        raise ValueError(f"head is {ledger_head}, expected {expected_head}")
+        raise HeadConflict(f"head is {ledger_head}, expected {expected_head}")
     return proposed.withColumn("seq", F.row_number().over(Window.orderBy(order)) + F.lit(ledger_head).cast("long"))
 
 
+@dataclass
+class LedgerStore:
+    """A ledger in a folder, a folder for each batch of claims, named by its first position.
+
+    A folder that is there is never written again, so of two writers at one head the second fails.
+    """
+
+    spark: SparkSession
+    path: str
+    schema: str
+
+    def claims(self) -> DataFrame:
+        try:
+            return self.spark.read.schema(self.schema).parquet(f"{self.path}/from=*")
+        except AnalysisException:
+            return self.spark.createDataFrame([], self.schema)
+
+    def head(self) -> int:
+        return self.claims().agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+
+    def append(self, batch: DataFrame, at: int) -> None:
+        """Writes claims numbered from ``at`` + 1; refused if another writer did so before."""
+        try:
+            batch.write.mode("errorifexists").parquet(f"{self.path}/from={at + 1:020d}")
+        except AnalysisException as e:
+            raise HeadConflict(f"head is beyond {at}") from e
+
+
+def append_gated(
+    store: LedgerStore, proposed: DataFrame, gate: Callable[[DataFrame, DataFrame], DataFrame], order: str, expected_head: int | None = None, attempts: int = 3
+) -> int:
+    """Gates claims against the ledger at its head and appends them there; gives the head after.
+
+    ``gate`` takes the proposed claims and the facts, and gives the claims as they are to be stored. If the head moves meanwhile the claims are gated
+    anew, ``attempts`` times in all; a writer that expects a head isn't moved to another, but refused.
+    """
+    for attempt in range(1, attempts + 1):
+        head = store.head()
+        batch = append_claims(head, gate(proposed, slice_facts(store.claims())), order, expected_head)
+        try:
+            store.append(batch, head)
+            return store.head()
+        except HeadConflict:
+            if expected_head is not None or attempt == attempts:
+                raise
+    raise AssertionError("no attempts")
+
+
 @dataclass
 class Snapshot:
     """One pin over all stores."""

@@ -150,7 +150,7 @@ DERIVED = {
     "findings": """
         SELECT l_orderkey AS claim_no, CONCAT('rule_', l_returnflag, '.', CASE WHEN l_linenumber % 2 = 0 THEN 'x%y' ELSE 'x_y' END) AS rule_id,
                CASE l_linenumber % 3 WHEN 0 THEN 'info' WHEN 1 THEN 'warn' ELSE 'block' END AS severity,
-               CONCAT('msg ', CAST(l_partkey % 20 AS STRING)) AS message, CONCAT('s', CAST(l_suppkey % 10 AS STRING)) AS scope_path,
+               CONCAT('msg ', CAST(l_partkey AS STRING)) AS message, CONCAT('s', CAST(l_suppkey % 10 AS STRING)) AS scope_path,
                l_orderkey AS seq
         FROM lineitem""",
     "jobs": """

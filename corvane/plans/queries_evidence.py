@@ -372,6 +372,18 @@ def idempotency_conflicts(spark, d):
     return streams.conflicts(derived(spark, d, "interactions").select(F.col("uid").alias("idempotency_key"), F.md5("method").alias("body_hash")))
 
 
+@query(
+    "redacted_bodies",
+    """SELECT event_id, CASE WHEN length(c) > 40 THEN left(c, 40) || '… ' || CAST(length(c) AS VARCHAR) ELSE c END AS body FROM (SELECT event_id,
+        CASE WHEN event_id % 2 = 0 THEN '{"Token": "[redacted]", "props": ' || props || '}' ELSE '{"q": "' || event_type || '"}' END AS c FROM events)""",
+)
+def redacted_bodies(spark, d):
+    body = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('{"Token": "'), "event_type", F.lit('", "props": '), "props", F.lit("}"))).otherwise(
+        F.concat(F.lit('{"q": "'), "event_type", F.lit('"}'))
+    )
+    return table(spark, d, "events").select("event_id", verification.redacted(body, 40).alias("body"))
+
+
 @query("stream_reservations")
 def stream_reservations(spark, d):
     """Balances after each event of a keyed, stateful stream; compared with a plain loop in the tests."""

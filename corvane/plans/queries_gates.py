@@ -69,6 +69,27 @@ def gate_orphan(spark, d):
     return gates.orphan_gate(c, f)
 
 
+_EXACT = [f"cust-{i}.priority" for i in range(0, 400, 2)]
+
+
+@query(
+    "governance_transition",
+    f"""{_ALL}, exact AS (SELECT unnest([{", ".join(f"'{k}'" for k in _EXACT)}]) AS k),
+        f AS (SELECT *, subject || '.' || key AS ck, lower(value) AS said FROM facts),
+        n AS (SELECT *, row_number() OVER w AS r, lead(said) OVER w AS next_value, lead(id) OVER w AS next_id, first(said) OVER w AS top_value, first(id) OVER w AS top_id FROM f
+              WINDOW w AS (PARTITION BY ck ORDER BY seq DESC, id DESC)),
+        p AS (SELECT id AS claim_id, ck, said, CASE WHEN r = 1 THEN next_value ELSE top_value END AS other, CASE WHEN r = 1 THEN next_id ELSE top_id END AS other_id, ck IN (SELECT k FROM exact) AS ex FROM n)
+        SELECT claim_id, 'gate.anchor-consistency' AS rule_id, ck AS claim_key, anchor_id AS against FROM p JOIN locked ON detail_key = ck WHERE CASE WHEN ex THEN said <> locked_value ELSE said <> lower(locked_value) END
+        UNION ALL SELECT claim_id, 'gate.ledger-conflict', ck, other_id FROM p WHERE other IS NOT NULL AND said <> other""",
+)
+def governance_transition(spark, d):
+    """What conflicts when some facts are compared exactly; their values are lower-cased here, those of the anchors aren't."""
+    _, f, a = _inputs(spark, d)
+    found = gates.assess_transition(f.withColumn("value", F.lower("value")), a, dict.fromkeys(_EXACT, "exact-string-v1"))
+    against = F.coalesce(F.get_json_object("detail", "$.anchor_id"), F.get_json_object("detail", "$.canon_claim_id"))
+    return found.select("claim_id", "rule_id", "claim_key", against.alias("against"))
+
+
 @query("gate_meta", f"{_ALL} SELECT * FROM g_meta")
 def gate_meta(spark, d):
     return gates.meta_gate(derived(spark, d, "candidates"))

@@ -147,10 +147,10 @@ def steps_by_state(spark, d):
 @query(
     "idle_sessions",
     f"""{ctes("sessions", "turns")}, l AS (SELECT session_id, max(created_at) AS t FROM turns GROUP BY 1)
-        SELECT s.id AS session_id FROM sessions s LEFT JOIN l ON l.session_id = s.id WHERE coalesce(t, opened_at) < TIMESTAMP '2024-01-02 00:00:00' - INTERVAL '1 day'""",
+        SELECT s.id AS session_id FROM sessions s LEFT JOIN l ON l.session_id = s.id WHERE coalesce(t, opened_at) < TIMESTAMP '2024-01-12 00:00:00' - INTERVAL '1 day'""",
 )
 def idle_sessions(spark, d):
-    return orchestration.idle_sessions(derived(spark, d, "sessions"), derived(spark, d, "turns"), "2024-01-02 00:00:00")
+    return orchestration.idle_sessions(derived(spark, d, "sessions"), derived(spark, d, "turns"), "2024-01-12 00:00:00")
 
 
 @query(

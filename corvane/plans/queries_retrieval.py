@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from corvane.functions import text as tx
-from corvane.functions.vectors import cosine_distance, embed, nearest_of
+from corvane.functions.vectors import cosine_distance, embed, in_blocks, nearest_of
 from corvane.operators import corpus, fusion, retrieval
+from corvane.operators.ann import build_cells
 from corvane.operators.retrieval import Demotion, RetrievalSpec
 from corvane.plans.inputs import ctes, derived, document_index, table
 from corvane.plans.registry import query
+from corvane.session import shared_dir
 
 #: The word rule as DuckDB SQL.
 _TOK = r"list_filter(regexp_split_to_array(lower({t}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
@@ -97,6 +101,31 @@ def vector_topk(spark, d):
     return nearest_of(table(spark, d, "embeddings"), asked, 10).withColumn("distance", F.abs(F.round("distance", 6)))
 
 
+@query("vector_cells")
+def vector_cells(spark, d):
+    """The same queries over an index of cells: approximate, held against the exact answer in the tests."""
+    asked = table(spark, d, "embeddings").where("vec_id % 100 = 0").select("vec_id", "embedding")
+    path = f"{shared_dir(spark)}/corvane/{spark.sparkContext.applicationId}/cells-{uuid.uuid4().hex}"
+    index = build_cells(table(spark, d, "embeddings"), path, cells=16)
+    return in_blocks(lambda some: index.search(some, 10, probes=12), asked)
+
+
+_STOP = ", ".join(f"'{w}'" for w in tx.STOP_WORDS)
+
+
+@query(
+    "query_words",
+    f"""WITH t AS (SELECT conv_id, turn, {_tok()} AS w FROM conversations), p AS (SELECT conv_id, turn, w, list_filter(list_zip(w[1:len(w) - 1], w[2:len(w)]), lambda x: x[1] NOT IN ({_STOP}) AND x[2] NOT IN ({_STOP})) AS p FROM t)
+        SELECT conv_id, turn, len(list_distinct(list_filter(w, lambda x: x NOT IN ({_STOP})))) AS n_terms, len(list_distinct(list_transform(p, lambda x: x[1] || ' ' || x[2]))) AS n_phrases,
+               array_to_string(list_sort(list_distinct(list_transform(p, lambda x: x[1] || ' ' || x[2]))), ',') AS phrases FROM p""",
+)
+def query_words(spark, d):
+    phrases = tx.query_phrases(F.col("text"))
+    return table(spark, d, "conversations").select(
+        "conv_id", "turn", F.size(tx.content_terms(F.col("text"))).cast("long").alias("n_terms"), F.size(phrases).cast("long").alias("n_phrases"), F.array_join(F.array_sort(phrases), ",").alias("phrases")
+    )
+
+
 @query(
     "cosine_pairs",
     """SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS distance

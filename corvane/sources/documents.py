@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import io
 import re
+import time
 import zipfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -17,6 +18,74 @@ from corvane.operators.evidence import Manifest
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
+class ObjectStore:
+    """Single objects under a folder of any store that Hadoop's file systems reach."""
+
+    def __init__(self, spark: SparkSession, base: str):
+        self.spark, self.base = spark, base.rstrip("/")
+
+    def _at(self, name: str):
+        if ".." in name.split("/") or name.startswith("/"):
+            raise ValueError(f"a name that leaves the store: {name!r}")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def put(self, name: str, content: bytes) -> None:
+        path, fs = self._at(name)
+        out = fs.create(path, True)
+        try:
+            out.write(bytearray(content))
+        finally:
+            out.close()
+
+    def get(self, name: str) -> bytes | None:
+        path, fs = self._at(name)
+        if not fs.exists(path):
+            return None
+        found = self.spark.read.format("binaryFile").load(path.toString()).select("content").first()
+        return bytes(found.content) if found else b""  # the reader gives no row for an empty file
+
+    def exists(self, name: str) -> bool:
+        path, fs = self._at(name)
+        return fs.exists(path)
+
+    def delete(self, name: str) -> bool:
+        path, fs = self._at(name)
+        return fs.delete(path, False)
+
+
+class Breaker:
+    """Stops asking a connector that failed ``limit`` times in a row, until ``rest`` seconds have gone by."""
+
+    def __init__(self, limit: int = 3, rest: float = 30.0, clock: Callable[[], float] = time.monotonic):
+        self.limit, self.rest, self.clock = limit, rest, clock
+        self.failures, self.opened = 0, 0.0
+
+    def call(self, ask: Callable[[], DataFrame]) -> DataFrame:
+        if self.failures >= self.limit and self.clock() - self.opened < self.rest:
+            raise RuntimeError("the connector is resting after repeated failures")
+        try:
+            found = ask()
+        except Exception:
+            self.failures, self.opened = self.failures + 1, self.clock()
+            raise
+        self.failures = 0
+        return found
+
+
+def connector_rows(spark: SparkSession, manifest: Manifest, breaker: Breaker, format: str, **options: str) -> DataFrame:
+    """Rows of an outside source (``jdbc``, ``parquet`` or another reader of Spark's) in the shape of a manifest.
+
+    Columns are those of the manifest, cast to its types; one that the source lacks is a failure.
+    """
+
+    def ask() -> DataFrame:
+        rows = spark.read.format(format).options(**options).load()
+        return rows.select(*(F.col(f.name).cast(f.dataType) for f in manifest.schema().fields))
+
+    return breaker.call(ask)
+
+
 def read_objects(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """``path, media_type, content, content_hash`` of every file; any store that Spark can list."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)

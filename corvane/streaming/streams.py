@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -106,3 +107,23 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
         q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
+class Progress(StreamingQueryListener):
+    """Gives an event (a dictionary) for each start, micro-batch and end of the session's streams to ``tell``."""
+
+    def __init__(self, tell: Callable[[dict], None]):
+        self.tell = tell
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        self.tell({"event": "started", "id": str(event.id), "name": event.name})
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        p = event.progress
+        self.tell({"event": "progress", "id": str(p.id), "batch": p.batchId, "rows": p.numInputRows, "watermark": p.eventTime.get("watermark")})
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        self.tell({"event": "ended", "id": str(event.id), "error": event.exception})

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as tx
 from corvane.functions.text import value_equality
-from corvane.operators import chronology, gates
+from corvane.operators import chronology, gates, governance
+from corvane.operators.ledger import HeadConflict
 
 CAND = "cid string, claim_type string, subject string, key string, value string, supersedes_id string, text string"
 
@@ -216,3 +217,39 @@ def test_text_functions(spark):
     assert one(tx.sample_text(F.lit("abcdefghijklmnopqrstuvwxyz"), 12)).count("…") == 2
     with pytest.raises(ValueError):
         value_equality("new-policy")
+
+
+def test_comparison_policies(spark, facts):
+    anchors = spark.createDataFrame([("hero.eyes", "Green ish")], "detail_key string, locked_value string")
+    c = candidates(spark, ("1", "fact", "hero", "eyes", "green ish", None, ""), ("2", "fact", "hero", "eyes", "Green ish", None, ""))
+    rules = lambda p: sorted((r.cid, r.rule_id) for r in gates.run_gates(c, facts, anchors, policies=p).collect())
+    assert rules({}) == []
+    assert rules({"hero.eyes": "exact-string-v1"}) == [("1", "gate.anchor-consistency"), ("2", "gate.ledger-conflict")]
+    with pytest.raises(ValueError):
+        rules({"hero.eyes": "new-policy"})
+    found = gates.assess_transition(facts, anchors, {"hero.eyes": "exact-string-v1"})
+    assert sorted((r.claim_id, r.rule_id) for r in found.collect()) == [
+        ("f1", "gate.anchor-consistency"), ("f1", "gate.ledger-conflict"), ("f2", "gate.anchor-consistency"), ("f2", "gate.ledger-conflict")
+    ]
+    assert sorted((r.claim_id, r.rule_id) for r in gates.assess_transition(facts, anchors, {}).collect()) == [
+        ("f1", "gate.anchor-consistency"), ("f1", "gate.ledger-conflict"), ("f2", "gate.ledger-conflict")
+    ]
+
+
+def test_profiles_are_inherited():
+    P, old = governance.ComparisonProfile, governance.ComparisonProfile({("a", "b"): "exact-string-v1"})
+    assert P({("a", "b"): "exact-string-v1", ("c", "d"): "legacy-text-v1"}).revision() == P({("c", "d"): "legacy-text-v1", ("a", "b"): "exact-string-v1"}).revision()
+    assert governance.inherited_profile(old, None, 7) == (old, False) and governance.inherited_profile(None, None, 0) == (P(), False)
+    assert governance.inherited_profile(None, old, 0) == (old, True)
+    new = P()
+    assert governance.inherited_profile(old, new, 7, old.revision(), 7, "simpler") == (new, True)
+    for bad in ({}, {"from_revision": "x", "expected_head": 7, "reason": "r"}, {"from_revision": old.revision(), "expected_head": 7, "reason": " "}):
+        with pytest.raises(ValueError):
+            governance.inherited_profile(old, new, 7, **bad)
+    with pytest.raises(HeadConflict):
+        governance.inherited_profile(old, new, 8, old.revision(), 7, "late")
+    with pytest.raises(ValueError):
+        governance.inherited_profile(old, old, 7, old.revision(), 7, "nothing changes")
+    for wrong in ({("a.b", "c"): "exact-string-v1"}, {("", "c"): "exact-string-v1"}, {("a", "b"): "other"}):
+        with pytest.raises(ValueError):
+            P(wrong).revision()

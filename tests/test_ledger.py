@@ -140,3 +140,39 @@ def test_snapshot_rebuilds_digests_under_the_pin(spark):
     at = lambda pin: {(r.tier, r.scope): r.n_facts for r in ledger.load_snapshot(claims, *stores, pin).digests.collect()}
     assert at(1) == {(0, "a.b"): 1, (1, "a"): 1, (2, ""): 1}
     assert at(None) == {(0, "a.b"): 1, (0, "c"): 1, (1, "a"): 1, (1, "c"): 1, (2, ""): 2}
+
+
+SCHEMA = "id string, seq long, subject string, key string, value string, scope_path string, status string, supersedes_id string"
+
+
+def proposed(spark, *rows):
+    return spark.createDataFrame([(i, "s", "k", v, None, "accepted", None) for i, v in rows], SCHEMA.replace("seq long, ", ""))
+
+
+def test_appends_are_gated_anew_when_the_head_moves(spark, tmp_path):
+    store = ledger.LedgerStore(spark, str(tmp_path / "l"), SCHEMA)
+    keep = lambda p, facts: p.select(*store.claims().columns[:1], *store.claims().columns[2:])
+    order = store.claims().columns
+    put = lambda df, at: store.append(ledger.append_claims(at, df, "id").select(*order), at)
+    assert store.head() == 0
+    seen = []
+
+    def gate(p, facts):
+        seen.append(facts.count())
+        if len(seen) == 1:  # another writer comes first
+            put(keep(proposed(spark, ("other", "v")), None), 0)
+        return p
+
+    class Ordered(ledger.LedgerStore):
+        def append(self, batch, at):
+            super().append(batch.select(*order), at)
+
+    mine = Ordered(spark, store.path, SCHEMA)
+    assert ledger.append_gated(mine, proposed(spark, ("a", "v"), ("b", "v")), gate, "id") == 3 and seen == [0, 1]
+    assert sorted((r.seq, r.id) for r in store.claims().collect()) == [(1, "other"), (2, "a"), (3, "b")]
+    with pytest.raises(ledger.HeadConflict):
+        ledger.append_gated(mine, proposed(spark, ("c", "v")), lambda p, f: p, "id", expected_head=2)
+    never = lambda p, f: (put(proposed(spark, ("x", "v")), store.head()), p)[1]
+    with pytest.raises(ledger.HeadConflict):
+        ledger.append_gated(mine, proposed(spark, ("d", "v")), never, "id", attempts=2)
+    assert store.head() == 5 and store.claims().where("id = 'd'").count() == 0
