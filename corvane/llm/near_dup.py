@@ -65,12 +65,12 @@ def signature(sh: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return low
 
 
-def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """One key per band, the band's number in its upper bits."""
-    parts = sig[: bands * rows].reshape(bands, rows).astype(np.uint64)
-    acc = np.zeros(bands, dtype=np.uint64)
+def band_keys(sigs: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """For each signature (a row) one key per band, the band's number in its upper bits."""
+    parts = sigs[:, : bands * rows].reshape(len(sigs), bands, rows).astype(np.uint64)
+    acc = np.zeros((len(sigs), bands), dtype=np.uint64)
     for j in range(rows):
-        acc = mix64(acc * _P + parts[:, j] + np.uint64(1))
+        acc = mix64(acc * _P + parts[:, :, j] + np.uint64(1))
     return ((np.arange(bands, dtype=np.uint64) << np.uint64(57)) | (acc >> np.uint64(7))).astype(np.int64)
 
 
@@ -153,11 +153,10 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int)
         seen = WordHash()
         a, b = _permutations(k)
         for batch in batches:
-            cls, keys = [], []
-            for t in batch.column(2).to_pylist():
-                sh = shingles(words_of(t), seen)
-                cls.append(_set_id(sh) if len(sh) else None)
-                keys.append(band_keys(signature(sh, a, b), bands, rows) if len(sh) else None)
+            sets = [shingles(words_of(t), seen) for t in batch.column(2).to_pylist()]
+            cls = [_set_id(sh) if len(sh) else None for sh in sets]
+            of_all = iter(band_keys(np.array([signature(sh, a, b) for sh in sets if len(sh)]).reshape(-1, k), bands, rows))
+            keys = [next(of_all) if len(sh) else None for sh in sets]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(cls, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
                 ["doc_id", "text_hash", "cls", "bands"],
