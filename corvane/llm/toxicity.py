@@ -7,7 +7,7 @@ the rest, a few thousand pairs of slot and weight, travel to the executors. Thei
 is bounded by 2**bits whatever the data.
 
 The model is fitted on a bounded sample of labelled rows (``sample_rows``), taken in a
-seeded hash order. Scoring reads every text whole. Rate, penalty, class weight and passes were chosen by
+seeded hash order. Scoring reads every text whole. Rate, penalty and class weight were chosen by
 cross-validation within rows that may be learned from.
 """
 
