@@ -84,14 +84,53 @@ def grade(answers: DataFrame, expectations: DataFrame) -> DataFrame:
     ).withColumn("passed", F.col("cite_all") & F.col("cite_any") & F.col("contains_all") & F.col("must_not_cite") & F.col("insufficient"))
 
 
+# What providers call their counts.
+_OWN_INPUT = ("input_tokens", "output_tokens", "cache_read_input_tokens", "cache_creation_input_tokens")
+_TOTALS = ("prompt_tokens", "completion_tokens", "total_tokens", "prompt_tokens_details", "completion_tokens_details")
+_DETAILS = {"prompt_tokens_details": "cached_tokens", "completion_tokens_details": "reasoning_tokens"}
+
+
+def _other_than(parts: Column, allowed: str) -> Column:
+    """Whether a map has a value other than zero under another key."""
+    return F.exists(F.map_entries(parts), lambda e: (e["key"] != allowed) & ~e["value"].eqNullSafe(F.lit("0")))
+
+
 def provider_usage(responses: DataFrame) -> DataFrame:
-    """Token counts from provider answers in JSON; what isn't said stays null."""
-    get = lambda path: F.expr(f"try_cast(get_json_object(response, '{path}') AS bigint)")
-    return responses.select(
+    """``id, input, output, cache_read, cache_write, reasoning, context, unknown_categories`` of answers in JSON (``id, provider, response``, and ``embedding``
+    if some are), as :func:`corvane.operators.money.calculate` takes them.
+
+    Only whole numbers of JSON count; what isn't said stays null and is never taken for none. One family of providers counts cached input apart from its
+    input, so it is added; the other names cached and reasoning parts of its totals. A count of another name, unless it is a detail of zero, is an
+    unknown category.
+    """
+    rows = responses.withColumn("v", F.try_parse_json("response")).withColumn("u", F.get_json_object("response", "$.usage"))
+    embedding = F.col("embedding") if "embedding" in responses.columns else F.lit(False)
+    kind = lambda path: F.schema_of_variant(F.try_variant_get("v", path, "variant"))
+    whole = lambda path: F.when((kind(path) == "BIGINT") & (F.try_variant_get("v", path, "bigint") >= 0), F.try_variant_get("v", path, "bigint"))
+    keys = F.json_object_keys("u")
+    has = lambda key: F.array_contains(keys, key)
+    local, apart, told = F.col("provider") == "ollama", F.col("provider") == "anthropic", kind("$.usage").startswith("OBJECT")
+    none, zero = F.lit(None).cast("bigint"), F.lit(0).cast("bigint")
+    optional = lambda key: F.when(~has(key), zero).otherwise(whole(f"$.usage.{key}"))
+    read, write = optional("cache_read_input_tokens"), optional("cache_creation_input_tokens")
+    odd_detail = F.lit(False)
+    for name, allowed in _DETAILS.items():
+        parts = F.from_json(F.get_json_object("u", f"$.{name}"), "map<string,string>")
+        others = _other_than(parts, allowed)
+        odd_detail = odd_detail | (has(name) & F.when(kind(f"$.usage.{name}").startswith("OBJECT"), F.coalesce(others, F.lit(False))).otherwise(True))
+    known = lambda names: F.array(*map(F.lit, names))
+    unknown = (F.size(F.array_except(keys, F.when(apart, known(_OWN_INPUT)).otherwise(known(_TOTALS)))) > 0) | odd_detail
+    pick = lambda of_local, of_apart, other: F.when(local, of_local).when(told & apart, of_apart).when(told, other)
+    out = F.when(local | told, F.when(embedding, zero).otherwise(pick(whole("$.eval_count"), whole("$.usage.output_tokens"), whole("$.usage.completion_tokens"))))
+    return rows.select(
         "id",
-        F.coalesce(get("$.usage.input_tokens"), get("$.usage.prompt_tokens")).alias("input_tokens"),
-        F.coalesce(get("$.usage.output_tokens"), get("$.usage.completion_tokens")).alias("output_tokens"),
-        F.coalesce(get("$.usage.cache_read_input_tokens"), get("$.usage.prompt_tokens_details.cached_tokens")).alias("cached_tokens"),
+        pick(whole("$.prompt_eval_count"), whole("$.usage.input_tokens") + read + write, whole("$.usage.prompt_tokens")).alias("input"),
+        out.alias("output"),
+        pick(none, read, whole("$.usage.prompt_tokens_details.cached_tokens")).alias("cache_read"),
+        pick(none, write, zero).alias("cache_write"),
+        pick(none, none, whole("$.usage.completion_tokens_details.reasoning_tokens")).alias("reasoning"),
+        none.alias("context"),
+        F.coalesce(~local & told & unknown, F.lit(False)).alias("unknown_categories"),
     )
 
 

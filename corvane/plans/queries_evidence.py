@@ -296,16 +296,26 @@ def frozen_grade(spark, d):
     return verification.grade(a, e)
 
 
+_RESPONSES = """SELECT event_id AS id, CASE event_id % 6 WHEN 0 THEN 'openai' WHEN 1 THEN 'anthropic' WHEN 2 THEN 'openai' WHEN 3 THEN 'ollama' WHEN 4 THEN 'anthropic' ELSE 'openai' END AS provider,
+    CASE event_id % 6
+        WHEN 0 THEN CONCAT('{"usage": {"prompt_tokens": ', CAST(user_id + 9 AS STRING), ', "completion_tokens": ', CAST(user_id + 8 AS STRING),
+            ', "total_tokens": 7, "prompt_tokens_details": {"cached_tokens": 4, "audio_tokens": ', CAST(user_id % 2 AS STRING), '}, "completion_tokens_details": {"reasoning_tokens": 8}}}')
+        WHEN 1 THEN CONCAT('{"usage": {"input_tokens": ', CAST(user_id AS STRING), ', "output_tokens": 2, "cache_read_input_tokens": 5}}')
+        WHEN 2 THEN CONCAT('{"usage": {"prompt_tokens": ', CAST(user_id AS STRING), ', "completion_tokens": "many", "context_tokens": 3}}')
+        WHEN 3 THEN CONCAT('{"prompt_eval_count": ', CAST(user_id AS STRING), ', "eval_count": 1.5}')
+        WHEN 4 THEN CONCAT('{"usage": {"input_tokens": ', CAST(user_id AS STRING), ', "output_tokens": 2, "cache_creation_input_tokens": null}}')
+        ELSE CASE WHEN user_id % 2 = 0 THEN 'not json' ELSE '{"error": "x"}' END END AS response FROM {events}"""
+
+
 @query(
     "provider_usage",
-    """SELECT event_id AS id, CAST(json_extract(props, '$.k') AS BIGINT) AS input_tokens, CASE WHEN event_id % 2 = 0 THEN event_id END AS output_tokens, CAST(NULL AS BIGINT) AS cached_tokens FROM events""",
+    """SELECT event_id AS id, CAST(CASE event_id % 6 WHEN 0 THEN user_id + 9 WHEN 1 THEN user_id + 5 WHEN 2 THEN user_id WHEN 3 THEN user_id END AS BIGINT) AS input,
+        CAST(CASE event_id % 6 WHEN 0 THEN user_id + 8 WHEN 1 THEN 2 WHEN 4 THEN 2 END AS BIGINT) AS output, CAST(CASE event_id % 6 WHEN 0 THEN 4 WHEN 1 THEN 5 WHEN 4 THEN 0 END AS BIGINT) AS cache_read,
+        CAST(CASE event_id % 6 WHEN 0 THEN 0 WHEN 1 THEN 0 WHEN 2 THEN 0 END AS BIGINT) AS cache_write, CAST(CASE event_id % 6 WHEN 0 THEN 8 END AS BIGINT) AS reasoning, CAST(NULL AS BIGINT) AS context,
+        event_id % 6 = 2 OR (event_id % 6 = 0 AND user_id % 2 = 1) AS unknown_categories FROM events""",
 )
 def provider_usage(spark, d):
-    body = F.when(
-        F.col("event_id") % 2 == 0,
-        F.concat(F.lit('{"usage": {"prompt_tokens": '), F.get_json_object("props", "$.k"), F.lit(', "completion_tokens": '), F.col("event_id"), F.lit("}}")),
-    ).otherwise(F.concat(F.lit('{"usage": {"input_tokens": '), F.get_json_object("props", "$.k"), F.lit(', "output_tokens": "unknown"}}')))
-    return verification.provider_usage(table(spark, d, "events").select(F.col("event_id").alias("id"), body.alias("response")))
+    return verification.provider_usage(spark.sql(_RESPONSES.replace("{", "{{").replace("}", "}}").replace("{{events}}", "{events}"), events=table(spark, d, "events")))
 
 
 @query(

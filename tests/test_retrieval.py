@@ -293,6 +293,25 @@ def test_verification(spark):
     assert r.r == '{"token": "[redacted]", "q": 1}'
 
 
+def test_provider_usage(spark):
+    cases = {
+        "total": ("openai", '{"usage":{"prompt_tokens":10,"completion_tokens":20,"total_tokens":30,"prompt_tokens_details":{"cached_tokens":4},"completion_tokens_details":{"reasoning_tokens":8}}}', (10, 20, 4, 0, 8, None, False)),
+        "apart": ("anthropic", '{"usage":{"input_tokens":3,"output_tokens":4,"cache_read_input_tokens":5,"cache_creation_input_tokens":2}}', (10, 4, 5, 2, None, None, False)),
+        "other": ("openai", '{"usage":{"prompt_tokens":1,"completion_tokens":2,"context_tokens":3}}', (1, 2, None, 0, None, None, True)),
+        "zero": ("openai", '{"usage":{"prompt_tokens":1,"completion_tokens":2,"prompt_tokens_details":{"audio":0}}}', (1, 2, None, 0, None, None, False)),
+        "no object": ("openai", '{"usage":{"prompt_tokens":-1,"completion_tokens":2.0,"prompt_tokens_details":null}}', (None, None, None, 0, None, None, True)),
+        "missing": ("openai", "{}", (None, None, None, None, None, None, False)),
+        "broken": ("anthropic", "{", (None, None, None, None, None, None, False)),
+        "null": ("anthropic", None, (None, None, None, None, None, None, False)),
+        "local": ("ollama", '{"prompt_eval_count":7,"usage":{"x":1}}', (7, None, None, None, None, None, False)),
+    }
+    rows = spark.createDataFrame([(k, p, r) for k, (p, r, _) in cases.items()], "id string, provider string, response string")
+    assert {r.id: tuple(r)[1:] for r in verification.provider_usage(rows).collect()} == {k: w for k, (_, _, w) in cases.items()}
+    for provider, body in (("ollama", '{"prompt_eval_count":7}'), ("openai", '{"usage":{"prompt_tokens":7}}')):
+        one = spark.createDataFrame([(1, provider, body, True)], "id int, provider string, response string, embedding boolean")
+        assert verification.provider_usage(one).first().output == 0
+
+
 @pytest.mark.parametrize(
     ("raw", "want"),
     [
