@@ -69,10 +69,11 @@ FIRM_NAMES = frozenset(
     "breadcrumbs sidebar widget widgets share sharing social cookie cookies consent gdpr popup modal newsletter subscribe subscription "
     "signup login comments commentlist disqus replies respond pagination pager".split()
 )
-#: Words beside a bad one that leave its meaning.
+#: Words beside a bad one that leave its meaning, as numbers do.
 HELPERS = frozenset(
     "box slot container wrapper wrap list area section block unit button buttons link links bar panel form inner outer top bottom left "
-    "right item items post posts article articles stories site page main content js row col text title 1 2 3".split()
+    "right item items post posts article articles stories site page main content js row col text title user users reader readers visitor "
+    "thread holder google sticky floating mobile desktop icon icons count counter zone placeholder".split()
 )
 #: Tags of running text.
 TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th blockquote pre figure figcaption".split())
@@ -176,7 +177,7 @@ def _judge(e: Element, tag: str, named: list[tuple[str, list[str]]], in_article:
             e.main = True
         return
     for attr, parts in named:
-        if not BAD_NAMES.intersection(parts) or not (BAD_NAMES | HELPERS).issuperset(parts):
+        if not BAD_NAMES.intersection(parts) or any(p not in BAD_NAMES and p not in HELPERS and p.isalpha() for p in parts):
             continue
         firm = not FIRM_NAMES.isdisjoint(parts)
         if tag in TEXTUAL:

@@ -322,6 +322,8 @@ def test_foreign_content(page, want):
         '<p id="search-engines">Words of it.</p>',
         '<h2 id="comments-on-method">Words of it.</h2>',
         '<section id="popular-music"><p>Words of it.</p></section>',
+        '<div class="social-impact"><p>Words of it.</p></div>',
+        '<section id="advertising-history"><p>Words of it.</p></section>',
     ],
 )
 def test_sections_of_an_article_stay_whatever_their_names(section):
@@ -338,6 +340,9 @@ def test_sections_of_an_article_stay_whatever_their_names(section):
         '<section class="comments"><p>Words to drop here, many of them, as in a paragraph.</p></section>',
         '<div id="comments"><p>Words to drop.</p></div>',
         '<div class="notice"><p>Words to drop.</p></div>',
+        '<div class="advert-300x250"><p>Words to drop here, many of them, as in a paragraph.</p></div>',
+        '<div class="user-comments"><p>Words to drop here, many of them, as in a paragraph.</p></div>',
+        '<div class="comment-12"><p>Words to drop.</p></div>',
         '<div class="shareButtons"><a href="x">Words to drop</a></div>',
         '<div id="related"><ul><li><a href="x">Words to drop</a></li></ul></div>',
         '<form><p>Words to drop here, many of them, as in a paragraph.</p></form>',
