@@ -209,6 +209,29 @@ def export_page(chunks: DataFrame, after: str, limit: int) -> DataFrame:
     return chunks.where(F.col("chunk_id") > after).orderBy("chunk_id").limit(limit)
 
 
+def exportable(chunks: DataFrame) -> int:
+    """How many chunks an index has to export; refused if there are none, or if some have an embedding and others lack it."""
+    n, with_vector = chunks.agg(F.count(F.lit(1)), F.count("embedding")).first()
+    if not n:
+        raise ValueError("an index without chunks isn't exported")
+    if 0 < with_vector < n:
+        raise ValueError(f"{n - with_vector} of {n} chunks lack an embedding")
+    return n
+
+
+def export_with_sources(chunks: DataFrame, sources: DataFrame, after: str, limit: int) -> DataFrame:
+    """The next chunks by id, each with the path and hash of its source as they are now, or else as the index has them.
+
+    ``chunks``: ``chunk_id, source_id, source_path, source_hash`` and more; ``sources``: ``source_id, path, content_hash``.
+    """
+    page = export_page(chunks, after, limit)
+    now = sources.select("source_id", "path", "content_hash")
+    return page.join(now, "source_id", "left").select(
+        "chunk_id", "source_id", F.coalesce("path", "source_path").alias("path"), F.coalesce("content_hash", "source_hash").alias("content_hash"),
+        *(c for c in chunks.columns if c not in ("chunk_id", "source_id", "source_path", "source_hash")),
+    )
+
+
 def stratified_sample(sources: DataFrame, count: int) -> DataFrame:
     """Sources taken in turn from each media type. The feature is the limit."""
     by = Window.partitionBy("media_type").orderBy("source_id")

@@ -467,6 +467,22 @@ def export_page(spark, d):
     return corpus.export_page(derived(spark, d, "sources").select(F.col("source_id").alias("chunk_id"), "path"), "src-5", 100)
 
 
+@query(
+    "export_with_sources",
+    f"""{ctes("sources")}, c AS (SELECT source_id || '#0' AS chunk_id, source_id, 'old/' || path AS source_path, 'old' AS source_hash, access_level FROM sources),
+        now AS (SELECT * FROM sources WHERE media_type <> 'text/markdown')
+        SELECT chunk_id, c.source_id, coalesce(now.path, source_path) AS path, coalesce(content_hash, source_hash) AS content_hash, c.access_level FROM (SELECT * FROM c WHERE chunk_id > 'src-3' ORDER BY chunk_id LIMIT 200) c
+        LEFT JOIN now ON now.source_id = c.source_id""",
+)
+def export_with_sources(spark, d):
+    """Sources that were removed since are told as the index has them."""
+    s = derived(spark, d, "sources")
+    chunks = s.select(
+        F.concat("source_id", F.lit("#0")).alias("chunk_id"), "source_id", F.concat(F.lit("old/"), "path").alias("source_path"), F.lit("old").alias("source_hash"), "access_level"
+    )
+    return corpus.export_with_sources(chunks, s.where("media_type <> 'text/markdown'"), "src-3", 200)
+
+
 @query(
     "stratified_sample",
     f"""{ctes("sources")} SELECT source_id, media_type FROM (SELECT *, row_number() OVER (PARTITION BY media_type ORDER BY source_id) AS n FROM sources)

@@ -105,6 +105,14 @@ def test_sealed_tables_are_checked_when_opened(spark, tmp_path):
     assert (tmp_path / "t.quarantine").exists() and not (tmp_path / "t").exists()
 
 
+def test_only_whole_indexes_are_exported(spark):
+    rows = lambda *v: spark.createDataFrame([(f"c{i}", x) for i, x in enumerate(v)], "chunk_id string, embedding array<float>")
+    assert corpus.exportable(rows([1.0], [2.0])) == 2 and corpus.exportable(rows(None, None)) == 2
+    for bad in (rows(), rows([1.0], None)):
+        with pytest.raises(ValueError):
+            corpus.exportable(bad)
+
+
 def test_index_versions_are_replaced_not_doubled(spark, tmp_path):
     chunks = spark.createDataFrame([("c", "s", "s#0", "t")], "collection string, source_id string, chunk_id string, text string")
     for version in ("v1", "v1", "v2"):
