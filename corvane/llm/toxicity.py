@@ -131,11 +131,13 @@ def train(
     ``positive_weight`` times. Rows with a null label or id are left out; no rows at all give the
     model that scores every text 0.5.
     """
-    collected = labelled_features(docs, labels, sample_rows, bits, seed).collect()
-    collected.sort(key=lambda r: (r.doc_id, r.label))
-    target = np.array([r.label for r in collected], dtype=np.float64)
-    slots = [np.frombuffer(r.slots, dtype="<i4") for r in collected]
-    del collected
+    # as Arrow, whose buffers are used as they come, so that the sample is held once
+    sample = labelled_features(docs, labels, sample_rows, bits, seed).toArrow()
+    rows = sorted(zip(sample.column("doc_id").to_pylist(), sample.column("label").to_pylist(), range(sample.num_rows), strict=True))
+    target = np.array([label for _, label, _ in rows], dtype=np.float64)
+    stored = list(sample.column("slots"))
+    slots = [np.frombuffer(stored[i].as_buffer(), dtype="<i4") for _, _, i in rows]
+    del sample, stored
     seen = np.zeros(1 << bits, dtype=np.int32)
     for x in slots:
         seen[x] += 1
