@@ -8,12 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import html_text, pii, quality, toxicity, warc
+from corvane.llm.collocations import collocations
 from corvane.llm.common import scratch_path, table
 from corvane.llm.decontamination import contamination
 from corvane.llm.exact_dedup import exact_dedup
 from corvane.llm.near_dup import near_duplicates
 from corvane.llm.packing import pack, tokenizer_path
 from corvane.llm.sharding import interleave
+from corvane.llm.vector_codes import encode, fingerprint
 
 #: Rule of the digest queries for words, as DuckDB SQL over a column ``t``.
 WORDS_SQL = r"regexp_extract_all(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -166,6 +168,75 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"), least=30, top=2000)
+
+
+OP11_SQL = r"""
+WITH toks AS MATERIALIZED (
+  SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p
+    FROM documents)),
+f AS MATERIALIZED (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS a FROM (
+    SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM toks, (VALUES (1), (2), (3), (4)) x(k) WHERE len(w) >= k)
+  GROUP BY ALL),
+n AS (SELECT lang, sum(a) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS MATERIALIZED (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE a >= 30),
+cuts AS (SELECT lang, phrase, a, w, unnest(range(1, k)) AS cut FROM c WHERE k > 1),
+scored AS (
+  SELECT q.lang, q.phrase, q.a, x.a AS l, y.a AS r, cut, (2000000::HUGEINT * q.a) // (x.a + y.a) AS score
+  FROM cuts q JOIN c x ON x.lang = q.lang AND x.phrase = array_to_string(q.w[:cut], ' ')
+  JOIN c y ON y.lang = q.lang AND y.phrase = array_to_string(q.w[cut + 1:], ' ')),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inside AS (
+  SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS longer FROM (
+    SELECT lang, w, a, m, unnest(range(1, k - m + 2)) AS i FROM c, (VALUES (2), (3)) x(m) WHERE m < k) GROUP BY ALL),
+kept AS (SELECT b.* FROM best b LEFT JOIN inside i ON i.lang = b.lang AND i.phrase = b.phrase WHERE longer IS NULL OR 100 * longer < 80 * a)
+SELECT k.lang, row_number() OVER w AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r,
+       CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM kept k JOIN n ON n.lang = k.lang WINDOW w AS (PARTITION BY k.lang ORDER BY score DESC, a DESC, phrase) QUALIFY row_number() OVER w <= 2000
+"""
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = encode(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(fingerprint(books)).alias("codebooks_sha256"))
+
+
+def _vector_codes_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """The rounds one after another: places of the entries, sums of those nearest, floored means."""
+    sql = f"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+p AS MATERIALIZED (
+  SELECT vec_id, label, part, q[part * (len(q) // {parts}) + 1:(part + 1) * (len(q) // {parts})] AS x FROM (SELECT *, unnest(range(0, {parts})) AS part FROM v)),
+b0 AS MATERIALIZED (
+  SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x AS y FROM p
+  WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT {entries}))"""
+    for i in range(rounds + 1):
+        sql += f""",
+d{i} AS MATERIALIZED (
+  SELECT vec_id, label, p.part, x, min(struct_pack(d := list_sum(list_transform(list_zip(x, y), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), entry := entry)) AS n
+  FROM p JOIN b{i} b ON b.part = p.part GROUP BY vec_id, label, p.part, x)"""
+        if i < rounds:
+            sql += f""",
+m{i} AS (
+  SELECT part, entry, list(m ORDER BY place) AS y FROM (
+    SELECT part, entry, place, (sum(c) - ((sum(c) % count(*)) + count(*)) % count(*)) // count(*) AS m FROM (
+      SELECT part, n.entry AS entry, unnest(x) AS c, unnest(range(0, len(x))) AS place FROM d{i}) GROUP BY part, entry, place)
+  GROUP BY part, entry),
+b{i + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(list_transform(m.y, lambda z: CAST(z AS BIGINT)), b.y) AS y FROM b{i} b LEFT JOIN m{i} m ON m.part = b.part AND m.entry = b.entry)"""
+    return sql + f""",
+e AS (SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', CAST(n.entry AS BIGINT)), '' ORDER BY part) AS code, CAST(sum(n.d) AS BIGINT) AS error FROM d{rounds} GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY part, entry)) FROM b{rounds}) AS codebooks_sha256
+FROM e
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
@@ -178,8 +249,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_quality": op9_quality,
         "op10_sharding": op10_sharding,
+        "op11_collocations": op11_collocations,
+        "op13_vector_codes": op13_vector_codes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL, "op2_warc": OP2_SQL, "op4_exact_dedup": OP4_SQL}
+    return {"op1_decontamination": OP1_SQL, "op2_warc": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op11_collocations": OP11_SQL, "op13_vector_codes": _vector_codes_sql()}
