@@ -14,6 +14,7 @@ from corvane.llm.decontamination import contamination
 from corvane.llm.exact_dedup import exact_dedup
 from corvane.llm.near_dup import near_duplicates
 from corvane.llm.packing import pack, tokenizer_path
+from corvane.llm.pitman_yor import language_scores
 from corvane.llm.sharding import interleave
 from corvane.llm.vector_codes import encode, fingerprint
 
@@ -200,6 +201,10 @@ FROM kept k JOIN n ON n.lang = k.lang WINDOW w AS (PARTITION BY k.lang ORDER BY
 """
 
 
+def op12_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_scores(table(spark, sf_dir, "documents"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded, books = encode(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
     return coded.select("vec_id", "code", "error", "label_error", F.lit(fingerprint(books)).alias("codebooks_sha256"))
@@ -250,6 +255,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality": op9_quality,
         "op10_sharding": op10_sharding,
         "op11_collocations": op11_collocations,
+        "op12_pitman_yor": op12_pitman_yor,
         "op13_vector_codes": op13_vector_codes,
     }
 
