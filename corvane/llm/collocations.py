@@ -140,7 +140,7 @@ def _fragments(text: bytes, keys: _Keys) -> Iterator[tuple[int, list[bytes]]]:
             yield k, [line[a:b] for a, b in zip(starts[at - k].tolist(), (ends[at + right[at]] - 1).tolist(), strict=True)]
 
 
-def _routed(order: Order, unit: float, held: int = 600_000):
+def _routed(order_of: Order, unit: float, held: int = 600_000):
     """Fragments of each task, counted, by pivot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,20 +148,25 @@ def _routed(order: Order, unit: float, held: int = 600_000):
         counts: dict[tuple[str, int], Counter[bytes]] = defaultdict(Counter)
 
         def flushed() -> Iterator[pa.RecordBatch]:
-            groups: dict[tuple[str, int, int, int], tuple[list[bytes], list[int]]] = {}
+            groups: dict[tuple[str, int, int, int], tuple[list[bytes], list[np.ndarray]]] = {}
             for (lang, k), c in counts.items():
-                mark, own = b"%d" % k, keys[lang]
-                for fragment, n in c.items():
-                    pivot = own[fragment.split(b" ", k + 1)[k]]
-                    salts = max(1, int(-(-order.most(pivot) // unit)))
-                    salt = zlib.crc32(fragment) % salts if salts > 1 else 0
-                    g = groups.get((lang, pivot, salt, salts))
-                    if g is None:
-                        g = groups[lang, pivot, salt, salts] = ([], [])
-                    g[0].append(mark + fragment)
-                    g[1].append(n)
+                own, mark = keys[lang], b"%d" % k
+                pivots = np.fromiter((own[f.split(b" ", k + 1)[k]] for f in c), np.int64, len(c))
+                order = np.argsort(pivots, kind="stable")
+                pivots, found, n = pivots[order], list(c), np.fromiter(c.values(), np.int64, len(c))[order]
+                found = [found[i] for i in order.tolist()]
+                edges = np.flatnonzero(np.concatenate([[True], pivots[1:] != pivots[:-1]])).tolist()
+                for a, z in zip(edges, [*edges[1:], len(found)], strict=True):
+                    pivot = int(pivots[a])
+                    salts = max(1, int(-(-order_of.most(pivot) // unit)))
+                    salt = np.array([zlib.crc32(f) % salts for f in found[a:z]]) if salts > 1 else None
+                    for x in range(1) if salt is None else np.unique(salt).tolist():
+                        at = range(a, z) if salt is None else (np.flatnonzero(salt == x) + a).tolist()
+                        g = groups.setdefault((lang, pivot, x, salts), ([], []))
+                        g[0].append(mark + (b"\n" + mark).join([found[i] for i in at]))
+                        g[1].append(n[at[0] : z] if salt is None else n[at])
             counts.clear()
-            rows = [(*key, b"\n".join(f), np.array(n, dtype="<i8").tobytes()) for key, (f, n) in groups.items()]
+            rows = [(*key, b"\n".join(f), np.concatenate(n).astype("<i8").tobytes()) for key, (f, n) in groups.items()]
             del groups
             for i in range(0, len(rows), 20_000):
                 yield _rows(list(zip(*rows[i : i + 20_000], strict=True)), _FRAGMENTS)
@@ -169,7 +174,7 @@ def _routed(order: Order, unit: float, held: int = 600_000):
         for batch in batches:
             for lang, text in _by_lang(batch):
                 if lang not in keys:
-                    keys[lang] = _Keys(lang, order)
+                    keys[lang] = _Keys(lang, order_of)
                 for k, found in _fragments(text, keys[lang]):
                     counts[lang, k].update(found)
                 if sum(map(len, counts.values())) > held:
@@ -179,37 +184,79 @@ def _routed(order: Order, unit: float, held: int = 600_000):
     return run
 
 
+def _spans(at: int, n: int) -> list[tuple[int, int]]:
+    """The phrases around place ``at`` of a fragment of ``n`` words."""
+    return [(i, j) for i in range(at + 1) for j in range(max(at + 1, i + 2), min(n, i + LONGEST) + 1)]
+
+
+_SPANS = {(at, n): _spans(at, n) for n in range(2, 2 * LONGEST) for at in range(LONGEST) if at < n}
+
+
+def _owned(lines: list[bytes], weights: list[int], least: int) -> Iterator[tuple[bytes, int]]:
+    """Phrases of a pivot with ``least`` occurrences or more among these fragments.
+
+    First the pairs with either neighbour; a longer phrase has one of them or both, so fragments are
+    cut where the pair is rare.
+    """
+    if sum(weights) < least:
+        return
+    pairs: dict[bytes, int] = defaultdict(int)
+    if least > 1:
+        for line, n in zip(lines, weights, strict=True):
+            at, words = line[0] - 48, line[1:].split(b" ")
+            if at:
+                pairs[b" ".join(words[at - 1 : at + 1])] += n
+            if at + 1 < len(words):
+                pairs[b" ".join(words[at : at + 2])] += n
+        if all(n < least for n in pairs.values()):
+            return
+    counts: dict[bytes, int] = defaultdict(int)
+    for line, n in zip(lines, weights, strict=True):
+        at, words = line[0] - 48, line[1:].split(b" ")
+        if least > 1:
+            if at + 1 < len(words) and pairs[b" ".join(words[at : at + 2])] < least:
+                words = words[: at + 1]
+            if at and pairs[b" ".join(words[at - 1 : at + 1])] < least:
+                words, at = words[at:], 0
+            if len(words) == 1:
+                continue
+        for i, j in _SPANS[at, len(words)]:
+            counts[b" ".join(words[i:j])] += n
+    for phrase, n in counts.items():
+        if n >= least:
+            yield phrase, n
+
+
 def _mined(least: int, held: int = 400_000):
     """Phrases of each pivot. A pivot that is whole in one partition gives those with ``least`` occurrences alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
         out: list[tuple[str, bytes, int]] = []
         now, whole = None, True
+        lines: list[bytes] = []
+        weights: list[int] = []
 
-        def close(lang: str, complete: bool) -> None:
-            out.extend((lang, p, n) for p, n in counts.items() if n >= least or not complete)
-            counts.clear()
+        def close(complete: bool) -> None:
+            out.extend((now[0], p, n) for p, n in _owned(lines, weights, least if complete else 1))
+            lines.clear()
+            weights.clear()
 
         for batch in batches:
-            for lang, pivot, salt, salts, fragments, weights in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for lang, pivot, salt, salts, fragments, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if now != (lang, pivot, salt):
                     if now:
-                        close(now[0], whole)
+                        close(whole)
                     now, whole = (lang, pivot, salt), salts == 1
-                for line, n in zip(fragments.split(b"\n"), np.frombuffer(weights, "<i8").tolist(), strict=True):
-                    at, words = line[0] - 48, line[1:].split(b" ")
-                    for i in range(at + 1):
-                        for j in range(max(at + 1, i + 2), min(len(words), i + LONGEST) + 1):
-                            counts[b" ".join(words[i:j])] += n
-                if len(counts) > held:
-                    close(lang, False)
+                lines += fragments.split(b"\n")
+                weights += np.frombuffer(n, "<i8").tolist()
+                if len(lines) > held:
+                    close(False)
                     whole = False
                 if len(out) > 50_000:
                     yield _rows(list(zip(*out, strict=True)), _PHRASES)
                     out.clear()
         if now:
-            close(now[0], whole)
+            close(whole)
         yield _rows(list(zip(*out, strict=True)) or [[]] * 3, _PHRASES)
 
     return run
