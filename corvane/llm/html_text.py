@@ -69,6 +69,8 @@ FIRM_NAMES = frozenset(
     "breadcrumbs sidebar widget widgets share sharing social cookie cookies consent gdpr popup modal newsletter subscribe subscription "
     "signup login comments commentlist disqus replies respond pagination pager".split()
 )
+#: Names of what readers wrote.
+COMMENT_NAMES = frozenset("comment comments commentlist disqus replies respond".split())
 #: Words beside a bad one that leave its meaning, as numbers do.
 HELPERS = frozenset(
     "box slot container wrapper wrap list area section block unit button buttons link links bar panel form inner outer top bottom left "
@@ -150,6 +152,8 @@ class Element:
     in_form: bool = False  # banned for nothing but a form
     scope: Element | None = None  # the nearest element that no implied end tag crosses
     held: Counter | None = None  # open elements of this scope by tag
+    attrs: str = ""
+    mass: int = 0  # characters of running text in it
 
 
 @dataclass
@@ -190,35 +194,97 @@ def _judge(e: Element, tag: str, named: list[tuple[str, list[str]]], in_article:
         e.suspect |= not sure
 
 
-def _element(tag: str, attrs: str, parent: Element | None) -> Element:
-    e = Element(tag, parent, parent.depth + 1 if parent else 0)
-    if parent:
-        e.banned, e.bad, e.main, e.suspect, e.in_form = parent.banned, parent.bad, parent.main, parent.suspect, parent.in_form
-    in_article = e.main
-    if tag in MAIN and e.in_form:  # a form around a whole page
-        e.banned = e.in_form = False
-    if tag == "form" and not e.banned:
-        e.banned = e.in_form = True
-    elif tag in BANNED or (tag == "header" and not in_article):
-        e.banned, e.in_form = True, False
-    if tag in MAIN:
-        e.main = True
-    if attrs.strip(" /\t\r\n"):
-        named: list[tuple[str, list[str]]] = []
-        for k, v, bare in _ATTR.findall(attrs):
+@dataclass
+class _Said:
+    """What an element's attributes say."""
+
+    named: list[tuple[str, list[str]]]
+    role: str
+    hidden: bool
+    readers: bool  # it holds readers' comments
+
+
+def _said(e: Element) -> _Said:
+    out = _Said([], "", False, False)
+    if e.attrs.strip(" /\t\r\n"):
+        for k, v, bare in _ATTR.findall(e.attrs):
             k = (k or bare).lower()
             v = v.strip("\"'")
             if k in ("class", "id"):
-                named += [(k, parts) for parts in _names(v)]
+                out.named += [(k, parts) for parts in _names(v)]
             elif k == "role":
-                if v.lower() in BAD_ROLES:
-                    e.banned, e.in_form = True, False
-                e.main |= v.lower() in ("main", "article")
+                out.role = v.lower()
             elif k == "hidden" or (k == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", v, re.I)):
-                e.banned, e.in_form = True, False
-        if named:
-            _judge(e, tag, named, in_article)
-    return e
+                out.hidden = True
+        out.readers = any(COMMENT_NAMES.intersection(parts) for _, parts in out.named)
+    return out
+
+
+def _spared(elements: list[Element], said: list[_Said], blocks: list[Block]) -> set[int]:
+    """Numbers of elements that no name and no form makes boilerplate, for they hold the page's text.
+
+    That are the elements around the largest article that isn't a reader's comment, if it holds a quarter of the page's running text,
+    or else those around ``main``, and inside of either those with most of its text; on a page with neither, those with most of
+    the page's text. What readers wrote is never spared.
+    """
+    number = {id(e): i for i, e in enumerate(elements)}
+    shut = [e.tag in BANNED - {"form", "fieldset"} or x.hidden or x.role in BAD_ROLES for e, x in zip(elements, said, strict=True)]
+    readers = [x.readers for x in said]
+    for i, e in enumerate(elements):  # parents come first
+        if e.parent is not None:
+            readers[i] |= readers[number[id(e.parent)]]
+    for b in blocks:
+        if b.linked * 2 < len(b.text):
+            b.at.mass += len(b.text)
+    for i in range(len(elements) - 1, 0, -1):
+        if shut[i]:
+            elements[i].mass = 0
+        elements[i].parent.mass += elements[i].mass
+    total = elements[0].mass
+    articles = [i for i, e in enumerate(elements) if (e.tag == "article" or said[i].role == "article") and not readers[i] and 4 * e.mass >= max(total, 1)]
+    mains = [i for i, e in enumerate(elements) if (e.tag == "main" or said[i].role == "main") and e.mass]
+    out: set[int] = set()
+    if not articles and not mains:
+        return {i for i, e in enumerate(elements) if 2 * e.mass > total and not readers[i]}
+    top = max(articles or mains, key=lambda i: (elements[i].mass, i))
+    inside = [False] * len(elements)
+    for i in range(top, len(elements)):
+        e = elements[i]
+        inside[i] = i == top or (e.parent is not None and inside[number[id(e.parent)]])
+        if inside[i] and 2 * e.mass > elements[top].mass and not readers[i]:
+            out.add(i)
+    e = elements[top]
+    while e is not None:
+        out.add(number[id(e)])
+        e = e.parent
+    return out
+
+
+def _settle(elements: list[Element], blocks: list[Block]) -> None:
+    """Labels of the elements by their tags, names and roles, parents first."""
+    said = [_said(e) for e in elements]
+    names = any(x.named for x in said) or any(e.tag in ("form", "fieldset") for e in elements)
+    spared = _spared(elements, said, blocks) if names else set()
+    for i, (e, x) in enumerate(zip(elements, said, strict=True)):
+        parent, tag = e.parent, e.tag
+        if parent:
+            e.banned, e.bad, e.main, e.suspect, e.in_form = parent.banned, parent.bad, parent.main, parent.suspect, parent.in_form
+        in_article = e.main
+        if tag in MAIN and e.in_form:  # a form around a whole page
+            e.banned = e.in_form = False
+        if tag == "form" and not e.banned:
+            e.banned = e.in_form = i not in spared
+        elif tag == "fieldset" and not e.in_form and (in_article or i in spared):
+            pass  # a box in an article
+        elif tag in BANNED or (tag == "header" and not in_article):
+            e.banned, e.in_form = True, False
+        if x.role in BAD_ROLES or x.hidden:
+            e.banned, e.in_form = True, False
+        e.main |= tag in MAIN or x.role in ("main", "article")
+        if x.named and i not in spared:
+            _judge(e, tag, x.named, in_article)
+        elif x.named and not in_article and not any(BAD_NAMES.intersection(parts) for _, parts in x.named):
+            e.main |= any(MAIN_NAMES.intersection(parts) for _, parts in x.named)
 
 
 def _empty(attrs: str) -> bool:
@@ -263,6 +329,7 @@ def blocks_of(page: str) -> list[Block]:
     opened: Counter[str] = Counter()
     tags = Tags(page)
     out: list[Block] = []
+    elements = [root]
     parts: list[str] = []
     linked = links = 0
     pos = 0
@@ -344,8 +411,10 @@ def blocks_of(page: str) -> list[Block]:
                 pop_to(e)
         if top.tag == "p":  # a block-level tag ends a paragraph
             pop_to(top)
-        push(_element(tag, attrs, top))
+        push(Element(tag, top, top.depth + 1, attrs=attrs))
+        elements.append(top)
     flush()
+    _settle(elements, out)
     return out
 
 
