@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import claim_key, scope_matches
+from corvane.operators.commits import CommitLog, HeadConflict
 from corvane.operators.digests import ladder
 
 
@@ -185,10 +185,6 @@ def chain_head(claims: DataFrame, anchors: DataFrame, promises: DataFrame, count
     return every.agg(F.coalesce(F.max("top"), F.lit(0)).alias("head"))
 
 
-class HeadConflict(ValueError):
-    """The ledger's head isn't where a writer expected it."""
-
-
 def append_claims(ledger_head: int, proposed: DataFrame, order: str, expected_head: int | None = None) -> DataFrame:
     """Positions for a batch of claims, after the head, in the order of a column.
 
@@ -202,30 +198,47 @@ def append_claims(ledger_head: int, proposed: DataFrame, order: str, expected_he
 
 @dataclass
 class LedgerStore:
-    """A ledger in a folder, a folder for each batch of claims, named by its first position.
+    """A ledger in a folder: batches of claims that a :class:`~corvane.operators.commits.CommitLog` puts in place.
 
-    A folder that is there is never written again, so of two writers at one head the second fails.
+    The head is in the last record, so nothing is scanned for it. Of two writers at one head the second is refused; a
+    batch without rows commits nothing; a writer that dies leaves no trace that others see.
     """
 
     spark: SparkSession
     path: str
     schema: str
 
+    @property
+    def log(self) -> CommitLog:
+        return CommitLog(self.spark, self.path)
+
     def claims(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(self.schema).parquet(f"{self.path}/from=*")
-        except AnalysisException:
+        names = self.log.data(self.log.last())
+        if not names:
             return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*(f"{self.path}/data/{n}" for n in names))
 
     def head(self) -> int:
-        return self.claims().agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
-
-    def append(self, batch: DataFrame, at: int) -> None:
-        """Writes claims numbered from ``at`` + 1; refused if another writer did so before."""
+        last = self.log.last()
+        return self.log.record(last)["head"] if last else 0
+
+    def append(self, batch: DataFrame, at: int) -> int:
+        """Commits claims numbered from ``at`` + 1 and gives the head after; refused if the head isn't at ``at``."""
+        log = self.log
+        name, rows = log.write(batch)
+        last = log.last()
+        head = log.record(last)["head"] if last else 0
+        if head != at or not rows:
+            log.discard(name)
+            if head != at:
+                raise HeadConflict(f"head is {head}, expected {at}")
+            return head
         try:
-            batch.write.mode("errorifexists").parquet(f"{self.path}/from={at + 1:020d}")
-        except AnalysisException as e:
-            raise HeadConflict(f"head is beyond {at}") from e
+            log.put(last + 1, {"data": [name], "head": at + rows, "rows": rows})
+        except HeadConflict:
+            log.discard(name)
+            raise
+        return at + rows
 
 
 def append_gated(
@@ -233,15 +246,14 @@ def append_gated(
 ) -> int:
     """Gates claims against the ledger at its head and appends them there; gives the head after.
 
-    ``gate`` takes the proposed claims and the facts, and gives the claims as they are to be stored. If the head moves meanwhile the claims are gated
+    ``gate`` takes the proposed claims and the facts, and gives the claims as they are to be stored, none perhaps. If the head moves meanwhile the claims are gated
     anew, ``attempts`` times in all; a writer that expects a head isn't moved to another, but refused.
     """
     for attempt in range(1, attempts + 1):
         head = store.head()
         batch = append_claims(head, gate(proposed, slice_facts(store.claims())), order, expected_head)
         try:
-            store.append(batch, head)
-            return store.head()
+            return store.append(batch, head)
         except HeadConflict:
             if expected_head is not None or attempt == attempts:
                 raise

@@ -165,7 +165,7 @@ def test_appends_are_gated_anew_when_the_head_moves(spark, tmp_path):
 
     class Ordered(ledger.LedgerStore):
         def append(self, batch, at):
-            super().append(batch.select(*order), at)
+            return super().append(batch.select(*order), at)
 
     mine = Ordered(spark, store.path, SCHEMA)
     assert ledger.append_gated(mine, proposed(spark, ("a", "v"), ("b", "v")), gate, "id") == 3 and seen == [0, 1]
