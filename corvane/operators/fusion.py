@@ -12,7 +12,8 @@ def leg_ranks(candidates: DataFrame, *partition: str, descending: bool = True) -
     """Place of each candidate in its leg, best first; what isn't a number comes last."""
     bad = F.col("score").isNull() | F.isnan("score")
     best = F.col("score").desc() if descending else F.col("score")
-    return candidates.withColumn("rank", F.row_number().over(Window.partitionBy(*partition).orderBy(bad, best, "chunk_id")).cast("long"))
+    ties = [c for c in ("chunk_id", "collection", "pool") if c in candidates.columns]
+    return candidates.withColumn("rank", F.row_number().over(Window.partitionBy(*partition).orderBy(bad, best, *ties)).cast("long"))
 
 
 def fuse_pools(
@@ -134,11 +135,8 @@ def shadow_identity(a: DataFrame, b: DataFrame) -> DataFrame:
     return x.join(y, "chunk_id", "full_outer").select("chunk_id", state.alias("state")).where("state IS NOT NULL")
 
 
-def budget_pack(passages: DataFrame, budget: int, by: str = "request") -> DataFrame:
-    """Per request, passages taken best first while they fit; one that doesn't is skipped.
-
-    ``passages``: ``request, rank, chunk_id, cost``; a request has as many as its search returned.
-    """
+def _fitting(passages: DataFrame, budget: int, by: str) -> DataFrame:
+    """``by, used, ids``: what is taken of each request, in order."""
     listed = passages.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "cost"))).alias("p"))
     taken = F.aggregate(
         "p",
@@ -148,7 +146,20 @@ def budget_pack(passages: DataFrame, budget: int, by: str = "request") -> DataFr
             F.struct((acc["used"] + x["cost"]).alias("used"), F.concat(acc["ids"], F.array(x["chunk_id"])).alias("ids")),
         ).otherwise(acc),
     )
-    return listed.select(by, taken.alias("t")).select(by, F.col("t.used").alias("used"), F.array_join("t.ids", ",").alias("taken"))
+    return listed.select(by, taken.alias("t")).select(by, "t.used", "t.ids")
+
+
+def budget_pack(passages: DataFrame, budget: int, by: str = "request") -> DataFrame:
+    """Per request, passages taken best first while they fit; one that doesn't is skipped. Their ids joined with commas, to be shown.
+
+    ``passages``: ``request, rank, chunk_id, cost``; a request has as many as its search returned.
+    """
+    return _fitting(passages, budget, by).select(by, "used", F.array_join("ids", ",").alias("taken"))
+
+
+def budget_taken(passages: DataFrame, budget: int, by: str = "request") -> DataFrame:
+    """``request, chunk_id``: a row for each passage that :func:`budget_pack` takes, whatever characters its id has."""
+    return _fitting(passages, budget, by).select(by, F.explode("ids").alias("chunk_id"))
 
 
 def drop_repeats(passages: DataFrame) -> DataFrame:

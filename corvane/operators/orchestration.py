@@ -116,30 +116,42 @@ def retrieve_documents(
 
 def governed_query(
     index: Index, governed: DataFrame, publications: DataFrame, relations: DataFrame, principal: Principal, day: str, query: str, budget: int,
-    spec: RetrievalSpec | None = None, query_vector: Sequence[float] | None = None,
+    spec: RetrievalSpec | None = None, query_vector: Sequence[float] | None = None, policies: DataFrame | None = None,
 ) -> DataFrame:
-    """``chunk_id, rank, cost``: passages of governing documents that the principal may see, once each, that fit.
+    """``collection, chunk_id, rank, cost``: passages of governing documents that the principal may see, once each, that fit.
 
-    ``governed``: ``collection, chunk_id, document_id, level, compartments`` of every chunk. Collections that the principal may not see
+    ``governed``: ``collection, chunk_id, document_id, level, compartments`` of every chunk. ``policies`` (``collection``) are the governed collections
+    that are asked, all without it. If a document of one of them is ambiguous or needs review, which passages govern isn't
+    decided, and there is no answer. Collections that the principal may not see
     are not searched; of the others what doesn't govern is left out of what was found, before it counts against the budget.
     """
     spec = spec or RetrievalSpec()
-    ruling = governance.governing_publications(publications, relations, day).where("verdict = 'governs'").select("document_id")
+    verdicts = governance.governing_publications(publications, relations, day)
+    if policies is not None:
+        verdicts = verdicts.join(policies.select("collection").distinct(), "collection", "left_semi")
+    # a few columns of the publications, read by the question below and by the search
+    verdicts = verdicts.select("document_id", "verdict")
+    undecided = not verdicts.where(F.col("verdict").isin("ambiguous", "review")).isEmpty()
+    ruling = verdicts.where("verdict = 'governs'").select("document_id")
     seen = governed.where(permits(principal, F.col("level"), F.col("compartments")))
     # a row per collection
-    open_to = sorted(r.collection for r in seen.select("collection").distinct().collect())
+    open_to = [] if undecided else sorted(r.collection for r in seen.select("collection").distinct().collect())
+    if not open_to:
+        return governed.sparkSession.createDataFrame([], "collection string, chunk_id string, rank int, cost long")
     wide = replace(spec, top_k=spec.candidate_pool_per_collection)
     hits = retrieve_documents(index, query, wide, open_to, query_vector)
     allowed = seen.join(ruling, "document_id", "left_semi").join(F.broadcast(hits), ["collection", "chunk_id"])
     # of the few that were found
-    ranked = allowed.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "chunk_id"))).where(F.col("rank") <= (spec.top_k or 10))
+    order = Window.orderBy(F.col("score").desc(), "chunk_id", "collection")
+    ranked = allowed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= (spec.top_k or 10))
     passages = index.chunks(open_to).select("collection", "chunk_id", "text").join(F.broadcast(ranked), ["collection", "chunk_id"]).select(
-        F.lit(0).alias("request"), "rank", "chunk_id", F.col("document_id").alias("source_id"), F.md5("text").alias("hash"), "text",
+        F.lit(0).alias("request"), "rank", "collection", "chunk_id", F.col("document_id").alias("source_id"), F.md5("text").alias("hash"), "text",
         F.ceil(F.octet_length("text") / 4).cast("long").alias("cost"),
     )
     once = fusion.drop_repeats(passages)
-    taken = fusion.budget_pack(once.select("request", "rank", "chunk_id", "cost"), budget)
-    return once.join(taken.select(F.explode(F.split("taken", ",")).alias("chunk_id")), "chunk_id").select("chunk_id", "rank", "cost")
+    # ranks name the passages
+    taken = fusion.budget_taken(once.select("request", "rank", F.col("rank").cast("string").alias("chunk_id"), "cost"), budget)
+    return once.join(taken.select(F.col("chunk_id").cast("int").alias("rank")), "rank").select("collection", "chunk_id", "rank", "cost")
 
 
 def vocabulary_search(

@@ -178,25 +178,35 @@ def _count(low: Column, term: str) -> Column:
     return F.when(F.contains(low, F.lit(term)), F.regexp_count(low, F.lit(pattern))).otherwise(0)
 
 
+#: What names a chunk: a source that is in two collections has the same chunk id in both.
+KEY = ("collection", "chunk_id")
+
+
+def _key(df: DataFrame) -> list[str]:
+    """The parts of the key that a table has, the chunk's id first, as ties are broken."""
+    return [c for c in reversed(KEY) if c in df.columns]
+
+
 def top_leg(scored: DataFrame, n: int, descending: bool = True) -> DataFrame:
-    """The best ``n`` with their rank; ties by id, what isn't a number last."""
+    """The best ``n`` with their rank; ties by id and collection, what isn't a number last."""
     bad = F.col("score").isNull() | F.isnan("score")
     best = F.col("score").desc() if descending else F.col("score")
-    top = scored.orderBy(bad, best, "chunk_id").limit(n)
+    order = [bad, best, *_key(scored)]
     # over n rows only
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(bad, best, "chunk_id")).cast("long"))
+    return scored.orderBy(*order).limit(n).withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
 def rrf(lexical: DataFrame, vector: DataFrame, k: int = 60, lexical_weight: float = 1.0, vector_weight: float = 1.0) -> DataFrame:
-    """``chunk_id, lexical_rank, vector_rank, score`` of the union of two ranked legs."""
-    a = lexical.select("chunk_id", F.col("rank").alias("lexical_rank"))
-    b = vector.select("chunk_id", F.col("rank").alias("vector_rank"))
+    """``collection, chunk_id, lexical_rank, vector_rank, score`` of the union of two ranked legs; without ``collection`` if they have none."""
+    key = [c for c in KEY if c in lexical.columns]
+    a = lexical.select(*key, F.col("rank").alias("lexical_rank"))
+    b = vector.select(*key, F.col("rank").alias("vector_rank"))
     part = lambda w, r: F.coalesce(F.lit(float(w)) / (F.lit(k) + F.col(r)), F.lit(0.0))
-    return a.join(b, "chunk_id", "full_outer").withColumn("score", part(lexical_weight, "lexical_rank") + part(vector_weight, "vector_rank"))
+    return a.join(b, key, "full_outer").withColumn("score", part(lexical_weight, "lexical_rank") + part(vector_weight, "vector_rank"))
 
 
 def final_top(fused: DataFrame, top_k: int) -> DataFrame:
-    return fused.orderBy(F.col("score").desc(), "chunk_id").limit(top_k or 10)
+    return fused.orderBy(F.col("score").desc(), *_key(fused), *(["pool"] if "pool" in fused.columns else [])).limit(top_k or 10)
 
 
 def hybrid_search(index: Index, query: str, spec: RetrievalSpec | None = None, query_vector: Sequence[float] | None = None, collections: Sequence[str] | None = None) -> DataFrame:
@@ -213,4 +223,4 @@ def hybrid_search(index: Index, query: str, spec: RetrievalSpec | None = None, q
     vector = top_leg(near, spec.candidate_n, descending=False)
     best = final_top(rrf(lexical, vector, spec.rrf_k, spec.lexical_weight, spec.vector_weight), spec.top_k)
     texts = index.chunks(collections).select("collection", "chunk_id", F.sha2("text", 256).alias("text_sha256"))
-    return texts.join(F.broadcast(best), "chunk_id")
+    return texts.join(F.broadcast(best), list(KEY))

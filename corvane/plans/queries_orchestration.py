@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corvane.functions.analyzer import english_lexemes, structured_tokens
-from corvane.operators import orchestration
+from corvane.operators import governance, orchestration
 from corvane.operators.access import Principal
 from corvane.operators.retrieval import RetrievalSpec
 from corvane.plans.inputs import ctes, derived, document_index, table
-from corvane.plans.queries_reports import _DAY, _RULING
+from corvane.plans.queries_reports import _DAY, _RULING, _verdicts
 from corvane.plans.queries_retrieval import _NEAR, _parts_sql, _query_vector, _sum, _tok
 from corvane.plans.registry import query
 
@@ -69,25 +69,40 @@ def vocabulary_search(spark, d):
     return found.withColumn("score", F.round("score", 9))
 
 
-@query(
-    "governed_query",
-    f"""{_RULING.replace("WITH ", "WITH RECURSIVE ", 1)}, {_retrieve_sql(100)},
-        docs AS (SELECT * FROM documents WHERE doc_id % 3 <= 1),
-        hit AS (SELECT chunk_id, CAST(ceil(strlen(text) / 4.0) AS BIGINT) AS cost, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM best JOIN docs ON 'd' || CAST(doc_id AS VARCHAR) = chunk_id
-            WHERE 'doc' || CAST(doc_id AS VARCHAR) IN (SELECT document_id FROM ruling WHERE verdict = 'governs')),
+def _governed_sql(policies: str) -> str:
+    """Passages of governing documents of the policies asked; none if a document of one of them is undecided."""
+    return f"""{_RULING.replace("WITH ", "WITH RECURSIVE ", 1)}, {_retrieve_sql(100)},
+        asked AS (SELECT * FROM ruling r WHERE {policies}),
+        docs AS (SELECT * FROM documents WHERE doc_id % 3 <= 1 AND NOT EXISTS (SELECT 1 FROM asked WHERE verdict IN ('ambiguous', 'review'))),
+        hit AS (SELECT collection, chunk_id, CAST(ceil(strlen(text) / 4.0) AS BIGINT) AS cost, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM best JOIN docs ON 'd' || CAST(doc_id AS VARCHAR) = chunk_id
+            WHERE 'doc' || CAST(doc_id AS VARCHAR) IN (SELECT document_id FROM asked WHERE verdict = 'governs')),
         go AS (SELECT CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS used, false AS taken UNION ALL
             SELECT h.rank, CASE WHEN used + cost <= 4000 THEN used + cost ELSE used END, used + cost <= 4000 FROM go JOIN hit h ON h.rank = go.k + 1 AND h.rank <= 10)
-        SELECT chunk_id, rank, cost FROM hit JOIN go ON go.k = hit.rank AND go.taken""",
-)
-def governed_query(spark, d):
-    """Publications of customers' documents govern the documents of the same number."""
+        SELECT collection, chunk_id, CAST(rank AS INT) AS rank, cost FROM hit JOIN go ON go.k = hit.rank AND go.taken"""
+
+
+_DECIDED = "NOT EXISTS (SELECT 1 FROM ruling x WHERE x.collection = r.collection AND x.verdict IN ('ambiguous', 'review'))"
+
+
+def _governed(spark, d, policies):
     docs = table(spark, d, "documents").select(
         F.col("lang").alias("collection"), F.concat(F.lit("d"), F.col("doc_id")).alias("chunk_id"), F.concat(F.lit("doc"), F.col("doc_id")).alias("document_id"),
         (F.col("doc_id") % 3).alias("level"), F.expr("cast(array() as array<string>)").alias("compartments"),
     )
-    return orchestration.governed_query(
-        document_index(spark, d), docs, derived(spark, d, "publications"), derived(spark, d, "relations"), Principal(1), _DAY, "idiot de la", 4000, _SPEC, _query_vector(spark, d)
-    )
+    publications, relations = derived(spark, d, "publications"), derived(spark, d, "relations")
+    return orchestration.governed_query(document_index(spark, d), docs, publications, relations, Principal(1), _DAY, "idiot de la", 4000, _SPEC, _query_vector(spark, d), policies)
+
+
+@query("governed_query", _governed_sql(_DECIDED))
+def governed_query(spark, d):
+    """Publications of customers' documents govern the documents of the same number; asked are the policies in which all is decided."""
+    return _governed(spark, d, governance.governing(_verdicts(spark, d)).select("collection").distinct())
+
+
+@query("governed_query_undecided", _governed_sql("true"))
+def governed_query_undecided(spark, d):
+    """All policies are asked, of which some need review, so nothing is answered."""
+    return _governed(spark, d, None)
 
 
 @query("chunk_locations")

@@ -157,7 +157,7 @@ def _query_vector(spark, d):
     return table(spark, d, "embeddings").where("vec_id = 0").select("embedding").first()[0]
 
 
-@query("rrf_fusion", f"{_LEGS} SELECT chunk_id, lexical_rank, vector_rank, round(score, 9) AS score FROM fused")
+@query("rrf_fusion", f"{_LEGS} SELECT lang AS collection, chunk_id, lexical_rank, vector_rank, round(score, 9) AS score FROM fused JOIN documents ON 'd' || CAST(doc_id AS VARCHAR) = chunk_id")
 def rrf_fusion(spark, d):
     index = document_index(spark, d)
     lexical = retrieval.top_leg(index.bm25(["handea", "fool", "menttre", "idiot"]), 50)
