@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.common import materialise, small_batches
+from corvane.llm.toxicity import bounded_labels
 
 #: Byte classes: 1 lower case or part of a non-ASCII character, 2 upper case, 3 digit,
 #: 4 white space, 5 common punctuation, 6 other symbols.
@@ -127,12 +128,10 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, seed: i
 
     Rows with a null label or id are left out. Without labels of both kinds all texts score alike.
     """
-    picked = (
-        labels.where("label IS NOT NULL AND doc_id IS NOT NULL")
-        .orderBy(F.xxhash64(F.lit(seed), F.col("doc_id")), "doc_id", "label")
-        .limit(sample_rows)
-    )
-    rows = sorted((r.doc_id, r.label, tuple(r.x)) for r in _featurised(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")).collect())
+    found = _featurised(bounded_labels(docs, labels, sample_rows, seed))
+    # an id that many documents share brings them all
+    found = found.orderBy(F.xxhash64(F.lit(seed), F.col("doc_id")), "doc_id", "label", "x").limit(sample_rows)
+    rows = sorted((r.doc_id, r.label, tuple(r.x)) for r in found.collect())
     x = np.array([r[2] for r in rows]).reshape(len(rows), len(FEATURES))
     ranking = fit(x, np.array([r[1] == 1 for r in rows], dtype=bool))
     poor, every = labels.where("label IS NOT NULL AND doc_id IS NOT NULL").agg(F.count_if(F.col("label") != 1), F.count(F.lit(1))).first()

@@ -93,14 +93,19 @@ class FtrlProximal:
         return Weights(self.bits, slots, self.weights(slots).astype(np.float32), bias)
 
 
+def bounded_labels(docs: DataFrame, labels: DataFrame, rows: int, seed: int) -> DataFrame:
+    """``doc_id, label, text`` of documents with one of ``rows`` labels, first in a seeded order of hashes.
+
+    An id that many documents share brings them all, so whoever uses this bounds the rows again after it.
+    """
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "label").where("label IS NOT NULL AND doc_id IS NOT NULL")
+    picked = known.orderBy(F.xxhash64(F.lit(seed), F.col("doc_id")), "doc_id", "label").limit(rows)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")
+
+
 def labelled_features(docs: DataFrame, labels: DataFrame, sample_rows: int, bits: int, seed: int) -> DataFrame:
-    """``doc_id, label, slots`` of at most ``sample_rows`` labelled documents."""
-    picked = (
-        labels.where("label IS NOT NULL AND doc_id IS NOT NULL")
-        .orderBy(F.xxhash64(F.lit(seed), F.col("doc_id")), "doc_id", "label")
-        .limit(sample_rows)
-    )
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    """``doc_id, label, slots`` of at most ``sample_rows`` labelled documents, however many share an id or a label's id."""
+    rows = bounded_labels(docs, labels, sample_rows, seed)
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = WordHash()
@@ -110,7 +115,8 @@ def labelled_features(docs: DataFrame, labels: DataFrame, sample_rows: int, bits
                 [b.column("doc_id"), b.column("label"), pa.array(slots, pa.binary())], ["doc_id", "label", "slots"]
             )
 
-    return small_batches(rows).mapInArrow(featurise, "doc_id long, label int, slots binary")
+    found = small_batches(rows).select("doc_id", "label", "text").mapInArrow(featurise, "doc_id long, label int, slots binary")
+    return found.orderBy(F.xxhash64(F.lit(seed), F.col("doc_id")), "doc_id", "label", F.xxhash64("slots")).limit(sample_rows)
 
 
 def train(

@@ -1059,3 +1059,14 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
     labels.limit(0).write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_labelled_samples_are_bounded_after_the_join(spark):
+    rows = [(7, f"bad words number {i}") for i in range(3000)] + [(i, f"good text {i}") for i in range(100, 130)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    labels = spark.createDataFrame([(7, 1)] * 4 + [(i, 0) for i in range(100, 130)], "doc_id int, label int")
+    got = toxicity.labelled_features(docs, labels, 50, 18, 1).collect()
+    assert len(got) == 50
+    assert len({r.score for r in toxicity.score(docs, toxicity.train(docs, labels, sample_rows=200)).collect()}) >= 1
+    ranking = quality.train(docs, labels, sample_rows=60)
+    assert quality.score(docs, ranking).count() == len(rows)
