@@ -99,9 +99,9 @@ class Order:
         power = int(self.table[h & (self.cells - 1)])
         return (255 - power) << 54 | h >> 9 if power else _NEVER
 
-    def most(self, key: int) -> float:
-        """A bound of the occurrences of a word with this key."""
-        return 2.0 ** ((255 - (key >> 54)) / 4)
+    def most(self, keys: np.ndarray) -> np.ndarray:
+        """A bound of the occurrences of words with these keys."""
+        return 2.0 ** ((255 - (keys >> 54)) / 4)
 
 
 class _Keys(dict):
@@ -140,6 +140,29 @@ def _fragments(text: bytes, keys: _Keys) -> Iterator[tuple[int, list[bytes]]]:
             yield k, [line[a:b] for a, b in zip(starts[at - k].tolist(), (ends[at + right[at]] - 1).tolist(), strict=True)]
 
 
+def _binary(starts: np.ndarray, data: bytes) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer(starts.astype("<i4").tobytes()), pa.py_buffer(data)])
+
+
+def _grouped(lang: str, lines: list[bytes], pivots: np.ndarray, weights: np.ndarray, order_of: Order, unit: float) -> Iterator[pa.RecordBatch]:
+    """A row for each pivot, or part of one that is split: its fragments, a line each, and their numbers."""
+    salts = np.maximum(1, np.ceil(order_of.most(pivots) / unit)).astype(np.int64)
+    salt = np.zeros(len(lines), np.int64)
+    for i in np.flatnonzero(salts > 1).tolist():
+        salt[i] = zlib.crc32(lines[i]) % salts[i]
+    order = np.lexsort((salt, pivots))
+    pivots, salts, salt = pivots[order], salts[order], salt[order]
+    new = np.flatnonzero(np.concatenate([[True], (pivots[1:] != pivots[:-1]) | (salt[1:] != salt[:-1])])[: len(lines)])
+    ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, lines), np.int64, len(lines))[order])])
+    text = b"".join([lines[i] for i in order.tolist()])
+    bounds = np.append(new, len(lines))
+    columns = [pa.array([lang] * len(new), pa.string()), pa.array(pivots[new]), pa.array(salt[new], pa.int32()), pa.array(salts[new], pa.int32())]
+    columns += [_binary(ends[bounds], text), _binary(8 * bounds, weights[order].astype("<i8").tobytes())]
+    rows = pa.RecordBatch.from_arrays(columns, schema=_FRAGMENTS)
+    for i in range(0, len(new), 20_000):
+        yield rows.slice(i, 20_000)
+
+
 def _routed(order_of: Order, unit: float, held: int = 600_000):
     """Fragments of each task, counted, by pivot."""
 
@@ -148,28 +171,18 @@ def _routed(order_of: Order, unit: float, held: int = 600_000):
         counts: dict[tuple[str, int], Counter[bytes]] = defaultdict(Counter)
 
         def flushed() -> Iterator[pa.RecordBatch]:
-            groups: dict[tuple[str, int, int, int], tuple[list[bytes], list[np.ndarray]]] = {}
-            for (lang, k), c in counts.items():
-                own, mark = keys[lang], b"%d" % k
-                pivots = np.fromiter((own[f.split(b" ", k + 1)[k]] for f in c), np.int64, len(c))
-                order = np.argsort(pivots, kind="stable")
-                pivots, found, n = pivots[order], list(c), np.fromiter(c.values(), np.int64, len(c))[order]
-                found = [found[i] for i in order.tolist()]
-                edges = np.flatnonzero(np.concatenate([[True], pivots[1:] != pivots[:-1]])).tolist()
-                for a, z in zip(edges, [*edges[1:], len(found)], strict=True):
-                    pivot = int(pivots[a])
-                    salts = max(1, int(-(-order_of.most(pivot) // unit)))
-                    salt = np.array([zlib.crc32(f) % salts for f in found[a:z]]) if salts > 1 else None
-                    for x in range(1) if salt is None else np.unique(salt).tolist():
-                        at = range(a, z) if salt is None else (np.flatnonzero(salt == x) + a).tolist()
-                        g = groups.setdefault((lang, pivot, x, salts), ([], []))
-                        g[0].append(mark + (b"\n" + mark).join([found[i] for i in at]))
-                        g[1].append(n[at[0] : z] if salt is None else n[at])
+            for lang in sorted({lang for lang, _ in counts}):
+                lines: list[bytes] = []
+                pivots: list[np.ndarray] = []
+                weights: list[np.ndarray] = []
+                own = keys[lang]
+                for k in range(LONGEST):
+                    c, mark = counts[lang, k], b"%d" % k
+                    lines += [mark + f + b"\n" for f in c]
+                    pivots.append(np.fromiter((own[f.split(b" ", k + 1)[k]] for f in c), np.int64, len(c)))
+                    weights.append(np.fromiter(c.values(), np.int64, len(c)))
+                yield from _grouped(lang, lines, np.concatenate(pivots), np.concatenate(weights), order_of, unit)
             counts.clear()
-            rows = [(*key, b"\n".join(f), np.concatenate(n).astype("<i8").tobytes()) for key, (f, n) in groups.items()]
-            del groups
-            for i in range(0, len(rows), 20_000):
-                yield _rows(list(zip(*rows[i : i + 20_000], strict=True)), _FRAGMENTS)
 
         for batch in batches:
             for lang, text in _by_lang(batch):
@@ -247,7 +260,7 @@ def _mined(least: int, held: int = 400_000):
                     if now:
                         close(whole)
                     now, whole = (lang, pivot, salt), salts == 1
-                lines += fragments.split(b"\n")
+                lines += fragments.split(b"\n")[:-1]
                 weights += np.frombuffer(n, "<i8").tolist()
                 if len(lines) > held:
                     close(False)

@@ -124,7 +124,7 @@ def train(
     labels: DataFrame,
     sample_rows: int = 8000,
     bits: int = 20,
-    epochs: int = 8,
+    epochs: int = 4,
     alpha: float = 5.0,
     l1_per_root: float = 0.3,
     positive_weight: float = 4.0,
