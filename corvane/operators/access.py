@@ -29,26 +29,23 @@ def permits(principal: Principal, level: Column, compartments: Column) -> Column
 
 @dataclass
 class Binding:
+    """Files of a collection: by any of the hashes, or by prefix and media type, whichever are set. A prefix that is empty but set has every path."""
+
     collection: str
     prefix: str | None = None
-    media_type: str | None = None
-    content_hash: str | None = None
+    media_types: Sequence[str] = ()
+    content_hashes: Sequence[str] = ()
 
 
 def binds(b: Binding, path: Column, media_type: Column, content_hash: Column) -> Column:
-    """The hash alone, or whichever of prefix and media type are set; an empty binding binds nothing."""
-    by_hash = content_hash == b.content_hash if b.content_hash else F.lit(False)
-    parts = []
-    if b.prefix:
-        parts.append(path.startswith(b.prefix))
-    if b.media_type:
-        parts.append(media_type == b.media_type)
-    by_place = F.lit(False)
-    if parts:
-        by_place = parts[0]
-        for p in parts[1:]:
-            by_place = by_place & p
-    return by_hash | by_place
+    """Whether a binding has a file; one with nothing set has none."""
+    parts = [] if b.prefix is None else [path.startswith(b.prefix)]
+    if b.media_types:
+        parts.append(media_type.isin(list(b.media_types)))
+    by_place = parts[0] if parts else F.lit(False)
+    for p in parts[1:]:
+        by_place = by_place & p
+    return (content_hash.isin(list(b.content_hashes)) | by_place) if b.content_hashes else by_place
 
 
 def matched_collections(files: DataFrame, bindings: Sequence[Binding]) -> DataFrame:
@@ -61,7 +58,7 @@ def matched_collections(files: DataFrame, bindings: Sequence[Binding]) -> DataFr
 
 
 def route_collections(queries: DataFrame, routes: Sequence[tuple[Sequence[str], Sequence[str]]], every: Sequence[str]) -> DataFrame:
-    """``query_id, collections``: those of all routes whose trigger words are all in the query; none means all."""
+    """``query_id, collections``: those of all routes whose trigger words, whatever their case, are all in the query; none means all."""
     tokens = word_tokens(F.col("query"))
     found = F.array_sort(
         F.array_distinct(
@@ -69,7 +66,7 @@ def route_collections(queries: DataFrame, routes: Sequence[tuple[Sequence[str],
                 F.array(
                     *[
                         F.when(
-                            F.size(F.array_except(F.array(*[F.lit(t) for t in triggers]), tokens)) == 0,
+                            F.size(F.array_except(F.array(*[F.lit(t.strip().lower()) for t in triggers]), tokens)) == 0,
                             F.array(*[F.lit(c) for c in names]),
                         ).otherwise(F.expr("cast(array() as array<string>)"))
                         for triggers, names in routes

@@ -83,25 +83,28 @@ def routing_evidence(hits: DataFrame, terms: list[str], phrases: list[str]) -> D
     """Per pool over its hits (``pool, chunk_id, text, score``): how much of the query it covers.
 
     ``coverage``: share of terms some hit has; ``multi``: share of hits with two terms or more;
-    ``phrase``: share of hits with a phrase; ``margin``: lead of the best hit over the second.
+    ``phrase``: share of hits with a phrase; ``margin``: lead of the best score over the third, as a part of the best, 0 without a third. Scores that
+    aren't numbers don't count for it; of distances, ``score`` is ``1 / (1 + distance)``.
     """
     tokens = word_tokens(F.col("text"))
     wanted = F.array(*[F.lit(t) for t in terms])
     spoken = F.array(*[F.lit(p) for p in phrases]) if phrases else F.expr("cast(array() as array<string>)")
+    finite = F.coalesce(~F.isnan("score") & (F.abs("score") != float("inf")), F.lit(False))
     seen = hits.select(
         "pool", "score",
         F.array_intersect(wanted, tokens).alias("has"),
         F.arrays_overlap(spoken, adjacent_pairs(tokens)).alias("phrase"),
-        F.row_number().over(Window.partitionBy("pool").orderBy(F.col("score").desc(), "chunk_id")).alias("place"),
+        F.row_number().over(Window.partitionBy("pool").orderBy(F.when(~finite, 1).otherwise(0), F.col("score").desc(), "chunk_id")).alias("place"),
+        finite.alias("finite"),
     )
     return seen.groupBy("pool").agg(
         F.count(F.lit(1)).alias("hits"),
         (F.size(F.array_distinct(F.flatten(F.collect_set("has")))) / len(terms)).alias("coverage"),
         (F.count_if(F.size("has") >= 2) / F.count(F.lit(1))).alias("multi"),
         (F.count_if("phrase") / F.count(F.lit(1))).alias("phrase"),
-        F.max("score").alias("best"),
-        F.coalesce(F.max(F.when(F.col("place") == 2, F.col("score"))), F.lit(0.0)).alias("second"),
-    ).withColumn("margin", F.col("best") - F.col("second")).drop("best", "second")
+        F.max(F.when(F.col("finite") & (F.col("place") == 1), F.col("score"))).alias("best"),
+        F.max(F.when(F.col("finite") & (F.col("place") == 3), F.col("score"))).alias("third"),
+    ).withColumn("margin", F.when(F.col("third").isNull() | (F.col("best") <= 0), 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("best") - F.col("third")) / F.col("best"))))).drop("best", "third")
 
 
 def routing_score(evidence: DataFrame, boost: float = 3.0) -> DataFrame:

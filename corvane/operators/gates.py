@@ -267,11 +267,25 @@ def recent(rows: DataFrame, limit: int, *order: str) -> DataFrame:
     return rows.orderBy(*(F.col(c).desc() for c in order)).limit(limit)
 
 
-def dedup_findings(incoming: DataFrame, existing: DataFrame, identity: Sequence[str]) -> DataFrame:
-    """Incoming findings that are new by ``identity``; repeats in the batch count once. Blocks are refused."""
-    by = Window.partitionBy(*identity).orderBy("seq", "claim_no")
-    fresh = incoming.where("severity <> 'block'").withColumn("n", F.row_number().over(by)).where("n = 1").drop("n")
-    return fresh.join(existing.select(*identity).distinct(), list(identity), "left_anti")
+def _identity() -> list[Column]:
+    """What makes two findings one: rule, evidence and claim where the detail has either, else rule, scope and message."""
+    bare = F.col("evidence_ref").isNull() & F.col("claim_id").isNull()
+    empty = lambda c: F.coalesce(F.col(c), F.lit(""))
+    return [F.col("rule_id").alias("i0"), F.when(bare, empty("scope_path")).otherwise(empty("evidence_ref")).alias("i1"), F.when(bare, F.col("message")).otherwise(empty("claim_id")).alias("i2")]
+
+
+def dedup_findings(incoming: DataFrame, existing: DataFrame, *order: str) -> DataFrame:
+    """Incoming findings (``rule_id, severity, message, scope_path, evidence_ref, claim_id``) that are new; of repeats in the batch the first by ``order`` stays.
+
+    A batch with a block, a rule of governance or a finding without a rule is refused whole.
+    """
+    wrong = incoming.where((F.col("severity") == "block") | F.startswith("rule_id", F.lit("governance.")) | (F.trim("rule_id") == "") | F.col("rule_id").isNull())
+    if first := wrong.select("rule_id", "severity").head(1):
+        raise ValueError(f"finding {first[0].rule_id!r} of severity {first[0].severity}: only warnings and notes of rules outside governance are filed")
+    key = ["i0", "i1", "i2"]
+    named = incoming.select("*", *_identity())
+    fresh = named.withColumn("n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("n = 1").drop("n")
+    return fresh.join(existing.select(*_identity()).distinct(), key, "left_anti").drop(*key)
 
 
 def shape_validation(candidates: DataFrame, shape: dict) -> DataFrame:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import claim_key, scope_matches
 from corvane.operators.commits import CommitLog, HeadConflict
 from corvane.operators.digests import ladder
+from corvane.session import materialise
 
 
 # What the rules are called.
@@ -23,19 +25,59 @@ def pinned(df: DataFrame, as_of_seq: int | None, seq: str = "seq") -> DataFrame:
     return df if as_of_seq is None else df.where(F.col(seq) <= as_of_seq)
 
 
-def lineage(spark: SparkSession, versions: DataFrame, leaf: str) -> DataFrame:
-    """``id, position``: the chain from the root (position 0) to ``leaf``."""
-    walk = spark.sql(
-        """
-        WITH RECURSIVE up(id, parent_id, step) AS (
-            SELECT id, parent_id, 0 FROM {versions} WHERE id = :leaf
-            UNION ALL
-            SELECT v.id, v.parent_id, up.step + 1 FROM {versions} v JOIN up ON v.id = up.parent_id)
-        SELECT id, step FROM up""",
-        {"leaf": leaf},
-        versions=versions,
-    )
-    return walk.select("id", (F.max("step").over(Window.partitionBy()) - F.col("step")).alias("position"))
+def lineage(spark: SparkSession, versions: DataFrame, leaf: str, small: int = 100_000) -> DataFrame:
+    """``id, position``: the chain from the root (position 0) to ``leaf``. Cycles are refused.
+
+    Up to ``small`` versions are followed in the driver. Beyond, pointers of 1, 2, 4 ... steps are joined: each round doubles the
+    part of the chain that is known, so a chain of ten thousand takes fourteen. A parent that isn't there ends the chain.
+    """
+    known = versions.select("id", F.col("parent_id").alias("to"))
+    few = known.limit(small + 1).collect()
+    if len(few) <= small:
+        up, chain, seen = {r.id: r.to for r in few}, [], set()
+        at = leaf if leaf in up else None
+        while at is not None:
+            if at in seen:
+                raise ValueError(f"the lineage of {leaf} has a cycle at {at}")
+            seen.add(at)
+            chain.append(at)
+            at = up[at] if up[at] in up else None
+        return spark.createDataFrame([(v, i) for i, v in enumerate(reversed(chain))], "id string, position int")
+    jump = materialise(known.join(known.select(F.col("id").alias("to")), "to", "left_semi").select("id", "to"), "jump")
+    chain = materialise(known.where(F.col("id") == leaf).select("id", F.lit(0).cast("long").alias("step")), "chain")
+    every, size = known.count(), chain.count()
+    step = 1
+    while size:
+        chain = materialise(chain.unionByName(chain.join(jump, "id").select(F.col("to").alias("id"), (F.col("step") + step).alias("step"))), "chain")
+        grown = chain.count()
+        if grown > every:
+            raise ValueError(f"the lineage of {leaf} has a cycle")
+        if grown < 2 * size:
+            break
+        size, step = grown, 2 * step
+        jump = materialise(_composed(jump, jump), "jump")
+    last = chain.agg(F.max("step")).first()[0]
+    return chain.select("id", (F.lit(last) - F.col("step")).cast("int").alias("position"))
+
+
+def _composed(first: DataFrame, then: DataFrame) -> DataFrame:
+    return first.join(then.select(F.col("id").alias("to"), F.col("to").alias("beyond")), "to").select("id", F.col("beyond").alias("to"))
+
+
+def lineages(versions: DataFrame) -> DataFrame:
+    """``id, root, depth`` of all versions at once, by pointer doubling; a parent that isn't there makes a root. Cycles are refused."""
+    known = versions.select("id", F.col("parent_id").alias("to"))
+    there = known.select(F.col("id").alias("to"))
+    at = known.join(there, "to", "left_semi").select("id", "to", F.lit(1).cast("long").alias("depth"))
+    roots = known.join(there, "to", "left_anti").select("id", F.col("id").alias("to"), F.lit(0).cast("long").alias("depth"))
+    at = materialise(at.unionByName(roots), "pointers")
+    rounds = max(1, at.count()).bit_length() + 1
+    for _ in range(rounds):
+        onward = at.select(F.col("id").alias("to"), F.col("to").alias("beyond"), F.col("depth").alias("more"))
+        at = materialise(at.join(onward, "to").select("id", F.col("beyond").alias("to"), (F.col("depth") + F.col("more")).alias("depth")), "pointers")
+        if at.join(roots.select(F.col("id").alias("to")), "to", "left_anti").isEmpty():
+            return at.select("id", F.col("to").alias("root"), "depth")
+    raise ValueError("versions have a cycle")
 
 
 def chain_claims(claims: DataFrame, chain: Sequence[str]) -> DataFrame:
@@ -286,13 +328,43 @@ def load_snapshot(
     )
 
 
+EVENT_ACKS = "source string, epoch long, event_id string, sequence long, arrival long, ack string"
+
+
+def accept_events(events: DataFrame) -> DataFrame:
+    """``source, epoch, event_id, sequence, arrival, ack``: what becomes of each event of a source's epoch, in the order of arrival.
+
+    An event is ``accepted`` if it has sequence 1 and is the epoch's first, or follows the last accepted one: by its sequence, and by naming its
+    digest as the prior one. What is accepted already under the same id is ``replayed``, or a ``mismatch`` if its digest differs; all else is
+    ``refused`` and moves nothing. Each epoch is a chain, so its events pass one task in order, which keeps the last one and the
+    ids that occur more than once.
+    """
+    columns = ["source", "epoch", "event_id", "sequence", "digest", "prior_digest", "arrival"]
+    named = events.select(*(F.col(c).cast("long") if c in ("epoch", "sequence", "arrival") else F.col(c).cast("string") for c in columns))
+    again = named.groupBy("source", "epoch", "event_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("source", "epoch", "event_id", F.lit(True).alias("again"))
+    marked = named.join(again, ["source", "epoch", "event_id"], "left").select(*columns, F.coalesce("again", F.lit(False)).alias("again"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last, digest, taken = None, 0, None, {}
+        for b in batches:
+            acks = []
+            for source, epoch, event, sequence, own, prior, _, twice in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (source, epoch) != now:
+                    now, last, digest, taken = (source, epoch), 0, None, {}
+                if twice and event in taken:
+                    acks.append("replayed" if taken[event] == own else "mismatch")
+                elif sequence == last + 1 and (last == 0 or prior == digest):
+                    acks.append("accepted")
+                    last, digest = sequence, own
+                    if twice:
+                        taken[event] = own
+                else:
+                    acks.append("refused")
+            yield pa.RecordBatch.from_arrays([b.column(k) for k in (0, 1, 2, 3, 6)] + [pa.array(acks, pa.string())], ["source", "epoch", "event_id", "sequence", "arrival", "ack"])
+
+    return marked.repartition("source", "epoch").sortWithinPartitions("source", "epoch", "arrival", "event_id").mapInArrow(fold, EVENT_ACKS)
+
+
 def event_chain_check(events: DataFrame) -> DataFrame:
-    """Events whose sequence or prior digest doesn't follow from the one before, per source."""
-    by = Window.partitionBy("source").orderBy("sequence", "event_id")
-    last, digest = F.lag("sequence").over(by), F.lag("digest").over(by)
-    checked = events.select("source", "event_id", "sequence", "prior_digest", last.alias("last"), digest.alias("expected"))
-    fault: Column = (
-        F.when(F.col("sequence") != F.coalesce(F.col("last"), F.lit(0)) + 1, "sequence")
-        .when(~F.col("prior_digest").eqNullSafe(F.col("expected")), "digest")
-    )
-    return checked.withColumn("fault", fault).where("fault IS NOT NULL").select("source", "event_id", "sequence", "fault")
+    """``source, epoch, event_id, sequence, ack`` of the events that a ledger doesn't take."""
+    return accept_events(events).where("ack NOT IN ('accepted', 'replayed')").select("source", "epoch", "event_id", "sequence", "ack")

@@ -63,10 +63,14 @@ def usage(interactions: DataFrame, turns: DataFrame, sessions: DataFrame, group_
 
 
 def cost_by_model(turns: DataFrame) -> DataFrame:
-    """Turns, long turns and tokens per provider and model."""
-    return turns.groupBy("provider", "model").agg(
-        F.count(F.lit(1)).alias("turns"), F.count_if(F.col("tokens") > 100).alias("long_turns"), F.sum("tokens").alias("tokens")
-    )
+    """``provider, model, turns, overridden, input_tokens, output_tokens`` of turns that have a completion (a model), the dearest first.
+
+    ``overridden``: turns whose model the caller chose. Counts that a provider didn't give are 0.
+    """
+    tokens = lambda c: F.sum(F.coalesce(F.col(c), F.lit(0))).cast("long").alias(c)
+    by = turns.where("model IS NOT NULL").groupBy("provider", "model")
+    cost = by.agg(F.count(F.lit(1)).alias("turns"), F.count_if(F.coalesce("was_override", F.lit(False))).alias("overridden"), tokens("input_tokens"), tokens("output_tokens"))
+    return cost.orderBy((F.col("input_tokens") + F.col("output_tokens")).desc(), "provider", "model")
 
 
 def timeseries(interactions: DataFrame, bucket_seconds: int) -> DataFrame:
@@ -101,17 +105,11 @@ def endpoints(interactions: DataFrame, most: int = 20) -> DataFrame:
 
 
 def sessions_report(sessions: DataFrame, turns: DataFrame, bucket: str = "6 hours") -> DataFrame:
-    """Sessions opened, turns, and distinct sessions with turns per bucket; empty sides are 0."""
-    opened = sessions.groupBy(F.window("opened_at", bucket)["start"].alias("bucket")).agg(
-        F.count(F.lit(1)).alias("opened"), F.countDistinct("uid").alias("users")
-    )
-    said = turns.groupBy(F.window("created_at", bucket)["start"].alias("bucket")).agg(
-        F.count(F.lit(1)).alias("turns"), F.countDistinct("session_id").alias("active")
-    )
+    """``bucket, opened, turns, active_uids``: sessions opened, turns, and the different users of those turns; empty sides are 0."""
+    opened = sessions.groupBy(F.window("opened_at", bucket)["start"].alias("bucket")).agg(F.count(F.lit(1)).alias("opened"))
+    said = turns.groupBy(F.window("created_at", bucket)["start"].alias("bucket")).agg(F.count(F.lit(1)).alias("turns"), F.countDistinct("uid").alias("active_uids"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return opened.join(said, "bucket", "full_outer").select(
-        F.col("bucket").cast("string").alias("bucket"), zero("opened"), zero("users"), zero("turns"), zero("active")
-    )
+    return opened.join(said, "bucket", "full_outer").select(F.col("bucket").cast("string").alias("bucket"), zero("opened"), zero("turns"), zero("active_uids"))
 
 
 def evidence_report(metrics: DataFrame) -> DataFrame:
@@ -137,14 +135,15 @@ def evidence_report(metrics: DataFrame) -> DataFrame:
     return per.join(codes, ["profile", "layer"], "left").withColumn("codes", F.coalesce("codes", F.lit("")))
 
 
-def runbook_report(interactions: DataFrame) -> DataFrame:
-    """Runs per state with their mean wall time; a run lasts from its first to its last step."""
-    runs = interactions.where("runbook_ref IS NOT NULL").groupBy("runbook_ref", "uid").agg(
-        F.min("created_at").alias("a"), F.max("created_at").alias("b"), F.max("status").alias("worst")
-    )
-    state = F.when(F.col("worst") >= 500, "failed").when(F.col("worst") >= 400, "partial").otherwise("done")
-    wall = F.unix_micros(F.col("b").cast("timestamp")) - F.unix_micros(F.col("a").cast("timestamp"))
-    return runs.groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("runs"), F.round(F.avg(wall / 1000), 1).alias("avg_wall_ms"))
+def runbook_report(runs: DataFrame, steps: DataFrame, since: str | None = None) -> DataFrame:
+    """``state, runs, avg_wall_ms``: runs begun since then by their own state; a run lasts from its start to the last update of a step, if it has one.
+
+    ``runs``: ``run_id, state, created_at``; ``steps``: ``run_id, updated_at``.
+    """
+    begun = runs if since is None else runs.where(F.col("created_at") >= F.lit(since).cast("timestamp"))
+    last = steps.groupBy("run_id").agg(F.max("updated_at").alias("last"))
+    wall = F.unix_micros(F.col("last").cast("timestamp")) - F.unix_micros(F.col("created_at").cast("timestamp"))
+    return begun.join(last, "run_id", "left").groupBy("state").agg(F.count(F.lit(1)).alias("runs"), F.round(F.avg(wall / 1000), 1).alias("avg_wall_ms"))
 
 
 def budget_ledger(reservations: DataFrame) -> DataFrame:
@@ -192,14 +191,25 @@ def state_counts(df: DataFrame, state: str, size: str) -> DataFrame:
     return df.groupBy(F.col(state).alias("state")).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes"))
 
 
-def latency_report(interactions: DataFrame, limit_ms: int) -> DataFrame:
-    """Nearest-rank percentiles, good answers within the limit, and how requests ended."""
-    good = (F.col("status") < 400) & (F.col("latency_ms") <= limit_ms)
-    return interactions.groupBy("method").agg(
-        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY latency_ms)").cast("long").alias("p50"),
-        F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY latency_ms)").cast("long").alias("p95"),
-        F.round(F.count_if(good) / F.count(F.lit(1)), 6).alias("goodput"),
-        *(F.count_if(F.col("status") == s).alias(f"status_{s}") for s in (200, 404, 500)),
+OUTCOMES = ("passed", "failed", "harness_error", "unavailable")  # fixed values
+
+
+def latency_report(samples: DataFrame, elapsed_ms: float, by: str = "method") -> DataFrame:
+    """Per group of requests (``outcome, duration_ms``): nearest-rank percentiles, least and most over those that passed, goodput a second of the time elapsed, and all outcomes.
+
+    Whatever didn't pass is offered work too, but has no part in the times.
+    """
+    good = F.when(F.col("outcome") == "passed", F.col("duration_ms"))
+    at = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY CASE WHEN outcome = 'passed' THEN duration_ms END)").cast("long")
+    return samples.groupBy(by).agg(
+        F.count(F.lit(1)).alias("offered"),
+        F.count(good).alias("correct"),
+        F.round(F.count(good) * 1000.0 / F.lit(float(elapsed_ms)), 9).alias("goodput_per_second"),
+        at(0.5).alias("p50_ms"),
+        at(0.95).alias("p95_ms"),
+        F.min(good).cast("long").alias("min_ms"),
+        F.max(good).cast("long").alias("max_ms"),
+        *(F.count_if(F.col("outcome") == o).alias(o) for o in OUTCOMES),
     )
 
 

@@ -47,41 +47,101 @@ def check_citations(answers: DataFrame, served: DataFrame) -> DataFrame:
     return cited.join(served.select("answer_id", "path").distinct(), ["answer_id", "path"], "left_anti")
 
 
-def check_cells(answers: DataFrame, cells: DataFrame) -> DataFrame:
-    """``evidence/id#row`` references: ``answer_id, evidence_id, row, state``.
+#: Fixed value: how a block of assertions begins.
+FENCE = "```assertions"
 
-    An answer with one reference must state a value of that row.
+
+def _trimmed(c: Column) -> Column:
+    return F.regexp_replace(c, rf"^{_S}+|{_S}+$", "")
+
+
+def _reference(ref: Column) -> Column:
+    """``evidence_id, row_id`` of ``evidence/id#row``, the id ending at the first '#'; null for anything else."""
+    rest = F.substring(ref, F.lit(10), F.char_length(ref))
+    at = F.instr(rest, "#")
+    whole = F.startswith(ref, F.lit("evidence/")) & (at > 1) & (at < F.char_length(rest))
+    return F.when(whole, F.struct(F.substring(rest, F.lit(1), at - 1).alias("evidence_id"), F.substring(rest, at + 1, F.char_length(rest)).alias("row_id")))
+
+
+def check_evidence_citations(answers: DataFrame, cells: DataFrame) -> DataFrame:
+    """``answer_id, ref``: each ``[evidence/id#row]`` of an answer, once, that names a row which wasn't served (``evidence_id, row_id``)."""
+    refs = F.transform(F.regexp_extract_all("answer", F.lit(r"\[([^\]]*)\]"), F.lit(1)), _trimmed)
+    cited = answers.select("answer_id", F.explode(F.array_distinct(refs)).alias("ref")).withColumn("x", _reference(F.col("ref"))).where("x IS NOT NULL")
+    served = cells.select("evidence_id", "row_id").distinct()
+    return cited.select("answer_id", "ref", "x.*").join(served, ["evidence_id", "row_id"], "left_anti").select("answer_id", "ref")
+
+
+def check_assertions(answers: DataFrame, cells: DataFrame) -> DataFrame:
+    """``answer_id, value, ref, fault``: what is wrong with an answer's block of typed assertions (``[{"value", "evidence_refs"}]`` in JSON).
+
+    Faults: ``unclosed`` and ``unparsed`` blocks; ``no_evidence``; ``not_a_reference``; ``not_served``; and ``not_in_row`` for an assertion with one
+    reference, whose value must be a cell of that row, white space around either aside. A value with several references is
+    derived from them and needn't be in any. Answers without a block have no faults. ``cells``: ``evidence_id, row_id, value``.
     """
-    pattern = r"evidence/([A-Za-z0-9_-]+)#([0-9]+)"
-    ids = F.regexp_extract_all("answer", F.lit(pattern), F.lit(1))
-    nos = F.regexp_extract_all("answer", F.lit(pattern), F.lit(2))
-    refs = answers.select("answer_id", "answer", F.size(ids).alias("n"), F.explode(F.array_distinct(F.arrays_zip(ids.alias("i"), nos.alias("r")))).alias("x"))
-    refs = refs.select("answer_id", "answer", "n", F.col("x.i").alias("evidence_id"), F.col("x.r").cast("long").alias("row"))
-    known = cells.groupBy("evidence_id", "row").agg(F.collect_set(F.col("value").cast("string")).alias("vals"))
-    joined = refs.join(known, ["evidence_id", "row"], "left")
-    bare = F.regexp_replace("answer", pattern, "")
-    stated = F.exists("vals", lambda v: F.contains(bare, v))
-    state = F.when(F.col("vals").isNull(), "unknown").when((F.col("n") == 1) & ~stated, "value_differs").otherwise("ok")
-    return joined.select("answer_id", "evidence_id", "row", state.alias("state"))
-
-
-def grade(answers: DataFrame, expectations: DataFrame) -> DataFrame:
-    """Cases against what they should cite and contain.
-
-    ``answers``: ``case_id, answer, cited``; ``expectations``: ``case_id, cite_all, cite_any,
-    contains_all, must_not_cite, insufficient``.
+    at = F.instr("answer", FENCE)
+    body = F.substring(F.col("answer"), at + len(FENCE), F.char_length("answer"))
+    end = F.instr(body, "```")
+    kind = "array<struct<value: string, evidence_refs: array<string>>>"
+    blocks = answers.where(at > 0).select("answer_id", (end == 0).alias("unclosed"), F.from_json(_trimmed(F.substring(body, F.lit(1), end - 1)), kind, {"mode": "PERMISSIVE"}).alias("said"))
+    parsed = F.col("said").isNotNull() & F.forall("said", lambda x: x["value"].isNotNull())
+    none = F.lit(None).cast("string")
+    broken = blocks.where(F.col("unclosed") | ~F.coalesce(parsed, F.lit(False))).select("answer_id", none.alias("value"), none.alias("ref"), F.when(F.col("unclosed"), "unclosed").otherwise("unparsed").alias("fault"))
+    said = blocks.where(~F.col("unclosed") & parsed).select("answer_id", F.posexplode("said").alias("n", "a")).select("answer_id", "n", "a.value", F.coalesce("a.evidence_refs", F.array().cast("array<string>")).alias("refs"))
+    bare = said.where(F.size("refs") == 0).select("answer_id", "value", none.alias("ref"), F.lit("no_evidence").alias("fault"))
+    each = said.select("answer_id", "value", F.size("refs").alias("m"), F.explode("refs").alias("ref")).withColumn("x", _reference(F.col("ref"))).select("answer_id", "value", "m", "ref", F.col("x").isNotNull().alias("ok"), "x.*")
+    # a row has as many values as its table has columns
+    rows = cells.groupBy("evidence_id", "row_id").agg(F.collect_set(_trimmed(F.col("value").cast("string"))).alias("served"))
+    fault = (
+        F.when(~F.col("ok"), "not_a_reference")
+        .when(F.col("served").isNull(), "not_served")
+        .when((F.col("m") == 1) & ~F.array_contains("served", _trimmed(F.col("value"))), "not_in_row")
+    )
+    judged = each.join(rows, ["evidence_id", "row_id"], "left").select("answer_id", "value", "ref", fault.alias("fault")).where("fault IS NOT NULL")
+    return broken.unionByName(bare).unionByName(judged)
+
+
+#: What an answer says that declares the evidence insufficient.
+INSUFFICIENT = (
+    "insufficient evidence", "does not establish", "cannot establish", "not enough evidence", "no evidence", "cannot answer", "not answerable",
+    "do not have enough", "does not contain", "not found in the evidence",
+)
+
+
+def _verdict(checks: list[Column], without_answer: bool) -> Column:
+    """Of checks that are true, false, not made (-1) or without an answer (null), as numbers: ``-``, ``FAIL``, ``n/a`` or ``PASS``."""
+    made = F.filter(F.array(*checks), lambda x: x.isNull() | (x >= 0))
+    undecided = F.lit("n/a" if without_answer else "FAIL")
+    return F.when(F.size(made) == 0, "-").when(F.exists(made, lambda x: F.coalesce(x == 0, F.lit(False))), "FAIL").when(F.exists(made, lambda x: x.isNull()), undecided).otherwise("PASS")
+
+
+def grade(answers: DataFrame, expectations: DataFrame, complete: bool = True) -> DataFrame:
+    """``case_id, evidence, answer, hard_fail, leaked``: cases against what they should cite and say.
+
+    ``answers``: ``case_id, answer`` (null if there is none) and ``cited``; ``expectations``: ``case_id`` and, each null where nothing is expected,
+    ``cite_all, cite_any, must_not_cite`` (prefixes of paths), ``contains_all, conflict_cite_all, conflict_cite_any, sides`` (of a conflict, each with
+    the words of which one must be said) and ``insufficient``. A cited path below a forbidden prefix fails the case for good. What an answer should say is judged only if
+    an answer was asked for and came; else it is ``n/a``, or a failure if one was asked for.
     """
     j = answers.join(expectations, "case_id")
-    text = F.lower("answer")
-    ok_all = F.size(F.array_except("cite_all", "cited")) == 0
-    ok_any = (F.size("cite_any") == 0) | F.arrays_overlap("cite_any", "cited")
-    ok_text = F.forall("contains_all", lambda x: F.contains(text, F.lower(x)))
-    ok_not = ~F.arrays_overlap("must_not_cite", "cited")
-    ok_short = ~F.col("insufficient") | F.contains(text, F.lit("insufficient"))
-    return j.select(
-        "case_id", ok_all.alias("cite_all"), F.coalesce(ok_any, F.lit(False)).alias("cite_any"), ok_text.alias("contains_all"),
-        F.coalesce(ok_not, F.lit(True)).alias("must_not_cite"), ok_short.alias("insufficient"),
-    ).withColumn("passed", F.col("cite_all") & F.col("cite_any") & F.col("contains_all") & F.col("must_not_cite") & F.col("insufficient"))
+    text = F.lower(F.coalesce("answer", F.lit("")))
+    ran = F.lit(complete) & (_trimmed(F.coalesce("answer", F.lit(""))) != "")
+    leaked = F.filter("cited", lambda p: F.exists(F.coalesce("must_not_cite", F.array().cast("array<string>")), lambda x: F.startswith(p, x)))
+    every = lambda c: F.size(F.array_except(c, "cited")) == 0
+    some = lambda c: F.coalesce(F.arrays_overlap(c, "cited"), F.lit(False))
+    made = lambda c, ok: F.when(F.col(c).isNull(), -1).otherwise(ok.cast("int"))
+    said = lambda c, ok: F.when(F.col(c).isNull(), -1).when(ran, ok.cast("int"))
+    evidence = [made("cite_any", some("cite_any")), made("cite_all", every("cite_all")), made("must_not_cite", F.size(leaked) == 0), made("conflict_cite_all", every("conflict_cite_all")), made("conflict_cite_any", some("conflict_cite_any"))]
+    has = lambda t: F.contains(text, F.lower(t))
+    declared = F.lit(False)
+    for m in INSUFFICIENT:
+        declared = declared | F.contains(text, F.lit(m))
+    answer = [
+        F.when(F.lit(not complete) | ran, -1),  # an answer that was asked for and didn't come
+        said("contains_all", F.forall("contains_all", has)),
+        said("sides", F.forall("sides", lambda side: F.exists(side, has))),
+        F.when(~F.coalesce("insufficient", F.lit(False)), -1).when(ran, declared.cast("int")),
+    ]
+    return j.select("case_id", _verdict(evidence, False).alias("evidence"), _verdict(answer, not complete).alias("answer"), (F.size(leaked) > 0).alias("hard_fail"), leaked.alias("leaked"))
 
 
 # What providers call their counts.
@@ -169,7 +229,13 @@ def model_expansion(raw, query, most: int = 12):
     return F.slice(F.array_distinct(good), 1, most)
 
 
-def redacted(body, cap: int = 4096):
-    """A logged body, cut at a cap with its length told, and secrets in it masked."""
-    clean = F.regexp_replace(body, r'(?i)("(?:password|token|secret|api_key|authorization)"\s*:\s*)"[^"]*"', '$1"[redacted]"')
-    return F.when(F.char_length(clean) > cap, F.concat(F.substring(clean, 1, cap), F.lit("… "), F.char_length(clean).cast("string"))).otherwise(clean)
+#: Fixed value: what stands for a response with a secret in it.
+SECRET = '{"redacted":"response contains secret material; not stored"}'
+
+
+def logged_body(body: Column, cap: int = 4096, secret: Column | None = None) -> Column:
+    """What is logged of a body: JSON up to ``cap`` bytes as it is, else hash and length; a marker where it has a secret. An empty body is null."""
+    size = F.octet_length(body)
+    stand_in = F.concat(F.lit('{"bytes_len":'), size.cast("string"), F.lit(',"sha256":"'), F.sha2(body, 256), F.lit('"}'))
+    kept = F.when(size == 0, None).when((size <= cap) & F.try_parse_json(body).isNotNull(), body).otherwise(stand_in)
+    return kept if secret is None else F.when(F.coalesce(secret, F.lit(False)), SECRET).otherwise(kept)

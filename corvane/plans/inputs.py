@@ -159,7 +159,7 @@ DERIVED = {
                ts + INTERVAL '1' MINUTE * CAST(FLOOR(value) AS INT) AS lease_until, CAST(user_id % 5 AS INT) AS attempt
         FROM events""",
     "chain_events": """
-        SELECT CONCAT('src', CAST(user_id AS STRING)) AS source, event_id,
+        SELECT CONCAT('src', CAST(user_id AS STRING)) AS source, event_id, 1 AS epoch, event_id AS arrival,
                CAST(ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY event_id) + CASE WHEN event_id % 97 = 0 THEN 1 ELSE 0 END AS BIGINT) AS sequence,
                MD5(CONCAT(CAST(event_id AS STRING), event_type)) AS digest,
                CASE WHEN event_id % 89 = 0 THEN 'broken'

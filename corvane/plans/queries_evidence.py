@@ -267,33 +267,71 @@ def citation_check(spark, d):
     return verification.check_citations(a, s)
 
 
+_ASSERTED = """SELECT doc_id AS answer_id, CASE WHEN doc_id % 23 = 0 THEN 'no block at all' ELSE CONCAT('As [evidence/ev', CAST(doc_id % 3 AS STRING), '#r', CAST(doc_id % 44 AS STRING), '] and [evidence/ev1] say ```assertions ',
+    CASE WHEN doc_id % 17 = 0 THEN '[{"value": ' ELSE CONCAT('[{"value": " ', CAST(doc_id % 13 + doc_id % 2 AS STRING), '", "evidence_refs": [',
+        CASE WHEN doc_id % 13 = 0 THEN '' WHEN doc_id % 19 = 0 THEN '"contracts/chunk-9"' WHEN doc_id % 7 = 0 THEN CONCAT('"evidence/ev0#r2", "evidence/ev0#r', CAST(doc_id % 50 AS STRING), '"')
+             ELSE CONCAT('"evidence/ev', CAST(doc_id % 3 AS STRING), '#r', CAST(doc_id % 40 AS STRING), '"') END, ']}]') END,
+    CASE WHEN doc_id % 11 = 0 THEN '' ELSE '``` and so on' END) END AS answer FROM {documents}"""
+_ROWS = "SELECT CONCAT('ev', CAST(doc_id % 2 AS STRING)) AS evidence_id, CONCAT('r', CAST(doc_id % 40 AS STRING)) AS row_id, CONCAT(CAST(doc_id % 13 AS STRING), ' ') AS value FROM {documents}"
+
+
+def _asserted(spark, d):
+    docs = table(spark, d, "documents")
+    docs.createOrReplaceTempView("asserted_documents")
+    return spark.sql(_ASSERTED.replace("{documents}", "asserted_documents")), spark.sql(_ROWS, documents=docs)
+
+
+_A = f"WITH a AS ({_ASSERTED.replace('{documents}', 'documents')}), c AS ({_ROWS.format(documents='documents')})"
+
+
 @query(
     "cell_check",
-    f"""{_V}, x AS (SELECT answer_id, regexp_replace(answer, 'evidence/([A-Za-z0-9_-]+)#([0-9]+)', '', 'g') AS bare, regexp_extract(answer, 'evidence/([A-Za-z0-9_-]+)#([0-9]+)', 1) AS evidence_id,
-            CAST(regexp_extract(answer, 'evidence/([A-Za-z0-9_-]+)#([0-9]+)', 2) AS BIGINT) AS row FROM a),
-        k AS (SELECT evidence_id, row, list(DISTINCT CAST(value AS VARCHAR)) AS vals FROM c GROUP BY 1, 2)
-        SELECT answer_id, x.evidence_id, x.row, CASE WHEN vals IS NULL THEN 'unknown' WHEN len(list_filter(vals, lambda v: contains(bare, v))) = 0 THEN 'value_differs' ELSE 'ok' END AS state
-        FROM x LEFT JOIN k ON k.evidence_id = x.evidence_id AND k.row = x.row""",
+    f"""{_A}, b AS (SELECT answer_id, substr(answer, strpos(answer, '```assertions') + 13) AS rest FROM a WHERE contains(answer, '```assertions')),
+        k AS (SELECT answer_id, contains(rest, '```') AS closed, trim(split_part(rest, '```', 1)) AS body FROM b),
+        p AS (SELECT answer_id, unnest(json_transform(body, '[{{"value": "VARCHAR", "evidence_refs": ["VARCHAR"]}}]')) AS x FROM k WHERE closed AND json_valid(body)),
+        r AS (SELECT answer_id, x.value AS value, len(x.evidence_refs) AS m, unnest(x.evidence_refs) AS ref FROM p),
+        v AS (SELECT *, regexp_matches(ref, '^evidence/[^#]+#.') AS ok, regexp_extract(ref, '^evidence/([^#]+)#(.+)$', 1) AS e, regexp_extract(ref, '^evidence/([^#]+)#(.+)$', 2) AS w FROM r)
+        SELECT answer_id, NULL::VARCHAR AS value, NULL::VARCHAR AS ref, CASE WHEN closed THEN 'unparsed' ELSE 'unclosed' END AS fault FROM k WHERE NOT closed OR NOT json_valid(body)
+        UNION ALL SELECT answer_id, x.value, NULL, 'no_evidence' FROM p WHERE len(x.evidence_refs) = 0
+        UNION ALL SELECT * FROM (SELECT answer_id, value, ref, CASE WHEN NOT ok THEN 'not_a_reference'
+            WHEN NOT EXISTS (SELECT 1 FROM c WHERE c.evidence_id = e AND c.row_id = w) THEN 'not_served'
+            WHEN m = 1 AND NOT EXISTS (SELECT 1 FROM c WHERE c.evidence_id = e AND c.row_id = w AND trim(c.value) = trim(v.value)) THEN 'not_in_row' END AS fault FROM v) WHERE fault IS NOT NULL""",
 )
 def cell_check(spark, d):
-    a, _, c = _verif(spark, d)
-    return verification.check_cells(a, c)
+    """Typed assertions against the rows that were served."""
+    return verification.check_assertions(*_asserted(spark, d))
+
+
+@query(
+    "evidence_citation_check",
+    f"""{_A}, x AS (SELECT DISTINCT answer_id, trim(t) AS ref FROM (SELECT answer_id, unnest(regexp_extract_all(answer, '\[([^\]]*)\]', 1)) AS t FROM a))
+        SELECT answer_id, ref FROM x WHERE regexp_matches(ref, '^evidence/[^#]+#.') AND NOT EXISTS (SELECT 1 FROM c WHERE 'evidence/' || c.evidence_id || '#' || c.row_id = ref)""",
+)
+def evidence_citation_check(spark, d):
+    return verification.check_evidence_citations(*_asserted(spark, d))
 
 
 @query(
     "frozen_grade",
-    """WITH a AS (SELECT doc_id AS case_id, lower(text) AS t, [source, lang] AS cited FROM documents)
-        SELECT case_id, list_contains(cited, 'src1') AS cite_all, list_contains(cited, 'en') OR list_contains(cited, 'de') AS cite_any, contains(t, 'the') AS contains_all,
-               NOT list_contains(cited, 'src9') AS must_not_cite, true AS insufficient,
-               list_contains(cited, 'src1') AND (list_contains(cited, 'en') OR list_contains(cited, 'de')) AND contains(t, 'the') AND NOT list_contains(cited, 'src9') AS passed FROM a""",
+    """WITH a AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN '' ELSE lower(text) || CASE WHEN doc_id % 4 = 0 THEN ' there is not enough evidence' ELSE '' END END AS t, [source || '/x', lang] AS cited FROM documents),
+        g AS (SELECT doc_id, t, cited, t <> '' AS ran, starts_with(cited[1], 'src1') AS leak, list_contains(cited, 'en') OR list_contains(cited, 'de') AS any_ok, list_contains(cited, 'src2/x') AS all_ok,
+              contains(t, 'the') AS has, (contains(t, 'of') OR contains(t, 'de')) AND contains(t, 'a') AS sides, contains(t, 'not enough evidence') AS short FROM a),
+        v AS (SELECT *, CASE WHEN (doc_id % 2 = 0 AND leak) OR NOT any_ok OR (doc_id % 5 = 0 AND NOT all_ok) THEN 'FAIL' ELSE 'PASS' END AS evidence,
+              CASE WHEN NOT ran THEN 'FAIL' WHEN NOT has OR (doc_id % 3 = 0 AND NOT sides) OR (doc_id % 8 = 0 AND NOT short) THEN 'FAIL' ELSE 'PASS' END AS answer FROM g)
+        SELECT doc_id AS case_id, evidence, answer, doc_id % 2 = 0 AND leak AS hard_fail, CASE WHEN doc_id % 2 = 0 AND leak THEN cited[1] ELSE '' END AS leaked FROM v""",
 )
 def frozen_grade(spark, d):
-    a = table(spark, d, "documents").select(F.col("doc_id").alias("case_id"), F.col("text").alias("answer"), F.array("source", "lang").alias("cited"))
+    text = F.concat("text", F.when(F.col("doc_id") % 4 == 0, " there is not enough evidence").otherwise(""))
+    docs = table(spark, d, "documents")
+    a = docs.select(F.col("doc_id").alias("case_id"), F.when(F.col("doc_id") % 9 != 0, text).alias("answer"), F.array(F.concat("source", F.lit("/x")), "lang").alias("cited"))
+    words = lambda *w: F.array(*[F.lit(x) for x in w])
+    case = F.col("case_id")
     e = a.select(
-        "case_id", F.array(F.lit("src1")).alias("cite_all"), F.array(F.lit("en"), F.lit("de")).alias("cite_any"), F.array(F.lit("The")).alias("contains_all"),
-        F.array(F.lit("src9")).alias("must_not_cite"), F.lit(False).alias("insufficient"),
+        "case_id", words("en", "de").alias("cite_any"), F.when(case % 2 == 0, words("src1")).alias("must_not_cite"), words("The").alias("contains_all"), F.lit(None).cast("array<string>").alias("cite_all"),
+        F.when(case % 5 == 0, words("src2/x")).alias("conflict_cite_all"), F.lit(None).cast("array<string>").alias("conflict_cite_any"),
+        F.when(case % 3 == 0, F.array(words("of", "DE"), words("a"))).alias("sides"), (case % 8 == 0).alias("insufficient"),
     )
-    return verification.grade(a, e)
+    return verification.grade(a, e).withColumn("leaked", F.array_join("leaked", ","))
 
 
 _RESPONSES = """SELECT event_id AS id, CASE event_id % 6 WHEN 0 THEN 'openai' WHEN 1 THEN 'anthropic' WHEN 2 THEN 'openai' WHEN 3 THEN 'ollama' WHEN 4 THEN 'anthropic' ELSE 'openai' END AS provider,
@@ -384,14 +422,15 @@ def idempotency_conflicts(spark, d):
 
 @query(
     "redacted_bodies",
-    """SELECT event_id, CASE WHEN length(c) > 40 THEN left(c, 40) || '… ' || CAST(length(c) AS VARCHAR) ELSE c END AS body FROM (SELECT event_id,
-        CASE WHEN event_id % 2 = 0 THEN '{"Token": "[redacted]", "props": ' || props || '}' ELSE '{"q": "' || event_type || '"}' END AS c FROM events)""",
+    f"""SELECT event_id, CASE WHEN event_id % 10 = 4 THEN '{{"redacted":"response contains secret material; not stored"}}' WHEN c = '' THEN NULL WHEN strlen(c) <= 40 AND json_valid(c) THEN c
+            ELSE '{{"bytes_len":' || CAST(strlen(c) AS VARCHAR) || ',"sha256":"' || sha256(c) || '"}}' END AS body
+        FROM (SELECT event_id, CASE event_id % 5 WHEN 0 THEN '{{"Token": "x", "props": ' || props || ', "more": "' || event_type || '"}}' WHEN 1 THEN '' WHEN 2 THEN 'not json ' || event_type ELSE '{{"q": "' || event_type || '"}}' END AS c FROM events)""",
 )
 def redacted_bodies(spark, d):
-    body = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('{"Token": "'), "event_type", F.lit('", "props": '), "props", F.lit("}"))).otherwise(
-        F.concat(F.lit('{"q": "'), "event_type", F.lit('"}'))
-    )
-    return table(spark, d, "events").select("event_id", verification.redacted(body, 40).alias("body"))
+    n = F.col("event_id") % 5
+    long = F.concat(F.lit('{"Token": "x", "props": '), "props", F.lit(', "more": "'), "event_type", F.lit('"}'))
+    body = F.when(n == 0, long).when(n == 1, "").when(n == 2, F.concat(F.lit("not json "), "event_type")).otherwise(F.concat(F.lit('{"q": "'), "event_type", F.lit('"}')))
+    return table(spark, d, "events").select("event_id", verification.logged_body(body, 40, F.col("event_id") % 10 == 4).alias("body"))
 
 
 @query("stream_reservations")

@@ -157,16 +157,22 @@ def findings_recent(spark, d):
     return gates.recent(found, 1000, "seq", "rule_id", "message", "scope_path", "claim_no")
 
 
+_DETAILED = """SELECT *, CASE WHEN claim_no % 3 = 0 THEN CONCAT('evidence/', scope_path) END AS evidence_ref,
+    CASE WHEN claim_no % 4 = 0 THEN CONCAT('c', CAST(claim_no % 50 AS STRING)) END AS claim_id FROM {findings}"""
+
+
 @query(
     "findings_dedup",
-    f"""{ctes("findings")}, inc AS (SELECT * FROM findings WHERE severity = 'warn'),
-        old AS (SELECT rule_id, scope_path, message FROM findings WHERE severity = 'info')
-        SELECT rule_id, scope_path, message, min(seq) AS seq FROM inc i
-        WHERE NOT EXISTS (SELECT 1 FROM old o WHERE o.rule_id = i.rule_id AND o.scope_path = i.scope_path AND o.message = i.message) GROUP BY 1, 2, 3""",
+    f"""{ctes("findings")}, x AS ({_DETAILED.format(findings="findings").replace("STRING", "VARCHAR")}),
+        i AS (SELECT *, CASE WHEN evidence_ref IS NULL AND claim_id IS NULL THEN coalesce(scope_path, '') ELSE coalesce(evidence_ref, '') END AS a,
+                     CASE WHEN evidence_ref IS NULL AND claim_id IS NULL THEN message ELSE coalesce(claim_id, '') END AS b FROM x),
+        n AS (SELECT *, row_number() OVER (PARTITION BY rule_id, a, b ORDER BY seq, message, scope_path) AS k FROM i WHERE severity = 'warn')
+        SELECT rule_id, scope_path, message, seq FROM n WHERE k = 1 AND NOT EXISTS (SELECT 1 FROM i o WHERE o.severity = 'info' AND o.rule_id = n.rule_id AND o.a = n.a AND o.b = n.b)""",
 )
 def findings_dedup(spark, d):
-    f = derived(spark, d, "findings")
-    new = gates.dedup_findings(f.where("severity <> 'info'"), f.where("severity = 'info'"), ["rule_id", "scope_path", "message"])
+    """Warnings that no note has said before."""
+    f = spark.sql(_DETAILED, findings=derived(spark, d, "findings"))
+    new = gates.dedup_findings(f.where("severity = 'warn'"), f.where("severity = 'info'"), "seq", "message", "scope_path")
     return new.select("rule_id", "scope_path", "message", "seq")
 
 

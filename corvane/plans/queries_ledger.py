@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from corvane.operators import digests, ledger
-from corvane.plans.inputs import HEAD, PIN, ctes, derived, head_at, pin_at
+from corvane.plans.inputs import HEAD, PIN, ctes, derived, head_at, pin_at, table
 from corvane.plans.registry import query
 
 FACT_COLUMNS = ["id", "seq", "claim_type", "subject", "key", "value", "scope_path", "status"]
@@ -175,16 +175,44 @@ def append_claims(spark, d):
     return ledger.append_claims(head, derived(spark, d, "candidates"), "cid", expected_head=head).select("cid", "seq")
 
 
+_EVENTS = """SELECT CONCAT('src', CAST(user_id % 50 AS STRING)) AS source, epoch, 'e' || CAST(CASE WHEN event_id % 41 = 0 THEN before ELSE event_id END AS STRING) AS event_id, event_id AS arrival,
+    CASE WHEN event_id % 41 = 0 THEN n - 1 WHEN event_id % 97 = 0 THEN n + 1 ELSE n END AS sequence,
+    MD5(CAST(CASE WHEN event_id % 41 = 0 AND event_id % 2 = 0 THEN before ELSE event_id END AS STRING)) AS digest,
+    CASE WHEN event_id % 89 = 0 THEN 'broken' ELSE MD5(CAST(before AS STRING)) END AS prior_digest
+    FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id % 50, epoch ORDER BY event_id) AS n, LAG(event_id) OVER (PARTITION BY user_id % 50, epoch ORDER BY event_id) AS before
+          FROM (SELECT *, CAST(FLOOR(event_id / 400) AS BIGINT) AS epoch FROM {events}) e) x"""
+
+
 @query(
     "event_chain_check",
-    f"""{ctes("chain_events")}, x AS (SELECT *, lag(sequence) OVER w AS last, lag(digest) OVER w AS expected FROM chain_events
-            WINDOW w AS (PARTITION BY source ORDER BY sequence, event_id))
-        SELECT source, event_id, sequence,
-               CASE WHEN sequence <> coalesce(last, 0) + 1 THEN 'sequence' ELSE 'digest' END AS fault
-        FROM x WHERE sequence <> coalesce(last, 0) + 1 OR prior_digest IS DISTINCT FROM expected""",
+    f"""WITH RECURSIVE ev AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY source, epoch ORDER BY arrival, event_id) AS place FROM ({_EVENTS.format(events="events")})),
+        go AS (SELECT source, epoch, event_id, sequence, place, arrival, CASE WHEN sequence = 1 THEN 'accepted' ELSE 'refused' END AS ack, CASE WHEN sequence = 1 THEN 1 ELSE 0 END AS last,
+                CASE WHEN sequence = 1 THEN digest END AS had, CASE WHEN sequence = 1 THEN MAP {{event_id: digest}} ELSE MAP {{}} END AS taken FROM ev WHERE place = 1
+            UNION ALL SELECT * FROM (SELECT e.source, e.epoch, e.event_id, e.sequence, e.place, e.arrival, a.ack, CASE WHEN a.ack = 'accepted' THEN e.sequence ELSE g.last END,
+                CASE WHEN a.ack = 'accepted' THEN e.digest ELSE g.had END, CASE WHEN a.ack = 'accepted' THEN map_concat(g.taken, MAP {{e.event_id: e.digest}}) ELSE g.taken END
+                FROM go g JOIN ev e ON e.source = g.source AND e.epoch = g.epoch AND e.place = g.place + 1,
+                LATERAL (SELECT CASE WHEN g.taken[e.event_id] IS NOT NULL THEN CASE WHEN g.taken[e.event_id] = e.digest THEN 'replayed' ELSE 'mismatch' END
+                    WHEN e.sequence = g.last + 1 AND (g.last = 0 OR e.prior_digest = g.had) THEN 'accepted' ELSE 'refused' END AS ack) a))
+        SELECT source, epoch, event_id, sequence, ack FROM go WHERE ack NOT IN ('accepted', 'replayed')""",
 )
 def event_chain_check(spark, d):
-    return ledger.event_chain_check(derived(spark, d, "chain_events"))
+    """Events by source and epoch, some broken, some sent again."""
+    return ledger.event_chain_check(spark.sql(_EVENTS, events=table(spark, d, "events")))
+
+
+_CHAINS = """SELECT CONCAT('v', CAST(o_orderkey AS STRING)) AS id, 'v' || CAST(LAG(o_orderkey) OVER (PARTITION BY CAST(FLOOR(o_orderkey / 256) AS BIGINT), o_orderstatus ORDER BY o_orderkey) AS STRING) AS parent_id
+    FROM {orders}"""
+
+
+@query(
+    "version_lineages",
+    f"""WITH RECURSIVE v AS MATERIALIZED ({_CHAINS.format(orders="orders")}), w AS (SELECT id, id AS root, CAST(0 AS BIGINT) AS depth FROM v WHERE parent_id IS NULL
+            UNION ALL SELECT v.id, w.root, w.depth + 1 FROM w JOIN v ON v.parent_id = w.id)
+        SELECT id, root, depth FROM w""",
+)
+def version_lineages(spark, d):
+    """Root and depth of a version for each order, whose parent is the order before of the same status and range of keys."""
+    return ledger.lineages(spark.sql(_CHAINS, orders=table(spark, d, "orders")))
 
 
 _FACTS = f"""{ctes("claims")},

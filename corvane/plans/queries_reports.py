@@ -59,11 +59,11 @@ def usage_by_collection(spark, d):
 
 @query(
     "cost_by_model",
-    f"""{ctes("turns")} SELECT provider, model, count(*) AS turns, count(*) FILTER (tokens > 100) AS long_turns, CAST(sum(tokens) AS BIGINT) AS tokens
-        FROM turns GROUP BY 1, 2""",
+    f"""{ctes("turns")} SELECT provider, model, count(*) AS turns, count(*) FILTER (ordinal % 5 = 1) AS overridden, CAST(sum(coalesce(input_tokens, 0)) AS BIGINT) AS input_tokens,
+        CAST(sum(coalesce(output_tokens, 0)) AS BIGINT) AS output_tokens FROM turns GROUP BY 1, 2""",
 )
 def cost_by_model(spark, d):
-    return reports.cost_by_model(derived(spark, d, "turns"))
+    return reports.cost_by_model(derived(spark, d, "turns").withColumn("was_override", F.expr("CASE WHEN ordinal % 5 = 1 THEN true WHEN ordinal % 5 = 2 THEN false END")))
 
 
 @query(
@@ -88,9 +88,9 @@ def endpoints_p95(spark, d):
 @query(
     "sessions_full_outer",
     f"""{ctes("sessions", "turns")},
-        a AS (SELECT time_bucket(INTERVAL '6 hours', opened_at, TIMESTAMP '1970-01-01') AS bucket, count(*) AS opened, count(DISTINCT uid) AS users FROM sessions GROUP BY 1),
-        b AS (SELECT time_bucket(INTERVAL '6 hours', created_at, TIMESTAMP '1970-01-01') AS bucket, count(*) AS turns, count(DISTINCT session_id) AS active FROM turns GROUP BY 1)
-        SELECT CAST(bucket AS VARCHAR) AS bucket, coalesce(opened, 0) AS opened, coalesce(users, 0) AS users, coalesce(turns, 0) AS turns, coalesce(active, 0) AS active
+        a AS (SELECT time_bucket(INTERVAL '6 hours', opened_at, TIMESTAMP '1970-01-01') AS bucket, count(*) AS opened FROM sessions GROUP BY 1),
+        b AS (SELECT time_bucket(INTERVAL '6 hours', created_at, TIMESTAMP '1970-01-01') AS bucket, count(*) AS turns, count(DISTINCT uid) AS active_uids FROM turns GROUP BY 1)
+        SELECT CAST(bucket AS VARCHAR) AS bucket, coalesce(opened, 0) AS opened, coalesce(turns, 0) AS turns, coalesce(active_uids, 0) AS active_uids
         FROM a FULL OUTER JOIN b USING (bucket)""",
 )
 def sessions_full_outer(spark, d):
@@ -111,13 +111,15 @@ def evidence_layer_nearest_rank(spark, d):
 
 @query(
     "runbook_report",
-    f"""{ctes("interactions")}, r AS (SELECT runbook_ref, uid, min(created_at) AS a, max(created_at) AS b, max(status) AS worst FROM interactions
-            WHERE runbook_ref IS NOT NULL GROUP BY 1, 2)
-        SELECT CASE WHEN worst >= 500 THEN 'failed' WHEN worst >= 400 THEN 'partial' ELSE 'done' END AS state, count(*) AS runs,
-               round(avg((epoch_us(b) - epoch_us(a)) / 1000), 1) AS avg_wall_ms FROM r GROUP BY 1""",
+    """WITH s AS (SELECT l_orderkey, max(CAST(l_shipdate AS TIMESTAMP)) AS last FROM lineitem WHERE l_linenumber > 1 GROUP BY 1)
+        SELECT o_orderstatus AS state, count(*) AS runs, round(avg((epoch_us(last) - epoch_us(CAST(o_orderdate AS TIMESTAMP))) / 1000), 1) AS avg_wall_ms
+        FROM orders LEFT JOIN s ON l_orderkey = o_orderkey WHERE CAST(o_orderdate AS TIMESTAMP) >= TIMESTAMP '1993-06-01 00:00:00' GROUP BY 1""",
 )
 def runbook_report(spark, d):
-    return reports.runbook_report(derived(spark, d, "interactions"))
+    """Orders are the runs, their items but the first the steps, so some runs have none."""
+    runs = table(spark, d, "orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_orderstatus").alias("state"), F.col("o_orderdate").cast("timestamp").alias("created_at"))
+    steps = table(spark, d, "lineitem").where("l_linenumber > 1").select(F.col("l_orderkey").alias("run_id"), F.col("l_shipdate").cast("timestamp").alias("updated_at"))
+    return reports.runbook_report(runs, steps, "1993-06-01 00:00:00")
 
 
 _LEDGER = """l AS (SELECT config_name, tier, day, CAST(coalesce(sum(units) FILTER (state = 'held'), 0) AS BIGINT) AS held,
@@ -169,12 +171,15 @@ def storage_by_state(spark, d):
 
 @query(
     "latency_report",
-    f"""{ctes("interactions")} SELECT method, quantile_disc(latency_ms, 0.5) AS p50, quantile_disc(latency_ms, 0.95) AS p95,
-        round(count(*) FILTER (status < 400 AND latency_ms <= 500) / count(*), 6) AS goodput, count(*) FILTER (status = 200) AS status_200,
-        count(*) FILTER (status = 404) AS status_404, count(*) FILTER (status = 500) AS status_500 FROM interactions GROUP BY method""",
+    f"""{ctes("interactions")}, s AS (SELECT method, latency_ms AS ms, CASE status WHEN 200 THEN 'passed' WHEN 404 THEN 'failed' WHEN 500 THEN 'harness_error' ELSE 'unavailable' END AS outcome FROM interactions)
+        SELECT method, count(*) AS offered, count(*) FILTER (outcome = 'passed') AS correct, round(count(*) FILTER (outcome = 'passed') * 1000.0 / 2592000000.0, 9) AS goodput_per_second,
+        quantile_disc(ms, 0.5) FILTER (outcome = 'passed') AS p50_ms, quantile_disc(ms, 0.95) FILTER (outcome = 'passed') AS p95_ms, min(ms) FILTER (outcome = 'passed') AS min_ms,
+        max(ms) FILTER (outcome = 'passed') AS max_ms, count(*) FILTER (outcome = 'passed') AS passed, count(*) FILTER (outcome = 'failed') AS failed,
+        count(*) FILTER (outcome = 'harness_error') AS harness_error, count(*) FILTER (outcome = 'unavailable') AS unavailable FROM s GROUP BY method""",
 )
 def latency_report(spark, d):
-    return reports.latency_report(derived(spark, d, "interactions"), 500)
+    outcome = F.when(F.col("status") == 200, "passed").when(F.col("status") == 404, "failed").when(F.col("status") == 500, "harness_error").otherwise("unavailable")
+    return reports.latency_report(derived(spark, d, "interactions").select("method", outcome.alias("outcome"), F.col("latency_ms").alias("duration_ms")), 30 * 86_400_000)
 
 
 @query(
@@ -314,9 +319,10 @@ def access_permits(spark, d):
 
 _BINDINGS = [
     Binding("alpha", prefix="src1/"),
-    Binding("beta", prefix="src2", media_type="application/pdf"),
-    Binding("gamma", media_type="text/markdown"),
-    Binding("delta", content_hash="d41d8cd98f00b204e9800998ecf8427e"),
+    Binding("beta", prefix="src2", media_types=["application/pdf", "text/html"]),
+    Binding("gamma", media_types=["text/markdown"]),
+    Binding("delta", content_hashes=["d41d8cd98f00b204e9800998ecf8427e", "no such hash"]),
+    Binding("every", prefix=""),
     Binding("empty"),
 ]
 
@@ -326,7 +332,8 @@ _BINDINGS = [
     f"""{ctes("sources")} SELECT source_id, 'alpha' AS collection FROM sources WHERE starts_with(path, 'src1/')
         UNION SELECT source_id, 'beta' FROM sources WHERE starts_with(path, 'src2') AND media_type = 'application/pdf'
         UNION SELECT source_id, 'gamma' FROM sources WHERE media_type = 'text/markdown'
-        UNION SELECT source_id, 'delta' FROM sources WHERE content_hash = 'd41d8cd98f00b204e9800998ecf8427e'""",
+        UNION SELECT source_id, 'delta' FROM sources WHERE content_hash IN ('d41d8cd98f00b204e9800998ecf8427e', 'no such hash')
+        UNION SELECT source_id, 'every' FROM sources""",
 )
 def binding_match(spark, d):
     return access.matched_collections(derived(spark, d, "sources"), _BINDINGS)
@@ -340,7 +347,7 @@ def binding_match(spark, d):
 )
 def route_collections(spark, d):
     q = table(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), F.col("text").alias("query"))
-    return access.route_collections(q, [(["the", "of"], ["docs", "faq"]), (["on"], ["ops"])], ["docs", "faq", "ops", "rest"])
+    return access.route_collections(q, [([" The", "of"], ["docs", "faq"]), (["ON "], ["ops"])], ["docs", "faq", "ops", "rest"])
 
 
 @query(

@@ -245,8 +245,8 @@ def collection_selection(spark, d):
                      contains(' ' || array_to_string(w, ' ') || ' ', ' of the ') AS phrase FROM h),
         s AS (SELECT pool, count(*) AS hits, (bool_or(t1)::INT + bool_or(t2)::INT + bool_or(t3)::INT) / 3 AS coverage,
                      count(*) FILTER (t1::INT + t2::INT + t3::INT >= 2) / count(*) AS multi, count(*) FILTER (phrase) / count(*) AS phrase,
-                     max(score) - coalesce(max(score) FILTER (place = 2), 0) AS margin FROM e GROUP BY pool)
-        SELECT pool, hits, round((coverage + multi) / 2 * (1 + 3 * phrase), 6) AS routing, margin,
+                     CASE WHEN max(score) FILTER (place = 3) IS NULL OR max(score) <= 0 THEN 0.0 ELSE greatest(0.0, least(1.0, (max(score) - max(score) FILTER (place = 3)) / max(score))) END::DOUBLE AS margin FROM e GROUP BY pool)
+        SELECT pool, hits, round((coverage + multi) / 2 * (1 + 3 * phrase), 6) AS routing, round(margin, 9) AS margin,
                row_number() OVER (ORDER BY (coverage + multi) / 2 * (1 + 3 * phrase) DESC, margin DESC, hits DESC, pool) AS rank FROM s""",
 )
 def routing_rank(spark, d):
@@ -254,7 +254,7 @@ def routing_rank(spark, d):
         F.col("lang").alias("pool"), F.concat(F.lit("d"), F.col("doc_id")).alias("chunk_id"), "text", F.col("n_chars").cast("double").alias("score")
     )
     ranked = fusion.routing_rank(fusion.routing_score(fusion.routing_evidence(hits, ["the", "de", "idiot"], ["of the"])))
-    return ranked.select("pool", "hits", F.round("routing", 6).alias("routing"), "margin", "rank")
+    return ranked.select("pool", "hits", F.round("routing", 6).alias("routing"), F.round("margin", 9).alias("margin"), "rank")
 
 
 @query(

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -38,6 +39,14 @@ def shared_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Writes to the application's part of the shared folder and reads back, which cuts the plan and survives lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/corvane/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def session(app: str = "corvane", master: str | None = None, shuffle_gb: float | None = None, **conf: str) -> SparkSession:
     """UTC, adaptive execution, skew joins split. ``shuffle_gb`` sizes shuffle partitions to about 128 MB."""
     b = SparkSession.builder.appName(app)

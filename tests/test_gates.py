@@ -81,8 +81,13 @@ def test_shape_and_dedup(spark):
     c = candidates(spark, ("1", "fact", "s", "k", "12", None, ""), ("2", "odd", "s", "k", "x", None, ""))
     shape = {"properties": {"value": {"type": "integer"}, "claim_type": {"enum": ["fact"]}}, "required": ["text"]}
     assert sorted((r.cid, r.field, r.rule) for r in gates.shape_validation(c, shape).collect()) == [("2", "claim_type", "enum"), ("2", "value", "type")]
-    f = spark.createDataFrame([(1, "r", "warn", "m", 1), (2, "r", "warn", "m", 2), (3, "r", "block", "n", 3)], "claim_no long, rule_id string, severity string, message string, seq long")
-    assert [r.claim_no for r in gates.dedup_findings(f, f.where("seq > 9"), ["rule_id", "message"]).collect()] == [1]
+    rows = [(1, "r", "warn", "m", 1, "s", None, None), (2, "r", "warn", "m", 2, "s", None, None), (3, "r", "warn", "x", 3, "s", "e", None), (4, "r", "warn", "y", 4, "t", "e", None), (5, "r", "warn", "m", 5, None, None, "c")]
+    f = spark.createDataFrame(rows, "claim_no long, rule_id string, severity string, message string, seq long, scope_path string, evidence_ref string, claim_id string")
+    assert sorted(r.claim_no for r in gates.dedup_findings(f, f.where("seq > 9"), "seq").collect()) == [1, 3, 5]
+    assert sorted(r.claim_no for r in gates.dedup_findings(f, f.where("seq = 4"), "seq").collect()) == [1, 5]
+    for bad in ({"severity": "block"}, {"rule_id": "governance.x"}, {"rule_id": " "}):
+        with pytest.raises(ValueError):
+            gates.dedup_findings(f.withColumns({k: F.lit(v) for k, v in bad.items()}), f, "seq")
 
 
 WHEN = [

@@ -176,3 +176,46 @@ def test_appends_are_gated_anew_when_the_head_moves(spark, tmp_path):
     with pytest.raises(ledger.HeadConflict):
         ledger.append_gated(mine, proposed(spark, ("d", "v")), never, "id", attempts=2)
     assert store.head() == 5 and store.claims().where("id = 'd'").count() == 0
+
+
+def test_long_lineages_by_doubling(spark):
+    n = 10_000
+    versions = spark.range(n).selectExpr("concat('v', id) AS id", "CASE WHEN id > 0 THEN concat('v', id - 1) END AS parent_id").repartition(4)
+    got = ledger.lineage(spark, versions, f"v{n - 1}", small=0)
+    assert got.count() == n and got.where("id <> concat('v', position)").isEmpty()
+    every = ledger.lineages(versions)
+    assert every.count() == n and every.where("root <> 'v0' OR id <> concat('v', depth)").isEmpty()
+    assert [tuple(r) for r in ledger.lineage(spark, versions, "v2").orderBy("position").collect()] == [("v0", 0), ("v1", 1), ("v2", 2)]
+
+
+def test_lineages_of_odd_versions(spark):
+    rows = [("a", "gone"), ("b", "a"), ("c", None), ("d", "b")]
+    v = spark.createDataFrame(rows, "id string, parent_id string")
+    for small in (0, 100):
+        walk = lambda leaf: [r.id for r in ledger.lineage(spark, v, leaf, small).orderBy("position").collect()]  # noqa: B023, E731
+        assert walk("d") == ["a", "b", "d"] and walk("c") == ["c"] and walk("never") == []
+    assert sorted(map(tuple, ledger.lineages(v).collect())) == [("a", "a", 0), ("b", "a", 1), ("c", "c", 0), ("d", "a", 2)]
+    assert ledger.lineages(v.limit(0)).count() == 0
+    ring = spark.createDataFrame([("a", "c"), ("b", "a"), ("c", "b"), ("x", None)], "id string, parent_id string")
+    for call in (lambda: ledger.lineage(spark, ring, "a", 0), lambda: ledger.lineage(spark, ring, "a"), lambda: ledger.lineages(ring)):
+        with pytest.raises(ValueError, match="cycle"):
+            call()
+
+
+def test_events_are_taken_in_order(spark):
+    rows = [
+        ("s", 1, "a", 1, "da", None, 1),
+        ("s", 1, "b", 3, "db", "da", 2),  # a gap
+        ("s", 1, "b", 2, "db", "da", 3),
+        ("s", 1, "a", 1, "da", None, 4),  # sent again
+        ("s", 1, "a", 3, "other", "db", 5),  # the id with something else
+        ("s", 1, "c", 3, "dc", "wrong", 6),
+        ("s", 1, "c", 3, "dc", "db", 7),
+        ("s", 2, "d", 2, "dd", "dc", 8),  # an epoch begins at 1
+        ("s", 2, "d", 1, "dd", "anything", 9),
+        ("t", 1, "a", 1, "x", None, 10),
+    ]
+    e = spark.createDataFrame(rows, "source string, epoch int, event_id string, sequence int, digest string, prior_digest string, arrival long").repartition(3)
+    acks = [r.ack for r in ledger.accept_events(e).orderBy("arrival").collect()]
+    assert acks == ["accepted", "refused", "accepted", "replayed", "mismatch", "refused", "accepted", "refused", "accepted", "accepted"]
+    assert ledger.accept_events(e.limit(0)).count() == 0

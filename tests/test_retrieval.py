@@ -93,8 +93,8 @@ def test_access_and_bindings(spark):
     assert see(Principal(2)) == []
     assert see(Principal(2, ["eu", "us"])) == ["s1"]
     assert see(Principal(9, all_compartments=True)) == ["s1", "s2"]
-    b = [Binding("c1", prefix="a%"), Binding("c2"), Binding("c3", prefix="zzz", content_hash="h"), Binding("c4", prefix="a", media_type="n")]
-    assert sorted((r.source_id, r.collection) for r in access.matched_collections(df, b).collect()) == [("s1", "c3"), ("s2", "c1"), ("s2", "c4")]
+    b = [Binding("c1", prefix="a%"), Binding("c2"), Binding("c3", prefix="zzz", content_hashes=["g2", "h"]), Binding("c4", prefix="a", media_types=["x", "n"]), Binding("c5", prefix="")]
+    assert sorted((r.source_id, r.collection) for r in access.matched_collections(df, b).collect()) == [("s1", "c3"), ("s1", "c5"), ("s2", "c1"), ("s2", "c4"), ("s2", "c5")]
 
 
 PUB = "id string, document_id string, collection string, effective_from string, effective_until string, published_at string, state string"
@@ -286,11 +286,20 @@ def test_verification(spark):
     s = spark.createDataFrame([(1, "d/1", "so the quick\n brown fox ran")], "answer_id int, path string, text string")
     assert sorted(r.quote for r in verification.check_quotes(a, s).collect()) == ["The Quick brown fox", "a made up sentence"]
     assert sorted(r.path for r in verification.check_citations(a, s).collect()) == ["d/2", "one two/x y"]
-    cells = spark.createDataFrame([("t", 1, "7")], "evidence_id string, row long, value string")
-    assert [r.state for r in verification.check_cells(a, cells).collect()] == ["ok"]
-    assert [r.state for r in verification.check_cells(a, cells.withColumn("value", F.lit("9"))).collect()] == ["value_differs"]
-    r = spark.range(1).select(verification.redacted(F.lit('{"token": "abc", "q": 1}')).alias("r")).first()
-    assert r.r == '{"token": "[redacted]", "q": 1}'
+    cells = spark.createDataFrame([("t", "r2", " 1 "), ("t", "r2", "north"), ("t", "r#3", "5")], "evidence_id string, row_id string, value string")
+    block = lambda body, end="```": (1, f"so ```assertions {body} {end} and")
+    faults = lambda *rows: sorted((r.fault, r.ref) for r in verification.check_assertions(spark.createDataFrame(rows, "answer_id int, answer string"), cells).collect())
+    assert faults(block('[{"value": "10", "evidence_refs": ["evidence/t#r2"]}]')) == [("not_in_row", "evidence/t#r2")]
+    assert faults(block('[{"value": "1", "evidence_refs": ["evidence/t#r2"]}, {"value": "5", "evidence_refs": ["evidence/t#r#3"]}]')) == []
+    assert faults(block('[{"value": "9", "evidence_refs": ["evidence/t#r2", "evidence/t#r9"]}]')) == [("not_served", "evidence/t#r9")]
+    assert faults(block('[{"value": "9", "evidence_refs": []}]')) == [("no_evidence", None)]
+    assert faults(block('[{"value": "9", "evidence_refs": ["evidence/t", "x/t#1"]}]')) == [("not_a_reference", "evidence/t"), ("not_a_reference", "x/t#1")]
+    assert faults(block("[{", "")) == [("unclosed", None)] and faults(block("[{")) == [("unparsed", None)] and faults((1, "none")) == []
+    cited = spark.createDataFrame([(1, "a [evidence/t#r2] b evidence/t#r8 [ evidence/t#r9 ] [evidence/u#r2] [evidence/t]")], "answer_id int, answer string")
+    assert sorted(r.ref for r in verification.check_evidence_citations(cited, cells).collect()) == ["evidence/t#r9", "evidence/u#r2"]
+    show = lambda x, secret=False, cap=20: spark.range(1).select(verification.logged_body(F.lit(x), cap, F.lit(secret)).alias("r")).first().r
+    assert show('{"a": 1}') == '{"a": 1}' and show("") is None and show("x", True) == '{"redacted":"response contains secret material; not stored"}'
+    assert show("plain").startswith('{"bytes_len":5,"sha256":"') and show('{"password": "s3cret-and-long"}').startswith('{"bytes_len":31,')
 
 
 def test_provider_usage(spark):
