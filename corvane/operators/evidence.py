@@ -324,6 +324,66 @@ def fit_budget(passages: DataFrame, budget: int, group: str = "layer") -> DataFr
     return passages.withColumn("used", F.sum("length").over(run)).where(F.col("used") <= budget)
 
 
+def plan_outcomes(layers: DataFrame) -> DataFrame:
+    """``turn, place, layer, satisfied, refusal_code``: what became of each layer of many turns' plans that ran.
+
+    ``layers``: ``turn, place, layer, requirement`` (required, supporting or fallback) ``, produced, refusal_code``. All layers run whatever the others did, but a
+    fallback only if nothing before it produced evidence; one that was passed over has no outcome.
+    """
+    before = Window.partitionBy("turn").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    had = F.coalesce(F.max(F.coalesce("produced", F.lit(False))).over(before), F.lit(False))
+    ran = layers.withColumn("had", had).where("requirement <> 'fallback' OR NOT had")
+    got = F.coalesce("produced", F.lit(False))
+    return ran.select("turn", "place", "layer", got.alias("satisfied"), F.when(~got, F.coalesce("refusal_code", F.lit("unavailable"))).alias("refusal_code"))
+
+
+def plan_decisions(layers: DataFrame) -> DataFrame:
+    """``turn, layers, completeness_available, disclosed_conflicts, failed_layer, failed_code`` of each turn's plan.
+
+    ``layers`` as in :func:`plan_outcomes`, with ``complete`` (what it produced can vouch for being all) and ``counted`` (the value of a count, else
+    null). Conflicts are the pairs of layers that count differently. The first required layer without evidence, if there is one, refuses the turn.
+    """
+    ran = plan_outcomes(layers).join(layers.select("turn", "place", "requirement", "complete", "counted"), ["turn", "place"])
+    value = F.when(F.col("satisfied"), F.col("counted"))
+    # a value that m of n layers count is no conflict in m * (m - 1) / 2 of all pairs
+    alike = ran.groupBy("turn", value.alias("v")).agg(F.count(value).alias("m")).groupBy("turn").agg(((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).cast("long").alias("disclosed_conflicts"))
+    failed = F.min(F.when((F.col("requirement") == "required") & ~F.col("satisfied"), F.struct("place", "layer", "refusal_code")))
+    each = ran.groupBy("turn").agg(
+        F.count(F.lit(1)).alias("layers"), F.coalesce(F.max(F.col("satisfied") & F.coalesce("complete", F.lit(False))), F.lit(False)).alias("completeness_available"), failed.alias("f")
+    )
+    return each.join(alike, "turn").select("turn", "layers", "completeness_available", "disclosed_conflicts", F.col("f.layer").alias("failed_layer"), F.col("f.refusal_code").alias("failed_code"))
+
+
+def compose_layers(items: DataFrame, layers: DataFrame, budget: int) -> DataFrame:
+    """``turn, place, layer, state, kept, used``: how much of each layer goes into a turn's context.
+
+    ``items``: ``turn, layer, ordinal, length`` as rendered; ``layers``: ``turn, layer, place, budget, preserve``. Layers take their room in order: what is
+    left of the profile's budget, or their own if that is less. One that fits is ``whole``; one to be preserved is whole or ``dropped``; of others the longest
+    run of first items that fits is kept (``partial``). Layers without items take no part. A turn has as many items as its search returned.
+    """
+    lengths = items.groupBy("turn", "layer").agg(F.array_sort(F.collect_list(F.struct("ordinal", "length"))).alias("x"))
+    sums = F.aggregate(
+        "x",
+        F.expr("cast(array() as array<bigint>)"),
+        lambda a, x: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0).cast("long")) + x["length"])),
+    )
+    plan = lengths.select("turn", "layer", sums.alias("sums")).join(layers.select("turn", "layer", "place", F.col("budget").cast("long").alias("own"), "preserve"), ["turn", "layer"])
+    listed = plan.groupBy("turn").agg(F.array_sort(F.collect_list(F.struct("place", "layer", "own", "preserve", "sums"))).alias("l"))
+    kind = "array<struct<place: int, layer: string, state: string, kept: int, used: bigint>>"
+
+    def take(a: Column, x: Column) -> Column:
+        room = F.least(a["left"], F.coalesce(x["own"], a["left"]))
+        total = F.element_at(x["sums"], F.lit(-1))
+        fits = F.when(total <= room, F.size(x["sums"])).when(F.coalesce(x["preserve"], F.lit(False)), 0).otherwise(F.size(F.filter(x["sums"], lambda c: c <= room)))
+        used = F.when(fits > 0, F.element_at(x["sums"], F.greatest(fits, F.lit(1)))).otherwise(0)
+        state = F.when(fits == 0, "dropped").when(fits == F.size(x["sums"]), "whole").otherwise("partial")
+        one = F.struct(x["place"].cast("int").alias("place"), x["layer"].alias("layer"), state.alias("state"), fits.cast("int").alias("kept"), used.cast("long").alias("used"))
+        return F.struct((a["left"] - used).cast("long").alias("left"), F.concat(a["out"], F.array(one)).alias("out"))
+
+    start = F.struct(F.lit(budget).cast("long").alias("left"), F.array().cast(kind).alias("out"))
+    return listed.select("turn", F.explode(F.aggregate("l", start, take, lambda a: a["out"])).alias("o")).select("turn", "o.*")
+
+
 def observations_to_claims(batch: DataFrame) -> DataFrame:
     """Typed observations as claims; one with several candidates for its entity is ambiguous and left out."""
     return batch.where(F.size("entity_candidates") == 1).select(

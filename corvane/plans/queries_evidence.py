@@ -134,6 +134,47 @@ def context_fit(spark, d):
     return evidence.fit_budget(p, 900)
 
 
+_PLAN = """SELECT conv_id AS turn, role AS layer, CASE role WHEN 'system' THEN 1 WHEN 'user' THEN 2 ELSE 3 END AS place, CASE WHEN conv_id % 2 = 0 AND role <> 'user' THEN 150 END AS budget,
+    conv_id % 3 = 0 AND role = 'user' AS preserve FROM {conversations} GROUP BY conv_id, role"""
+
+
+@query(
+    "compose_layers",
+    f"""WITH RECURSIVE l AS ({_PLAN.format(conversations="conversations")}), i AS (SELECT conv_id AS turn, role AS layer, sum(length(text)) OVER (PARTITION BY conv_id, role ORDER BY turn) AS s FROM conversations),
+        p AS MATERIALIZED (SELECT l.*, row_number() OVER (PARTITION BY turn ORDER BY place) AS k, (SELECT list(s ORDER BY s) FROM i WHERE i.turn = l.turn AND i.layer = l.layer) AS sums FROM l),
+        go AS (SELECT turn, CAST(0 AS BIGINT) AS k, CAST(400 AS BIGINT) AS lft, NULL::INT AS place, NULL::VARCHAR AS layer, NULL::VARCHAR AS state, NULL::INT AS kept, NULL::BIGINT AS used FROM (SELECT DISTINCT turn FROM p)
+            UNION ALL SELECT turn, k, CAST(lft - used AS BIGINT), place, layer, CASE WHEN kept = 0 THEN 'dropped' WHEN kept = n THEN 'whole' ELSE 'partial' END, kept, used FROM (
+                SELECT *, CAST(CASE WHEN kept = 0 THEN 0 ELSE sums[kept] END AS BIGINT) AS used FROM (
+                    SELECT p.turn, p.k, g.lft, p.place, p.layer, p.sums, len(sums) AS n, CAST(CASE WHEN sums[len(sums)] <= least(g.lft, coalesce(budget, g.lft)) THEN len(sums) WHEN preserve THEN 0
+                        ELSE len(list_filter(sums, lambda c: c <= least(g.lft, coalesce(budget, g.lft)))) END AS INT) AS kept
+                    FROM go g JOIN p ON p.turn = g.turn AND p.k = g.k + 1)))
+        SELECT turn, place, layer, state, kept, used FROM go WHERE k > 0""",
+)
+def compose_layers(spark, d):
+    """Conversations as turns, their roles as layers, some of which are to be preserved and don't fit."""
+    c = table(spark, d, "conversations")
+    items = c.select(F.col("conv_id").alias("turn"), F.col("role").alias("layer"), F.col("turn").alias("ordinal"), F.length("text").cast("long").alias("length"))
+    return evidence.compose_layers(items, spark.sql(_PLAN, conversations=c), 400)
+
+
+_STEPS = """SELECT o_custkey AS turn, o_orderkey AS place, CONCAT('layer', CAST(o_orderkey % 5 AS STRING)) AS layer, CASE o_orderkey % 3 WHEN 0 THEN 'required' WHEN 1 THEN 'fallback' ELSE 'supporting' END AS requirement,
+    o_orderkey % 7 <> 0 AS produced, CASE WHEN o_orderkey % 2 = 0 THEN 'policy_denied' END AS refusal_code, o_orderkey % 11 = 0 AS complete, CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey % 8 END AS counted FROM {orders}"""
+
+
+@query(
+    "plan_decisions",
+    f"""WITH s AS ({_STEPS.format(orders="orders")}), h AS (SELECT *, coalesce(bool_or(produced) OVER (PARTITION BY turn ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS had FROM s),
+        r AS (SELECT * FROM h WHERE requirement <> 'fallback' OR NOT had),
+        c AS (SELECT a.turn, count(*) AS n FROM r a JOIN r b ON a.turn = b.turn AND a.place < b.place WHERE a.produced AND b.produced AND a.counted <> b.counted GROUP BY 1),
+        f AS (SELECT turn, layer, coalesce(refusal_code, 'unavailable') AS code FROM r WHERE requirement = 'required' AND NOT produced QUALIFY row_number() OVER (PARTITION BY turn ORDER BY place) = 1)
+        SELECT g.*, coalesce(n, 0) AS disclosed_conflicts, f.layer AS failed_layer, f.code AS failed_code
+        FROM (SELECT turn, count(*) AS layers, bool_or(produced AND complete) AS completeness_available FROM r GROUP BY turn) g LEFT JOIN c ON c.turn = g.turn LEFT JOIN f ON f.turn = g.turn""",
+)
+def plan_decisions(spark, d):
+    """Customers as turns, their orders as the layers of their plans."""
+    return evidence.plan_decisions(spark.sql(_STEPS, orders=table(spark, d, "orders")))
+
+
 def _context_sql(pin: str | None, scope: str | None, budget: int | None) -> str:
     """All six sections, the four levels of digests, and facts trimmed at the last of them."""
     seen = f" WHERE seq <= {pin}" if pin else ""
