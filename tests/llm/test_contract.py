@@ -25,6 +25,8 @@ COLUMNS = {
     "op7_ngram_jaccard": {"doc_id": "bigint", "class_id": "bigint", "n_links": "bigint"},
     "op8_toxicity": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
     "op9_quality": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
+    "op12_pitman_yor": {"doc_id": "bigint", "held_out": "boolean", "n_tokens": "bigint", "n_known": "bigint", "train_tokens": "bigint", "base_score": "double", "score": "double"},
+    "op13_vector_codes": {"vec_id": "bigint", "code": "string", "error": "bigint", "label_error": "bigint", "codebooks_sha256": "string"},
     "op10_sharding": {"doc_id": "bigint", "size": "bigint", "text_crc32": "bigint", "law": "string", "shard": "int", "slot": "bigint", "grown_shard": "int"},
 }
 
@@ -38,14 +40,21 @@ def test_columns(spark, name):
     out = entry.queries()[name](spark, SF)
     kinds = dict(out.dtypes)
     assert {k: kinds.get(k) for k in COLUMNS[name]} == COLUMNS[name]
-    table = "pages" if "page_id" in kinds else "documents"
-    key = "page_id" if table == "pages" else "doc_id"
+    key = next(k for k in ("page_id", "vec_id", "doc_id") if k in kinds)
+    table = {"page_id": "pages", "vec_id": "embeddings", "doc_id": "documents"}[key]
     ids = Counter(r[0] for r in out.select(key).collect())
     assert set(ids) == {r[key] for r in rows(table)}
     if name != "op6_packing":
         assert set(ids.values()) == {1}
 
 
+def test_collocation_columns(spark):
+    out = entry.queries()["op11_collocations"](spark, SF)
+    assert dict(out.dtypes) == {"lang": "string", "rank": "bigint", "phrase": "string", **{k: "bigint" for k in ("a", "l", "r", "n", "score")}}
+    rows = out.collect()
+    assert rows and all(r.a >= 30 and 2 <= len(r.phrase.split(" ")) <= 4 for r in rows)
+
+
 def test_held_out_rows(spark):
     for name, m, r in (("op8_toxicity", 3, 1), ("op9_quality", 4, 2)):
         for x in entry.queries()[name](spark, SF).collect():
