@@ -10,6 +10,7 @@ from corvane.functions import text as tx
 from corvane.functions.vectors import cosine_distance, embed, in_blocks, nearest_of
 from corvane.operators import corpus, fusion, retrieval
 from corvane.operators.ann import build_cells
+from corvane.operators.graph import build_graph_index
 from corvane.operators.retrieval import Demotion, RetrievalSpec
 from corvane.plans.inputs import ctes, derived, document_index, table
 from corvane.plans.registry import query
@@ -110,6 +111,15 @@ def vector_cells(spark, d):
     return in_blocks(lambda some: index.search(some, 10, probes=12), asked)
 
 
+@query("vector_graph")
+def vector_graph(spark, d):
+    """The same queries over a neighbour graph: approximate, its recall held against the exact answer in the tests."""
+    vectors = table(spark, d, "embeddings")
+    path = f"{shared_dir(spark)}/corvane/{spark.sparkContext.applicationId}/graph-{uuid.uuid4().hex}"
+    found = build_graph_index(vectors, path).search(vectors.where("vec_id % 100 = 0").select("vec_id", "embedding"), 10)
+    return found.select("query_id", "id", F.round("distance", 5).alias("distance"), "rank")
+
+
 _STOP = ", ".join(f"'{w}'" for w in tx.STOP_WORDS)
 
 
