@@ -442,6 +442,23 @@ def stream_idempotent(spark, d):
     return out.groupBy("idempotency_key").agg(F.count(F.lit(1)).alias("bodies"))
 
 
+@query(
+    "stream_acknowledged",
+    f"""{ctes("interactions")}, r AS (SELECT uid || '-' || CAST(id % 5 AS VARCHAR) AS k, CAST(id AS VARCHAR) AS request_id, md5(method) AS h, created_at FROM interactions),
+        f AS (SELECT *, row_number() OVER w AS n, first_value(h) OVER w AS first FROM r WINDOW w AS (PARTITION BY k ORDER BY created_at, request_id))
+        SELECT k AS idempotency_key, CASE WHEN n = 1 THEN 'accepted' WHEN h = first THEN 'replayed' ELSE 'refused' END AS ack, count(*) AS n FROM f GROUP BY 1, 2""",
+)
+def stream_acknowledged(spark, d):
+    """Answers of a keyed state to requests, some with the key of another."""
+    log = derived(spark, d, "interactions").select(
+        F.concat("uid", F.lit("-"), (F.col("id") % 5).cast("string")).alias("idempotency_key"), F.col("id").cast("string").alias("request_id"), F.md5("method").alias("body_hash"),
+        F.col("created_at").cast("timestamp").alias("created_at"),
+    )
+    stream, at = _stream(spark, d, log, 1)
+    out = streams.run_available(streams.acknowledged(stream, 400 * 86_400_000), f"{at}/out", f"{at}/state", rocksdb=True)
+    return out.groupBy("idempotency_key", "ack").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "stream_gated_append",
     f"""{ctes("interactions")} SELECT uid, count(*) AS n FROM interactions WHERE status < 400 GROUP BY uid""",

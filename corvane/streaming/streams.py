@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.listener import StreamingQueryListener
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -39,6 +41,58 @@ def conflicts(requests: DataFrame) -> DataFrame:
     return requests.groupBy("idempotency_key").agg(F.countDistinct("body_hash").alias("bodies")).where("bodies > 1")
 
 
+ACKNOWLEDGED = "idempotency_key string, request_id string, body_hash string, ack string"
+
+
+class _Acknowledge(StatefulProcessor):
+    """Of each key the body that was first, until a timer forgets it."""
+
+    def __init__(self, keep_ms: int):
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.first = handle.getValueState("first", "body_hash string, until long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        known = self.first.get() if self.first.exists() else None
+        out = []
+        for r in pd.concat(list(rows)).sort_values(["created_at", "request_id"], kind="stable").itertuples(index=False):
+            at = int(r.created_at.timestamp() * 1000)
+            if known is None or at >= known[1]:
+                if known is not None:
+                    self.handle.deleteTimer(known[1])
+                known = (r.body_hash, at + self.keep_ms)
+                self.first.update(known)
+                self.handle.registerTimer(known[1])
+                ack = "accepted"
+            else:
+                ack = "replayed" if r.body_hash == known[0] else "refused"
+            out.append((key[0], r.request_id, r.body_hash, ack))
+        yield pd.DataFrame(out, columns=["idempotency_key", "request_id", "body_hash", "ack"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        if self.first.exists() and self.first.get()[1] <= expiredTimerInfo.getExpiryTimeInMs():
+            self.first.clear()
+        yield pd.DataFrame([], columns=["idempotency_key", "request_id", "body_hash", "ack"])
+
+    def close(self) -> None:
+        pass
+
+
+def acknowledged(requests: DataFrame, keep_ms: int = 86_400_000, late: str = "1 hour") -> DataFrame:
+    """An answer for each request (``idempotency_key, request_id, body_hash, created_at``): ``accepted``, ``replayed``, or ``refused`` for a key that was used with another body.
+
+    A key is remembered for ``keep_ms`` after the request that was accepted; then it may be used anew, and once the watermark has passed that time
+    its state is dropped by a timer. Run it with ``run_available(..., rocksdb=True)``: this kind of state is kept in RocksDB alone.
+    """
+    return (
+        requests.withWatermark("created_at", late)
+        .groupBy("idempotency_key")
+        .transformWithStateInPandas(_Acknowledge(keep_ms), ACKNOWLEDGED, "append", "EventTime")
+    )
+
+
 RESERVED = "budget string, id string, event string, held long, settled long"
 
 
@@ -95,18 +149,35 @@ def gated_append(stream: DataFrame, gate: Callable[[DataFrame], DataFrame], path
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
+@contextmanager
+def _state_store(spark: SparkSession, rocksdb: bool) -> Iterator[None]:
+    """While a stream starts, its state goes to RocksDB; the session is as before afterwards."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    if rocksdb:
+        spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        if rocksdb:
+            spark.conf.set(key, before) if before else spark.conf.unset(key)
+
+
+def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", rocksdb: bool = False) -> DataFrame:
     """Runs a stream over what is there now into Parquet, and reads the result."""
+    spark = stream.sparkSession
     if mode == "append":
-        q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        writer = stream.writeStream.format("parquet").option("path", path)
     else:
 
         def write(batch: DataFrame, _: int) -> None:
             batch.write.mode("overwrite").parquet(path)
 
-        q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+        writer = stream.writeStream.outputMode(mode).foreachBatch(write)
+    with _state_store(spark, rocksdb):
+        q = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
 
 
 class Progress(StreamingQueryListener):
