@@ -168,7 +168,7 @@ DERIVED = {
     "lex": """
         SELECT lang AS pool, CONCAT('d', CAST(doc_id AS STRING)) AS chunk_id, CAST(n_chars AS DOUBLE) AS score, doc_id % 2 = 0 AS is_probe,
                CONCAT('dom', CAST(doc_id % 3 AS STRING)) AS domain
-        FROM documents WHERE text LIKE '%the%'""",
+        FROM documents""",
     "vec": """
         SELECT lang AS pool, CONCAT('d', CAST(doc_id AS STRING)) AS chunk_id, CAST((n_chars * 7919) % 1009 AS DOUBLE) / 1009 AS score, doc_id % 2 = 0 AS is_probe,
                CONCAT('dom', CAST(doc_id % 3 AS STRING)) AS domain

@@ -145,10 +145,13 @@ def gate_similarity(spark, d):
 
 @query(
     "findings_prefix",
-    f"{ctes('findings')} SELECT * FROM findings WHERE starts_with(rule_id, 'rule_R.x_') AND severity = 'warn' AND seq <= 9000",
+    f"{ctes('findings')} SELECT * FROM findings WHERE starts_with(rule_id, 'rule_R.x_') AND severity = 'warn' AND seq <= (SELECT max(seq) // 2 FROM findings)",
 )
 def findings_prefix(spark, d):
-    return gates.findings_view(derived(spark, d, "findings"), rule_prefix="rule_R.x_", severity="warn", as_of_seq=9000)
+    """At half of the head, so that it grows with the table."""
+    findings = derived(spark, d, "findings")
+    half = (findings.agg(F.max("seq")).first()[0] or 0) // 2
+    return gates.findings_view(findings, rule_prefix="rule_R.x_", severity="warn", as_of_seq=half)
 
 
 @query("findings_recent", f"{ctes('findings')} SELECT * FROM findings WHERE severity = 'warn' ORDER BY seq DESC, rule_id DESC, message DESC, scope_path DESC, claim_no DESC LIMIT 1000")
