@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.text import claim_key, normalized_claim, scope_group
+from corvane.session import materialise
 
 
 def tier0(facts: DataFrame) -> DataFrame:
@@ -58,6 +59,7 @@ def tier2(facts: DataFrame) -> DataFrame:
 
 
 def ladder(facts: DataFrame) -> DataFrame:
-    """All tiers."""
+    """All tiers. What the tiers need of the facts is written once, for every tier reads them more than once."""
+    facts = materialise(facts.select("subject", "key", "value", "scope_path", "seq"), "facts")
     tiers = [t(facts).withColumn("tier", F.lit(i)) for i, t in enumerate((tier0, tier1, tier2))]
     return tiers[0].unionByName(tiers[1]).unionByName(tiers[2])

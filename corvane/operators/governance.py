@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.text import value_equality
-from corvane.operators.ledger import HeadConflict
+from corvane.operators.commits import HeadConflict
+from corvane.session import materialise
 
 #: Relations that need the document they point to, and those that amend it.
 NEEDS = ("requires", "amends", "applies-to", "exception-to")
@@ -45,7 +46,9 @@ def governing_publications(publications: DataFrame, relations: DataFrame, day: s
         .groupBy("document_id")
         .agg(F.countDistinct("id").alias("ties"), F.min_by(F.struct("id", "state", "effective_until", *place), "id").alias("x"))
     )
-    now = relations.where(active(at)).select("from_document", "to_document", "kind")
+    # each is read by several of the questions below
+    top = materialise(top, "latest")
+    now = materialise(relations.where(active(at)).select("from_document", "to_document", "kind"), "relations")
     standing = (F.col("x.state") != "withdrawn") & (F.col("x.effective_until").isNull() | (F.col("x.effective_until") > at))
     known = top.select("document_id", standing.alias("stands"))
     ends = now.where("kind = 'supersedes'").join(known.where("stands").select(F.col("document_id").alias("from_document")), "from_document", "left_semi")
