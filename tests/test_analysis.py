@@ -9,6 +9,7 @@ from corvane.functions.analyzer import analyze, stem, tokens
 from corvane.functions.canonical import canonical_json
 from corvane.functions.vectors import blend, local_embed, nearest, nearest_of
 from corvane.operators import fusion, orchestration, retrieval
+from corvane.operators.access import Principal
 from corvane.operators.index import build_collection_index, open_index, write_search_index
 from corvane.operators.retrieval import RetrievalSpec
 
@@ -178,3 +179,29 @@ def test_bindings_move_only_from_what_was_expected(spark):
     assert [r.artifact for r in orchestration.publish_if(b, "x", "a2", "a1").collect()] == ["a2"]
     with pytest.raises(ValueError):
         orchestration.publish_if(b, "x", "a2", "a0")
+
+
+def test_a_source_in_two_collections_is_two_chunks(spark, tmp_path):
+    index = indexed(spark, tmp_path, [("a", "s#0", "red fox"), ("b", "s#0", "red fox"), ("b", "t#0", "blue sea")])
+    found = retrieval.hybrid_search(index, "red fox").collect()
+    assert sorted((r.collection, r.chunk_id) for r in found) == [("a", "s#0"), ("b", "s#0"), ("b", "t#0")]
+    assert {(r.collection, r.lexical_rank) for r in found if r.chunk_id == "s#0"} == {("a", 1), ("b", 2)}
+
+
+def test_governed_queries(spark, tmp_path):
+    odd = "dir/a,b.txt#0"
+    index = indexed(spark, tmp_path, [("a", odd, "red fox"), ("b", odd, "red fox runs"), ("b", "t#0", "red sea")])
+    governed = spark.createDataFrame([("a", odd, "one"), ("b", odd, "two"), ("b", "t#0", "three")], "collection string, chunk_id string, document_id string").withColumns(
+        {"level": F.lit(0), "compartments": F.expr("cast(array() as array<string>)")}
+    )
+    kind = "id string, document_id string, collection string, effective_from date, effective_until date, published_at long, state string"
+    publish = lambda *rows: spark.createDataFrame([(f"p{i}", d, c, None, None, n, "published") for i, (d, c, n) in enumerate(rows)], kind).withColumn("effective_from", F.to_date(F.lit("2024-01-01")))
+    relations = spark.createDataFrame([], "from_document string, to_document string, kind string, effective_from date, effective_until date")
+    clear = publish(("one", "law", 1), ("two", "law", 1), ("three", "other", 1))
+    ask = lambda pubs, **more: sorted((r.collection, r.chunk_id) for r in orchestration.governed_query(index, governed, pubs, relations, Principal(1), "2025-01-01", "red fox", 100, **more).collect())
+    assert ask(clear) == [("a", odd), ("b", odd), ("b", "t#0")]
+    # two publications of one document at once: which of them governs isn't decided, so nothing is answered
+    unclear = publish(("one", "law", 1), ("one", "law", 1), ("two", "law", 1), ("three", "other", 1))
+    assert ask(unclear) == []
+    other = spark.createDataFrame([("other",)], "collection string")
+    assert ask(unclear, policies=other) == [("b", "t#0")]
