@@ -345,7 +345,7 @@ def cell_check(spark, d):
 
 @query(
     "evidence_citation_check",
-    f"""{_A}, x AS (SELECT DISTINCT answer_id, trim(t) AS ref FROM (SELECT answer_id, unnest(regexp_extract_all(answer, '\[([^\]]*)\]', 1)) AS t FROM a))
+    rf"""{_A}, x AS (SELECT DISTINCT answer_id, trim(t) AS ref FROM (SELECT answer_id, unnest(regexp_extract_all(answer, '\[([^\]]*)\]', 1)) AS t FROM a))
         SELECT answer_id, ref FROM x WHERE regexp_matches(ref, '^evidence/[^#]+#.') AND NOT EXISTS (SELECT 1 FROM c WHERE 'evidence/' || c.evidence_id || '#' || c.row_id = ref)""",
 )
 def evidence_citation_check(spark, d):

@@ -70,7 +70,7 @@ def records(name):
 
 def test_nothing_is_left_untested():
     names = set(QUERIES) - set(SQL)
-    here = {"chunk_build", "chunk_embeddings", "chunk_locations", "english_lexemes", "structured_tokens", "gate_similarity", "gates_previous_text", "stream_reservations", "vector_cells"}
+    here = {"chunk_build", "chunk_embeddings", "chunk_locations", "english_lexemes", "structured_tokens", "gate_similarity", "gates_previous_text", "stream_reservations", "vector_cells", "vector_graph"}
     assert {n for n in names if not n.startswith("op") and n != "pipeline"} == here
 
 
@@ -155,10 +155,11 @@ def test_reservations_by_a_plain_loop(spark, duck):
     assert Counter(map(tuple, QUERIES["stream_reservations"](spark, DIR).collect())) == want
 
 
-def test_cells_find_nine_of_ten_neighbours(spark):
+@pytest.mark.parametrize("name", ["vector_cells", "vector_graph"])
+def test_nine_of_ten_neighbours_are_found(spark, name):
     for d in (DIR, "/root/testdata/sf0.01", "/root/testdata/sf0.1"):
         exact = {(r.query_id, r.id) for r in QUERIES["vector_topk"](spark, d).collect()}
-        found = {(r.query_id, r.id) for r in QUERIES["vector_cells"](spark, d).collect()}
+        found = {(r.query_id, r.id) for r in QUERIES[name](spark, d).collect()}
         assert len(exact & found) >= 0.9 * len(exact) and len(found) == len(exact)
 
 
