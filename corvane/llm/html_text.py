@@ -220,11 +220,21 @@ def _said(e: Element) -> _Said:
     return out
 
 
+#: Words that make the name of a wrapper of one with a bad word in it.
+WRAPPED = frozenset("content page main site body layout post article story entry".split())
+
+
+def _wraps(x: _Said) -> bool:
+    """Whether an element's names, where they have a bad word, say something of the page besides."""
+    bad = [parts for _, parts in x.named if BAD_NAMES.intersection(parts)]
+    return all(any(p in WRAPPED or (p not in BAD_NAMES and p not in HELPERS and p.isalpha()) for p in parts) for parts in bad)
+
+
 def _spared(elements: list[Element], said: list[_Said], blocks: list[Block]) -> set[int]:
     """Numbers of elements that no name and no form makes boilerplate, for they hold the page's text.
 
     That are the elements around the largest article that isn't a reader's comment, if it holds a quarter of the page's running text,
-    or else those around ``main``, and inside of either those with most of its text; on a page with neither, those with most of
+    or else those around ``main``, and inside of either those with most of its text whose names aren't those of a box alone; on a page with neither, those with most of
     the page's text. What readers wrote is never spared.
     """
     number = {id(e): i for i, e in enumerate(elements)}
@@ -251,7 +261,7 @@ def _spared(elements: list[Element], said: list[_Said], blocks: list[Block]) ->
     for i in range(top, len(elements)):
         e = elements[i]
         inside[i] = i == top or (e.parent is not None and inside[number[id(e.parent)]])
-        if inside[i] and 2 * e.mass > elements[top].mass and not readers[i]:
+        if inside[i] and 2 * e.mass > elements[top].mass and not readers[i] and _wraps(said[i]):
             out.add(i)
     e = elements[top]
     while e is not None:
