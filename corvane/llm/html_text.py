@@ -261,7 +261,7 @@ def _spared(elements: list[Element], said: list[_Said], blocks: list[Block]) ->
     for i in range(top, len(elements)):
         e = elements[i]
         inside[i] = i == top or (e.parent is not None and inside[number[id(e.parent)]])
-        if inside[i] and 2 * e.mass > elements[top].mass and not readers[i] and _wraps(said[i]):
+        if inside[i] and 2 * e.mass > elements[top].mass and not readers[i] and e.tag != "form" and _wraps(said[i]):
             out.add(i)
     e = elements[top]
     while e is not None:
