@@ -6,13 +6,13 @@ one writer proposes; the accepted facts may be many, so every gate is an equi-jo
 
 from __future__ import annotations
 
-import difflib
 from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.functions.similarity import ratio_at_least
 from corvane.functions.text import claim_key, count_pattern, meta_markers, value_equality
 from corvane.operators.ledger import latest_per_key
 
@@ -151,26 +151,29 @@ def meta_gate(candidates: DataFrame) -> DataFrame:
 
 def similarity_ratio(a: str, b: str) -> float:
     """Twice the matching characters over all characters, ignoring case; two empty texts are equal."""
-    return difflib.SequenceMatcher(None, a.lower(), b.lower(), autojunk=False).ratio()
+    return ratio_at_least(a.lower(), b.lower())
 
 
 def similarity_gate(pairs: DataFrame, least: float = 0.9, keep: Sequence[str] = ("cid",)) -> DataFrame:
     """``pairs``: ``cid, text, previous``. Near repetitions of a previous text, with the columns to ``keep``.
 
-    Pairs whose lengths rule the ratio out are dropped before the comparison. Blank texts are skipped.
+    Pairs whose lengths rule the ratio out are dropped before the comparison, and the others are dealt to all tasks one by one, for they
+    take far longer to compare than to move. Blank texts are skipped.
     """
     n, m = F.char_length("text"), F.char_length("previous")
     possible = pairs.where((F.trim("text") != "") & (F.trim("previous") != "") & (2 * F.least(n, m) >= least * (n + m)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            ratio = [similarity_ratio(x, y) for x, y in zip(b["text"], b["previous"], strict=True)]
-            out = b.assign(ratio=ratio)
-            yield out[out["ratio"] >= least][[*keep, "previous", "ratio"]]
+            ratio = [ratio_at_least(x.lower(), y.lower(), least) for x, y in zip(b["text"], b["previous"], strict=True)]
+            out = b.assign(ratio=pd.Series(ratio, b.index, "float64"))
+            yield out[out["ratio"].notna()][[*keep, "previous", "ratio"]]
 
     kinds = dict(pairs.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in keep)
-    return possible.select(*keep, "text", "previous").mapInPandas(run, f"{schema}, previous string, ratio double")
+    tasks = 4 * pairs.sparkSession.sparkContext.defaultParallelism
+    dealt = possible.select(*keep, "text", "previous").repartition(tasks, *keep, "previous")
+    return dealt.mapInPandas(run, f"{schema}, previous string, ratio double")
 
 
 def repetition_gate(candidates: DataFrame, previous: DataFrame, least: float = SIMILARITY_THRESHOLD) -> DataFrame:
