@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -23,25 +25,89 @@ def money_report(observations: DataFrame) -> DataFrame:
     return per.withColumn("micros", F.col("micros").cast("long"))
 
 
-def applicable_prices(attempts: DataFrame, prices: DataFrame, bin_days: int = 32, most_bins: int = 128) -> DataFrame:
+_KEY = ("provider", "route", "model")
+
+
+def price_spans(prices: DataFrame) -> DataFrame:
+    """``provider, route, model, start, valid_from, valid_until``: from when on which price of a key applies, until the key's next start.
+
+    ``prices`` has a row for each key and validity, with ``order`` for those that begin together, and no null but in ``valid_until``. Where none applies, the validity is null. Prices are swept in the
+    order they begin: a later one goes before those that are valid by then, of which only those that outlive it matter.
+    """
+    names = [*_KEY, "valid_from", "valid_until"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, valid, out, kinds = None, [], [], []
+
+        def put(start, span: tuple) -> None:
+            """Of spans that start together the last one applies."""
+            if out and out[-1][:4] == (*now, start):
+                out.pop()
+            out.append((*now, start, *span))
+
+        def ended(by=None) -> None:
+            """Prices that end by then, or ever, leave; the one below applies from there on."""
+            while valid and valid[-1][1] is not None and (by is None or valid[-1][1] <= by):
+                end = valid.pop()[1]
+                put(end, valid[-1] if valid else (None, None))
+
+        def told(keep: int) -> pa.RecordBatch:
+            columns = list(zip(*out[: len(out) - keep], strict=True)) or [()] * 6
+            del out[: len(out) - keep]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [*_KEY, "start", *names[3:]])
+
+        for b in batches:
+            kinds = [*(b.column(i).type for i in range(4)), b.column(3).type, b.column(4).type]
+            for *key, start, end in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if key != now:
+                    ended()
+                    valid.clear()
+                    now = key
+                ended(start)
+                while valid and (end is None or valid[-1][1] is not None and valid[-1][1] <= end):
+                    valid.pop()
+                valid.append((start, end))
+                put(start, valid[-1])
+            if len(out) > 1:
+                yield told(1)
+        ended()
+        if out:
+            yield told(0)
+
+    kinds = dict(prices.dtypes)
+    lined = prices.select(*names, "order").repartition(*_KEY).sortWithinPartitions(*_KEY, "valid_from", "order").select(*names)
+    schema = [*((k, kinds[k]) for k in _KEY), ("start", kinds["valid_from"]), *((k, kinds[k]) for k in names[3:])]
+    return lined.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in schema))
+
+
+def applicable_prices(attempts: DataFrame, prices: DataFrame, splits: int = 8) -> DataFrame:
     """Each attempt with ``price``, the one valid when it was submitted, or null; of several the newest, then the largest id.
 
-    Provider, route and model are equal. Validity is a range, and models are few. So days are binned, and a price takes
-    part in the bins it touches: an attempt only meets prices of its own bin. Prices without an end, or of many
-    bins, are matched by their key alone.
+    Provider, route and model are equal. Of prices of one key and validity only the largest id can apply. Their spans, which don't
+    overlap, are put among the attempts of the key in the order of time, and an attempt takes the last one before it: no attempt meets more than one price.
+    A key's attempts are dealt to ``splits`` groups, each with all its spans.
     """
-    key = ["provider", "route", "model"]
-    names = [F.col(c) for c in prices.columns if c not in key]
-    day = lambda c: F.floor(F.datediff(F.col(c), F.lit("1970-01-01").cast("date")) / bin_days)
-    p = prices.select(*key, F.struct(*names, *key).alias("price"), "valid_from", "valid_until").withColumn("first", day("valid_from")).withColumn("last", day("valid_until"))
-    short = F.coalesce(F.col("last") - F.col("first") < most_bins, F.lit(False))
-    binned = p.where(short).withColumn("bin", F.explode(F.sequence("first", "last")))
-    asked = attempts.select("id", *key, "submitted_at")
-    hits = asked.withColumn("bin", day("submitted_at")).join(binned, [*key, "bin"]).drop("bin")
-    hits = hits.unionByName(asked.join(p.where(~short), key))
-    hits = hits.where((F.col("submitted_at") >= F.col("valid_from")) & (F.col("valid_until").isNull() | (F.col("submitted_at") < F.col("valid_until"))))
-    best = hits.groupBy("id").agg(F.max_by("price", F.struct("price.valid_from", "price.id")).alias("price"))
-    return attempts.join(best, "id", "left")
+    names = [F.col(c) for c in prices.columns if c not in _KEY]
+    sound = F.col("valid_until").isNull() | (F.col("valid_from") < F.col("valid_until"))
+    p = prices.where(F.col("valid_from").isNotNull() & sound).dropna(subset=list(_KEY)).select(*_KEY, "valid_from", "valid_until", F.struct(*names, *_KEY).alias("price"))
+    best = p.groupBy(*_KEY, "valid_from", "valid_until").agg(F.max_by("price", F.struct("price.id")).alias("price"))
+    validity = [F.col(c) for c in (*_KEY, "valid_from", "valid_until")]
+    of = best.select(F.struct(*validity).alias("of"), "price")
+    spans = price_spans(best.select(*validity, F.col("price.id").alias("order"))).withColumn("of", F.when(F.col("valid_from").isNotNull(), F.struct(*validity)))
+    told = spans.join(of, spans["of"].eqNullSafe(of["of"]), "left").select(*_KEY, "start", "price")
+    at = "__at"
+    marks = told.select(
+        *_KEY, F.explode(F.sequence(F.lit(0), F.lit(splits - 1))).alias("__split"), F.col("start").alias(at), F.struct("price").alias("__span"),
+        F.lit(None).cast(attempts.schema).alias("__attempt"),
+    )
+    asked = attempts.select(
+        *_KEY, F.pmod(F.xxhash64("id"), F.lit(splits)).cast("int").alias("__split"), F.col("submitted_at").alias(at), F.lit(None).cast(marks.schema["__span"].dataType).alias("__span"),
+        F.struct(*attempts.columns).alias("__attempt"),
+    )
+    # a price applies from its first moment on, so it goes before what is submitted then
+    by = Window.partitionBy(*_KEY, "__split").orderBy(at, F.col("__attempt").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = marks.unionByName(asked).withColumn("__span", F.last("__span", ignorenulls=True).over(by)).where("__attempt IS NOT NULL")
+    return found.select(*(F.col(f"__attempt.`{c}`").alias(c) for c in attempts.columns), F.col("__span.price").alias("price"))
 
 
 # What is charged for, and which of it under each basis.

@@ -2,6 +2,7 @@ import base64
 import datetime as dt
 import hashlib
 import math
+import random
 from dataclasses import replace
 
 import numpy as np
@@ -210,6 +211,27 @@ def test_prices_apply_by_route_and_time(spark):
     assert {r.id: r.price and r.price.id for r in money.applicable_prices(a, endless).collect()} == {1: 8, 2: None, 3: 8}
 
 
+def test_prices_that_overlap(spark):
+    """As a plain loop says, nested, endless, empty and equal validities included; an attempt never meets all the prices of its day."""
+    dice = random.Random(3)
+    day = lambda n: dt.date(2020, 1, 1) + dt.timedelta(n)
+    p = [(i, dice.choice("pq"), "r", "m", day(s := dice.randrange(40)), dice.choice([None, *(day(s + n) for n in range(-1, 30))])) for i in range(300)]
+    p += [(900, None, "r", "m", day(1), day(30)), (901, "p", "r", "m", None, day(30))]
+    a = [(i, dice.choice(["p", "q", None]), "r", "m", dice.choice([None, *map(day, range(75))])) for i in range(400)] + [(None, "p", "r", "m", day(20))]
+    prices = spark.createDataFrame(p, "id long, provider string, route string, model string, valid_from date, valid_until date").repartition(3)
+    attempts = spark.createDataFrame(a, "id long, provider string, route string, model string, submitted_at date")
+
+    def plain(x):
+        hits = [(r[4], r[0]) for r in p if None not in (x[1], x[4], r[4]) and r[1] == x[1] and r[4] <= x[4] and (r[5] is None or x[4] < r[5])]
+        return max(hits)[1] if hits else None
+
+    found = money.applicable_prices(attempts, prices)
+    assert found.columns == [*attempts.columns, "price"]
+    assert sorted(((r.id, r.price and r.price.id) for r in found.collect()), key=str) == sorted(((x[0], plain(x)) for x in a), key=str)
+    assert money.applicable_prices(attempts, prices.limit(0)).where("price IS NULL").count() == len(a)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString().split("Window")[0]
+
+
 def test_report_windows():
     assert reports.parse_window("24h") == (86_400, 900)
     with pytest.raises(ValueError):
