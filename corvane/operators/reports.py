@@ -105,11 +105,12 @@ def endpoints(interactions: DataFrame, most: int = 20) -> DataFrame:
 
 
 def sessions_report(sessions: DataFrame, turns: DataFrame, bucket: str = "6 hours") -> DataFrame:
-    """``bucket, opened, turns, active_uids``: sessions opened, turns, and the different users of those turns; empty sides are 0."""
-    opened = sessions.groupBy(F.window("opened_at", bucket)["start"].alias("bucket")).agg(F.count(F.lit(1)).alias("opened"))
-    said = turns.groupBy(F.window("created_at", bucket)["start"].alias("bucket")).agg(F.count(F.lit(1)).alias("turns"), F.countDistinct("uid").alias("active_uids"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return opened.join(said, "bucket", "full_outer").select(F.col("bucket").cast("string").alias("bucket"), zero("opened"), zero("turns"), zero("active_uids"))
+    """``bucket, opened, users, turns, active, active_uids``: sessions opened and their different users; turns, and their different sessions and users. Empty sides are 0."""
+    start = lambda c: F.window(c, bucket)["start"].alias("bucket")
+    opened = sessions.groupBy(start("opened_at")).agg(F.count(F.lit(1)).alias("opened"), F.countDistinct("uid").alias("users"))
+    said = turns.groupBy(start("created_at")).agg(F.count(F.lit(1)).alias("turns"), F.countDistinct("session_id").alias("active"), F.countDistinct("uid").alias("active_uids"))
+    zero = (F.coalesce(c, F.lit(0)).alias(c) for c in ("opened", "users", "turns", "active", "active_uids"))
+    return opened.join(said, "bucket", "full_outer").select(F.col("bucket").cast("string").alias("bucket"), *zero)
 
 
 def evidence_report(metrics: DataFrame) -> DataFrame:

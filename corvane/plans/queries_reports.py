@@ -88,9 +88,10 @@ def endpoints_p95(spark, d):
 @query(
     "sessions_full_outer",
     f"""{ctes("sessions", "turns")},
-        a AS (SELECT time_bucket(INTERVAL '6 hours', opened_at, TIMESTAMP '1970-01-01') AS bucket, count(*) AS opened FROM sessions GROUP BY 1),
-        b AS (SELECT time_bucket(INTERVAL '6 hours', created_at, TIMESTAMP '1970-01-01') AS bucket, count(*) AS turns, count(DISTINCT uid) AS active_uids FROM turns GROUP BY 1)
-        SELECT CAST(bucket AS VARCHAR) AS bucket, coalesce(opened, 0) AS opened, coalesce(turns, 0) AS turns, coalesce(active_uids, 0) AS active_uids
+        a AS (SELECT time_bucket(INTERVAL '6 hours', opened_at, TIMESTAMP '1970-01-01') AS bucket, count(*) AS opened, count(DISTINCT uid) AS users FROM sessions GROUP BY 1),
+        b AS (SELECT time_bucket(INTERVAL '6 hours', created_at, TIMESTAMP '1970-01-01') AS bucket, count(*) AS turns, count(DISTINCT session_id) AS active, count(DISTINCT uid) AS active_uids FROM turns GROUP BY 1)
+        SELECT CAST(bucket AS VARCHAR) AS bucket, coalesce(opened, 0) AS opened, coalesce(users, 0) AS users, coalesce(turns, 0) AS turns,
+               coalesce(active, 0) AS active, coalesce(active_uids, 0) AS active_uids
         FROM a FULL OUTER JOIN b USING (bucket)""",
 )
 def sessions_full_outer(spark, d):

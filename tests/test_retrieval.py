@@ -211,6 +211,15 @@ def test_prices_apply_by_route_and_time(spark):
     assert {r.id: r.price and r.price.id for r in money.applicable_prices(a, endless).collect()} == {1: 8, 2: None, 3: 8}
 
 
+def test_sessions_and_turns_with_users_and_sessions(spark):
+    at = lambda df, c: df.withColumn(c, F.to_timestamp(c))
+    opened = at(spark.createDataFrame([("s1", "u1", "2024-01-01 01:00:00"), ("s2", "u1", "2024-01-01 02:00:00")], "id string, uid string, opened_at string"), "opened_at")
+    said = [("s1", "u1", "2024-01-01 03:00:00"), ("s2", "u1", "2024-01-01 04:00:00"), ("s3", "u2", "2024-01-02 00:00:00")]
+    report = reports.sessions_report(opened, at(spark.createDataFrame(said, "session_id string, uid string, created_at string"), "created_at")).orderBy("bucket")
+    assert report.columns == ["bucket", "opened", "users", "turns", "active", "active_uids"]
+    assert [tuple(r)[1:] for r in report.collect()] == [(2, 1, 2, 2, 1), (0, 0, 1, 1, 1)]
+
+
 def test_prices_that_overlap(spark):
     """As a plain loop says, nested, endless, empty and equal validities included; an attempt never meets all the prices of its day."""
     dice = random.Random(3)
