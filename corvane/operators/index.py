@@ -1,15 +1,18 @@
 """A stored search index: postings, statistics and embeddings of chunks, written once and read by every query.
 
 Postings lie in folders by bucket of the lexeme and are sorted by it within files, so a query reads the row groups of its own
-terms. Embeddings are a column of the chunks. No query tokenises or embeds anything but itself.
+terms. A row of them has a lexeme's chunks of one block of texts, for a row each would take many times the space on its way there. Embeddings are a column of the chunks. No query tokenises or embeds anything but itself.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +20,12 @@ from pyspark.sql import functions as F
 from corvane.functions.text import word_tokens
 from corvane.functions.vectors import embed
 from corvane.operators.corpus import build_chunks, index_id, number_forms
+from corvane.session import small_batches
+
+#: Changes with what the files hold, so that none of another make is read.
+_LAYOUT = 2
+#: Between the ids of a row of postings. In an id it is escaped, and a lone ``%`` is no id.
+_END = "\0"
 
 
 def _bucket(lexeme: Column, buckets: int) -> Column:
@@ -46,7 +55,10 @@ class Index:
 
     def postings(self, lexemes: Sequence[str], collections: Sequence[str] | None = None) -> DataFrame:
         """``lexeme, collection, chunk_id, tf, dl``."""
-        return self._by_lexeme("postings", lexemes, collections)
+        blocks = self._by_lexeme("postings", lexemes, collections)
+        ids = F.transform(F.split("chunk_ids", _END), lambda x: F.nullif(x, F.lit("%")))
+        plain = F.transform(ids, lambda x: F.replace(F.replace(x, F.lit("%00"), F.lit(_END)), F.lit("%25"), F.lit("%")))
+        return blocks.select("lexeme", "collection", F.inline(F.arrays_zip(plain.alias("chunk_id"), "tf", "dl")).alias("chunk_id", "tf", "dl"))
 
     def size(self, collections: Sequence[str] | None = None) -> tuple[int, float]:
         """Chunks, and their mean length in words."""
@@ -110,7 +122,58 @@ def _of(rows: DataFrame, collections: Sequence[str] | None) -> DataFrame:
     return rows if collections is None else rows.where(F.col("collection").isin(list(collections)))
 
 
-def write_search_index(chunks: DataFrame, path: str, buckets: int = 16, splits: int = 4) -> Index:
+def posting_blocks(words: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """``block, lexeme, collection, chunk_ids, tf, dl``: a lexeme's chunks of one collection in each block of about ``most`` words, ids in one text.
+
+    ``words``: ``collection, chunk_id, dl, words``, a row for each chunk. Blocks are made where their texts are; their numbers only serve to deal them.
+    """
+    kind = dict(words.dtypes)
+
+    def block(held: list[pa.RecordBatch], number: int) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(held).combine_chunks()
+        collection = t.column("collection").combine_chunks().dictionary_encode(null_encoding="encode")
+        of = collection.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        # chunks in the order of their collections
+        order = np.argsort(of, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        lists = t.column("words").combine_chunks()
+        lexeme = lists.flatten().dictionary_encode()
+        chunk = place[pc.list_parent_indices(lists).to_numpy()]
+        key, tf = np.unique(lexeme.indices.to_numpy(zero_copy_only=False).astype(np.int64) * len(order) + chunk, return_counts=True)
+        if not len(key):
+            return
+        code, chunk = key // len(order), order[key % len(order)]
+        first = np.flatnonzero((np.diff(code, prepend=-1) != 0) | (np.diff(of[chunk], prepend=-1) != 0))
+        ends = pa.array(np.append(first, len(key)), pa.int32())
+        listed = lambda values: pa.ListArray.from_arrays(ends, values)
+        out = pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.full(len(first), number), pa.int64()), lexeme.dictionary.take(pa.array(code[first])), collection.dictionary.take(pa.array(of[chunk][first])),
+                pc.binary_join(listed(t.column("chunk_id").combine_chunks().take(pa.array(chunk))), _END), listed(pa.array(tf, pa.int32())), listed(t.column("dl").combine_chunks().take(pa.array(chunk))),
+            ],
+            ["block", "lexeme", "collection", "chunk_ids", "tf", "dl"],
+        )
+        for i in range(0, out.num_rows, 5000):
+            yield out.slice(i, 5000)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, n = TaskContext.get().partitionId(), [], 0
+        for b in batches:
+            held.append(b)
+            n += len(b.column(3).flatten())
+            if n >= most:
+                yield from block(held, number)
+                number, held, n = number + 1, [], 0
+        if held:
+            yield from block(held, number)
+
+    schema = f"block long, lexeme string, collection {kind['collection']}, chunk_ids string, tf array<int>, dl array<int>"
+    escaped = F.replace(F.replace(F.col("chunk_id").cast("string"), F.lit("%"), F.lit("%25")), F.lit(_END), F.lit("%00"))
+    return words.select("collection", F.coalesce(escaped, F.lit("%")).alias("chunk_id"), "dl", "words").mapInArrow(run, schema)
+
+
+def write_search_index(chunks: DataFrame, path: str, buckets: int = 16, splits: int = 8) -> Index:
     """Writes the index of ``chunks`` (``collection, chunk_id, text``, and ``embedding`` if there is one) and all their other columns.
 
     Writing again replaces it. A lexeme that most chunks have is spread over ``splits`` files. The mark that it is whole is written last.
@@ -122,23 +185,26 @@ def write_search_index(chunks: DataFrame, path: str, buckets: int = 16, splits:
     index = Index(spark, path, buckets)
     save = lambda df, name: df.write.mode("overwrite").parquet(f"{path}/{name}")
     save(rows, "chunks")
-    words = index.chunks().select("collection", "chunk_id", "dl", F.explode(word_tokens(F.col("text"))).alias("lexeme"))
-    postings = words.groupBy("collection", "chunk_id", "dl", "lexeme").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-    dealt = postings.withColumn("bucket", _bucket(F.col("lexeme"), buckets)).repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(splits)))
-    dealt.sortWithinPartitions("bucket", "lexeme", "chunk_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    terms = index.part("postings").groupBy("bucket", "lexeme", "collection").agg(F.count(F.lit(1)).alias("ndoc"))
+    words = small_batches(index.chunks()).select("collection", "chunk_id", "dl", word_tokens(F.col("text")).alias("words"))
+    if not words.groupBy("collection", "chunk_id").count().where("count > 1").isEmpty():
+        # rows of one chunk count as one
+        words = words.groupBy("collection", "chunk_id", "dl").agg(F.flatten(F.collect_list("words")).alias("words"))
+    dealt = posting_blocks(words).withColumn("bucket", _bucket(F.col("lexeme"), buckets)).repartition("bucket", F.pmod("block", F.lit(splits)))
+    dealt.drop("block").sortWithinPartitions("bucket", "lexeme").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    terms = index.part("postings").groupBy("bucket", "lexeme", "collection").agg(F.sum(F.size("tf")).alias("ndoc"))
     terms.repartition("bucket").sortWithinPartitions("bucket", "lexeme").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
     save(index.chunks().groupBy("collection").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("dl").alias("words")), "stats")
     numbers = index.part("terms").where(F.regexp_like("lexeme", F.lit("^[a-z]{1,4}[0-9]{5,}$")))
     save(numbers.select(F.regexp_replace("lexeme", "[^0-9]", "").alias("digits"), "lexeme").distinct(), "numbers")
-    save(spark.createDataFrame([(buckets,)], "buckets int"), "whole")
+    save(spark.createDataFrame([(buckets, _LAYOUT)], "buckets int, layout int"), "whole")
     return index
 
 
 def open_index(spark: SparkSession, path: str) -> Index | None:
-    """The index under ``path``; none if it isn't there or isn't whole."""
+    """The index under ``path``; none if it isn't there, isn't whole or has another layout."""
     try:
-        return Index(spark, path, spark.read.parquet(f"{path}/whole").first().buckets)
+        r = spark.read.parquet(f"{path}/whole").first().asDict()
+        return Index(spark, path, r["buckets"]) if r.get("layout") == _LAYOUT else None
     except AnalysisException:
         return None
 

@@ -82,7 +82,9 @@ def bm25_unindexed(spark, d):
 )
 def index_contents(spark, d):
     index = document_index(spark, d)
-    postings = index.part("postings").groupBy("collection").agg(F.count(F.lit(1)).alias("postings"), F.sum("tf").alias("tokens"))
+    postings = index.part("postings").groupBy("collection").agg(
+        F.sum(F.size("tf")).alias("postings"), F.sum(F.aggregate("tf", F.lit(0).cast("long"), lambda n, x: n + x)).alias("tokens")
+    )
     terms = index.part("terms").groupBy("collection").agg(F.count(F.lit(1)).alias("lexemes"))
     vectors = index.chunks().groupBy("collection").agg(F.count("embedding").alias("vectors"))
     return index.part("stats").join(postings, "collection").join(terms, "collection").join(vectors, "collection")

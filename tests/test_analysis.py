@@ -78,6 +78,18 @@ def indexed(spark, tmp_path, texts):
     return write_search_index(spark.createDataFrame(texts, CHUNKS), str(tmp_path / "index"), buckets=4, splits=2)
 
 
+def test_postings_of_odd_chunks(spark, tmp_path):
+    """Ids with any characters, null collections and ids, repeated rows and empty texts; a row of postings holds many chunks."""
+    texts = [("a", "50%", "red fox red"), ("a", "x\0y", "red"), (None, "%00", "fox"), ("b", "n", ""), ("b", "r", "red"), ("b", "r", "red"), ("b", None, "owl"), ("b", "%", None)]
+    index = write_search_index(spark.createDataFrame(texts, CHUNKS).coalesce(1), str(tmp_path / "odd"), buckets=2, splits=2)
+    got = {(r.lexeme, r.collection, r.chunk_id, r.tf, r.dl) for r in index.postings(["red", "fox", "owl"]).collect()}
+    once = {("red", "a", "50%", 2, 3), ("fox", "a", "50%", 1, 3), ("red", "a", "x\0y", 1, 1), ("fox", None, "%00", 1, 1), ("owl", "b", None, 1, 1)}
+    assert got == once | {("red", "b", "r", 2, 1)}
+    assert index.frequency(["red", "fox"]) == {"red": 3, "fox": 2}
+    many = write_search_index(spark.createDataFrame([("a", f"c{i}", "red fox") for i in range(500)], CHUNKS).coalesce(1), str(tmp_path / "many"))
+    assert many.part("postings").count() == 2 and many.postings(["red"]).count() == 500
+
+
 def test_index_scores_like_a_scan(spark, tmp_path):
     texts = [("a", "a1", "red fox jumps"), ("a", "a2", "Red red car"), ("b", "b1", "blue sky over the red sea and sea"), ("b", "b2", ""), ("b", "b3", None)]
     index = indexed(spark, tmp_path, texts)
