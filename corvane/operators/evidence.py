@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from pyspark.sql import types as T
 
 from corvane.functions.canonical import float_text, jcs
 from corvane.operators.access import Principal, permits
+from corvane.session import shared_dir, small_batches
 
 # The version of the canonical form, its separators, and the types it knows.
 CANON = "canon@1"
@@ -148,14 +150,16 @@ def logical_hashes(df: DataFrame, manifest: Manifest, *group: str) -> DataFrame:
 
     SHA-256 of the head and of the encoded rows, which are sorted bytewise where columns are keys, and otherwise stand in the declared
     order. A hash takes its input in order, so one task streams the sorted rows of a group through it; they are sorted with
-    spilling, and never held or collected.
+    spilling, and never held or collected. Those of a whole table are sorted and joined by many tasks, each a range of them, so that the
+    one that hashes has nothing to sort.
     """
     head, names = canonical_head(manifest), list(group)
     order = ["__r"] if row_rule(manifest) == "keys" else [F.expr(o) for o in manifest.order_by]
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     rows = df.withColumn("__r", canonical_row(manifest.columns))
-    dealt = rows.repartition(*names) if names else rows.repartition(1)
-    lined = dealt.sortWithinPartitions(*names, *order).select(*names, F.col("__r"))
+    if not names:
+        return _whole_hash(rows.orderBy(*order).select("__r"), head)
+    lined = rows.repartition(*names).sortWithinPartitions(*names, *order).select(*names, F.col("__r"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, digest, n = None, None, 0
@@ -176,10 +180,46 @@ def logical_hashes(df: DataFrame, manifest: Manifest, *group: str) -> DataFrame:
         if digest is not None:
             yield told()
 
-    found = lined.mapInArrow(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in names), "n_rows long, logical_hash string"]))
-    if names:
-        return found
-    # an empty table has a hash as well
+    return lined.mapInArrow(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in names), "n_rows long, logical_hash string"]))
+
+
+def _whole_hash(lined: DataFrame, head: str, piece: int = 1 << 14) -> DataFrame:
+    """``n_rows, logical_hash`` of a table that is sorted over all its partitions; an empty one has a hash as well."""
+    spark = lined.sparkSession
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def told() -> pa.RecordBatch:
+            columns = ([part], pa.int32()), ([number], pa.int64()), ([len(held)], pa.int64()), ([ROW.encode().join(held)], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in columns], ["part", "number", "n", "rows"])
+
+        for b in batches:
+            for r in b.column(0).to_pylist():
+                held.append(r.encode())
+                size += len(held[-1])
+                if size >= piece:
+                    yield told()
+                    number, held, size = number + 1, [], 0
+        if held:
+            yield told()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest, n, last = hashlib.sha256(head.encode()), 0, (-1, -1)
+        for b in batches:
+            for *at, k, rows in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if tuple(at) <= last:
+                    raise RuntimeError("sorted rows came out of order")
+                last = tuple(at)
+                digest.update((ROW.encode() if n else b"") + rows)
+                n += k
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([digest.hexdigest()])], ["n_rows", "logical_hash"])
+
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    # a checkpoint keeps the order of partitions, which one task then reads one after another
+    pieces = small_batches(lined.mapInArrow(join, "part int, number long, n long, rows binary")).checkpoint()
+    found = pieces.coalesce(1).mapInArrow(run, "n_rows long, logical_hash string")
     none = hashlib.sha256(head.encode()).hexdigest()
     return found.agg(F.coalesce(F.max("n_rows"), F.lit(0)).alias("n_rows"), F.coalesce(F.max("logical_hash"), F.lit(none)).alias("logical_hash"))
 

@@ -220,6 +220,15 @@ def test_sessions_and_turns_with_users_and_sessions(spark):
     assert [tuple(r)[1:] for r in report.collect()] == [(2, 1, 2, 2, 1), (0, 0, 1, 1, 1)]
 
 
+def test_a_whole_hash_is_sorted_by_many_tasks(spark):
+    """Pieces of many partitions are hashed in order; the task that hashes sorts nothing."""
+    df = spark.range(20_000).select(F.col("id").alias("k"), F.format_string("%030d", (F.col("id") * 7919) % 20_000).alias("v")).repartition(7)
+    m = Manifest("m", [EvidenceColumn("k", "int64"), EvidenceColumn("v", "string")], order_by=["v"])
+    found = evidence.logical_hashes(df, m)
+    assert tuple(found.first()) == evidence.logical_hash(df, m)
+    assert "Sort" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_prices_that_overlap(spark):
     """As a plain loop says, nested, endless, empty and equal validities included; an attempt never meets all the prices of its day."""
     dice = random.Random(3)
