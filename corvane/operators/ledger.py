@@ -67,16 +67,20 @@ def _composed(first: DataFrame, then: DataFrame) -> DataFrame:
 def lineages(versions: DataFrame) -> DataFrame:
     """``id, root, depth`` of all versions at once, by pointer doubling; a parent that isn't there makes a root. Cycles are refused."""
     known = versions.select("id", F.col("parent_id").alias("to"))
-    there = known.select(F.col("id").alias("to"))
-    at = known.join(there, "to", "left_semi").select("id", "to", F.lit(1).cast("long").alias("depth"))
-    roots = known.join(there, "to", "left_anti").select("id", F.col("id").alias("to"), F.lit(0).cast("long").alias("depth"))
-    at = materialise(at.unionByName(roots), "pointers")
-    rounds = max(1, at.count()).bit_length() + 1
+    there = known.select(F.col("id").alias("to"), F.lit(True).alias("there")).distinct()
+    root = F.col("there").isNull()
+    start = known.join(there, "to", "left").select("id", F.when(root, F.col("id")).otherwise(F.col("to")).alias("to"), F.when(root, 0).otherwise(1).cast("long").alias("depth"), root.alias("done"))
+    at = materialise(start, "pointers")
+    # what has met its root is written once, and only pointed at from then on
+    done, left = at.where("done"), at.where("NOT done")
+    rounds = left.count().bit_length() + 1
     for _ in range(rounds):
-        onward = at.select(F.col("id").alias("to"), F.col("to").alias("beyond"), F.col("depth").alias("more"))
-        at = materialise(at.join(onward, "to").select("id", F.col("beyond").alias("to"), (F.col("depth") + F.col("more")).alias("depth")), "pointers")
-        if at.join(roots.select(F.col("id").alias("to")), "to", "left_anti").isEmpty():
-            return at.select("id", F.col("to").alias("root"), "depth")
+        if left.isEmpty():
+            return done.select("id", F.col("to").alias("root"), "depth")
+        onward = done.unionByName(left).select(F.col("id").alias("to"), F.col("to").alias("beyond"), F.col("depth").alias("more"), F.col("done").alias("met"))
+        moved = left.join(onward, "to").select("id", F.col("beyond").alias("to"), (F.col("depth") + F.col("more")).alias("depth"), F.col("met").alias("done"))
+        at = materialise(moved, "pointers")
+        done, left = done.unionByName(at.where("done")), at.where("NOT done")
     raise ValueError("versions have a cycle")
 
 

@@ -188,6 +188,15 @@ def test_long_lineages_by_doubling(spark):
     assert [tuple(r) for r in ledger.lineage(spark, versions, "v2").orderBy("position").collect()] == [("v0", 0), ("v1", 1), ("v2", 2)]
 
 
+def test_lineages_write_what_is_done_once(spark, monkeypatch):
+    """Versions that have met their root stay out of later rounds."""
+    sizes, write = [], ledger.materialise
+    monkeypatch.setattr(ledger, "materialise", lambda df, name: (sizes.append((x := write(df, name)).count()), x)[1])
+    v = spark.createDataFrame([(f"v{i}", f"v{i - 1}" if i % 10 else None) for i in range(100)], "id string, parent_id string")
+    assert {(r.id, r.root, r.depth) for r in ledger.lineages(v).collect()} == {(f"v{i}", f"v{i - i % 10}", i % 10) for i in range(100)}
+    assert sizes == [100, 90, 80, 60, 20]
+
+
 def test_lineages_of_odd_versions(spark):
     rows = [("a", "gone"), ("b", "a"), ("c", None), ("d", "b")]
     v = spark.createDataFrame(rows, "id string, parent_id string")
