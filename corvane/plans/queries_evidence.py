@@ -411,7 +411,7 @@ def _scratch(spark) -> str:
 
 
 def _stream(spark, d, frame, parts: int = 3):
-    """A log of a few files, read as a stream."""
+    """A log of a few files, read as a stream, all at once."""
     at = _scratch(spark)
     frame.repartition(parts, "created_at").write.parquet(f"{at}/log")
     return streams.read_log(spark, f"{at}/log", spark.read.parquet(f"{at}/log").schema, parts), at
@@ -454,7 +454,7 @@ def stream_acknowledged(spark, d):
         F.concat("uid", F.lit("-"), (F.col("id") % 5).cast("string")).alias("idempotency_key"), F.col("id").cast("string").alias("request_id"), F.md5("method").alias("body_hash"),
         F.col("created_at").cast("timestamp").alias("created_at"),
     )
-    stream, at = _stream(spark, d, log, 1)
+    stream, at = _stream(spark, d, log, spark.sparkContext.defaultParallelism)
     out = streams.run_available(streams.acknowledged(stream, 400 * 86_400_000), f"{at}/out", f"{at}/state", rocksdb=True)
     return out.groupBy("idempotency_key", "ack").agg(F.count(F.lit(1)).alias("n"))
 
@@ -499,5 +499,5 @@ def stream_reservations(spark, d):
         F.when(F.col("method") == "purchase", "settle").when(F.col("method") == "error", "release").otherwise("reserve").alias("event"),
         F.col("latency_ms").alias("units"), F.col("created_at").cast("timestamp").alias("created_at"),
     )
-    stream, at = _stream(spark, d, log, 1)
+    stream, at = _stream(spark, d, log, spark.sparkContext.defaultParallelism)
     return streams.run_available(streams.reservations(stream, 10**12), f"{at}/out", f"{at}/state")

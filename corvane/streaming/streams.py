@@ -56,19 +56,24 @@ class _Acknowledge(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         known = self.first.get() if self.first.exists() else None
-        out = []
-        for r in pd.concat(list(rows)).sort_values(["created_at", "request_id"], kind="stable").itertuples(index=False):
-            at = int(r.created_at.timestamp() * 1000)
+        out, asked = [], []
+        # a key has few rows, for which a sort and a loop of pandas would cost more than all the rest
+        for b in rows:
+            if b["created_at"].isna().any():
+                raise ValueError("a request without a time")
+            asked += zip(b["created_at"].to_numpy().astype("datetime64[us]").astype("int64").tolist(), b["request_id"].tolist(), b["body_hash"].tolist(), strict=True)
+        for us, request, body in sorted(asked, key=lambda r: (r[0], r[1] is None, r[1] or "")):
+            at = us // 1000
             if known is None or at >= known[1]:
                 if known is not None:
                     self.handle.deleteTimer(known[1])
-                known = (r.body_hash, at + self.keep_ms)
+                known = (body, at + self.keep_ms)
                 self.first.update(known)
                 self.handle.registerTimer(known[1])
                 ack = "accepted"
             else:
-                ack = "replayed" if r.body_hash == known[0] else "refused"
-            out.append((key[0], r.request_id, r.body_hash, ack))
+                ack = "replayed" if body == known[0] else "refused"
+            out.append((key[0], request, body, ack))
         yield pd.DataFrame(out, columns=["idempotency_key", "request_id", "body_hash", "ack"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803

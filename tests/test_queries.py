@@ -19,6 +19,7 @@ import regex
 import __spark_entry__ as entry
 from corvane.functions import analyzer
 from corvane.plans.inputs import ctes
+from corvane.streaming import streams
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -114,6 +115,13 @@ def test_lexemes_and_tokens(spark):
     assert {r.token: r.n for r in QUERIES["structured_tokens"](spark, DIR).collect()} == tokens
 
 
+def test_a_stream_of_requests_is_written_by_many_tasks(spark, monkeypatch):
+    logs, read = [], streams.read_log
+    monkeypatch.setattr(streams, "read_log", lambda s, path, *more: (logs.append(s.read.parquet(path).inputFiles()), read(s, path, *more))[1])
+    assert QUERIES["stream_acknowledged"](spark, DIR).where("ack = 'accepted' AND n <> 1").count() == 0
+    assert len(logs[0]) > 1
+
+
 def ratio(a, b):
     return difflib.SequenceMatcher(None, a.lower(), b.lower(), autojunk=False).ratio()
 
