@@ -12,6 +12,7 @@ from corvane.plans.inputs import ctes, derived, document_index, table
 from corvane.plans.queries_reports import _DAY, _RULING, _verdicts
 from corvane.plans.queries_retrieval import _NEAR, _parts_sql, _query_vector, _sum, _tok
 from corvane.plans.registry import query
+from corvane.session import small_batches
 
 
 def _pools_sql(score: str, least: str, n: int) -> tuple[str, str]:
@@ -181,12 +182,12 @@ def missing_builds(spark, d):
 @query("english_lexemes")
 def lexemes(spark, d):
     """Stemmed lexemes and how many texts have them; DuckDB has no stemmer here. Golden words in the tests."""
-    docs = table(spark, d, "documents").where("lang = 'en'")
+    docs = small_batches(table(spark, d, "documents").where("lang = 'en'"), 200)
     return docs.select(F.explode(F.array_distinct(english_lexemes("text"))).alias("lexeme")).groupBy("lexeme").agg(F.count(F.lit(1)).alias("ndoc"))
 
 
 @query("structured_tokens")
 def structured(spark, d):
     """Tokens that carry a digit, by frequency."""
-    docs = table(spark, d, "documents").select(F.explode(structured_tokens("text")).alias("token"))
+    docs = small_batches(table(spark, d, "documents"), 200).select(F.explode(structured_tokens("text")).alias("token"))
     return docs.where(F.regexp_like("token", F.lit("[0-9]"))).groupBy("token").agg(F.count(F.lit(1)).alias("n"))

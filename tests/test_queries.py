@@ -115,6 +115,19 @@ def test_lexemes_and_tokens(spark):
     assert {r.token: r.n for r in QUERIES["structured_tokens"](spark, DIR).collect()} == tokens
 
 
+@pytest.mark.parametrize("name", ["english_lexemes", "structured_tokens"])
+def test_texts_go_through_python_in_small_batches(spark, name):
+    """The tokens of ten thousand texts at once were more than an executor's Python may hold."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "10000")
+        QUERIES[name](spark, DIR)
+        assert int(spark.conf.get(key)) <= 200
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_a_stream_of_requests_is_written_by_many_tasks(spark, monkeypatch):
     logs, read = [], streams.read_log
     monkeypatch.setattr(streams, "read_log", lambda s, path, *more: (logs.append(s.read.parquet(path).inputFiles()), read(s, path, *more))[1])
