@@ -194,6 +194,51 @@ def test_dishes_hold_all_pairs(spark, monkeypatch):
     assert got == dict(want)
 
 
+def test_rare_contexts_have_restaurants_of_their_own(spark):
+    """With few words broadcast, all other contexts are small restaurants: by the formula, summing to one, however rows are dealt."""
+    docs = [(i, t) for i, t, _ in random_docs(150, seed=5)] + [(1000, "once seen"), (1001, "once seen"), (1002, "once w1"), (10_000, "never known"), (None, "once seen w2")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    words, *_ = by_hand(docs)
+    learned = [t for i, t in docs if i is not None and zlib.crc32(str(i).encode()) % 10 != 0]
+    texts = df.where(py._learned("doc_id")).select(F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    restaurants = py.restaurants_of(texts, share=25)
+    pairs = py._pairs(df.select(F.coalesce("text", F.lit("")).cast("binary").alias("text"), py._learned("doc_id").alias("learned")), restaurants)
+    restaurants.served = py._served(pairs, len(restaurants.served))
+    dishes = py._dishes(pairs)
+    used, totals = py.train(dishes, restaurants)
+    n = Counter()
+    for t in learned:
+        w = [x.encode() for x in words(t)]
+        n.update(zip([b"", *w[:-1]], w))
+    whole, kinds, serving = Counter(), Counter(), Counter()
+    for (a, b), k in n.items():
+        whole[a] += k
+        kinds[a] += 1
+        serving[b] += a not in restaurants.ids
+    assert 0 < len(restaurants.ids) < len(whole) / 2
+    seen = {}
+    for r in dishes.collect():
+        word, c, v = bytes(r.word), np.frombuffer(r.n, "<i4").astype(np.int64), np.frombuffer(r.ctx, "<i4").astype(np.int64)
+        direct = r.served + restaurants.served[restaurants.ids.get(word, 0)]
+        assert direct == serving[word]
+        t, rc, rt = py.sample(py._hashes([word]), np.zeros(len(c), np.int64), v, c, used, 5, 2, np.array([float(direct)]))
+        seen[word] = ((rc[0] - totals.root_discount * rt[0]) / (1 + totals.root_customers) + totals.new_word(), dict(zip(v.tolist(), t.tolist())))
+
+    def probability(a, b):
+        p, tables = seen.get(b, (totals.new_word(), {}))
+        v, k = restaurants.ids.get(a, 0), n[a, b]
+        t, all_tables = (tables.get(v, 0), totals.tables[v]) if v else (float(k > 0), kinds[a])
+        return (k - totals.discount * t) / (1 + whole[a]) + (1 + totals.discount * all_tables) / (1 + whole[a]) * p
+
+    for a in [*whole, b"never"]:
+        assert sum(probability(a, b) for b in seen) + probability(a, b"nowhere") == pytest.approx(1, abs=1e-9)
+    want = sorted((str(i), round(sum(math.log10(probability(a, b)) for a, b in zip([b"", *[x.encode() for x in words(t)][:-1]], [x.encode() for x in words(t)])), 6)) for i, t in docs)
+    for dealt in (df, df.repartition(7)):
+        assert sorted((str(r.doc_id), round(r.score, 6)) for r in py.language_scores(dealt, share=25).collect()) == want
+    # a word seen once tells what follows it
+    assert probability(b"once", b"seen") > 10 * probability(b"never", b"seen")
+
+
 def test_seatings_follow_their_distribution():
     """The number of tables against all partitions of few customers, and against the recursion for many."""
     d, a = 0.6, 1.7
