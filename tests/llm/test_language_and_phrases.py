@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -306,6 +307,48 @@ def test_language_scores_of_odd_tables(spark):
     assert sorted(r.n_tokens for r in got) == [1, 1, 2, 4, 50_001, 50_001]
 
 
+def test_rare_words_of_a_bucket_share_rows(spark, monkeypatch):
+    """Rows that are counted, swept and scored follow the buckets, not the vocabulary."""
+    docs = [(i, t) for i, t, _ in random_docs(200, seed=11, words=3000)]
+    texts = spark.createDataFrame(docs, "doc_id long, text string").repartition(3).select(F.col("text").cast("binary").alias("text"))
+    counts = Counter(w.encode() for _, t in docs for w in re.findall(r"[^\x20\x09-\x0D]+", lower(t)) + [""])
+    buckets = py._buckets(spark)
+    restaurants = py.restaurants_of(texts, share=100)
+    rare = counts.keys() - restaurants.ids.keys()
+    assert len(rare) > 4 * buckets and (restaurants.tokens, restaurants.vocabulary) == (counts.total(), len(counts))
+    assert restaurants.words == sorted(w for w, c in counts.items() if c >= -(-counts.total() // 100))
+    found = py._pairs(texts.withColumn("learned", F.lit(True)), restaurants).where("kind = 0").collect()
+    assert len(found) <= buckets
+    assert sorted(w for r in found for w in bytes(r.word).split(b"\n")) == sorted(rare)
+    show = lambda: sorted(map(tuple, py.dishes(texts, restaurants).collect()))
+    want = show()
+    monkeypatch.setattr(py, "_BLOCK", 7)
+    assert show() == want
+
+
+def test_words_are_split_by_the_rule_however_many_at_a_time():
+    rng = np.random.default_rng(4)
+    pieces = [*map(chr, range(128)), "É", "\u2003", "\x85", "漢", *" \n  A" * 8]
+    texts = ["", " ", *("".join(rng.choice(pieces, rng.integers(40))) for _ in range(500))]
+    want = [re.findall(r"[^\x20\x09-\x0D]+", lower(t)) for t in texts]
+    for most in (1, 100, 1 << 20):
+        got = []
+        for at, counts, found in py._lowered(pa.array([b"x", *(t.encode() for t in texts)]).slice(1), most):
+            assert len(counts) == len(texts[at])
+            words = iter(found.to_pylist())
+            got += [[next(words).decode() for _ in range(n)] for n in counts]
+            assert next(words, None) is None
+        assert got == want
+
+
+def test_draws_by_powers_are_those_by_logarithms(monkeypatch):
+    rng = np.random.default_rng(8)
+    c, alpha, u = rng.integers(1, 40, 20_000), np.exp(rng.uniform(-12, 18, 20_000)), rng.random(20_000)
+    got = py.draw_tables(c, alpha, u, 0.7, py.stirling(0.7))
+    monkeypatch.setattr(py, "_POWERS", 1)
+    assert (got == py.draw_tables(c, alpha, u, 0.7, py.stirling(0.7))).all()
+
+
 # --- 13 vector codes
 
 
